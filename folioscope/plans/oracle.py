@@ -10,6 +10,7 @@ from __future__ import annotations
 from .. import constants as K
 from . import sqlexpr as X
 from .sqlexpr import q
+from ..functions.html import TITLE as H_TITLE
 
 ORACLE: dict[str, str] = {}
 
@@ -141,3 +142,330 @@ def _category_counts():
 SELECT name, document_count, description FROM (
   {with_description_sql("(SELECT name, CAST(count(DISTINCT doc_id) AS BIGINT) AS document_count FROM dens GROUP BY name)")})
 """
+
+
+# ---------------------------------------------------------------- page metadata
+@oracle("page_title")
+def _page_title():
+    return ctes(pages_x(), extracted()) + "SELECT _id, title FROM crawled"
+
+
+@oracle("page_description")
+def _page_description():
+    return ctes(*meta_pages_docs()) + "SELECT _id, description FROM mdocs"
+
+
+@oracle("page_canonical")
+def _page_canonical():
+    return ctes(*meta_pages_docs()) + "SELECT _id, canonical_url FROM mdocs"
+
+
+@oracle("page_meta_tags")
+def _page_meta_tags():
+    return ctes(*meta_pages_docs()) + "SELECT _id, key, value FROM mmeta_long"
+
+
+@oracle("page_fallback")
+def _page_fallback():
+    return ctes(*meta_pages_docs()) + f"""
+SELECT _id, title, description, canonical_url, true AS meta_missing FROM mcrawled WHERE {X.is_blank('html')}"""
+
+
+@oracle("meta_note_text")
+def _meta_note_text():
+    return ctes(*meta_pages_docs()) + f"""
+SELECT d._id,
+       (SELECT value FROM mmeta_long m WHERE m._id = d._id AND m.key = 'language') AS note_language,
+       (SELECT value FROM mmeta_long m WHERE m._id = d._id AND m.key = 'k') AS note_k,
+       CAST(NULL AS VARCHAR) AS note_default
+FROM mdocs d"""
+
+
+# ---------------------------------------------------------------- text functions
+@oracle("tokenize")
+def _tokenize():
+    return f"""
+SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf
+FROM (SELECT doc_id, unnest({X.tokens('text')}) AS term FROM documents)
+GROUP BY doc_id, term"""
+
+
+@oracle("text_builders")
+def _text_builders():
+    return ctes(CORPUS) + f"""
+SELECT _id, {X.rules_text('title', 'description', 'url', 'meta_text')} AS rules_text,
+       {X.density_text('title', 'description', 'url', 'meta_text')} AS density_text,
+       {X.tfidf_text('title', 'description', 'meta_text', X.capped('body'))} AS tfidf_text
+FROM corpus"""
+
+
+@oracle("capped_text")
+def _capped_text():
+    return f"SELECT doc_id, CAST(length({X.capped('text')}) AS BIGINT) AS capped_length, md5({X.capped('text')}) AS capped_md5 FROM documents"
+
+
+@oracle("page_range_text")
+def _page_range_text():
+    return """
+SELECT conv_id AS doc_id, CAST(count(*) AS BIGINT) AS page_count, 2 AS start_page,
+       CAST(least(4, count(*)) AS BIGINT) AS end_page,
+       coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE turn + 1 BETWEEN 2 AND 4), '') AS text
+FROM conversations GROUP BY conv_id"""
+
+
+@oracle("page_count")
+def _page_count():
+    return """
+SELECT d.doc_id, CAST(coalesce(n.page_count, 0) AS BIGINT) AS page_count
+FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS page_count FROM conversations GROUP BY conv_id) n
+  ON d.doc_id = n.conv_id"""
+
+
+@oracle("url_domain")
+def _url_domain():
+    return f"SELECT page_id, {X.url_domain('url')} AS domain FROM pages"
+
+
+@oracle("safe_filenames")
+def _safe_filenames():
+    return ctes(CORPUS) + f"""
+SELECT _id, {X.stored_file_name('title')} AS stored_name, {X.download_file_name('pdf_name')} AS download_name,
+       {X.link_file_name('pdf_name')} AS link_name, {X.path_safe_id('_id')} AS safe_id
+FROM corpus"""
+
+
+@oracle("note_file_name")
+def _note_file_name():
+    return ctes(CORPUS) + f"SELECT _id, {X.note_file_name('title', 'fetched_at')} AS file_name FROM corpus"
+
+
+@oracle("format_size")
+def _format_size():
+    return f"""
+SELECT doc_id, size_bytes, {X.size_text('size_bytes')} AS size_text
+FROM (SELECT doc_id, (n_chars << CAST((doc_id % 5) * 10 AS INTEGER)) + doc_id AS size_bytes FROM documents)"""
+
+
+@oracle("note_tags")
+def _note_tags():
+    return ctes(CORPUS) + f"SELECT _id, category || ', ' || {q(K.NOTE_TAG)} AS tags FROM corpus"
+
+
+@oracle("note_title")
+def _note_title():
+    fn = X.note_file_name('title', 'fetched_at')
+    return ctes(CORPUS) + f"""
+SELECT _id, 'generated' AS kind, replace({fn}, '.md', '') AS title FROM corpus
+WHERE NOT (_id IS NULL OR title IS NULL OR trim(title) = '')
+UNION ALL
+SELECT _id, 'plain' AS kind, trim(substr('# ' || title || ' ', 3)) AS title FROM corpus"""
+
+
+@oracle("step_duration")
+def _step_duration():
+    return """
+SELECT user_id AS doc_id,
+       CAST(CAST(round(CAST(epoch_ms(max(ts)) - epoch_ms(min(ts)) AS DOUBLE) / 1000.0) AS BIGINT) AS VARCHAR) || 's' AS elapsed
+FROM events GROUP BY user_id"""
+
+
+# ---------------------------------------------------------------- predicates
+def _contains_ci(c: str, term: str) -> str:
+    return f"coalesce(contains(lower({c}), lower({q(term)})), false)"
+
+
+@oracle("search_documents")
+def _search_documents():
+    t = "Src1"
+    return ctes(CORPUS) + f"""
+SELECT _id, url, title FROM corpus
+WHERE {_contains_ci('title', t)} OR {_contains_ci('description', t)} OR {_contains_ci('url', t)}"""
+
+
+@oracle("documents_by_category")
+def _documents_by_category():
+    return ctes(CORPUS) + "SELECT _id, title FROM corpus WHERE category = 'fr'"
+
+
+@oracle("trainable_documents")
+def _trainable_documents():
+    return ctes(CORPUS) + "SELECT _id, pdf_name FROM corpus WHERE pdf_name IS NOT NULL"
+
+
+INGEST_REQUESTS = """requests AS (
+  SELECT page_id, html,
+    CASE page_id % 10
+      WHEN 5 THEN 'HTTP' || substr(url, 5, 100000)
+      WHEN 6 THEN regexp_replace(url, '^https?', 'ftp')
+      WHEN 7 THEN regexp_replace(url, '\\.example\\.', '.exa mple.')
+      WHEN 8 THEN ''
+      ELSE url END AS url,
+    (page_id % 3 <> 0) AS create_note,
+    CASE WHEN page_id % 11 = 4 THEN 404 WHEN page_id % 13 = 9 THEN 503 WHEN page_id % 17 = 3 THEN 301 ELSE 200 END AS http_status
+  FROM pages)"""
+
+
+def http_reasons_values() -> str:
+    rows = ", ".join(f"({a}, {q(b)})" for a, b in K.HTTP_REASONS)
+    return f"(VALUES {rows}) AS hr(http_status, reason)"
+
+
+@oracle("url_validation")
+def _url_validation():
+    return ctes(INGEST_REQUESTS) + f"""
+SELECT page_id, url, ({X.url_check('url')}) IS NULL AS valid, coalesce({X.url_check('url')}, {q(K.MSG_ACCESSIBLE)}) AS message
+FROM requests"""
+
+
+@oracle("fetch_outcome")
+def _fetch_outcome():
+    return ctes(INGEST_REQUESTS) + f"""
+SELECT page_id, r.http_status, (r.http_status >= 200 AND r.http_status < 400) AS accessible,
+       {X.fetch_outcome('r.http_status', 'hr.reason')} AS message
+FROM requests r LEFT JOIN {http_reasons_values()} ON r.http_status = hr.http_status"""
+
+
+@oracle("note_quarantine")
+def _note_quarantine():
+    t = X.normalize_ws(X.decode_entities(f"regexp_extract(clean, {q(H_TITLE)}, 1)"))
+    return ctes(META_PAGES_HTML, pages_x("meta_src", "mpages_x", "doc|m")) + f"""
+SELECT _id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM (
+  SELECT _id, CASE WHEN title IS NULL OR trim(title) = '' THEN 'Document title is required' END AS reason
+  FROM (SELECT _id, CASE WHEN NOT {X.is_blank('html')} THEN {t} END AS title FROM mpages_x))"""
+
+
+PATH_CANDIDATES = f"""cands AS (
+  SELECT doc_id,
+    CASE doc_id % 6 WHEN 1 THEN '../' || name WHEN 2 THEN 'a/./' || name WHEN 3 THEN 'a/../' || name
+      WHEN 4 THEN 'a/../../etc/' || name WHEN 5 THEN 'x\\' || name ELSE name END AS candidate
+  FROM (SELECT doc_id, {X.note_file_name('title', 'fetched_at')} AS name FROM corpus))"""
+
+
+def normalized_path_sql(p: str) -> str:
+    step = ("CASE WHEN s = '.' OR s = '' THEN acc "
+            "WHEN s = '..' AND acc <> '' AND acc <> '..' AND NOT suffix(acc, '/..') "
+            "THEN CASE WHEN contains(acc, '/') THEN regexp_replace(acc, '/[^/]*$', '') ELSE '' END "
+            "WHEN acc = '' THEN s ELSE acc || '/' || s END")
+    return f"list_reduce(string_split({p}, '/'), lambda acc, s: {step}, '')"
+
+
+@oracle("path_guard")
+def _path_guard():
+    n = normalized_path_sql("candidate")
+    return ctes(CORPUS, PATH_CANDIDATES) + f"""
+SELECT doc_id, candidate, NOT regexp_matches(candidate, '\\.\\.|/|\\\\') AS name_ok,
+       {n} AS normalized, NOT ({n} = '..' OR starts_with({n}, '../')) AS inside_vault
+FROM cands"""
+
+
+def builtin_lookup_values() -> str:
+    rows = []
+    for i, (key, name, _desc) in enumerate(K.BUILTIN_CATEGORIES, start=1):
+        rows.append(f"({q(key.lower())}, {q(key)}, {q(name)}, {i})")
+        rows.append(f"({q(name.lower())}, {q(key)}, {q(name)}, {i})")
+    return f"(SELECT l, arg_min(k, o) AS k, arg_min(n, o) AS n FROM (VALUES {', '.join(rows)}) AS v(l, k, n, o) GROUP BY l)"
+
+
+CATEGORY_NAME_INPUTS = """names_in AS (
+  SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'technology' WHEN 1 THEN 'NEWSPAPER_ARTICLE'
+    WHEN 2 THEN 'Technology Update' WHEN 3 THEN lang WHEN 4 THEN NULL ELSE 'simple article' END AS name
+  FROM documents)"""
+
+
+@oracle("normalize_category")
+def _normalize_category():
+    return ctes(CATEGORY_NAME_INPUTS) + f"""
+SELECT doc_id, name, coalesce(lk.k, 'UNKNOWN') AS category_key, coalesce(lk.n, {q(K.UNKNOWN_NAME)}) AS category_display
+FROM names_in LEFT JOIN {builtin_lookup_values()} lk ON lower(name) = lk.l"""
+
+
+@oracle("category_descriptions")
+def _category_descriptions():
+    return ctes(CATEGORY_NAME_INPUTS) + f"""
+SELECT name, description FROM (
+  {with_description_sql(f"(SELECT DISTINCT name FROM (SELECT coalesce(lk.n, {q(K.UNKNOWN_NAME)}) AS name FROM names_in LEFT JOIN {builtin_lookup_values()} lk ON lower(names_in.name) = lk.l UNION SELECT lang FROM documents))")})"""
+
+
+@oracle("ingest_response")
+def _ingest_response():
+    return f"""SELECT 'doc|p' || CAST(page_id AS VARCHAR) AS id, 'STORED' AS status,
+  {q(K.PDF_URL_PREFIX)} || 'doc|p' || CAST(page_id AS VARCHAR) || {q(K.PDF_URL_SUFFIX)} AS pdf_url FROM pages"""
+
+
+# ---------------------------------------------------------------- store
+@oracle("scan_documents")
+def _scan_documents():
+    return ctes(CORPUS) + "SELECT _id, title, url, status FROM corpus"
+
+
+@oracle("scan_categories")
+def _scan_categories():
+    return "SELECT 'category|' || lang AS _id, lang AS name, CAST(count(*) AS BIGINT) AS document_count FROM documents GROUP BY lang"
+
+
+LOOKUP_KEYS = "keys AS (SELECT DISTINCT 'doc|' || CAST(user_id AS VARCHAR) AS _id FROM events)"
+
+
+@oracle("lookup_documents")
+def _lookup_documents():
+    return ctes(CORPUS, LOOKUP_KEYS) + """
+SELECT k._id, c._id IS NOT NULL AS exists, c.title FROM keys k LEFT JOIN corpus c ON k._id = c._id"""
+
+
+CHANGES = """changes AS (
+  SELECT 'doc|' || CAST(doc_id AS VARCHAR) AS _id, quality AS _rev, 'labelled ' || CAST(doc_id AS VARCHAR) AS title FROM labels
+  UNION ALL
+  SELECT 'doc|p' || CAST(page_id AS VARCHAR), CAST(NULL AS INTEGER), url FROM pages),
+ch AS (SELECT c.*, b._rev AS cur_rev FROM changes c LEFT JOIN corpus b ON c._id = b._id),
+applied AS (
+  SELECT _id, CASE WHEN cur_rev IS NULL THEN 1 ELSE _rev + 1 END AS _rev, title FROM (
+    SELECT *, row_number() OVER (PARTITION BY _id ORDER BY _rev DESC NULLS LAST) AS rn FROM ch
+    WHERE cur_rev IS NULL OR _rev = cur_rev) WHERE rn = 1)"""
+
+
+@oracle("upsert_documents")
+def _upsert_documents():
+    return ctes(CORPUS, CHANGES) + """
+SELECT _id, CAST(_rev AS INTEGER) AS _rev, title FROM corpus WHERE _id NOT IN (SELECT _id FROM applied)
+UNION ALL SELECT _id, CAST(_rev AS INTEGER), title FROM applied"""
+
+
+@oracle("upsert_conflicts")
+def _upsert_conflicts():
+    return ctes(CORPUS, CHANGES) + """
+SELECT _id, CAST(_rev AS INTEGER) AS rejected_rev, CAST(cur_rev AS INTEGER) AS current_rev FROM ch
+WHERE NOT (cur_rev IS NULL OR _rev = cur_rev) OR (cur_rev IS NOT NULL AND _rev IS NULL)"""
+
+
+@oracle("delete_documents")
+def _delete_documents():
+    return ctes(CORPUS) + """
+SELECT _id FROM corpus WHERE _id NOT IN (SELECT 'doc|' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""
+
+
+ATTACHMENTS = """atts AS (
+  SELECT _id AS doc_id, pdf_name AS name, 'application/pdf' AS content_type, encode(body) AS data FROM corpus WHERE pdf_name IS NOT NULL
+  UNION ALL
+  SELECT 'doc|p' || CAST(page_id AS VARCHAR), 'page.pdf', 'application/pdf', encode(html) FROM pages)"""
+
+
+@oracle("attachment_join")
+def _attachment_join():
+    return ctes(CORPUS, ATTACHMENTS) + """
+SELECT c._id, c.pdf_name, a.content_type, CAST(octet_length(a.data) AS BIGINT) AS length, md5(a.data) AS data_md5
+FROM corpus c JOIN atts a ON a.doc_id = c._id AND a.name = c.pdf_name"""
+
+
+@oracle("attachment_orphans")
+def _attachment_orphans():
+    return ctes(CORPUS, ATTACHMENTS) + """
+SELECT doc_id, name, CAST(octet_length(data) AS BIGINT) AS length FROM atts WHERE doc_id NOT IN (SELECT _id FROM corpus)"""
+
+
+@oracle("pdf_lookup_outcome")
+def _pdf_lookup_outcome():
+    return ctes(CORPUS, ATTACHMENTS, LOOKUP_KEYS) + """
+SELECT k._id,
+       CASE WHEN c._id IS NULL THEN 'not_found' WHEN c.pdf_name IS NULL OR c.pdf_name = '' OR a.doc_id IS NULL THEN 'no_attachment' ELSE 'ok' END AS outcome,
+       CASE WHEN c._id IS NOT NULL AND c.pdf_name IS NOT NULL AND c.pdf_name <> '' AND a.doc_id IS NOT NULL THEN CAST(octet_length(a.data) AS BIGINT) END AS length
+FROM keys k LEFT JOIN corpus c ON k._id = c._id LEFT JOIN atts a ON a.doc_id = c._id AND a.name = c.pdf_name"""

@@ -39,3 +39,346 @@ def category_counts(spark, sf_dir):
     docs = B.crawled(spark, sf_dir)
     assigned = rules.density_classify(docs)
     return catalog.category_counts(assigned).select("name", "document_count", "description")
+
+
+# ---------------------------------------------------------------- page metadata
+@query("page_title")
+def page_title(spark, sf_dir):
+    return B.crawled(spark, sf_dir).select("_id", "title")
+
+
+@query("page_description")
+def page_description(spark, sf_dir):
+    return B.meta_pages(spark, sf_dir).select("_id", "description")
+
+
+@query("page_canonical")
+def page_canonical(spark, sf_dir):
+    return B.meta_pages(spark, sf_dir).select("_id", "canonical_url")
+
+
+@query("page_meta_tags")
+def page_meta_tags(spark, sf_dir):
+    return B.meta_pages(spark, sf_dir).select("_id", F.explode("meta_tags").alias("key", "value"))
+
+
+@query("page_fallback")
+def page_fallback(spark, sf_dir):
+    from ..functions import html as H
+    raw = B.meta_pages_html(spark, sf_dir).where(H.is_blank(F.col("html")))
+    return B.extract_pages(raw, id_prefix="doc|m").select(
+        "_id", "title", "description", "canonical_url", F.col("meta_tags").isNull().alias("meta_missing"))
+
+
+@query("meta_note_text")
+def meta_note_text(spark, sf_dir):
+    from ..operators import notes as N
+    d = B.meta_pages(spark, sf_dir)
+    return d.select("_id", N.meta_note_text(F.col("meta_tags"), "language").alias("note_language"),
+                    N.meta_note_text(F.col("meta_tags"), "k").alias("note_k"),
+                    N.meta_note_text(F.col("meta_tags"), K.DEFAULT_NOTE_META_TAG).alias("note_default"))
+
+
+# ---------------------------------------------------------------- text functions
+@query("tokenize")
+def tokenize(spark, sf_dir):
+    from ..operators import tfidf
+    d = B.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return (tfidf.explode_tokens(d, "text", ["doc_id"])
+            .groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("long").alias("tf")))
+
+
+@query("text_builders")
+def text_builders(spark, sf_dir):
+    d = B.corpus(spark, sf_dir)
+    return d.select("_id",
+                    T.rules_text("title", "description", "url", "meta_tags").alias("rules_text"),
+                    T.density_text("title", "description", "url", "meta_tags").alias("density_text"),
+                    T.tfidf_text("title", "description", "meta_tags", T.capped_text("body")).alias("tfidf_text"))
+
+
+@query("capped_text")
+def capped_text(spark, sf_dir):
+    d = B.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    c = T.capped_text(F.col("text"))
+    return d.select("doc_id", F.length(c).cast("long").alias("capped_length"), F.md5(c).alias("capped_md5"))
+
+
+PAGE_RANGE = (2, 4)
+
+
+@query("page_range_text")
+def page_range_text(spark, sf_dir):
+    """Text of pages [start, min(end, n)] per document, in page order; the
+    collected list is bounded by the range width, not the document size."""
+    start, end = PAGE_RANGE
+    p = B.page_texts(spark, sf_dir)
+    in_range = F.col("page_no").between(start, end)
+    agg = p.groupBy("doc_id").agg(
+        F.count(F.lit(1)).cast("long").alias("page_count"),
+        F.array_sort(F.collect_list(F.when(in_range, F.struct("page_no", "text")))).alias("_p"))
+    return agg.select("doc_id", "page_count",
+                      F.lit(start).alias("start_page"), F.least(F.lit(end), F.col("page_count")).cast("long").alias("end_page"),
+                      F.array_join(F.transform("_p", lambda x: x["text"]), "\n").alias("text"))
+
+
+@query("page_count")
+def page_count(spark, sf_dir):
+    d = B.read_table(spark, sf_dir, "documents", ["doc_id"])
+    n = B.page_texts(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).cast("long").alias("page_count"))
+    return d.join(n, "doc_id", "left").select("doc_id", F.coalesce("page_count", F.lit(0)).cast("long").alias("page_count"))
+
+
+@query("url_domain")
+def url_domain(spark, sf_dir):
+    p = B.read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    return p.select("page_id", T.url_domain("url").alias("domain"))
+
+
+@query("safe_filenames")
+def safe_filenames(spark, sf_dir):
+    d = B.corpus(spark, sf_dir)
+    return d.select("_id", T.stored_file_name("title").alias("stored_name"),
+                    T.download_file_name("pdf_name").alias("download_name"),
+                    T.link_file_name("pdf_name").alias("link_name"),
+                    T.path_safe_id("_id").alias("safe_id"))
+
+
+@query("note_file_name")
+def note_file_name(spark, sf_dir):
+    d = B.corpus(spark, sf_dir)
+    return d.select("_id", T.note_file_name("title", "fetched_at").alias("file_name"))
+
+
+@query("format_size")
+def format_size(spark, sf_dir):
+    d = B.read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
+    size = F.expr("shiftleft(n_chars, CAST((doc_id % 5) * 10 AS INT))") + F.col("doc_id")
+    return d.select("doc_id", size.alias("size_bytes")).select("doc_id", "size_bytes", T.size_text("size_bytes").alias("size_text"))
+
+
+@query("note_tags")
+def note_tags(spark, sf_dir):
+    from ..operators import notes as N
+    return B.corpus(spark, sf_dir).select("_id", N.tags_line(F.col("categories")).alias("tags"))
+
+
+@query("note_title")
+def note_title(spark, sf_dir):
+    """Title from a note's first line ('# ' heading) or its file name; run over
+    generated notes (front matter first) and heading-first notes."""
+    from ..operators import notes as N
+    d = B.corpus(spark, sf_dir)
+    gen = N.notes_table(d, meta_tag=None).select(F.col("doc_id").alias("_id"), "file_name", "markdown")
+    plain = d.select("_id", T.note_file_name("title", "fetched_at").alias("file_name"),
+                     F.concat(F.lit("# "), F.col("title"), F.lit(" \n"), F.col("body")).alias("markdown"))
+    both = (gen.withColumn("kind", F.lit("generated"))
+            .unionByName(plain.withColumn("kind", F.lit("plain"))))
+    return both.select("_id", "kind", N.note_title(F.col("markdown"), F.col("file_name")).alias("title"))
+
+
+@query("step_duration")
+def step_duration(spark, sf_dir):
+    s = B.step_log(spark, sf_dir)
+    g = s.groupBy("doc_id").agg(F.min("at").alias("started"), F.max("at").alias("ended"))
+    return g.select("doc_id", T.elapsed_text("started", "ended").alias("elapsed"))
+
+
+# ---------------------------------------------------------------- predicates
+SEARCH_TERM = "Src1"
+
+
+@query("search_documents")
+def search_documents(spark, sf_dir):
+    from ..operators import search as S
+    return S.search(B.corpus(spark, sf_dir), SEARCH_TERM).select("_id", "url", "title")
+
+
+CATEGORY_NAME = "fr"
+
+
+@query("documents_by_category")
+def documents_by_category(spark, sf_dir):
+    from ..operators import search as S
+    return S.by_category(B.corpus(spark, sf_dir), CATEGORY_NAME).select("_id", "title")
+
+
+@query("trainable_documents")
+def trainable_documents(spark, sf_dir):
+    from ..operators import search as S
+    return S.trainable(B.corpus(spark, sf_dir)).select("_id", "pdf_name")
+
+
+@query("url_validation")
+def url_validation(spark, sf_dir):
+    r = B.ingest_requests(spark, sf_dir)
+    msg = T.url_check("url")
+    return r.select("page_id", "url", msg.isNull().alias("valid"),
+                    F.coalesce(msg, F.lit(K.MSG_ACCESSIBLE)).alias("message"))
+
+
+@query("fetch_outcome")
+def fetch_outcome(spark, sf_dir):
+    r = B.ingest_requests(spark, sf_dir).join(F.broadcast(B.http_reasons(spark)), "http_status", "left")
+    return r.select("page_id", "http_status",
+                    ((F.col("http_status") >= 200) & (F.col("http_status") < 400)).alias("accessible"),
+                    T.fetch_outcome("http_status", "reason").alias("message"))
+
+
+@query("note_quarantine")
+def note_quarantine(spark, sf_dir):
+    from ..functions import html as H
+    from ..operators import notes as N
+    raw = B.meta_pages_html(spark, sf_dir)
+    docs = raw.select(F.concat(F.lit("doc|m"), F.col("page_id").cast("string")).alias("_id"),
+                      F.when(~H.is_blank(F.col("html")), H.raw_title(H.strip_blocks(F.col("html")))).alias("title"))
+    ok, bad = N.quarantine(docs)
+    return (ok.select("_id", F.lit("accepted").alias("status"), F.lit(None).cast("string").alias("reason"))
+            .unionByName(bad.select("_id", F.lit("rejected").alias("status"), "reason")))
+
+
+def _path_candidates(spark, sf_dir):
+    d = B.corpus(spark, sf_dir).select("doc_id", T.note_file_name("title", "fetched_at").alias("name"))
+    v = F.col("doc_id") % 6
+    cand = (F.when(v == 1, F.concat(F.lit("../"), F.col("name")))
+            .when(v == 2, F.concat(F.lit("a/./"), F.col("name")))
+            .when(v == 3, F.concat(F.lit("a/../"), F.col("name")))
+            .when(v == 4, F.concat(F.lit("a/../../etc/"), F.col("name")))
+            .when(v == 5, F.concat(F.lit("x\\"), F.col("name")))
+            .otherwise(F.col("name")))
+    return d.select("doc_id", cand.alias("candidate"))
+
+
+@query("path_guard")
+def path_guard(spark, sf_dir):
+    from ..operators import notes as N
+    c = _path_candidates(spark, sf_dir)
+    return c.select("doc_id", "candidate", N.path_is_safe(F.col("candidate")).alias("name_ok"),
+                    N.normalized_path(F.col("candidate")).alias("normalized"),
+                    N.path_inside_vault(F.col("candidate")).alias("inside_vault"))
+
+
+def _category_name_inputs(spark, sf_dir):
+    d = B.read_table(spark, sf_dir, "documents", ["doc_id", "lang"])
+    v = F.col("doc_id") % 6
+    name = (F.when(v == 0, F.lit("technology")).when(v == 1, F.lit("NEWSPAPER_ARTICLE"))
+            .when(v == 2, F.lit("Technology Update")).when(v == 3, F.col("lang"))
+            .when(v == 4, F.lit(None).cast("string")).otherwise(F.lit("simple article")))
+    return d.select("doc_id", name.alias("name"))
+
+
+@query("normalize_category")
+def normalize_category(spark, sf_dir):
+    n = catalog.normalize_category(_category_name_inputs(spark, sf_dir))
+    return n.select("doc_id", "name", "category_key", "category_display")
+
+
+@query("category_descriptions")
+def category_descriptions(spark, sf_dir):
+    n = catalog.normalize_category(_category_name_inputs(spark, sf_dir))
+    names = (n.select(F.col("category_display").alias("name"))
+             .unionByName(B.read_table(spark, sf_dir, "documents", ["lang"]).select(F.col("lang").alias("name")))
+             .distinct())
+    return catalog.with_description(names).select("name", "description")
+
+
+@query("ingest_response")
+def ingest_response(spark, sf_dir):
+    d = B.crawled(spark, sf_dir)
+    return d.select(F.col("_id").alias("id"), F.lit("STORED").alias("status"),
+                    F.concat(F.lit(K.PDF_URL_PREFIX), F.col("_id"), F.lit(K.PDF_URL_SUFFIX)).alias("pdf_url"))
+
+
+# ---------------------------------------------------------------- store
+def store_records(spark, sf_dir) -> DataFrame:
+    """One store mixing record kinds: documents and category records."""
+    d = B.corpus(spark, sf_dir)
+    docs = d.select("_id", "type", F.lit(None).cast("string").alias("name"), "title", "url", "status",
+                    F.lit(None).cast("long").alias("document_count"))
+    cats = (d.groupBy("lang").agg(F.count(F.lit(1)).cast("long").alias("document_count"))
+            .select(F.concat(F.lit("category|"), F.col("lang")).alias("_id"), F.lit("category").alias("type"),
+                    F.col("lang").alias("name"), F.lit(None).cast("string").alias("title"),
+                    F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("status"),
+                    "document_count"))
+    return docs.unionByName(cats)
+
+
+@query("scan_documents")
+def scan_documents(spark, sf_dir):
+    from ..operators import store as S
+    return S.scan_documents(store_records(spark, sf_dir)).select("_id", "title", "url", "status")
+
+
+@query("scan_categories")
+def scan_categories(spark, sf_dir):
+    from ..operators import store as S
+    return S.scan_categories(store_records(spark, sf_dir)).select("_id", "name", "document_count")
+
+
+def _lookup_keys(spark, sf_dir):
+    e = B.read_table(spark, sf_dir, "events", ["user_id"])
+    return e.select(F.concat(F.lit("doc|"), F.col("user_id").cast("string")).alias("_id"))
+
+
+@query("lookup_documents")
+def lookup_documents(spark, sf_dir):
+    from ..operators import store as S
+    return S.lookup(B.corpus(spark, sf_dir), _lookup_keys(spark, sf_dir))
+
+
+def _changes(spark, sf_dir):
+    lab = B.read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    upd = lab.select(F.concat(F.lit("doc|"), F.col("doc_id").cast("string")).alias("_id"),
+                     F.col("quality").alias("_rev"),
+                     F.concat(F.lit("labelled "), F.col("doc_id").cast("string")).alias("title"))
+    pg = B.read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    ins = pg.select(F.concat(F.lit("doc|p"), F.col("page_id").cast("string")).alias("_id"),
+                    F.lit(None).cast("int").alias("_rev"), F.col("url").alias("title"))
+    return upd.unionByName(ins)
+
+
+@query("upsert_documents")
+def upsert_documents(spark, sf_dir):
+    from ..operators import store as S
+    base = B.corpus(spark, sf_dir).select("_id", "_rev", "title")
+    out, _ = S.upsert(base, _changes(spark, sf_dir))
+    return out.select("_id", F.col("_rev").cast("int").alias("_rev"), "title")
+
+
+@query("upsert_conflicts")
+def upsert_conflicts(spark, sf_dir):
+    from ..operators import store as S
+    base = B.corpus(spark, sf_dir).select("_id", "_rev", "title")
+    _, conflicts = S.upsert(base, _changes(spark, sf_dir))
+    return conflicts.select("_id", F.col("rejected_rev").cast("int").alias("rejected_rev"),
+                            F.col("current_rev").cast("int").alias("current_rev"))
+
+
+@query("delete_documents")
+def delete_documents(spark, sf_dir):
+    from ..operators import store as S
+    lab = B.read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where(F.col("toxic") == 1)
+    ids = lab.select(F.concat(F.lit("doc|"), F.col("doc_id").cast("string")).alias("_id"))
+    return S.delete(B.corpus(spark, sf_dir), ids).select("_id")
+
+
+@query("attachment_join")
+def attachment_join(spark, sf_dir):
+    from ..operators import store as S
+    ok, _ = S.attach(B.corpus(spark, sf_dir), B.attachments(spark, sf_dir))
+    fetched = S.fetch_attachment(B.corpus(spark, sf_dir).select("_id", "pdf_name"), ok)
+    return fetched.select("_id", "pdf_name", "content_type", "length", F.md5(F.col("data")).alias("data_md5"))
+
+
+@query("attachment_orphans")
+def attachment_orphans(spark, sf_dir):
+    from ..operators import store as S
+    _, orphans = S.attach(B.corpus(spark, sf_dir), B.attachments(spark, sf_dir))
+    return orphans.select("doc_id", "name", "length")
+
+
+@query("pdf_lookup_outcome")
+def pdf_lookup_outcome(spark, sf_dir):
+    from ..operators import store as S
+    keys = _lookup_keys(spark, sf_dir).distinct()
+    return S.pdf_lookup(keys, B.corpus(spark, sf_dir), B.attachments(spark, sf_dir))
