@@ -469,3 +469,224 @@ SELECT k._id,
        CASE WHEN c._id IS NULL THEN 'not_found' WHEN c.pdf_name IS NULL OR c.pdf_name = '' OR a.doc_id IS NULL THEN 'no_attachment' ELSE 'ok' END AS outcome,
        CASE WHEN c._id IS NOT NULL AND c.pdf_name IS NOT NULL AND c.pdf_name <> '' AND a.doc_id IS NOT NULL THEN CAST(octet_length(a.data) AS BIGINT) END AS length
 FROM keys k LEFT JOIN corpus c ON k._id = c._id LEFT JOIN atts a ON a.doc_id = c._id AND a.name = c.pdf_name"""
+
+
+# ---------------------------------------------------------------- classification
+def r6(c: str, alias: str | None = None) -> str:
+    return f"round({c}, 6) AS {alias or c.split('.')[-1]}"
+
+
+def keyword_rows(src: str, keyword_rules, domain_rules, key: str = "_id") -> str:
+    """Long-form keyword/domain scores per (row, category)."""
+    t = f"lower({X.rules_text('title', 'description', 'url', 'meta_text')})"
+    selects = []
+    for cat, kws in keyword_rules.items():
+        hits = " + ".join(f"CASE WHEN contains(t, {q(k.lower())}) THEN 1 ELSE 0 END" for k in kws)
+        doms = domain_rules.get(cat, [])
+        if doms:
+            anyd = " OR ".join(f"contains(d, {q(x.lower())})" for x in doms)
+            dom = f"CASE WHEN d <> '' AND ({anyd}) THEN CAST(1.0 AS DOUBLE) ELSE CAST(0.0 AS DOUBLE) END"
+        else:
+            dom = "CAST(0.0 AS DOUBLE)"
+        selects.append(f"SELECT {key}, {q(cat)} AS category, CAST({hits} AS INTEGER) AS keyword_hits, "
+                       f"({hits}) / {len(kws)} AS keyword_score, {dom} AS domain_score FROM base")
+    return (f"(WITH base AS (SELECT {key}, {t} AS t, {X.url_domain('url')} AS d FROM {src}) "
+            f"SELECT *, keyword_score * CAST({K.RULE_KEYWORD_WEIGHT} AS DOUBLE) + domain_score * CAST({K.RULE_DOMAIN_WEIGHT} AS DOUBLE) AS confidence "
+            f"FROM ({' UNION ALL '.join(selects)}))")
+
+
+@oracle("rule_scores")
+def _rule_scores():
+    return ctes(CORPUS) + f"""
+SELECT _id, category, keyword_hits, {r6('keyword_score')}, {r6('domain_score')}, {r6('confidence')}
+FROM {keyword_rows('corpus', K.DEFAULT_KEYWORD_RULES, K.DEFAULT_DOMAIN_RULES)}"""
+
+
+@oracle("rule_classify")
+def _rule_classify():
+    both = ("(SELECT _id, title, description, url, meta_text FROM corpus "
+            "UNION ALL SELECT _id, title, description, url, meta_text FROM cdocs)")
+    return ctes(CORPUS, *crawled_docs(), f"alldocs AS {both}") + f"""
+SELECT _id AS doc_id, category AS name, {r6('confidence')}, {q(K.RULE_CLASSIFIER)} AS classifier
+FROM {keyword_rows('alldocs', K.DEFAULT_KEYWORD_RULES, K.DEFAULT_DOMAIN_RULES)} WHERE confidence >= {K.RULE_THRESHOLD}"""
+
+
+@oracle("rule_classify_custom")
+def _rule_classify_custom():
+    from .queries import CORPUS_DOMAIN_RULES, CORPUS_KEYWORD_RULES
+    return ctes(CORPUS) + f"""
+SELECT _id AS doc_id, category AS name, {r6('confidence')}, {q(K.RULE_CLASSIFIER)} AS classifier
+FROM {keyword_rows('corpus', CORPUS_KEYWORD_RULES, CORPUS_DOMAIN_RULES)} WHERE confidence >= {K.RULE_THRESHOLD}"""
+
+
+@oracle("density_scores")
+def _density_scores():
+    return ctes(CORPUS, density_best("corpus", density_text_sql())) + f"""
+SELECT _id AS doc_id, name, CAST(hits AS INTEGER) AS hits, CAST(w AS INTEGER) AS words, {r6('score')} FROM dens_s"""
+
+
+@oracle("density_classify")
+def _density_classify():
+    return ctes(CORPUS, density_best("corpus", density_text_sql())) + f"""
+SELECT doc_id, name, {r6('confidence')}, classifier FROM dens"""
+
+
+def tfidf_ctes() -> list[str]:
+    tok = X.tokens("text")
+    return [
+        CORPUS,
+        f"sdocs AS (SELECT _id AS doc_id, category, pdf_name, {X.tfidf_text('title', 'description', 'meta_text', X.capped('body'))} AS text FROM corpus)",
+        "train AS (SELECT doc_id, category, text FROM sdocs WHERE pdf_name IS NOT NULL)",
+        "ndocs AS (SELECT count(*) AS n_docs FROM train)",
+        f"dfreq AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({tok}) AS term FROM train)) GROUP BY term)",
+        f"""vocab AS (
+  SELECT term, df, CAST(row_number() OVER (ORDER BY df DESC, term) - 1 AS INTEGER) AS idx, ln(n_docs / df) AS idf
+  FROM (SELECT * FROM dfreq WHERE df >= {K.TFIDF_MIN_DF} ORDER BY df DESC, term LIMIT {K.TFIDF_MAX_FEATURES}), ndocs)""",
+        f"""ctf AS (SELECT category, term, count(*) AS tf FROM (SELECT category, unnest({tok}) AS term FROM train) JOIN vocab USING (term) GROUP BY category, term)""",
+        """cvec AS (
+  SELECT category, term, CASE WHEN norm > 0 THEN w / norm ELSE w END AS weight FROM (
+    SELECT c.category, c.term, c.tf * v.idf AS w, sqrt(sum((c.tf * v.idf) * (c.tf * v.idf)) OVER (PARTITION BY c.category)) AS norm
+    FROM ctf c JOIN vocab v USING (term)))""",
+        f"""dtf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok}) AS term FROM sdocs) JOIN vocab USING (term) GROUP BY doc_id, term)""",
+        """dvec AS (
+  SELECT doc_id, term, CASE WHEN norm > 0 THEN w / norm ELSE w END AS weight FROM (
+    SELECT d.doc_id, d.term, d.tf * v.idf AS w, sqrt(sum((d.tf * v.idf) * (d.tf * v.idf)) OVER (PARTITION BY d.doc_id)) AS norm
+    FROM dtf d JOIN vocab v USING (term)))""",
+        """scores AS (SELECT d.doc_id, c.category, sum(d.weight * c.weight) AS score FROM dvec d JOIN cvec c USING (term) GROUP BY d.doc_id, c.category)""",
+        f"""tfc AS (SELECT doc_id, category AS name, score AS confidence, {q(K.TFIDF_CLASSIFIER)} AS classifier FROM scores WHERE score >= {K.TFIDF_THRESHOLD})""",
+    ]
+
+
+@oracle("tfidf_train_idf")
+def _tfidf_train_idf():
+    return ctes(*tfidf_ctes()) + f"SELECT term, CAST(df AS BIGINT) AS df, idx, {r6('idf')} FROM vocab"
+
+
+@oracle("top_terms")
+def _top_terms():
+    return ctes(*tfidf_ctes()) + "SELECT term, CAST(df AS BIGINT) AS df, idx FROM vocab"
+
+
+@oracle("tfidf_category_vectors")
+def _tfidf_category_vectors():
+    return ctes(*tfidf_ctes()) + f"SELECT category, term, {r6('weight')} FROM cvec"
+
+
+@oracle("tfidf_vectors")
+def _tfidf_vectors():
+    return ctes(*tfidf_ctes()) + f"SELECT doc_id, term, {r6('weight')} FROM dvec"
+
+
+@oracle("tfidf_scores")
+def _tfidf_scores():
+    return ctes(*tfidf_ctes()) + f"SELECT doc_id, category, {r6('score')} FROM scores"
+
+
+@oracle("tfidf_classify")
+def _tfidf_classify():
+    return ctes(*tfidf_ctes()) + f"SELECT doc_id, name, {r6('confidence')}, classifier FROM tfc"
+
+
+@oracle("model_roundtrip")
+def _model_roundtrip():
+    return ORACLE["tfidf_scores"]
+
+
+@oracle("model_requests")
+def _model_requests():
+    text = X.tfidf_text('title', 'description', 'meta_text', X.capped('body'))
+    return ctes(CORPUS) + f"""
+SELECT _id AS doc_id, sha256(_id) AS request_id,
+  to_json({{'jsonrpc': '2.0', 'id': sha256(_id), 'method': {q(K.MODEL_METHOD)},
+           'params': {{'name': {q(K.MODEL_TOOL_NAME)}, 'arguments': {{'documentId': _id, 'title': coalesce(title, ''),
+             'description': coalesce(description, ''), 'content': coalesce({text}, '')}}}}}})::VARCHAR AS request
+FROM corpus"""
+
+
+PREDICTIONS = """preds AS (
+  SELECT 'doc|' || CAST(doc_id AS VARCHAR) AS doc_id,
+    CASE WHEN doc_id % 5 = 0 THEN '{"jsonrpc":"2.0","id":"r' || CAST(doc_id AS VARCHAR) || '","error":{"code":-32000,"message":"model busy ' || CAST(doc_id AS VARCHAR) || '"}}'
+         WHEN doc_id % 23 = 11 THEN '{"jsonrpc":"2.0","result":' || CAST(doc_id AS VARCHAR)
+         ELSE '{"jsonrpc":"2.0","id":"r' || CAST(doc_id AS VARCHAR) || '","result":{"model":' || CASE WHEN doc_id % 7 = 0 THEN 'null' ELSE '"m1"' END
+              || ',"confidence":0.5,"categories":[{"name":"' || lang || '","confidence":0.' || lpad(CAST(n_chars % 100 AS VARCHAR), 2, '0')
+              || ',"reasoning":"language"},{"name":"Technology","confidence":0.' || lpad(CAST(doc_id % 97 AS VARCHAR), 2, '0')
+              || ',"reasoning":"topic"}]}}' END AS response
+  FROM documents),
+parsed AS (
+  SELECT doc_id, response, json_valid(response) AS valid,
+    CASE WHEN json_valid(response) THEN json_extract(response, '$.error') END AS err,
+    CASE WHEN json_valid(response) THEN json_type(response, '$.result') = 'OBJECT' ELSE false END AS has_result
+  FROM preds),
+mp AS (
+  SELECT doc_id, json_extract_string(c, '$.name') AS name, CAST(json_extract(c, '$.confidence') AS DOUBLE) AS confidence,
+         'mcp-' || coalesce(model, 'ai') AS classifier, CAST(pos AS INTEGER) AS pos
+  FROM (SELECT doc_id, model, unnest(cats) AS c, unnest(range(0, len(cats))) AS pos FROM (
+    SELECT doc_id, json_extract_string(response, '$.result.model') AS model,
+           CAST(json_extract(response, '$.result.categories') AS JSON[]) AS cats
+    FROM parsed WHERE (err IS NULL OR json_type(err) = 'NULL') AND has_result)))"""
+
+
+@oracle("model_predictions")
+def _model_predictions():
+    return ctes(PREDICTIONS) + f"SELECT doc_id, name, {r6('confidence')}, classifier, pos FROM mp"
+
+
+@oracle("model_failures")
+def _model_failures():
+    return ctes(PREDICTIONS) + """
+SELECT doc_id, CASE WHEN err IS NOT NULL AND json_type(err) <> 'NULL' THEN 'model error: ' || coalesce(json_extract_string(err, '$.message'), '') ELSE 'malformed response' END AS reason
+FROM parsed WHERE (err IS NOT NULL AND json_type(err) <> 'NULL') OR NOT has_result"""
+
+
+def merged_ctes(with_density_src: str = "corpus") -> list[str]:
+    return tfidf_ctes() + [PREDICTIONS, density_best(with_density_src, density_text_sql()), """merged AS (
+  SELECT doc_id, name, confidence, classifier, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, name) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY confidence DESC, src, pos) AS k FROM (
+      SELECT doc_id, name, confidence, classifier, 0 AS src, pos FROM mp
+      UNION ALL SELECT doc_id, name, confidence, classifier, 1, 0 FROM tfc
+      UNION ALL SELECT doc_id, name, confidence, classifier, 2, 0 FROM dens)) WHERE k = 1)"""]
+
+
+@oracle("merge_assignments")
+def _merge_assignments():
+    return ctes(*merged_ctes()) + f"SELECT doc_id, name, {r6('confidence')}, classifier FROM merged"
+
+
+@oracle("ranked_assignments")
+def _ranked_assignments():
+    return ctes(*merged_ctes()) + f"SELECT doc_id, name, {r6('confidence')}, classifier, CAST(rank AS INTEGER) AS rank FROM merged"
+
+
+@oracle("primary_category")
+def _primary_category():
+    return ctes(*merged_ctes()) + f"SELECT doc_id, name, {r6('confidence')}, classifier FROM merged WHERE rank = 1"
+
+
+@oracle("hybrid_classify")
+def _hybrid_classify():
+    return ctes(*merged_ctes()) + """
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_categories, arg_min(name, rank) AS primary_name,
+       string_agg(name, ', ' ORDER BY rank) AS names
+FROM merged GROUP BY doc_id"""
+
+
+@oracle("reclassify")
+def _reclassify():
+    return ctes(*merged_ctes(), LOOKUP_KEYS) + """
+SELECT m.doc_id AS _id, 2 AS _rev, arg_min(m.name, m.rank) AS primary_name, CAST(count(*) AS INTEGER) AS n_categories
+FROM merged m JOIN keys k ON m.doc_id = k._id GROUP BY m.doc_id"""
+
+
+@oracle("reclassify_unknown")
+def _reclassify_unknown():
+    return ctes(CORPUS, LOOKUP_KEYS) + "SELECT _id FROM keys WHERE _id NOT IN (SELECT _id FROM corpus)"
+
+
+@oracle("custom_classifier")
+def _custom_classifier():
+    return ctes(CORPUS, density_best("corpus", density_text_sql())) + f"""
+SELECT doc_id, name, {r6('confidence')}, classifier, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, name) AS INTEGER) AS rank
+FROM (
+  SELECT doc_id, name, confidence, classifier FROM dens
+  UNION ALL
+  SELECT _id, CASE WHEN {X.word_count('body')} > 500 THEN 'Long Read' ELSE 'Short Read' END, CAST(0.5 AS DOUBLE), 'length-v1.0' FROM corpus)"""

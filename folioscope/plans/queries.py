@@ -382,3 +382,250 @@ def pdf_lookup_outcome(spark, sf_dir):
     from ..operators import store as S
     keys = _lookup_keys(spark, sf_dir).distinct()
     return S.pdf_lookup(keys, B.corpus(spark, sf_dir), B.attachments(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- classification
+def r6(c: str):
+    """Compared doubles are rounded to 6 places (sum order varies by plan)."""
+    return F.round(F.col(c), 6).alias(c)
+
+
+# Query parameters for a rule set that fires on the test corpus (the
+# built-in rules barely match invented prose).
+CORPUS_KEYWORD_RULES = {
+    "english": ["the", "and", "ing", "tion", "with"],
+    "french": ["les", "des", "une", "pour", "que"],
+    "german": ["der", "und", "sch", "ein", "ich"],
+    "spanish": ["los", "las", "que", "por", "una"],
+}
+CORPUS_DOMAIN_RULES = {
+    "english": ["/en/", "src1.example.com"],
+    "french": ["src2.example.com"],
+}
+
+
+@query("rule_scores")
+def rule_scores(spark, sf_dir):
+    s = rules.keyword_scores(B.corpus(spark, sf_dir))
+    return s.select("_id", "category", F.col("keyword_hits").cast("int").alias("keyword_hits"),
+                    r6("keyword_score"), r6("domain_score"), r6("confidence"))
+
+
+@query("rule_classify")
+def rule_classify(spark, sf_dir):
+    docs = B.corpus(spark, sf_dir).unionByName(B.crawled(spark, sf_dir), allowMissingColumns=True)
+    return rules.keyword_classify(docs).select("doc_id", "name", r6("confidence"), "classifier")
+
+
+@query("rule_classify_custom")
+def rule_classify_custom(spark, sf_dir):
+    c = rules.keyword_classify(B.corpus(spark, sf_dir), keyword_rules=CORPUS_KEYWORD_RULES,
+                               domain_rules=CORPUS_DOMAIN_RULES)
+    return c.select("doc_id", "name", r6("confidence"), "classifier")
+
+
+@query("density_scores")
+def density_scores(spark, sf_dir):
+    s = rules.density_scores(B.corpus(spark, sf_dir))
+    return s.select(F.col("_id").alias("doc_id"), "name", F.col("hits").cast("int").alias("hits"),
+                    F.col("words").cast("int").alias("words"), r6("score"))
+
+
+@query("density_classify")
+def density_classify(spark, sf_dir):
+    return rules.density_classify(B.corpus(spark, sf_dir)).select("doc_id", "name", r6("confidence"), "classifier")
+
+
+def scoring_docs(spark, sf_dir) -> DataFrame:
+    """Corpus documents with the TF-IDF text (title, description, meta values,
+    body capped at 100,000 characters)."""
+    d = B.corpus(spark, sf_dir)
+    return d.withColumn("tfidf_text", T.tfidf_text("title", "description", "meta_tags", T.capped_text("body")))
+
+
+def train_model(spark, sf_dir):
+    from ..operators import search as S
+    from ..operators import tfidf
+    d = S.trainable(scoring_docs(spark, sf_dir))
+    train = d.select(F.col("_id").alias("doc_id"), F.col("categories")[0]["name"].alias("category"),
+                     F.col("tfidf_text").alias("text"))
+    return tfidf.train(train)
+
+
+def doc_vectors(spark, sf_dir, model):
+    from ..operators import tfidf
+    d = scoring_docs(spark, sf_dir).select(F.col("_id").alias("doc_id"), F.col("tfidf_text").alias("text"))
+    return tfidf.document_vectors(d, model.vocab)
+
+
+@query("tfidf_train_idf")
+def tfidf_train_idf(spark, sf_dir):
+    m = train_model(spark, sf_dir)
+    return m.vocab.select("term", F.col("df").cast("long").alias("df"), F.col("idx").cast("int").alias("idx"), r6("idf"))
+
+
+@query("top_terms")
+def top_terms(spark, sf_dir):
+    m = train_model(spark, sf_dir)
+    return m.vocab.select("term", F.col("df").cast("long").alias("df"), F.col("idx").cast("int").alias("idx"))
+
+
+@query("tfidf_category_vectors")
+def tfidf_category_vectors(spark, sf_dir):
+    return train_model(spark, sf_dir).class_vectors.select("category", "term", r6("weight"))
+
+
+@query("tfidf_vectors")
+def tfidf_vectors(spark, sf_dir):
+    return doc_vectors(spark, sf_dir, train_model(spark, sf_dir)).select("doc_id", "term", r6("weight"))
+
+
+@query("tfidf_scores")
+def tfidf_scores(spark, sf_dir):
+    from ..operators import tfidf
+    m = train_model(spark, sf_dir)
+    return tfidf.score(doc_vectors(spark, sf_dir, m), m.class_vectors).select("doc_id", "category", r6("score"))
+
+
+@query("tfidf_classify")
+def tfidf_classify(spark, sf_dir):
+    from ..operators import tfidf
+    m = train_model(spark, sf_dir)
+    c = tfidf.classify(tfidf.score(doc_vectors(spark, sf_dir, m), m.class_vectors))
+    return c.select("doc_id", "name", r6("confidence"), "classifier")
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """Persist the model as Parquet under the shared checkpoint folder, load
+    it back and score with the loaded tables."""
+    import hashlib
+
+    from ..operators import tfidf
+    from ..session import shared_path
+    m = train_model(spark, sf_dir)
+    path = shared_path(spark, "models", "tfidf-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+    tfidf.save_model(m, path)
+    loaded = tfidf.load_model(spark, path)
+    return tfidf.score(doc_vectors(spark, sf_dir, loaded), loaded.class_vectors).select("doc_id", "category", r6("score"))
+
+
+@query("model_requests")
+def model_requests(spark, sf_dir):
+    from ..operators import predictions as P
+    d = scoring_docs(spark, sf_dir)
+    return P.requests(d, content_col="tfidf_text")
+
+
+@query("model_predictions")
+def model_predictions(spark, sf_dir):
+    from ..operators import predictions as P
+    p = P.predictions(B.predictions(spark, sf_dir))
+    return p.select("doc_id", "name", r6("confidence"), "classifier", F.col("pos").cast("int").alias("pos"))
+
+
+@query("model_failures")
+def model_failures(spark, sf_dir):
+    from ..operators import predictions as P
+    return P.failures(B.predictions(spark, sf_dir))
+
+
+@query("model_map_batches")
+def model_map_batches(spark, sf_dir):
+    """Requests sent in Arrow batches to a model function on the executors,
+    responses parsed back into assignments."""
+    from ..operators import predictions as P
+    req = P.requests(scoring_docs(spark, sf_dir), content_col="tfidf_text")
+    return P.predictions(P.call_model(req, P.length_model)).select("doc_id", "name", "confidence", "classifier")
+
+
+def classifier_outputs(spark, sf_dir) -> list[DataFrame]:
+    """External predictions, TF-IDF, density rules — in merge order."""
+    from ..operators import predictions as P
+    from ..operators import tfidf
+    m = train_model(spark, sf_dir)
+    tf = tfidf.classify(tfidf.score(doc_vectors(spark, sf_dir, m), m.class_vectors))
+    return [P.predictions(B.predictions(spark, sf_dir)), tf, rules.density_classify(B.corpus(spark, sf_dir))]
+
+
+@query("merge_assignments")
+def merge_assignments(spark, sf_dir):
+    from ..operators import assign
+    return assign.merge(classifier_outputs(spark, sf_dir), with_rank=False).select(
+        "doc_id", "name", r6("confidence"), "classifier")
+
+
+@query("ranked_assignments")
+def ranked_assignments(spark, sf_dir):
+    from ..operators import assign
+    return assign.merge(classifier_outputs(spark, sf_dir)).select(
+        "doc_id", "name", r6("confidence"), "classifier", F.col("rank").cast("int").alias("rank"))
+
+
+@query("primary_category")
+def primary_category(spark, sf_dir):
+    from ..operators import assign
+    return assign.primary(assign.merge(classifier_outputs(spark, sf_dir))).select(
+        "doc_id", "name", r6("confidence"), "classifier")
+
+
+@query("hybrid_classify")
+def hybrid_classify(spark, sf_dir):
+    """Full hybrid classification: one row per document with its ordered
+    category list."""
+    from ..operators import assign
+    m = train_model(spark, sf_dir)
+    ranked = assign.hybrid(scoring_docs(spark, sf_dir), model=m, responses=B.predictions(spark, sf_dir))
+    cats = assign.categories_array(ranked)
+    return cats.select("doc_id", F.size("categories").cast("int").alias("n_categories"),
+                       F.col("categories")[0]["name"].alias("primary_name"),
+                       F.array_join(F.transform("categories", lambda c: c["name"]), ", ").alias("names"))
+
+
+def _reclassified(spark, sf_dir):
+    from ..operators import assign
+    from ..operators import store as S
+    keys = _lookup_keys(spark, sf_dir).distinct()
+    docs = scoring_docs(spark, sf_dir)
+    subset = docs.join(keys, "_id", "left_semi")
+    ranked = assign.hybrid(subset, model=train_model(spark, sf_dir), responses=B.predictions(spark, sf_dir))
+    cats = assign.categories_array(ranked).withColumnRenamed("doc_id", "_id")
+    changes = subset.select("_id", "_rev", "title").join(cats, "_id")
+    base = docs.select("_id", "_rev", "title", "categories")
+    stored, _ = S.upsert(base, changes)
+    return stored.join(keys, "_id", "left_semi"), keys.join(docs.select("_id"), "_id", "left_anti")
+
+
+@query("reclassify")
+def reclassify(spark, sf_dir):
+    stored, _ = _reclassified(spark, sf_dir)
+    return stored.select("_id", F.col("_rev").cast("int").alias("_rev"),
+                         F.col("categories")[0]["name"].alias("primary_name"),
+                         F.size("categories").cast("int").alias("n_categories"))
+
+
+@query("reclassify_unknown")
+def reclassify_unknown(spark, sf_dir):
+    _, unknown = _reclassified(spark, sf_dir)
+    return unknown.select("_id")
+
+
+def length_classifier():
+    """Example plug-in: labels documents by word count."""
+    from ..operators.assign import FunctionClassifier
+
+    def run(docs: DataFrame) -> DataFrame:
+        words = T.word_count(F.col("body"))
+        return docs.select(F.col("_id").alias("doc_id"),
+                           F.when(words > 500, F.lit("Long Read")).otherwise(F.lit("Short Read")).alias("name"),
+                           F.lit(0.5).alias("confidence"), F.lit("length-v1.0").alias("classifier"))
+    return FunctionClassifier("length", "v1.0", run)
+
+
+@query("custom_classifier")
+def custom_classifier(spark, sf_dir):
+    from ..operators import assign
+    docs = B.corpus(spark, sf_dir)
+    plugins = [length_classifier()]
+    ranked = assign.merge([rules.density_classify(docs)] + [p.classify(docs) for p in plugins])
+    return ranked.select("doc_id", "name", r6("confidence"), "classifier", F.col("rank").cast("int").alias("rank"))
