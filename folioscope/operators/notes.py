@@ -117,6 +117,19 @@ def path_inside_vault(path: Column) -> Column:
 
 
 # ---------------------------------------------------------------- vault export / listing
+def _filesystem(uri: str):
+    """pyarrow filesystem + path for a local path, ``file:`` URI or any
+    scheme pyarrow supports (hdfs://, s3://, gs://, ...)."""
+    from urllib.parse import urlparse
+
+    from pyarrow import fs as pafs
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), urlparse(uri).path
+    if "://" in uri:
+        return pafs.FileSystem.from_uri(uri)
+    return pafs.LocalFileSystem(), uri
+
+
 def export_vault(notes: DataFrame, vault_dir: str) -> None:
     """Write one ``<file_name>`` Markdown file per note under ``vault_dir``.
 
@@ -124,8 +137,7 @@ def export_vault(notes: DataFrame, vault_dir: str) -> None:
     filesystem layer, so ``vault_dir`` may be any shared filesystem URI
     (local mount, HDFS, object store)."""
     def write_part(rows: Iterator) -> None:
-        from pyarrow import fs as pafs
-        filesystem, root = pafs.FileSystem.from_uri(vault_dir) if "://" in vault_dir else (pafs.LocalFileSystem(), vault_dir)
+        filesystem, root = _filesystem(vault_dir)
         filesystem.create_dir(root, recursive=True)
         for r in rows:
             with filesystem.open_output_stream(f"{root}/{r['file_name']}") as out:
@@ -134,17 +146,39 @@ def export_vault(notes: DataFrame, vault_dir: str) -> None:
     notes.select("file_name", "markdown").foreachPartition(write_part)
 
 
-def list_vault(spark, vault_dir: str) -> DataFrame:
+def list_vault(spark, vault_dir: str, read_partitions: int | None = None) -> DataFrame:
     """Recursive ``*.md`` listing: name, relative and absolute path, size,
-    modified, title; newest first."""
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-           .option("pathGlobFilter", "*.md").load(vault_dir))
-    base = vault_dir.rstrip("/")
-    content = F.decode(F.col("content"), "UTF-8")
+    modified, title, content; newest first.
+
+    Spark's file sources hide names starting with '_' or '.', and a note whose
+    title has no ASCII letters is named ``_<timestamp>.md``. So the folder is
+    listed (metadata only, as any file source does on the driver) and the
+    contents are read on the executors in Arrow batches."""
+    import pandas as pd
+    from pyarrow import fs as pafs
+
+    filesystem, root = _filesystem(vault_dir)
+    root = root.rstrip("/")
+    infos = filesystem.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
+    rows = [(i.path, i.path[len(root) + 1:], int(i.size), int(i.mtime_ns // 1000))
+            for i in infos if i.type == pafs.FileType.File and i.path.endswith(".md")]
+    listing = spark.createDataFrame(rows, "path string, relative_path string, size long, mtime_us long")
+    n = read_partitions or max(1, min(len(rows) // 500 + 1, spark.sparkContext.defaultParallelism * 4))
+
+    def read(batches):
+        fs2, _ = _filesystem(vault_dir)
+        for b in batches:
+            contents = []
+            for p in b["path"]:
+                with fs2.open_input_stream(p) as f:
+                    contents.append(f.readall().decode("utf-8"))
+            yield b.assign(content=pd.Series(contents, index=b.index, dtype=object))
+
+    files = listing.repartition(n).mapInPandas(
+        read, "path string, relative_path string, size long, mtime_us long, content string")
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    rel = F.regexp_replace(F.col("path"), r"^.*?" + base.replace(".", r"\.") + "/", "")
-    return raw.select(
-        name.alias("file_name"), rel.alias("relative_path"), F.col("path").alias("absolute_path"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-        note_title(content, name).alias("title"), content.alias("content"),
+    return files.select(
+        name.alias("file_name"), "relative_path", F.col("path").alias("absolute_path"), "size",
+        F.timestamp_micros(F.col("mtime_us")).alias("modified"),
+        note_title(F.col("content"), name).alias("title"), "content",
     ).orderBy(F.desc("modified"), "file_name")

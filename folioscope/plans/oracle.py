@@ -690,3 +690,243 @@ FROM (
   SELECT doc_id, name, confidence, classifier FROM dens
   UNION ALL
   SELECT _id, CASE WHEN {X.word_count('body')} > 500 THEN 'Long Read' ELSE 'Short Read' END, CAST(0.5 AS DOUBLE), 'length-v1.0' FROM corpus)"""
+
+
+# ---------------------------------------------------------------- catalog
+@oracle("category_counts_hybrid")
+def _category_counts_hybrid():
+    return ctes(*merged_ctes()) + f"""
+SELECT name, document_count, description FROM (
+  {with_description_sql("(SELECT name, CAST(count(DISTINCT doc_id) AS BIGINT) AS document_count FROM merged GROUP BY name)")})"""
+
+
+@oracle("category_count_deltas")
+def _category_count_deltas():
+    return ctes(CORPUS, *crawled_docs(), density_best("corpus", density_text_sql()),
+                density_best("cdocs", density_text_sql(), name="densc")) + """,
+cnt AS (SELECT name, count(DISTINCT doc_id) AS document_count FROM dens GROUP BY name),
+dl AS (SELECT name, sum(delta) AS delta FROM (
+  SELECT name, -1 AS delta FROM dens WHERE doc_id IN (SELECT 'doc|' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)
+  UNION ALL SELECT name, 1 FROM densc) GROUP BY name)
+SELECT name, CAST(coalesce(document_count, 0) AS BIGINT) AS old_count, CAST(coalesce(delta, 0) AS BIGINT) AS delta,
+       CAST(greatest(0, coalesce(document_count, 0) + coalesce(delta, 0)) AS BIGINT) AS document_count
+FROM cnt FULL OUTER JOIN dl USING (name)"""
+
+
+def builtin_names_values() -> str:
+    return "(VALUES " + ", ".join(f"({q(n)})" for _, n, _ in K.BUILTIN_CATEGORIES) + ") AS bn(name)"
+
+
+@oracle("rebuild_categories")
+def _rebuild_categories():
+    return ctes(*merged_ctes()) + f"""
+SELECT name, document_count, description FROM (
+  {with_description_sql(f"(SELECT name, CAST(count(DISTINCT doc_id) AS BIGINT) AS document_count FROM merged WHERE name NOT IN (SELECT name FROM {builtin_names_values()}) GROUP BY name)")})"""
+
+
+@oracle("rebuild_report")
+def _rebuild_report():
+    return ctes(*merged_ctes()) + f"""
+SELECT CAST(count(*) FILTER (WHERE name NOT IN (SELECT name FROM {builtin_names_values()})) AS BIGINT) AS categories_created,
+       CAST(count(*) AS BIGINT) AS total_categories
+FROM (SELECT DISTINCT name FROM merged)"""
+
+
+@oracle("training_metrics")
+def _training_metrics():
+    return ctes(CORPUS) + """
+SELECT CAST(count(*) AS BIGINT) AS documents_processed, CAST(count(DISTINCT category) AS BIGINT) AS categories_learned,
+       string_agg(DISTINCT category, ',' ORDER BY category) AS category_names, count(*) > 0 AS trained
+FROM corpus WHERE pdf_name IS NOT NULL"""
+
+
+NOTE_CATS = """ncat AS (
+  SELECT doc_id, name, confidence, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, name) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY confidence DESC, src) AS k FROM (
+      SELECT _id AS doc_id, lang AS name, CAST(1.0 AS DOUBLE) AS confidence, 0 AS src FROM corpus
+      UNION ALL SELECT doc_id, name, confidence, 1 FROM dens)) WHERE k = 1),
+ncat_agg AS (
+  SELECT doc_id, string_agg(name, ', ' ORDER BY rank) AS names,
+         string_agg('- ' || name || ' (confidence: ' || """ + X.fixed2("confidence") + """ || ')' || chr(10), '' ORDER BY rank) AS lines
+  FROM ncat GROUP BY doc_id)"""
+
+
+def markdown_sql(note: str, tags: str, cat_section: str) -> str:
+    nl = "chr(10)"
+    iso = X.iso_seconds("fetched_at")
+    return (f"'---' || {nl} || 'source_url: ' || coalesce(url, 'null') || {nl} || 'title: ' || coalesce(title, 'null') || {nl}"
+            f" || 'pdf_id: ' || _id || {nl} || 'fetchedAt: ' || {iso} || {nl} || 'tags: [' || {tags} || ']' || {nl}"
+            f" || '---' || {nl} || {nl} || '# ' || coalesce(title, 'null') || {nl} || {nl}"
+            f" || CASE WHEN coalesce(trim(description) <> '', false) THEN '## Description' || {nl} || description || {nl} || {nl} ELSE '' END"
+            f" || CASE WHEN ({note}) IS NOT NULL THEN '## Notes' || {nl} || ({note}) || {nl} || {nl} ELSE '' END"
+            f" || '## Resources' || {nl} || '[Download PDF](../pdfs/' || {X.path_safe_id('_id')} || '.pdf)' || {nl} || {nl}"
+            f" || {cat_section}"
+            f" || '## Metadata' || {nl} || '- **Fetched:** ' || {iso} || {nl}"
+            f" || CASE WHEN canonical_url IS NOT NULL THEN '- **Canonical URL:** ' || canonical_url || {nl} ELSE '' END"
+            f" || CASE WHEN size_bytes IS NOT NULL THEN '- **PDF Size:** ' || {X.size_text('size_bytes')} || {nl} ELSE '' END")
+
+
+def corpus_notes_sql() -> str:
+    note = "CASE WHEN coalesce(trim(meta_language) <> '', false) THEN meta_language END"
+    tags = "coalesce(a.names || ', ', '') || 'page-snapshot'"
+    cat_section = "CASE WHEN a.lines IS NOT NULL THEN '## Categories' || chr(10) || a.lines || chr(10) ELSE '' END"
+    return f"""
+SELECT _id AS doc_id, {X.note_file_name('title', 'fetched_at')} AS file_name,
+       {markdown_sql(note, tags, cat_section)} AS markdown,
+       'pdfs/' || {X.path_safe_id('_id')} || '.pdf' AS pdf_path
+FROM corpus c LEFT JOIN ncat_agg a ON a.doc_id = c._id
+WHERE NOT (_id IS NULL OR title IS NULL OR trim(title) = '')"""
+
+
+@oracle("notes_table")
+def _notes_table():
+    return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + corpus_notes_sql()
+
+
+@oracle("note_markdown")
+def _note_markdown():
+    note = "CASE WHEN page_id % 4 = 0 THEN 'Reviewed page ' || CAST(page_id AS VARCHAR) END"
+    md = markdown_sql(note, "'page-snapshot'", "''")
+    return ctes(pages_x(), extracted()) + f"""
+SELECT _id AS doc_id, {X.note_file_name('title', 'fetched_at')} AS file_name, {md} AS markdown
+FROM crawled WHERE NOT (_id IS NULL OR title IS NULL OR trim(title) = '')"""
+
+
+@oracle("note_anti_join")
+def _note_anti_join():
+    return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + f"""
+SELECT doc_id, file_name FROM ({corpus_notes_sql()})
+WHERE doc_id NOT IN (SELECT 'doc|' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""
+
+
+@oracle("vault_stats")
+def _vault_stats():
+    return ctes(CORPUS) + """
+SELECT CAST(count(*) AS BIGINT) AS total_notes, strftime(max(fetched_at), '%b %d, %Y %H:%M') AS last_modified
+FROM corpus WHERE NOT (_id IS NULL OR title IS NULL OR trim(title) = '')"""
+
+
+def _counts_from_merged() -> str:
+    return "counts AS (SELECT name, CAST(count(DISTINCT doc_id) AS BIGINT) AS document_count FROM merged GROUP BY name)"
+
+
+@oracle("category_graph_nodes")
+def _category_graph_nodes():
+    return ctes(*merged_ctes(), _counts_from_merged()) + f"""
+SELECT {q(K.GRAPH_ROOT_ID)} AS id, {q(K.GRAPH_ROOT_NAME)} AS name, 0 AS "group", CAST(coalesce(sum(document_count), 0) AS BIGINT) AS count FROM counts
+UNION ALL
+SELECT name, name, CAST(row_number() OVER (ORDER BY name) AS INTEGER), document_count FROM counts"""
+
+
+@oracle("category_graph_edges")
+def _category_graph_edges():
+    return ctes(*merged_ctes(), _counts_from_merged()) + f"""
+SELECT {q(K.GRAPH_ROOT_ID)} AS source, name AS target, CAST(v AS BIGINT) AS value, round(sqrt(v), 6) AS stroke_width
+FROM (SELECT name, CASE WHEN coalesce(document_count, 0) = 0 THEN 1 ELSE document_count END AS v FROM counts)"""
+
+
+# ---------------------------------------------------------------- paging
+LISTING = "_id, url, title, description, status"
+
+
+@oracle("page_documents")
+def _page_documents():
+    return ctes(CORPUS) + f"SELECT {LISTING} FROM corpus ORDER BY _id LIMIT 20 OFFSET 20"
+
+
+@oracle("page_totals")
+def _page_totals():
+    return "SELECT CAST(count(*) AS BIGINT) AS total_elements, CAST(ceil(count(*) / 20.0) AS BIGINT) AS total_pages, 20 AS page_size FROM documents"
+
+
+@oracle("search_page")
+def _search_page():
+    t = "Src1"
+    return ctes(CORPUS) + f"""
+SELECT {LISTING} FROM corpus
+WHERE {_contains_ci('title', t)} OR {_contains_ci('description', t)} OR {_contains_ci('url', t)}
+ORDER BY _id LIMIT 20 OFFSET 40"""
+
+
+@oracle("category_page")
+def _category_page():
+    return ctes(CORPUS) + f"SELECT {LISTING} FROM corpus WHERE category = 'fr' ORDER BY _id LIMIT 20 OFFSET 20"
+
+
+@oracle("capped_training_set")
+def _capped_training_set():
+    return ctes(CORPUS) + "SELECT _id, pdf_name FROM (SELECT * FROM corpus ORDER BY _id LIMIT 1000) WHERE pdf_name IS NOT NULL"
+
+
+# ---------------------------------------------------------------- ingest
+def ingest_sql() -> str:
+    verify = (f"CASE WHEN ({X.url_check('url')}) IS NOT NULL THEN {X.url_check('url')} "
+              f"WHEN NOT (http_status >= 200 AND http_status < 400) THEN {X.fetch_outcome('http_status', 'reason')} END")
+    staged = f"""staged AS (
+  SELECT page_id, url, html, create_note, verify_err, convert_err,
+         CASE WHEN verify_err IS NOT NULL THEN 'URL_VERIFICATION' WHEN convert_err IS NOT NULL THEN 'PDF_CONVERSION' END AS failed_step,
+         coalesce(verify_err, convert_err) AS error
+  FROM (SELECT *, {verify} AS verify_err,
+               CASE WHEN {X.is_blank('html')} THEN 'PDF generation failed: empty page' END AS convert_err
+        FROM requests LEFT JOIN {http_reasons_values()} USING (http_status)))"""
+    okreq = "okreq AS (SELECT page_id, url, html FROM staged WHERE failed_step IS NULL)"
+    parts = [INGEST_REQUESTS, staged, okreq, pages_x("okreq", "ipages_x"), extracted("ipages_x", "icrawled"),
+             meta_long("ipages_x", "imeta_long"), meta_text("imeta_long", "imeta_text"),
+             "idocs AS (SELECT c.*, coalesce(m.meta_text, '') AS meta_text FROM icrawled c LEFT JOIN imeta_text m USING (_id))",
+             density_best("idocs", density_text_sql(), name="idens")]
+    return ctes(*parts) + f"""
+SELECT d.page_id, d._id, d.url, 'STORED' AS outcome, CAST(NULL AS VARCHAR) AS failed_step, CAST(NULL AS VARCHAR) AS error,
+       d.title, {X.stored_file_name('d.title')} AS pdf_name, c.name AS category, round(c.confidence, 6) AS confidence,
+       CASE WHEN s.create_note THEN {X.note_file_name('d.title', 'd.fetched_at')} END AS note_file
+FROM idocs d JOIN idens c ON c.doc_id = d._id JOIN staged s ON s.page_id = d.page_id
+UNION ALL
+SELECT page_id, 'doc|p' || CAST(page_id AS VARCHAR), url, 'FAILED', failed_step, error, NULL, NULL, NULL, NULL, NULL
+FROM staged WHERE failed_step IS NOT NULL"""
+
+
+@oracle("ingest_pages")
+def _ingest_pages():
+    return ingest_sql()
+
+
+@oracle("ingest_stream")
+def _ingest_stream():
+    return ingest_sql()
+
+
+@oracle("latest_status")
+def _latest_status():
+    return """
+SELECT user_id AS doc_id, arg_max(event_type, ts) AS current_step,
+       strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended,
+       CAST(count(*) AS BIGINT) AS n_steps, bool_or(event_type = 'error') AS failed,
+       arg_max(event_type || ' ' || CAST(event_id AS VARCHAR), ts) FILTER (WHERE event_type = 'error') AS last_error
+FROM events GROUP BY user_id"""
+
+
+@oracle("step_progress")
+def _step_progress():
+    from ..sources.bindings import EVENT_STEPS
+    steps = "[" + ", ".join(q(s) for s in EVENT_STEPS) + "]"
+    vals = ", ".join(f"({i}, {q(s)})" for i, s in enumerate(EVENT_STEPS, 1))
+    return f"""
+WITH cur AS (SELECT user_id AS doc_id, arg_max(list_position({steps}, event_type), ts) AS current_index
+             FROM events WHERE event_type <> 'error' GROUP BY user_id)
+SELECT doc_id, s.step, CAST(s.idx AS INTEGER) AS step_index,
+       CASE WHEN s.idx < current_index THEN 'completed' WHEN s.idx = current_index THEN 'active' ELSE 'pending' END AS state
+FROM cur CROSS JOIN (VALUES {vals}) AS s(idx, step)"""
+
+
+@oracle("vault_listing")
+def _vault_listing():
+    return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + f"""
+SELECT file_name, file_name AS relative_path, CAST(octet_length(encode(markdown)) AS BIGINT) AS size,
+       replace(file_name, '.md', '') AS title
+FROM ({corpus_notes_sql()})"""
+
+
+@oracle("note_content")
+def _note_content():
+    return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + f"""
+SELECT file_name, markdown AS content FROM ({corpus_notes_sql()}) n
+WHERE CAST(split_part(doc_id, '|', 2) AS BIGINT) % 6 = 0"""

@@ -629,3 +629,235 @@ def custom_classifier(spark, sf_dir):
     plugins = [length_classifier()]
     ranked = assign.merge([rules.density_classify(docs)] + [p.classify(docs) for p in plugins])
     return ranked.select("doc_id", "name", r6("confidence"), "classifier", F.col("rank").cast("int").alias("rank"))
+
+
+# ---------------------------------------------------------------- catalog
+def merged_assignments(spark, sf_dir) -> DataFrame:
+    from ..operators import assign
+    return assign.merge(classifier_outputs(spark, sf_dir))
+
+
+@query("category_counts_hybrid")
+def category_counts_hybrid(spark, sf_dir):
+    """Documents per category over the merged hybrid assignments."""
+    return catalog.category_counts(merged_assignments(spark, sf_dir)).select("name", "document_count", "description")
+
+
+def _density_counts(spark, sf_dir) -> DataFrame:
+    return catalog.category_counts(rules.density_classify(B.corpus(spark, sf_dir)))
+
+
+@query("category_count_deltas")
+def category_count_deltas(spark, sf_dir):
+    """Counts from the corpus, then −1 for every deleted (toxic) document and
+    +1 for every crawled page, by their density category; floored at 0."""
+    corpus_cls = rules.density_classify(B.corpus(spark, sf_dir))
+    toxic = (B.read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where(F.col("toxic") == 1)
+             .select(F.concat(F.lit("doc|"), F.col("doc_id").cast("string")).alias("doc_id")))
+    minus = corpus_cls.join(toxic, "doc_id", "left_semi").select("name", F.lit(-1).alias("delta"))
+    plus = rules.density_classify(B.crawled(spark, sf_dir)).select("name", F.lit(1).alias("delta"))
+    return catalog.apply_deltas(catalog.category_counts(corpus_cls), minus.unionByName(plus))
+
+
+def _rebuild(spark, sf_dir):
+    existing = catalog.builtin_categories(spark).select(F.col("display_name").alias("name"))
+    return catalog.rebuild(merged_assignments(spark, sf_dir), existing)
+
+
+@query("rebuild_categories")
+def rebuild_categories(spark, sf_dir):
+    created, _ = _rebuild(spark, sf_dir)
+    return created.select("name", "document_count", "description")
+
+
+@query("rebuild_report")
+def rebuild_report(spark, sf_dir):
+    _, report = _rebuild(spark, sf_dir)
+    return report
+
+
+@query("training_metrics")
+def training_metrics(spark, sf_dir):
+    from ..operators import search as S
+    d = S.trainable(B.corpus(spark, sf_dir)).select(F.col("categories")[0]["name"].alias("category"))
+    return d.agg(F.count(F.lit(1)).cast("long").alias("documents_processed"),
+                 F.countDistinct("category").cast("long").alias("categories_learned"),
+                 F.array_join(F.array_sort(F.collect_set("category")), ",").alias("category_names"),
+                 (F.count(F.lit(1)) > 0).alias("trained"))
+
+
+def note_docs(spark, sf_dir) -> DataFrame:
+    """Corpus documents whose category list is the merge of the imported
+    language and the density class, ordered by rank."""
+    from ..operators import assign
+    d = B.corpus(spark, sf_dir)
+    imported = d.select(F.col("_id").alias("doc_id"), F.col("lang").alias("name"),
+                        F.lit(1.0).alias("confidence"), F.lit("import").alias("classifier"))
+    cats = assign.categories_array(assign.merge([imported, rules.density_classify(d)]))
+    return d.drop("categories").join(cats.withColumnRenamed("doc_id", "_id"), "_id", "left")
+
+
+@query("notes_table")
+def notes_table(spark, sf_dir):
+    from ..operators import notes as N
+    return N.notes_table(note_docs(spark, sf_dir), meta_tag="language").select("doc_id", "file_name", "markdown", "pdf_path")
+
+
+@query("note_markdown")
+def note_markdown(spark, sf_dir):
+    """Notes for crawled pages: no categories, fetched description and
+    canonical URL, page size; note text from a request option."""
+    from ..operators import notes as N
+    d = B.crawled(spark, sf_dir).withColumn("categories", F.lit(None).cast(
+        "array<struct<name:string,confidence:double,classifier:string>>"))
+    given = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("Reviewed page "), F.col("page_id").cast("string")))
+    return N.notes_table(d, note_text=given).select("doc_id", "file_name", "markdown")
+
+
+@query("note_anti_join")
+def note_anti_join(spark, sf_dir):
+    """Delete the notes of toxic documents: remaining notes plus a flag for
+    whether a requested note still exists."""
+    from ..operators import notes as N
+    n = N.notes_table(note_docs(spark, sf_dir), meta_tag="language")
+    toxic = (B.read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where(F.col("toxic") == 1)
+             .select(F.concat(F.lit("doc|"), F.col("doc_id").cast("string")).alias("doc_id")))
+    return n.join(toxic, "doc_id", "left_anti").select("doc_id", "file_name")
+
+
+@query("vault_stats")
+def vault_stats(spark, sf_dir):
+    from ..operators import notes as N
+    n = N.notes_table(B.corpus(spark, sf_dir), meta_tag=None)
+    return n.agg(F.count(F.lit(1)).cast("long").alias("total_notes"),
+                 F.date_format(F.max("fetched_at"), "MMM dd, yyyy HH:mm").alias("last_modified"))
+
+
+def _vault_dir(spark, sf_dir) -> str:
+    import hashlib
+
+    from ..session import shared_path
+    return shared_path(spark, "vault-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
+
+
+def _exported_vault(spark, sf_dir) -> str:
+    from ..operators import notes as N
+    vault = _vault_dir(spark, sf_dir)
+    N.export_vault(N.notes_table(note_docs(spark, sf_dir), meta_tag="language"), vault)
+    return vault
+
+
+@query("vault_listing")
+def vault_listing(spark, sf_dir):
+    from ..operators import notes as N
+    vault = _exported_vault(spark, sf_dir)
+    return N.list_vault(spark, vault).select("file_name", "relative_path", "size", "title")
+
+
+@query("note_content")
+def note_content(spark, sf_dir):
+    """Read requested notes (by file name, after the name guard) from the
+    exported vault."""
+    from ..operators import notes as N
+    vault = _exported_vault(spark, sf_dir)
+    wanted = (_path_candidates(spark, sf_dir).where(N.path_is_safe(F.col("candidate")))
+              .select(F.col("candidate").alias("file_name")))
+    listing = N.list_vault(spark, vault)
+    return listing.join(wanted, "file_name", "left_semi").select("file_name", "content")
+
+
+@query("category_graph_nodes")
+def category_graph_nodes(spark, sf_dir):
+    return catalog.graph_nodes(catalog.category_counts(merged_assignments(spark, sf_dir)))
+
+
+@query("category_graph_edges")
+def category_graph_edges(spark, sf_dir):
+    return catalog.graph_edges(catalog.category_counts(merged_assignments(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- paging
+PAGE_SIZE = 20
+
+
+def _listing(df):
+    from ..operators.search import LISTING_COLUMNS
+    return df.select(*LISTING_COLUMNS)
+
+
+@query("page_documents")
+def page_documents(spark, sf_dir):
+    from ..operators import search as S
+    return S.page(_listing(B.corpus(spark, sf_dir)), offset=PAGE_SIZE, size=PAGE_SIZE)
+
+
+@query("page_totals")
+def page_totals(spark, sf_dir):
+    from ..operators import search as S
+    return S.page_totals(B.corpus(spark, sf_dir).select("_id"), PAGE_SIZE)
+
+
+@query("search_page")
+def search_page(spark, sf_dir):
+    from ..operators import search as S
+    return S.page(_listing(S.search(B.corpus(spark, sf_dir), SEARCH_TERM)), offset=2 * PAGE_SIZE, size=PAGE_SIZE)
+
+
+@query("category_page")
+def category_page(spark, sf_dir):
+    from ..operators import search as S
+    return S.page(_listing(S.by_category(B.corpus(spark, sf_dir), CATEGORY_NAME)), offset=PAGE_SIZE, size=PAGE_SIZE)
+
+
+TRAINING_CAP = 1000  # the reference's training request default: first N, then filter
+
+
+@query("capped_training_set")
+def capped_training_set(spark, sf_dir):
+    from ..operators import search as S
+    d = B.corpus(spark, sf_dir).select("_id", "categories", "pdf_name")
+    cond = (F.coalesce(F.size("categories"), F.lit(0)) > 0) & F.col("pdf_name").isNotNull()
+    return S.first_n_then_filter(d, TRAINING_CAP, cond).select("_id", "pdf_name")
+
+
+# ---------------------------------------------------------------- ingest
+def _ingest_out(df):
+    return df.select("page_id", "_id", "url", "outcome", "failed_step", "error", "title", "pdf_name",
+                     "category", r6("confidence"), "note_file")
+
+
+@query("ingest_pages")
+def ingest_pages(spark, sf_dir):
+    from . import ingest as I
+    return _ingest_out(I.ingest_pages(spark, sf_dir))
+
+
+ISO_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+@query("latest_status")
+def latest_status(spark, sf_dir):
+    from . import ingest as I
+    s = I.latest_status(B.step_log(spark, sf_dir))
+    return s.select("doc_id", "current_step", F.date_format("started", ISO_MICROS).alias("started"),
+                    F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "last_error")
+
+
+@query("step_progress")
+def step_progress(spark, sf_dir):
+    from . import ingest as I
+    return I.step_progress(B.step_log(spark, sf_dir))
+
+
+@query("ingest_stream")
+def ingest_stream(spark, sf_dir):
+    """Stream form of ``ingest_pages``: the pages file is the landing input of
+    a file stream; output is upserted per micro-batch and read back."""
+    import hashlib
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming.ingest_stream import read_ingested, run_ingest_stream
+    run = shared_path(spark, "stream-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8])
+    run_ingest_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", file_glob="pages.parquet")
+    return _ingest_out(read_ingested(spark, f"{run}/out"))

@@ -119,11 +119,10 @@ def meta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(meta_pages_html(spark, sf_dir), id_prefix="doc|m")
 
 
-def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URL requests built from pages: mostly the crawl URL, with some
-    malformed or non-HTTP variants; create_note off for every third page;
-    fetch status as the probe would report it."""
-    p = read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])
+def request_columns(pages: DataFrame) -> DataFrame:
+    """Requests built from pages (page_id, url, html): mostly the crawl URL,
+    with some malformed or non-HTTP variants; create_note off for every third
+    page; fetch status as the reachability probe would report it."""
     v = F.col("page_id") % 10
     url = (F.when(v == 5, F.concat(F.lit("HTTP"), F.substring(F.col("url"), 5, 100000)))
            .when(v == 6, F.regexp_replace(F.col("url"), r"^https?", "ftp"))
@@ -134,13 +133,17 @@ def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(F.col("page_id") % 13 == 9, F.lit(503))
               .when(F.col("page_id") % 17 == 3, F.lit(301))
               .otherwise(F.lit(200)))
-    return p.select(
+    return pages.select(
         F.col("page_id"), url.alias("url"), F.col("html"),
         (F.col("page_id") % 3 != 0).alias("create_note"),
         F.lit(K.DEFAULT_NOTE_META_TAG).alias("note_meta_tag"),
         status.alias("http_status"))
 
 
+def ingest_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return request_columns(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
 def http_reasons(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(K.HTTP_REASONS, "http_status int, reason string")
 
