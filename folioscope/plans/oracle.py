@@ -930,3 +930,12 @@ def _note_content():
     return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + f"""
 SELECT file_name, markdown AS content FROM ({corpus_notes_sql()}) n
 WHERE CAST(split_part(doc_id, '|', 2) AS BIGINT) % 6 = 0"""
+
+
+@oracle("model_map_batches")
+def _model_map_batches():
+    req = ORACLE["model_requests"]
+    return f"""
+SELECT doc_id, CASE WHEN length(request) > 4000 THEN 'Long Read' ELSE 'Short Read' END AS name,
+       round(CAST(length(request) % 100 AS DOUBLE) / 100.0, 6) AS confidence, 'mcp-length' AS classifier
+FROM ({req})"""

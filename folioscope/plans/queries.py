@@ -536,7 +536,7 @@ def model_map_batches(spark, sf_dir):
     responses parsed back into assignments."""
     from ..operators import predictions as P
     req = P.requests(scoring_docs(spark, sf_dir), content_col="tfidf_text")
-    return P.predictions(P.call_model(req, P.length_model)).select("doc_id", "name", "confidence", "classifier")
+    return P.predictions(P.call_model(req, P.length_model)).select("doc_id", "name", r6("confidence"), "classifier")
 
 
 def classifier_outputs(spark, sf_dir) -> list[DataFrame]:
