@@ -37,11 +37,24 @@ class TfidfModel:
         return TfidfModel(self.vocab.persist(), self.class_vectors.persist(), self.n_docs.persist())
 
 
-def explode_tokens(df: DataFrame, text_col: str, keep: list[str], distinct: bool = False) -> DataFrame:
-    toks = T.tokens(F.col(text_col))
+def explode_tokens(df: DataFrame, text_col: str, keep: list[str], distinct: bool = False,
+                   stop_words=K.STOP_WORDS, min_len: int = K.MIN_TOKEN_LENGTH) -> DataFrame:
+    """One row per token. The split runs in the JVM; the length and stop-word
+    filters run after ``explode`` so they stay inside whole-stage codegen."""
+    parts = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\W_]+")
     if distinct:
-        toks = F.array_distinct(toks)
-    return df.select(*keep, F.explode(toks).alias("term"))
+        parts = F.array_distinct(parts)
+    return (df.select(*keep, F.explode(parts).alias("term"))
+            .where((F.length("term") >= min_len) & ~F.col("term").isin(list(stop_words))))
+
+
+def term_counts(docs: DataFrame, text_col: str = "text", key: str = "doc_id", keep: tuple = ()) -> DataFrame:
+    """(doc, *keep, term, tf): the corpus tokenised once. Every later TF-IDF
+    step (document frequency, class vectors, document vectors) is derived from
+    this table. Partial aggregation collapses a document's repeated tokens
+    before the shuffle."""
+    return (explode_tokens(docs, text_col, [key, *keep])
+            .groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def document_frequency(train: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
@@ -60,41 +73,62 @@ def top_terms(df_table: DataFrame, min_df: int = K.TFIDF_MIN_DF, max_features: i
     return top.withColumn("idx", F.row_number().over(w) - 1)
 
 
-def train(train_docs: DataFrame, text_col: str = "text", class_col: str = "category",
-          key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
-          max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
-    """``train_docs``: one row per training document with its class and text."""
-    docs = train_docs.select(key, class_col, text_col)
-    n_docs = docs.agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
-    vocab = top_terms(document_frequency(docs, text_col, key), min_df, max_features)
+def _vocab_side(vocab: DataFrame, max_features: int) -> DataFrame:
+    # The vocabulary is cut to ``max_features`` rows by construction, so its
+    # size is bounded by the parameter; above a million terms, shuffle instead.
+    v = vocab.select("term", "idf")
+    return F.broadcast(v) if max_features <= 1_000_000 else v
+
+
+def train_from_counts(counts: DataFrame, n_docs: DataFrame, class_col: str = "category", key: str = "doc_id",
+                      min_df: int = K.TFIDF_MIN_DF, max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
+    """``counts``: (doc, class, term, tf) of the training documents;
+    ``n_docs``: one row with the number of training documents."""
+    df_table = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocab = top_terms(df_table, min_df, max_features)
     # ≤ max_features rows; the single row of n_docs joins as a scalar.
     vocab = (vocab.crossJoin(F.broadcast(n_docs))
-             .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf")))
-    vocab_b = F.broadcast(vocab) if max_features <= 1_000_000 else vocab
-    tf = (explode_tokens(docs, text_col, [class_col])
-          .join(vocab_b.select("term", "idf"), "term")
-          .groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
+             .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"))).persist()
+    tf = (counts.join(_vocab_side(vocab, max_features), "term")
+          .groupBy(class_col, "term").agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf")))
     raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
+    # a class has at most max_features terms, so this window is bounded
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(class_col)))
     vectors = raw.select(F.col(class_col).alias("category"), "term",
-                         F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight"))
+                         F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight")).persist()
     return TfidfModel(vocab, vectors, n_docs)
 
 
-def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+def train(train_docs: DataFrame, text_col: str = "text", class_col: str = "category",
+          key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
+          max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
+    """``train_docs``: one row per training document with its class and text.
+    N counts every training document, also those without tokens."""
+    docs = train_docs.select(key, class_col, text_col)
+    n_docs = docs.agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
+    counts = term_counts(docs, text_col, key, keep=(class_col,))
+    return train_from_counts(counts, n_docs, class_col, key, min_df, max_features)
+
+
+def vectors_from_counts(counts: DataFrame, vocab: DataFrame, key: str = "doc_id",
+                        max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
     """(doc, term, weight): tf·idf over vocabulary terms, L2-normalised per
-    document (a zero norm leaves the weights as they are)."""
-    v = bounded_broadcast(vocab.select("term", "idf"), K.TFIDF_MAX_FEATURES * 1000)
-    tf = (explode_tokens(docs, text_col, [key]).join(v, "term")
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
+    document (a zero norm leaves the weights as they are). The per-document
+    window holds at most ``max_features`` rows."""
+    raw = (counts.select(key, "term", "tf").join(_vocab_side(vocab, max_features), "term")
+           .withColumn("w", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight"))
 
 
+def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
+    return vectors_from_counts(term_counts(docs, text_col, key), vocab, key)
+
+
 def score(doc_vectors: DataFrame, class_vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """Cosine similarity (vectors are unit length): sparse dot product as a
-    broadcast hash join on term + hash aggregation on (doc, category)."""
+    broadcast hash join on term + hash aggregation on (doc, category). The
+    class-vector side is broadcast only after its row count is checked."""
     cv = bounded_broadcast(class_vectors.select("category", "term", F.col("weight").alias("cw")))
     return (doc_vectors.join(cv, "term")
             .groupBy(key, "category").agg(F.sum(F.col("weight") * F.col("cw")).alias("score")))

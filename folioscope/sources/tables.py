@@ -16,6 +16,26 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+def spread_small_scan(df: DataFrame, min_files: int | None = None) -> DataFrame:
+    """Parallelise the per-row work of a scan that has too few input files.
+
+    A Parquet file with one row group is read by one task, so every regex and
+    tokeniser fused into that scan stage would run on one core. When the
+    source has fewer files than the cluster's default parallelism, rows are
+    spread round-robin once (a shuffle of a small input). A large multi-file
+    input is left alone: its scan is already split across the cluster and a
+    shuffle of raw rows would only cost. Filters and column pruning still
+    push through the repartition to the scan."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    n_files = len(df.inputFiles())
+    if n_files >= (min_files or parallelism):
+        return df
+    return df.repartition(parallelism)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread: bool = True) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    if columns:
+        df = df.select(*columns)
+    return spread_small_scan(df) if spread else df
