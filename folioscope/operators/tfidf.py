@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions import text as T
 from ..session import bounded_broadcast
 
 
@@ -80,17 +79,33 @@ def _vocab_side(vocab: DataFrame, max_features: int) -> DataFrame:
     return F.broadcast(v) if max_features <= 1_000_000 else v
 
 
-def train_from_counts(counts: DataFrame, n_docs: DataFrame, class_col: str = "category", key: str = "doc_id",
-                      min_df: int = K.TFIDF_MIN_DF, max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
-    """``counts``: (doc, class, term, tf) of the training documents;
-    ``n_docs``: one row with the number of training documents."""
-    df_table = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocab = top_terms(df_table, min_df, max_features)
+def vocab_tokens(docs: DataFrame, vocab: DataFrame, text_col: str, keep: list[str],
+                 max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
+    """Tokens restricted to the vocabulary (broadcast hash join) with their
+    idf — applied before any aggregation, so only vocabulary terms reach a
+    shuffle."""
+    return explode_tokens(docs, text_col, keep).join(_vocab_side(vocab, max_features), "term")
+
+
+def train(train_docs: DataFrame, text_col: str = "text", class_col: str = "category",
+          key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
+          max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
+    """``train_docs``: one row per training document with its class and text.
+    N counts every training document, also those without tokens.
+
+    Two passes over the training text: document frequency (per-document
+    distinct tokens into a per-term count — the map-side combine sends one
+    partial count per term and partition through the shuffle, so frequent
+    terms do not skew it), then class term counts over vocabulary tokens only
+    (≤ classes × max_features groups)."""
+    docs = train_docs.select(key, class_col, text_col)
+    n_docs = docs.agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
+    vocab = top_terms(document_frequency(docs, text_col, key), min_df, max_features)
     # ≤ max_features rows; the single row of n_docs joins as a scalar.
     vocab = (vocab.crossJoin(F.broadcast(n_docs))
              .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"))).persist()
-    tf = (counts.join(_vocab_side(vocab, max_features), "term")
-          .groupBy(class_col, "term").agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf")))
+    tf = (vocab_tokens(docs, vocab, text_col, [class_col], max_features)
+          .groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
     raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
     # a class has at most max_features terms, so this window is bounded
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(class_col)))
@@ -99,32 +114,19 @@ def train_from_counts(counts: DataFrame, n_docs: DataFrame, class_col: str = "ca
     return TfidfModel(vocab, vectors, n_docs)
 
 
-def train(train_docs: DataFrame, text_col: str = "text", class_col: str = "category",
-          key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
-          max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
-    """``train_docs``: one row per training document with its class and text.
-    N counts every training document, also those without tokens."""
-    docs = train_docs.select(key, class_col, text_col)
-    n_docs = docs.agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
-    counts = term_counts(docs, text_col, key, keep=(class_col,))
-    return train_from_counts(counts, n_docs, class_col, key, min_df, max_features)
-
-
-def vectors_from_counts(counts: DataFrame, vocab: DataFrame, key: str = "doc_id",
-                        max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
+def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "doc_id",
+                     max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
     """(doc, term, weight): tf·idf over vocabulary terms, L2-normalised per
-    document (a zero norm leaves the weights as they are). The per-document
-    window holds at most ``max_features`` rows."""
-    raw = (counts.select(key, "term", "tf").join(_vocab_side(vocab, max_features), "term")
-           .withColumn("w", F.col("tf") * F.col("idf")))
+    document (a zero norm leaves the weights as they are). Tokens are cut to
+    the vocabulary before the (doc, term) aggregation; the per-document
+    window then holds at most ``max_features`` rows."""
+    tf = (vocab_tokens(docs, vocab, text_col, [key], max_features)
+          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
+    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight"))
 
 
-def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    return vectors_from_counts(term_counts(docs, text_col, key), vocab, key)
-
-
 def score(doc_vectors: DataFrame, class_vectors: DataFrame, key: str = "doc_id") -> DataFrame:
     """Cosine similarity (vectors are unit length): sparse dot product as a
     broadcast hash join on term + hash aggregation on (doc, category). The
