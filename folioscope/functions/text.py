@@ -96,15 +96,14 @@ def fetch_outcome(status, reason) -> Column:
 # ---------------------------------------------------------------- file names
 def stored_file_base(title) -> Column:
     """Stored PDF base name: bad characters and whitespace to '_', runs of '_'
-    collapsed, cut to 100, one trailing '_' dropped, blank → 'document'."""
-    t = col_(title)
-    s = F.regexp_replace(t, r'[\\/:*?"<>|]', "_")
+    collapsed, cut to 100, one trailing '_' dropped, blank → 'document'.
+    Written as one linear chain (no sub-expression repeated in branches)."""
+    s = F.regexp_replace(col_(title), r'[\\/:*?"<>|]', "_")
     s = F.regexp_replace(s, r"\s+", "_")
     s = F.regexp_replace(s, r"_+", "_")
-    s = F.trim(s)
-    s = F.substring(s, 1, K.STORED_NAME_MAX)
-    s = F.when(s.endswith("_"), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
-    return F.when(t.isNull() | (F.trim(t) == "") | (s == ""), F.lit(K.DEFAULT_FILE_BASE)).otherwise(s)
+    s = F.substring(F.trim(s), 1, K.STORED_NAME_MAX)
+    s = F.regexp_replace(s, r"_$", "")
+    return F.coalesce(F.nullif(s, F.lit("")), F.lit(K.DEFAULT_FILE_BASE))
 
 
 def stored_file_name(title) -> Column:
@@ -115,9 +114,9 @@ def download_file_name(pdf_name) -> Column:
     n = F.coalesce(F.nullif(col_(pdf_name), F.lit("")), F.lit("document.pdf"))
     s = F.regexp_replace(n, r"[^a-zA-Z0-9._-]", "_")
     s = F.regexp_replace(s, r"_+", "_")
-    s = F.when(F.lower(s).endswith(".pdf"), s).otherwise(F.concat(s, F.lit(".pdf")))
-    return F.when(F.length(s) > K.DOWNLOAD_NAME_MAX,
-                  F.concat(F.substring(s, 1, K.DOWNLOAD_NAME_MAX - 4), F.lit(".pdf"))).otherwise(s)
+    # append '.pdf' unless present (case-insensitive), then cut to 96 + '.pdf'
+    s = F.regexp_replace(s, r"^(.*?)(?<!(?i)\.pdf)$", "$1.pdf")
+    return F.regexp_replace(s, r"^(.{%d}).{5,}$" % (K.DOWNLOAD_NAME_MAX - 4), "$1.pdf")
 
 
 def link_file_name(pdf_name) -> Column:

@@ -51,7 +51,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         _doc_url(F.col("source"), F.col("lang"), F.col("doc_id")).alias("url"),
         _doc_url(F.col("source"), F.col("lang"), F.col("doc_id")).alias("canonical_url"),
         title.alias("title"),
-        F.nullif(F.split_part(F.col("text"), F.lit("\n"), F.lit(2)), F.lit("")).alias("description"),
+        F.nullif(F.regexp_extract(F.col("text"), r"^[^\n]*\n([^\n]*)", 1), F.lit("")).alias("description"),
         F.create_map(F.lit("language"), F.col("lang")).alias("meta_tags"),
         F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("doc_id")).alias("fetched_at"),
         F.when(F.col("n_chars") >= 200, T.stored_file_name(title)).alias("pdf_name"),
