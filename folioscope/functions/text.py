@@ -149,6 +149,18 @@ def size_text(nbytes) -> Column:
     return chain
 
 
+def size_label(nbytes) -> Column:
+    """Listing label: ``0 Bytes``; else the value in Bytes/KB/MB rounded to
+    two decimals without trailing zeros (``1.5 KB``, ``2 MB``). Sizes of a
+    GiB and more stay in MB (the unit list ends there)."""
+    b = col_(nbytes).cast("long")
+    unit_exp = F.when(b < 1024, F.lit(0)).when(b < 1024 * 1024, F.lit(1)).otherwise(F.lit(2))
+    value = F.round(b / F.pow(F.lit(1024.0), unit_exp), 2)
+    text = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
+    unit = F.element_at(F.array(F.lit("Bytes"), F.lit("KB"), F.lit("MB")), unit_exp + 1)
+    return F.when(b == 0, F.lit("0 Bytes")).otherwise(F.concat(text, F.lit(" "), unit))
+
+
 def confidence_text(conf) -> Column:
     """Two decimals, half-up on the decimal text."""
     return F.format_string("%.2f", col_(conf))

@@ -242,7 +242,7 @@ def _note_file_name():
 @oracle("format_size")
 def _format_size():
     return f"""
-SELECT doc_id, size_bytes, {X.size_text('size_bytes')} AS size_text
+SELECT doc_id, size_bytes, {X.size_text('size_bytes')} AS size_text, {X.size_label('size_bytes')} AS size_label
 FROM (SELECT doc_id, (n_chars << CAST((doc_id % 5) * 10 AS INTEGER)) + doc_id AS size_bytes FROM documents)"""
 
 

@@ -154,7 +154,8 @@ def note_file_name(spark, sf_dir):
 def format_size(spark, sf_dir):
     d = B.read_table(spark, sf_dir, "documents", ["doc_id", "n_chars"])
     size = F.expr("shiftleft(n_chars, CAST((doc_id % 5) * 10 AS INT))") + F.col("doc_id")
-    return d.select("doc_id", size.alias("size_bytes")).select("doc_id", "size_bytes", T.size_text("size_bytes").alias("size_text"))
+    return d.select("doc_id", size.alias("size_bytes")).select(
+        "doc_id", "size_bytes", T.size_text("size_bytes").alias("size_text"), T.size_label("size_bytes").alias("size_label"))
 
 
 @query("note_tags")

@@ -139,6 +139,13 @@ def size_text(b: str) -> str:
     return "(CASE " + " ".join(parts) + " END)"
 
 
+def size_label(b: str) -> str:
+    e = f"(CASE WHEN {b} < 1024 THEN 0 WHEN {b} < 1048576 THEN 1 ELSE 2 END)"
+    v = f"round({b} / pow(1024.0, {e}), 2)"
+    txt = f"regexp_replace(printf('%.2f', {v}), '\\.?0+$', '')"
+    return f"(CASE WHEN {b} = 0 THEN '0 Bytes' ELSE {txt} || ' ' || ['Bytes', 'KB', 'MB'][{e} + 1] END)"
+
+
 def iso_seconds(ts: str) -> str:
     return f"strftime({ts}, '%Y-%m-%dT%H:%M:%SZ')"
 

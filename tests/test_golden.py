@@ -253,3 +253,10 @@ def test_note_title_and_confidence(spark):
     assert one(df.select(notes.note_title(F.col("c"), F.col("f")).alias("t")), "t") == ["Hello World", "b_20240101_000000"]
     c = spark.createDataFrame([(0.845,), (0.125,), (1.0,)], "x double")
     assert one(c.select(T.confidence_text("x").alias("s")), "s") == ["0.85", "0.13", "1.00"]
+
+
+@pytest.mark.parametrize("n,txt", [(0, "0 Bytes"), (1000, "1000 Bytes"), (1536, "1.5 KB"), (2048, "2 KB"),
+                                   (1258291, "1.2 MB"), (1050000, "1 MB")])
+def test_size_label(spark, n, txt):
+    df = spark.createDataFrame([(n,)], "n long")
+    assert one(df.select(T.size_label("n").alias("s")), "s") == [txt]
