@@ -69,16 +69,18 @@ def primary(ranked: DataFrame) -> DataFrame:
 
 
 def hybrid(docs: DataFrame, model: tfidf.TfidfModel | None = None, responses: DataFrame | None = None,
-           tfidf_text_col: str = "tfidf_text", extra: Sequence[DataFrame] = (), key: str = "_id") -> DataFrame:
+           tfidf_text_col: str = "tfidf_text", extra: Sequence[DataFrame] = (), key: str = "_id",
+           doc_vectors: DataFrame | None = None) -> DataFrame:
     """External predictions ∪ TF-IDF ∪ density rules (∪ plug-ins) → merge →
-    rank. Each input is optional and independent of the others."""
+    rank. Each input is optional and independent of the others; pass
+    ``doc_vectors`` when they were already computed (``tfidf.fit_transform``)."""
     from . import predictions as P
     frames = []
     if responses is not None:
         frames.append(P.predictions(responses))
     if model is not None:
-        vecs = tfidf.document_vectors(docs.select(F.col(key).alias("doc_id"), F.col(tfidf_text_col).alias("text")),
-                                      model.vocab)
+        vecs = doc_vectors if doc_vectors is not None else tfidf.document_vectors(
+            docs.select(F.col(key).alias("doc_id"), F.col(tfidf_text_col).alias("text")), model.vocab)
         frames.append(tfidf.classify(tfidf.score(vecs, model.class_vectors)))
     frames.append(rules.density_classify(docs, key=key))
     frames.extend(extra)

@@ -5,7 +5,7 @@ attachments an equi-join on (doc_id, name)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,15 +31,18 @@ def upsert(base: DataFrame, changes: DataFrame, key: str = "_id") -> tuple[DataF
     to ``_rev + 1`` (new ids start at 1); a change with another revision is a
     conflict and leaves the stored row as it is. Returns (store, conflicts).
 
-    Base and changes are co-partitioned by key in one shuffle (the join)."""
+    Several changes for one key keep the highest revision. That pick is an
+    aggregation (``max_by``) rather than a window, so a key that receives a
+    large share of all changes is reduced map-side before the shuffle."""
     cur = base.select(F.col(key), F.col("_rev").alias("_cur_rev"))
     ch = changes.join(cur, key, "left")
-    ok = F.col("_cur_rev").isNull() | (F.col("_rev") == F.col("_cur_rev"))
-    # several changes for one key in a batch: the highest revision wins
-    w = Window.partitionBy(key).orderBy(F.desc("_rev"))
-    applied = (ch.where(ok).withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1)
-               .withColumn("_rev", F.when(F.col("_cur_rev").isNull(), F.lit(1)).otherwise(F.col("_rev") + 1))
-               .drop("_n", "_cur_rev"))
+    ok = F.col("_cur_rev").isNull() | F.coalesce(F.col("_rev") == F.col("_cur_rev"), F.lit(False))
+    cols = [c for c in changes.columns if c != key]
+    picked = (ch.where(ok).groupBy(key)
+              .agg(F.max_by(F.struct(*cols, "_cur_rev"), F.coalesce(F.col("_rev"), F.lit(-1))).alias("_c"))
+              .select(key, "_c.*"))
+    applied = (picked.withColumn("_rev", F.when(F.col("_cur_rev").isNull(), F.lit(1)).otherwise(F.col("_rev") + 1))
+               .drop("_cur_rev"))
     conflicts = ch.where(~ok).select(key, F.col("_rev").alias("rejected_rev"), F.col("_cur_rev").alias("current_rev"))
     kept = base.join(applied.select(key), key, "left_anti")
     return kept.unionByName(applied.select(*base.columns)), conflicts

@@ -56,10 +56,36 @@ def term_counts(docs: DataFrame, text_col: str = "text", key: str = "doc_id", ke
             .groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def document_frequency(train: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """term → number of training documents containing it."""
-    return (explode_tokens(train, text_col, [key], distinct=True)
-            .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+# Added once to every document's distinct tokens: its document frequency is
+# the number of documents (tokens are ASCII letters/digits, so it cannot
+# collide with a real term).
+DOC_SENTINEL = "\u0000documents"
+
+
+def document_frequency(train: DataFrame, text_col: str = "text", key: str = "doc_id",
+                       with_sentinel: bool = False) -> DataFrame:
+    """term → number of training documents containing it. With
+    ``with_sentinel`` the same pass also counts the documents (every one,
+    including documents without tokens) under ``DOC_SENTINEL``."""
+    parts = F.array_distinct(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\W_]+"))
+    if with_sentinel:
+        parts = F.concat(parts, F.array(F.lit(DOC_SENTINEL)))
+    toks = (train.select(F.explode(parts).alias("term"))
+            .where((F.length("term") >= K.MIN_TOKEN_LENGTH) & ~F.col("term").isin(list(K.STOP_WORDS))))
+    return toks.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def vocabulary(train: DataFrame, text_col: str = "text", key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
+               max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+    """(vocab(term, df, idx, idf), n_docs) from one pass over the training
+    text. The vocabulary has at most ``max_features`` rows and is persisted."""
+    dft = document_frequency(train, text_col, key, with_sentinel=True)
+    n_docs = dft.where(F.col("term") == DOC_SENTINEL).select(F.col("df").cast("long").alias("n_docs"))
+    top = top_terms(dft.where(F.col("term") != DOC_SENTINEL), min_df, max_features)
+    # the single row of n_docs joins as a scalar
+    vocab = (top.crossJoin(F.broadcast(n_docs))
+             .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"))).persist()
+    return vocab, n_docs
 
 
 def top_terms(df_table: DataFrame, min_df: int = K.TFIDF_MIN_DF, max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
@@ -87,33 +113,53 @@ def vocab_tokens(docs: DataFrame, vocab: DataFrame, text_col: str, keep: list[st
     return explode_tokens(docs, text_col, keep).join(_vocab_side(vocab, max_features), "term")
 
 
+def _normalised(tf: DataFrame, group_col: str, out_group: str) -> DataFrame:
+    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
+    # a group (class or document) has at most max_features terms: bounded window
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group_col)))
+    return raw.select(F.col(group_col).alias(out_group), "term",
+                      F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight"))
+
+
 def train(train_docs: DataFrame, text_col: str = "text", class_col: str = "category",
           key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
           max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
     """``train_docs``: one row per training document with its class and text.
     N counts every training document, also those without tokens.
 
-    Two passes over the training text: document frequency (per-document
+    Two passes over the training text: document frequency and N (per-document
     distinct tokens into a per-term count — the map-side combine sends one
     partial count per term and partition through the shuffle, so frequent
     terms do not skew it), then class term counts over vocabulary tokens only
     (≤ classes × max_features groups)."""
     docs = train_docs.select(key, class_col, text_col)
-    n_docs = docs.agg(F.count(F.lit(1)).cast("long").alias("n_docs"))
-    vocab = top_terms(document_frequency(docs, text_col, key), min_df, max_features)
-    # ≤ max_features rows; the single row of n_docs joins as a scalar.
-    vocab = (vocab.crossJoin(F.broadcast(n_docs))
-             .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"))).persist()
+    vocab, n_docs = vocabulary(docs, text_col, key, min_df, max_features)
     tf = (vocab_tokens(docs, vocab, text_col, [class_col], max_features)
           .groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
-    # a class has at most max_features terms, so this window is bounded
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(class_col)))
-    vectors = raw.select(F.col(class_col).alias("category"), "term",
-                         F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight")).persist()
+    vectors = _normalised(tf, class_col, "category").persist()
     return TfidfModel(vocab, vectors, n_docs)
 
 
+def fit_transform(docs: DataFrame, text_col: str = "text", class_col: str = "category",
+                  train_col: str = "trainable", key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
+                  max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[TfidfModel, DataFrame]:
+    """Train on the rows flagged ``train_col`` and vectorise every row, with
+    two passes over the text: (1) document frequency + N of the training rows,
+    (2) vocabulary-filtered (doc, term, tf) of all rows — persisted, far
+    smaller than the text — from which both the class vectors (Σ tf of the
+    training rows per class) and the document vectors are derived."""
+    d = docs.select(key, class_col, train_col, text_col)
+    vocab, n_docs = vocabulary(d.where(F.col(train_col)), text_col, key, min_df, max_features)
+    doc_tf = (vocab_tokens(d, vocab, text_col, [key, class_col, train_col], max_features)
+              .groupBy(key, class_col, train_col, "term")
+              .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))).persist()
+    class_tf = (doc_tf.where(F.col(train_col)).groupBy(class_col, "term")
+                .agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf")))
+    vectors = _normalised(class_tf, class_col, "category").persist()
+    doc_vectors = _normalised(doc_tf.select(key, "term", "tf", "idf"), key, key)
+    return TfidfModel(vocab, vectors, n_docs), doc_vectors
+
+
 def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "doc_id",
                      max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
     """(doc, term, weight): tf·idf over vocabulary terms, L2-normalised per
@@ -122,9 +168,7 @@ def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text",
     window then holds at most ``max_features`` rows."""
     tf = (vocab_tokens(docs, vocab, text_col, [key], max_features)
           .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight"))
+    return _normalised(tf, key, key)
 
 
 def score(doc_vectors: DataFrame, class_vectors: DataFrame, key: str = "doc_id") -> DataFrame:

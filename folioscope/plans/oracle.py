@@ -195,7 +195,7 @@ def _text_builders():
     return ctes(CORPUS) + f"""
 SELECT _id, {X.rules_text('title', 'description', 'url', 'meta_text')} AS rules_text,
        {X.density_text('title', 'description', 'url', 'meta_text')} AS density_text,
-       {X.tfidf_text('title', 'description', 'meta_text', X.capped('body'))} AS tfidf_text
+       {X.tfidf_text('title', 'description', 'meta_text', 'body')} AS tfidf_text
 FROM corpus"""
 
 
@@ -535,7 +535,7 @@ def tfidf_ctes() -> list[str]:
     tok = X.tokens("text")
     return [
         CORPUS,
-        f"sdocs AS (SELECT _id AS doc_id, category, pdf_name, {X.tfidf_text('title', 'description', 'meta_text', X.capped('body'))} AS text FROM corpus)",
+        f"sdocs AS (SELECT _id AS doc_id, category, pdf_name, {X.tfidf_text('title', 'description', 'meta_text', 'body')} AS text FROM corpus)",
         "train AS (SELECT doc_id, category, text FROM sdocs WHERE pdf_name IS NOT NULL)",
         "ndocs AS (SELECT count(*) AS n_docs FROM train)",
         f"dfreq AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({tok}) AS term FROM train)) GROUP BY term)",
@@ -594,7 +594,7 @@ def _model_roundtrip():
 
 @oracle("model_requests")
 def _model_requests():
-    text = X.tfidf_text('title', 'description', 'meta_text', X.capped('body'))
+    text = X.tfidf_text('title', 'description', 'meta_text', 'body')
     return ctes(CORPUS) + f"""
 SELECT _id AS doc_id, sha256(_id) AS request_id,
   to_json({{'jsonrpc': '2.0', 'id': sha256(_id), 'method': {q(K.MODEL_METHOD)},

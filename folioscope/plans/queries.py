@@ -94,11 +94,13 @@ def text_builders(spark, sf_dir):
     return d.select("_id",
                     T.rules_text("title", "description", "url", "meta_tags").alias("rules_text"),
                     T.density_text("title", "description", "url", "meta_tags").alias("density_text"),
-                    T.tfidf_text("title", "description", "meta_tags", T.capped_text("body")).alias("tfidf_text"))
+                    T.tfidf_text("title", "description", "meta_tags", "body").alias("tfidf_text"))
 
 
 @query("capped_text")
 def capped_text(spark, sf_dir):
+    """T4 itself: the body cut at 100,000 characters (the truncation is the
+    operator; no other query uses the cut text)."""
     d = B.read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     c = T.capped_text(F.col("text"))
     return d.select("doc_id", F.length(c).cast("long").alias("capped_length"), F.md5(c).alias("capped_md5"))
@@ -439,18 +441,29 @@ def density_classify(spark, sf_dir):
 
 def scoring_docs(spark, sf_dir) -> DataFrame:
     """Corpus documents with the TF-IDF text (title, description, meta values,
-    body capped at 100,000 characters)."""
+    whole body)."""
     d = B.corpus(spark, sf_dir)
-    return d.withColumn("tfidf_text", T.tfidf_text("title", "description", "meta_tags", T.capped_text("body")))
+    return d.withColumn("tfidf_text", T.tfidf_text("title", "description", "meta_tags", "body"))
+
+
+def tfidf_docs(spark, sf_dir) -> DataFrame:
+    """(doc_id, category = first category, trainable, text) for every corpus
+    document."""
+    d = scoring_docs(spark, sf_dir)
+    trainable = (F.coalesce(F.size("categories"), F.lit(0)) > 0) & F.col("pdf_name").isNotNull()
+    return d.select(F.col("_id").alias("doc_id"), F.col("categories")[0]["name"].alias("category"),
+                    trainable.alias("trainable"), F.col("tfidf_text").alias("text"))
 
 
 def train_model(spark, sf_dir):
-    from ..operators import search as S
     from ..operators import tfidf
-    d = S.trainable(scoring_docs(spark, sf_dir))
-    train = d.select(F.col("_id").alias("doc_id"), F.col("categories")[0]["name"].alias("category"),
-                     F.col("tfidf_text").alias("text"))
-    return tfidf.train(train)
+    return tfidf.train(tfidf_docs(spark, sf_dir).where("trainable").select("doc_id", "category", "text"))
+
+
+def fitted(spark, sf_dir):
+    """(model, document vectors of every corpus document), two text passes."""
+    from ..operators import tfidf
+    return tfidf.fit_transform(tfidf_docs(spark, sf_dir))
 
 
 def doc_vectors(spark, sf_dir, model):
@@ -478,21 +491,22 @@ def tfidf_category_vectors(spark, sf_dir):
 
 @query("tfidf_vectors")
 def tfidf_vectors(spark, sf_dir):
-    return doc_vectors(spark, sf_dir, train_model(spark, sf_dir)).select("doc_id", "term", r6("weight"))
+    _, vecs = fitted(spark, sf_dir)
+    return vecs.select("doc_id", "term", r6("weight"))
 
 
 @query("tfidf_scores")
 def tfidf_scores(spark, sf_dir):
     from ..operators import tfidf
-    m = train_model(spark, sf_dir)
-    return tfidf.score(doc_vectors(spark, sf_dir, m), m.class_vectors).select("doc_id", "category", r6("score"))
+    m, vecs = fitted(spark, sf_dir)
+    return tfidf.score(vecs, m.class_vectors).select("doc_id", "category", r6("score"))
 
 
 @query("tfidf_classify")
 def tfidf_classify(spark, sf_dir):
     from ..operators import tfidf
-    m = train_model(spark, sf_dir)
-    c = tfidf.classify(tfidf.score(doc_vectors(spark, sf_dir, m), m.class_vectors))
+    m, vecs = fitted(spark, sf_dir)
+    c = tfidf.classify(tfidf.score(vecs, m.class_vectors))
     return c.select("doc_id", "name", r6("confidence"), "classifier")
 
 
@@ -544,8 +558,8 @@ def classifier_outputs(spark, sf_dir) -> list[DataFrame]:
     """External predictions, TF-IDF, density rules — in merge order."""
     from ..operators import predictions as P
     from ..operators import tfidf
-    m = train_model(spark, sf_dir)
-    tf = tfidf.classify(tfidf.score(doc_vectors(spark, sf_dir, m), m.class_vectors))
+    m, vecs = fitted(spark, sf_dir)
+    tf = tfidf.classify(tfidf.score(vecs, m.class_vectors))
     return [P.predictions(B.predictions(spark, sf_dir)), tf, rules.density_classify(B.corpus(spark, sf_dir))]
 
 
@@ -575,8 +589,9 @@ def hybrid_classify(spark, sf_dir):
     """Full hybrid classification: one row per document with its ordered
     category list."""
     from ..operators import assign
-    m = train_model(spark, sf_dir)
-    ranked = assign.hybrid(scoring_docs(spark, sf_dir), model=m, responses=B.predictions(spark, sf_dir))
+    m, vecs = fitted(spark, sf_dir)
+    ranked = assign.hybrid(scoring_docs(spark, sf_dir), model=m, responses=B.predictions(spark, sf_dir),
+                           doc_vectors=vecs)
     cats = assign.categories_array(ranked)
     return cats.select("doc_id", F.size("categories").cast("int").alias("n_categories"),
                        F.col("categories")[0]["name"].alias("primary_name"),

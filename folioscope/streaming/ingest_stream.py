@@ -47,8 +47,9 @@ def run_ingest_stream(spark: SparkSession, landing: str, out_dir: str, checkpoin
 
 
 def read_ingested(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest row per ``_id`` across epochs (later epochs win)."""
-    from pyspark.sql import Window
+    """Latest row per ``_id`` across epochs (later epochs win), as an
+    aggregation so a frequently re-ingested id is reduced map-side."""
     df = spark.read.parquet(out_dir)
-    w = Window.partitionBy("_id").orderBy(F.desc("epoch"))
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n", "epoch")
+    cols = [c for c in df.columns if c not in ("_id", "epoch")]
+    return (df.groupBy("_id").agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("_r"))
+            .select("_id", "_r.*"))
