@@ -167,5 +167,7 @@ def confidence_text(conf) -> Column:
 
 
 def elapsed_text(start, end) -> Column:
-    ms = F.unix_millis(col_(end).cast("timestamp")) - F.unix_millis(col_(start).cast("timestamp"))
-    return F.concat(F.round(ms / F.lit(1000.0)).cast("long").cast("string"), F.lit("s"))
+    """Whole seconds between two instants, rounded half up, plus 's'.
+    ``timestamp_diff`` works on TIMESTAMP_NTZ without any time-zone shift."""
+    us = F.timestamp_diff("MICROSECOND", col_(start), col_(end))
+    return F.concat(F.round(us / F.lit(1_000_000.0)).cast("long").cast("string"), F.lit("s"))

@@ -265,7 +265,7 @@ SELECT _id, 'plain' AS kind, trim(substr('# ' || title || ' ', 3)) AS title FROM
 def _step_duration():
     return """
 SELECT user_id AS doc_id,
-       CAST(CAST(round(CAST(epoch_ms(max(ts)) - epoch_ms(min(ts)) AS DOUBLE) / 1000.0) AS BIGINT) AS VARCHAR) || 's' AS elapsed
+       CAST(CAST(round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000000.0) AS BIGINT) AS VARCHAR) || 's' AS elapsed
 FROM events GROUP BY user_id"""
 
 

@@ -27,7 +27,12 @@ from ..functions import html as H
 from ..functions import text as T
 from .tables import read_table
 
-EPOCH_2024 = 1704067200  # 2024-01-01T00:00:00Z
+EPOCH_2024 = "2024-01-01 00:00:00"  # UTC wall clock, as TIMESTAMP_NTZ
+
+
+def _at_seconds(seconds: Column) -> Column:
+    """EPOCH_2024 + seconds as TIMESTAMP_NTZ: independent of the session time zone."""
+    return F.timestamp_add("SECOND", seconds, F.to_timestamp_ntz(F.lit(EPOCH_2024)))
 
 # Step names of the event log in pipeline order; 'error' marks a failed step.
 EVENT_STEPS = ["view", "click", "signup", "purchase"]
@@ -53,7 +58,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         title.alias("title"),
         F.nullif(F.regexp_extract(F.col("text"), r"^[^\n]*\n([^\n]*)", 1), F.lit("")).alias("description"),
         F.create_map(F.lit("language"), F.col("lang")).alias("meta_tags"),
-        F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("doc_id")).alias("fetched_at"),
+        _at_seconds(F.col("doc_id")).alias("fetched_at"),
         F.when(F.col("n_chars") >= 200, T.stored_file_name(title)).alias("pdf_name"),
         F.col("n_chars").alias("size_bytes"),
         F.array(F.struct(F.col("lang").alias("name"), F.lit(1.0).alias("confidence"),
@@ -78,7 +83,7 @@ def extract_pages(pages: DataFrame, id_prefix: str = "doc|p") -> DataFrame:
                 H.description(F.col("_clean"), F.col("html"), F.col("url")).alias("description"),
                 H.canonical_url(F.col("_clean"), F.col("html"), F.col("url")).alias("canonical_url"),
                 H.meta_map(F.col("_clean"), F.col("html")).alias("meta_tags"),
-                F.timestamp_seconds(F.lit(EPOCH_2024) + F.col("page_id") * 60).alias("fetched_at"),
+                _at_seconds(F.col("page_id") * 60).alias("fetched_at"),
                 F.length(F.col("html")).cast("long").alias("size_bytes"),
             ))
 
