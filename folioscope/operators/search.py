@@ -7,8 +7,6 @@ plans as a top-k (TakeOrderedAndProject) — each partition keeps only its
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +54,3 @@ def first_n_then_filter(df: DataFrame, n: int, cond, order_by=("_id",)) -> DataF
     """The cap comes before the filter: the first ``n`` rows in id order, then
     only those that satisfy ``cond``."""
     return df.orderBy(*order_by).limit(n).where(cond)
-
-
-def total_pages(total: int, size: int) -> int:
-    return math.ceil(total / size) if size else 0

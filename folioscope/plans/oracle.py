@@ -939,3 +939,8 @@ def _model_map_batches():
 SELECT doc_id, CASE WHEN length(request) > 4000 THEN 'Long Read' ELSE 'Short Read' END AS name,
        round(CAST(length(request) % 100 AS DOUBLE) / 100.0, 6) AS confidence, 'mcp-length' AS classifier
 FROM ({req})"""
+
+
+@oracle("documents_by_assignment")
+def _documents_by_assignment():
+    return ctes(CORPUS, PREDICTIONS) + "SELECT _id, title FROM corpus WHERE _id IN (SELECT doc_id FROM mp WHERE name = 'Technology')"

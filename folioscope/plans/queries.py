@@ -28,10 +28,6 @@ def query(name: str):
 
 
 # ---------------------------------------------------------------- flagship
-def crawled_with_text(spark, sf_dir) -> DataFrame:
-    return B.crawled(spark, sf_dir)
-
-
 @query("category_counts")
 def category_counts(spark, sf_dir):
     """pages → title/description/meta → density text → density classes →
@@ -206,6 +202,16 @@ def documents_by_category(spark, sf_dir):
     return S.by_category(B.corpus(spark, sf_dir), CATEGORY_NAME).select("_id", "title")
 
 
+@query("documents_by_assignment")
+def documents_by_assignment(spark, sf_dir):
+    """P2 over long-form assignments: a semi join with the assignments that
+    carry the name (here the external model's predictions)."""
+    from ..operators import predictions as P
+    from ..operators import search as S
+    preds = P.predictions(B.predictions(spark, sf_dir))
+    return S.by_category_long(B.corpus(spark, sf_dir), preds, "Technology").select("_id", "title")
+
+
 @query("trainable_documents")
 def trainable_documents(spark, sf_dir):
     from ..operators import search as S
@@ -659,10 +665,6 @@ def category_counts_hybrid(spark, sf_dir):
     return catalog.category_counts(merged_assignments(spark, sf_dir)).select("name", "document_count", "description")
 
 
-def _density_counts(spark, sf_dir) -> DataFrame:
-    return catalog.category_counts(rules.density_classify(B.corpus(spark, sf_dir)))
-
-
 @query("category_count_deltas")
 def category_count_deltas(spark, sf_dir):
     """Counts from the corpus, then −1 for every deleted (toxic) document and
