@@ -63,6 +63,17 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, *parts])
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` into the shared checkpoint folder and cut its lineage.
+
+    Used after an expensive pass over the text whose result is much smaller
+    than its input: a lost executor then re-reads the checkpoint instead of
+    re-running the pass. (Never ``localCheckpoint``: that lives on executor
+    disks and is lost with them.)"""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only after proving it is small.
 

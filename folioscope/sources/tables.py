@@ -27,7 +27,7 @@ def spread_small_scan(df: DataFrame, min_files: int | None = None) -> DataFrame:
     shuffle of raw rows would only cost. Filters and column pruning still
     push through the repartition to the scan."""
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    n_files = len(df.inputFiles())
+    n_files = len(df._jdf.inputFiles())  # the listing the scan already holds; py4j takes only its length
     if n_files >= (min_files or parallelism):
         return df
     return df.repartition(parallelism)
