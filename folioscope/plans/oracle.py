@@ -944,3 +944,8 @@ FROM ({req})"""
 @oracle("documents_by_assignment")
 def _documents_by_assignment():
     return ctes(CORPUS, PREDICTIONS) + "SELECT _id, title FROM corpus WHERE _id IN (SELECT doc_id FROM mp WHERE name = 'Technology')"
+
+
+@oracle("latest_status_stream")
+def _latest_status_stream():
+    return ORACLE["latest_status"]

@@ -861,6 +861,22 @@ def latest_status(spark, sf_dir):
                     F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "last_error")
 
 
+@query("latest_status_stream")
+def latest_status_stream(spark, sf_dir):
+    """Stream form of ``latest_status``: the events file feeds a stateful
+    streaming aggregation in update mode; the emitted states are read back."""
+    import hashlib
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming.ingest_stream import read_status, run_status_stream
+    run = shared_path(spark, "status-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8])
+    run_status_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", file_glob="events.parquet")
+    s = read_status(spark, f"{run}/out")
+    return s.select("doc_id", "current_step", F.date_format("started", ISO_MICROS).alias("started"),
+                    F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "last_error")
+
+
 @query("step_progress")
 def step_progress(spark, sf_dir):
     from . import ingest as I

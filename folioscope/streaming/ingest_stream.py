@@ -53,3 +53,50 @@ def read_ingested(spark: SparkSession, out_dir: str) -> DataFrame:
     cols = [c for c in df.columns if c not in ("_id", "epoch")]
     return (df.groupBy("_id").agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("_r"))
             .select("_id", "_r.*"))
+
+
+EVENTS_SCHEMA = TT.StructType([
+    TT.StructField("event_id", TT.LongType()),
+    TT.StructField("ts", TT.TimestampNTZType()),
+    TT.StructField("user_id", TT.LongType()),
+    TT.StructField("event_type", TT.StringType()),
+    TT.StructField("value", TT.DoubleType()),
+    TT.StructField("props", TT.StringType()),
+])
+
+
+def run_status_stream(spark: SparkSession, landing: str, out_dir: str, checkpoint: str,
+                      file_glob: str = "*.parquet", max_files_per_trigger: int = 64) -> None:
+    """Per-document processing status as a stateful streaming aggregation.
+
+    The step log arrives as files; ``groupBy(doc).agg(max_by(...), ...)`` keeps
+    one state row per document (bounded by the number of documents) and emits
+    changed rows in update mode; each micro-batch of changes is written to its
+    own epoch folder (a replayed epoch overwrites it)."""
+    from ..plans import ingest as I
+    events = (spark.readStream.schema(EVENTS_SCHEMA)
+              .option("maxFilesPerTrigger", max_files_per_trigger)
+              .option("pathGlobFilter", file_glob)
+              .parquet(landing))
+    log = events.select(
+        F.col("user_id").alias("doc_id"), F.col("event_type").alias("step"),
+        (F.col("event_type") != B.EVENT_FAILURE).alias("success"),
+        F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")).alias("message"),
+        F.col("ts").alias("at"))
+    status = I.latest_status(log)
+
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
+
+    q = (status.writeStream.outputMode("update").foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_status(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Latest emitted state per document (the last epoch that changed it)."""
+    df = spark.read.parquet(out_dir)
+    cols = [c for c in df.columns if c not in ("doc_id", "epoch")]
+    return (df.groupBy("doc_id").agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("_r"))
+            .select("doc_id", "_r.*"))
