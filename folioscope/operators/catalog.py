@@ -43,9 +43,15 @@ def with_description(df: DataFrame, name_col: str = "name") -> DataFrame:
     return out.drop("lname").withColumn("description", desc)
 
 
-def category_counts(assignments: DataFrame, distinct: bool = True) -> DataFrame:
+def category_counts(assignments: DataFrame, distinct: bool = False) -> DataFrame:
     """Documents per category name. Partial aggregation runs map-side, so a
-    hot category only sends per-partition counts through the shuffle."""
+    hot category only sends per-partition counts through the shuffle.
+
+    Assignments from the classifiers here are unique per (doc, name) — the
+    density classifier gives one row per document and ``assign.merge`` keeps
+    one row per (doc, name) — so a plain count is exact and needs a single
+    exchange. Pass ``distinct=True`` for input that may repeat a pair (a
+    distinct count costs a second exchange)."""
     agg = F.countDistinct("doc_id") if distinct else F.count(F.lit(1))
     counts = assignments.groupBy("name").agg(agg.cast("long").alias("document_count"))
     return with_description(counts)
