@@ -1,7 +1,7 @@
 """TF-IDF cosine classifier (training, vectors, scoring) as DataFrame plans.
 
 Model = three small tables whose size is bounded by the parameters (each
-checkpointed to the shared folder once computed):
+persisted once computed):
 ``vocab(term, df, idx, idf)`` has at most ``max_features`` rows and
 ``class_vectors(category, term, weight)`` at most classes × ``max_features``.
 Both are broadcast behind a size check; the corpus-sized frames are only
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,13 +80,14 @@ def document_frequency(train: DataFrame, text_col: str = "text", key: str = "doc
 def vocabulary(train: DataFrame, text_col: str = "text", key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
                max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """(vocab(term, df, idx, idf), n_docs) from one pass over the training
-    text. The vocabulary has at most ``max_features`` rows and is checkpointed."""
+    text. The vocabulary has at most ``max_features`` rows and is persisted."""
     dft = document_frequency(train, text_col, key, with_sentinel=True)
     n_docs = dft.where(F.col("term") == DOC_SENTINEL).select(F.col("df").cast("long").alias("n_docs"))
     top = top_terms(dft.where(F.col("term") != DOC_SENTINEL), min_df, max_features)
     # the single row of n_docs joins as a scalar
-    vocab = reliable(top.crossJoin(F.broadcast(n_docs))
-                     .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"), "n_docs"))
+    vocab = (top.crossJoin(F.broadcast(n_docs))
+             .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"), "n_docs")
+             .persist(StorageLevel.MEMORY_AND_DISK))
     return vocab.drop("n_docs"), vocab.select("n_docs").limit(1)
 
 
@@ -137,27 +139,31 @@ def train(train_docs: DataFrame, text_col: str = "text", class_col: str = "categ
     vocab, n_docs = vocabulary(docs, text_col, key, min_df, max_features)
     tf = (vocab_tokens(docs, vocab, text_col, [class_col], max_features)
           .groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    vectors = reliable(_normalised(tf, class_col, "category"))
+    vectors = _normalised(tf, class_col, "category").persist(StorageLevel.MEMORY_AND_DISK)
     return TfidfModel(vocab, vectors, n_docs)
 
 
 def fit_transform(docs: DataFrame, text_col: str = "text", class_col: str = "category",
                   train_col: str = "trainable", key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
-                  max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[TfidfModel, DataFrame]:
+                  max_features: int = K.TFIDF_MAX_FEATURES, durable: bool = False) -> tuple[TfidfModel, DataFrame]:
     """Train on the rows flagged ``train_col`` and vectorise every row, with
     two passes over the text: (1) document frequency + N of the training rows,
-    (2) vocabulary-filtered (doc, term, tf) of all rows — checkpointed to the
-    shared folder, far smaller than the text — from which both the class
+    (2) vocabulary-filtered (doc, term, tf) of all rows — persisted (or, with
+    ``durable``, written to the shared folder), far smaller than the text — from which both the class
     vectors (Σ tf of the training rows per class) and the document vectors
     are derived."""
     d = docs.select(key, class_col, train_col, text_col)
     vocab, n_docs = vocabulary(d.where(F.col(train_col)), text_col, key, min_df, max_features)
-    doc_tf = reliable(vocab_tokens(d, vocab, text_col, [key, class_col, train_col], max_features)
-                      .groupBy(key, class_col, train_col, "term")
-                      .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
+    doc_tf = (vocab_tokens(d, vocab, text_col, [key, class_col, train_col], max_features)
+              .groupBy(key, class_col, train_col, "term")
+              .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
+    # Persisted blocks lost with an executor are recomputed partition by
+    # partition from the (two-pass) lineage; ``durable`` instead writes the
+    # table to the shared checkpoint folder and cuts the lineage.
+    doc_tf = reliable(doc_tf, "tfidf-doc-tf") if durable else doc_tf.persist(StorageLevel.MEMORY_AND_DISK)
     class_tf = (doc_tf.where(F.col(train_col)).groupBy(class_col, "term")
                 .agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf")))
-    vectors = reliable(_normalised(class_tf, class_col, "category"))
+    vectors = _normalised(class_tf, class_col, "category").persist(StorageLevel.MEMORY_AND_DISK)
     doc_vectors = _normalised(doc_tf.select(key, "term", "tf", "idf"), key, key)
     return TfidfModel(vocab, vectors, n_docs), doc_vectors
 

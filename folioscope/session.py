@@ -63,15 +63,21 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, *parts])
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder and cut its lineage.
+def reliable(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and
+    continue from the written table, cutting the lineage.
 
     Used after an expensive pass over the text whose result is much smaller
-    than its input: a lost executor then re-reads the checkpoint instead of
-    re-running the pass. (Never ``localCheckpoint``: that lives on executor
-    disks and is lost with them.)"""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    than its input: a lost executor then re-reads the table instead of
+    re-running the pass. Parquet is written by one job (an RDD checkpoint
+    needs a second one and Java-serialises rows) and the read-back carries
+    file statistics for the planner. (Never ``localCheckpoint``: that lives
+    on executor disks and is lost with them.)"""
+    import uuid
+    spark = df.sparkSession
+    path = shared_path(spark, "stages", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:

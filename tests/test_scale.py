@@ -78,3 +78,14 @@ def test_vault_listing_sees_underscore_names(spark):
     notes.export_vault(d, vault)
     listed = {r["file_name"]: r["title"] for r in notes.list_vault(spark, vault).collect()}
     assert listed == {"_20240101_000000.md": "_20240101_000000", "note_20240101_000001.md": "T"}
+
+
+def test_durable_fit_matches_persisted_fit(spark):
+    docs = spark.createDataFrame([
+        ("d1", "a", True, "spark spark data cluster"), ("d2", "a", True, "spark data stream"),
+        ("d3", "b", True, "data garden garden soil"), ("d4", "b", True, "garden soil stream")],
+        "doc_id string, category string, trainable boolean, text string")
+    _, v1 = tfidf.fit_transform(docs)
+    _, v2 = tfidf.fit_transform(docs, durable=True)
+    r = lambda df: sorted((a, b, round(c, 9)) for a, b, c in df.select("doc_id", "term", "weight").collect())
+    assert r(v1) == r(v2)
