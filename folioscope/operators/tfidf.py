@@ -80,12 +80,19 @@ def document_frequency(train: DataFrame, text_col: str = "text", key: str = "doc
 def vocabulary(train: DataFrame, text_col: str = "text", key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
                max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """(vocab(term, df, idx, idf), n_docs) from one pass over the training
-    text. The vocabulary has at most ``max_features`` rows and is persisted."""
+    text. The vocabulary has at most ``max_features`` rows and is persisted.
+
+    The sentinel's frequency is N, the largest possible, and it sorts before
+    every real term, so it is always the first row of the top-k; N is read
+    from it by a window over those ≤ max_features + 1 rows (no join)."""
     dft = document_frequency(train, text_col, key, with_sentinel=True)
-    n_docs = dft.where(F.col("term") == DOC_SENTINEL).select(F.col("df").cast("long").alias("n_docs"))
-    top = top_terms(dft.where(F.col("term") != DOC_SENTINEL), min_df, max_features)
-    # the single row of n_docs joins as a scalar
-    vocab = (top.crossJoin(F.broadcast(n_docs))
+    top = (dft.where((F.col("df") >= min_df) | (F.col("term") == DOC_SENTINEL))
+           .orderBy(F.desc("df"), F.asc("term")).limit(max_features + 1))
+    w = Window.orderBy(F.desc("df"), F.asc("term"))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.max(F.when(F.col("term") == DOC_SENTINEL, F.col("df"))).over(whole).cast("long")
+    ranked = top.select("term", "df", (F.row_number().over(w) - 2).alias("idx"), n.alias("n_docs"))
+    vocab = (ranked.where(F.col("term") != DOC_SENTINEL)
              .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"), "n_docs")
              .persist(StorageLevel.MEMORY_AND_DISK))
     return vocab.drop("n_docs"), vocab.select("n_docs").limit(1)
