@@ -80,27 +80,36 @@ def density_scores(docs: DataFrame, patterns=K.DENSITY_PATTERNS, key: str = "_id
     return out.withColumn("score", score)
 
 
-def density_classify(docs: DataFrame, patterns=K.DENSITY_PATTERNS, key: str = "_id",
-                     content_col: str | None = None) -> DataFrame:
-    """Arg-max category per document (ties → declaration order); below 0.1 the
-    document is Unknown with confidence 1.0. The arg-max is taken inside the
-    row over a fixed-size array, so no shuffle is needed."""
+def density_columns(docs: DataFrame, patterns=K.DENSITY_PATTERNS, content_col: str | None = None,
+                    prefix: str = "density_") -> DataFrame:
+    """``docs`` plus the arg-max density category and its confidence as
+    columns (``density_name``, ``density_confidence``). Ties go to declaration
+    order; below 0.1 the document is Unknown with confidence 1.0. The arg-max
+    is taken inside the row over a fixed-size array: no window, no shuffle,
+    and no join back to the documents."""
     content = F.col(content_col) if content_col else T.density_text("title", "description", "url", "meta_tags")
-    base = docs.select(F.col(key), content.alias("_c"))
-    folded = T.fold_non_ascii_word_chars(F.col("_c"))
-    words = F.greatest(T.word_count(F.col("_c")), F.lit(1))
-    base = base.select(F.col(key), folded.alias("_f"), words.alias("_w"))
+    folded = T.fold_non_ascii_word_chars(content)
+    words = F.greatest(T.word_count(content), F.lit(1))
+    tmp = docs.withColumn("_f", folded).withColumn("_w", words)
     cands = []
     for rank, (name, pats) in enumerate(patterns, start=1):
         hits = _pattern_hits(F.col("_f"), pats)
         score = F.greatest((hits / F.col("_w")) * 2.0, F.least(hits * 0.1, F.lit(1.0)))
         cands.append(F.struct((-score).alias("neg"), F.lit(rank).alias("decl_order"),
                               F.lit(name).alias("name"), score.alias("score")))
-    best = F.sort_array(F.array(*cands))[0]
-    low = best["score"] < K.DENSITY_MIN_SCORE
-    return base.select(
-        F.col(key).alias("doc_id"),
-        F.when(low, F.lit(K.UNKNOWN_NAME)).otherwise(best["name"]).alias("name"),
-        F.when(low, F.lit(1.0)).otherwise(F.least(best["score"], F.lit(1.0))).alias("confidence"),
-        F.lit(K.DENSITY_CLASSIFIER).alias("classifier"),
-    )
+    tmp = tmp.withColumn("_best", F.sort_array(F.array(*cands))[0])
+    low = F.col("_best.score") < K.DENSITY_MIN_SCORE
+    return (tmp.withColumn(prefix + "name", F.when(low, F.lit(K.UNKNOWN_NAME)).otherwise(F.col("_best.name")))
+            .withColumn(prefix + "confidence", F.when(low, F.lit(1.0)).otherwise(F.least(F.col("_best.score"), F.lit(1.0))))
+            .drop("_f", "_w", "_best"))
+
+
+def density_classify(docs: DataFrame, patterns=K.DENSITY_PATTERNS, key: str = "_id",
+                     content_col: str | None = None) -> DataFrame:
+    """Density classification as assignments (doc_id, name, confidence,
+    classifier)."""
+    base = docs.select(F.col(key), *[c for c in ("title", "description", "url", "meta_tags", content_col)
+                                      if c and c in docs.columns and c != key])
+    d = density_columns(base, patterns, content_col)
+    return d.select(F.col(key).alias("doc_id"), F.col("density_name").alias("name"),
+                    F.col("density_confidence").alias("confidence"), F.lit(K.DENSITY_CLASSIFIER).alias("classifier"))

@@ -39,14 +39,14 @@ def ingest(requests: DataFrame, reasons: DataFrame) -> DataFrame:
     ok = staged.where(F.col("failed_step").isNull())
     bad = staged.where(F.col("failed_step").isNotNull())
 
-    docs = B.extract_pages(ok.select("page_id", "url", "html"))
-    cls = rules.density_classify(docs).withColumnRenamed("doc_id", "_id")
-    stored = (docs.join(cls, "_id").join(ok.select("page_id", "create_note"), "page_id")
-              .select("page_id", "_id", "url", F.lit("STORED").alias("outcome"),
-                      F.lit(None).cast("string").alias("failed_step"), F.lit(None).cast("string").alias("error"),
-                      "title", T.stored_file_name("title").alias("pdf_name"),
-                      F.col("name").alias("category"), "confidence",
-                      F.when(F.col("create_note"), T.note_file_name("title", "fetched_at")).alias("note_file")))
+    # extraction and classification are columns of the same rows: no join back
+    docs = rules.density_columns(B.extract_pages(ok.select("page_id", "url", "html", "create_note"),
+                                                 keep=("create_note",)))
+    stored = docs.select("page_id", "_id", "url", F.lit("STORED").alias("outcome"),
+                         F.lit(None).cast("string").alias("failed_step"), F.lit(None).cast("string").alias("error"),
+                         "title", T.stored_file_name("title").alias("pdf_name"),
+                         F.col("density_name").alias("category"), F.col("density_confidence").alias("confidence"),
+                         F.when(F.col("create_note"), T.note_file_name("title", "fetched_at")).alias("note_file"))
     failed = bad.select("page_id", F.concat(F.lit("doc|p"), F.col("page_id").cast("string")).alias("_id"), "url",
                         F.lit("FAILED").alias("outcome"), "failed_step", "error",
                         F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("pdf_name"),

@@ -70,12 +70,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def extract_pages(pages: DataFrame, id_prefix: str = "doc|p") -> DataFrame:
-    """Raw pages (page_id, url, html) → document metadata columns."""
+def extract_pages(pages: DataFrame, id_prefix: str = "doc|p", keep: tuple = ()) -> DataFrame:
+    """Raw pages (page_id, url, html) → document metadata columns (plus the
+    ``keep`` columns carried through)."""
     clean = H.strip_blocks(F.col("html"))
     return (pages
             .withColumn("_clean", clean)
             .select(
+                *keep,
                 F.concat(F.lit(id_prefix), F.col("page_id").cast("string")).alias("_id"),
                 F.col("page_id"),
                 F.col("url"),
