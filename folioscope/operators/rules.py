@@ -99,7 +99,10 @@ def density_columns(docs: DataFrame, patterns=K.DENSITY_PATTERNS, content_col: s
                               F.lit(name).alias("name"), score.alias("score")))
     tmp = tmp.withColumn("_best", F.sort_array(F.array(*cands))[0])
     low = F.col("_best.score") < K.DENSITY_MIN_SCORE
-    return (tmp.withColumn(prefix + "name", F.when(low, F.lit(K.UNKNOWN_NAME)).otherwise(F.col("_best.name")))
+    # coalesce makes the name provably non-null, so a later ``name IS NOT NULL``
+    # filter folds away instead of re-inlining this expression
+    name = F.coalesce(F.when(low, F.lit(K.UNKNOWN_NAME)).otherwise(F.col("_best.name")), F.lit(K.UNKNOWN_NAME))
+    return (tmp.withColumn(prefix + "name", name)
             .withColumn(prefix + "confidence", F.when(low, F.lit(1.0)).otherwise(F.least(F.col("_best.score"), F.lit(1.0))))
             .drop("_f", "_w", "_best"))
 
