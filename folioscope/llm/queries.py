@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream
+from folioscope.llm import bpe_stream, url_reputation
 from folioscope.llm.common import table
 
 
@@ -22,6 +22,16 @@ def sha256_of_ids(ids: Column) -> Column:
     return F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256)
 
 
+#: The url rules of op1: action, host + path.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
+             ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page url judged by rule, else by its host's shrunk reputation."""
+    return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: token count, digests of ids and text."""
     coded = bpe_stream.encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -31,7 +41,49 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_reputation": op1_url_reputation,
     "op9_bpe": op9_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+OP1_SQL = """
+WITH seen AS (
+  SELECT page_id, u AS url, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, url AS u, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages)
+), outcome AS (
+  SELECT doc_id, min(CASE WHEN quality IS NOT NULL THEN CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END END) AS good
+  FROM labels GROUP BY doc_id
+), h AS (
+  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good,
+         split_part(host, '.', -1) AS suffix,
+         CASE WHEN strpos(host, '.') > 0 THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain
+  FROM seen LEFT JOIN outcome ON page_id = doc_id GROUP BY host
+), d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL
+), s AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY ALL
+), m AS (
+  SELECT lvl, sum(n) AS n, sum(good) / sum(n) AS p, count(*) AS k, sum(n * n) AS nn, sum(good * good / n) AS gg
+  FROM (SELECT 'h' AS lvl, n::DOUBLE AS n, good::DOUBLE AS good FROM h WHERE n > 0 UNION ALL SELECT 'd', n, good FROM d WHERE n > 0 UNION ALL SELECT 's', n, good FROM s WHERE n > 0)
+  GROUP BY lvl
+), b AS (SELECT lvl, p, (gg - p * p * n - (k - 1) * p * (1 - p)) / nullif(n - nn / n, 0) AS between_ FROM m
+), prior AS (SELECT lvl, p, greatest(1.0, least(1000.0, CASE WHEN between_ > 0 THEN p * (1 - p) / between_ - 1 ELSE 1000.0 END)) AS k FROM b
+), ks AS (SELECT coalesce((SELECT k FROM prior WHERE lvl = 's'), 1.0) AS s, coalesce((SELECT k FROM prior WHERE lvl = 'd'), 1.0) AS d,
+                 coalesce((SELECT k FROM prior WHERE lvl = 'h'), 1.0) AS h, coalesce((SELECT p FROM prior WHERE lvl = 's'), 0.5) AS p
+), sr AS (SELECT suffix, (good + ks.s * ks.p) / (n + ks.s) AS rate FROM s, ks
+), dr AS (SELECT domain, (good + ks.d * sr.rate) / (n + ks.d) AS rate FROM d JOIN sr USING (suffix), ks
+), hr AS (SELECT host, n, ks.h AS k, (good + ks.h * dr.rate) / (n + ks.h) AS rate FROM h JOIN dr USING (domain), ks
+), rules AS (SELECT * FROM (VALUES ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'),
+    ('allow', 'www.example.com', '/en/', 'www.example.com/en/'), ('block', 'net', '/es/', 'net/es/'), ('block', 'net', '/fr/', 'net/fr/')) t(action, rhost, rpath, rule)
+), best AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+  FROM (SELECT DISTINCT host, path FROM seen) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY host, path
+)
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN rate + 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) < 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       n AS n_labelled
+FROM seen JOIN hr USING (host) LEFT JOIN best USING (host, path)
+"""
+
+ORACLE: dict[str, str] = {
+    "op1_url_reputation": OP1_SQL,
+}
