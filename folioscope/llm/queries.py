@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, url_reputation
+from folioscope.llm import bpe_stream, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -32,6 +32,12 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to the archives and read back through the index."""
+    index, base = warc_index.write(table(spark, sf_dir, "pages"))
+    return warc_index.read(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: token count, digests of ids and text."""
     coded = bpe_stream.encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -42,6 +48,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
+    "op3_warc": op3_warc,
     "op9_bpe": op9_bpe,
 }
 
