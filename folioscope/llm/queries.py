@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, url_reputation, warc_index
+from folioscope.llm import bpe_stream, lang_rank, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -38,6 +38,19 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def remainder(column: Column, parts: int) -> Column:
+    """crc32 of an id as text, modulo ``parts``; a null id counts as ''."""
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those not held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    profiles = lang_rank.learn(docs.where(~held_out))
+    return lang_rank.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: token count, digests of ids and text."""
     coded = bpe_stream.encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -49,6 +62,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op3_warc": op3_warc,
+    "op6_langid": op6_langid,
     "op9_bpe": op9_bpe,
 }
 
