@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,9 +15,6 @@ from folioscope.session import shared_path
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 4 << 20
 
-#: The white space that separates words, as text and as a regex class.
-WORD_SPACE = "\x20\t\n\x0b\x0c\r"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -30,20 +28,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def words(text: str | None) -> list[str]:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none.
+#: Characters at which str.split() splits too, though they are part of words.
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
-    ``str.split()`` also splits at other Unicode spaces, so it is used only
-    for ASCII texts without the separators \\x1c-\\x1f."""
+def words(text: str | None) -> list[str]:
+    """The words ``[^\\x20\\x09-\\x0D]+`` of a text; null has none."""
     if not text:
         return []
-    if text.isascii():
-        if not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return text.split()
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w]
-
-
-_TO_SPACE = {ord(c): " " for c in WORD_SPACE}
+    return _WORD.findall(text) if _OTHER_SPACE.search(text) else text.split()
 
 
 def slices(batches: Iterable[pa.RecordBatch], text_column: int,
@@ -64,7 +58,7 @@ def slices(batches: Iterable[pa.RecordBatch], text_column: int,
         yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema,
                text_column: int) -> DataFrame:
     """``work`` on bounded slices of ``df`` in Arrow batches."""
     def run(batches):

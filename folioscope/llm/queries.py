@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, lang_rank, url_reputation, warc_index
+from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_rank.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    forest = quality_gbdt.train(docs, labels.where(~held_out))
+    return quality_gbdt.score(docs, forest).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again: token count, digests of ids and text."""
     coded = bpe_stream.encode(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -63,6 +71,7 @@ QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op3_warc": op3_warc,
     "op6_langid": op6_langid,
+    "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
 }
 
