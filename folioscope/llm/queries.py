@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, url_reputation, warc_index
+from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, quality_sketch, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -51,6 +51,11 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_rank.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts, held against the thresholds of its language and source."""
+    return quality_sketch.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document, learned from the labels that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -71,6 +76,7 @@ QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op3_warc": op3_warc,
     "op6_langid": op6_langid,
+    "op7_rules": op7_rules,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
 }
@@ -114,6 +120,45 @@ SELECT page_id, host, path, rule,
 FROM seen JOIN hr USING (host) LEFT JOIN best USING (host, path)
 """
 
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t
+), pos AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w
+), win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM pos
+), rep AS (SELECT doc_id, count(DISTINCT i + d) AS r FROM win, (VALUES (0), (1), (2)) v(d) WHERE c > 1 GROUP BY doc_id
+), c AS (
+  SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (doc_id)
+), v AS (
+  SELECT lang, source, rate, CASE WHEN value > 0 THEN ceil(ln(value) / ln(1.01 / 0.99)) END AS bucket
+  FROM (SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS rate,
+               unnest([word_chars / greatest(n_words, 1), n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_words, 1), n_repeat_words / greatest(n_words, 1)]) AS value
+        FROM c)
+), b AS (SELECT lang, source, rate, bucket, count(*) AS n FROM v GROUP BY ALL
+), cum AS (
+  SELECT *, coalesce(pow(1.01 / 0.99, bucket) * (2 / (1.01 / 0.99 + 1)), 0) AS value,
+         sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bucket NULLS FIRST) AS c, sum(n) OVER (PARTITION BY lang, source, rate) AS a FROM b
+), q AS (
+  SELECT lang, source, rate, min(value) FILTER (c >= a * 0.25) AS q1, min(value) FILTER (c >= a * 0.75) AS q3 FROM cum GROUP BY ALL
+), m AS (
+  SELECT lang, source, rate, q3 + 3 * (q3 - q1) + CASE rate WHEN 'word_length' THEN 1.0 WHEN 'symbols' THEN 0.1 ELSE 0.2 END AS most FROM q
+), lim AS (
+  SELECT lang, source, max(most) FILTER (rate = 'word_length') AS wl, max(most) FILTER (rate = 'symbols') AS sy,
+         max(most) FILTER (rate = 'dup_lines') AS dl, max(most) FILTER (rate = 'repeats') AS re FROM m GROUP BY ALL
+), f AS (
+  SELECT c.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, wl, sy, dl, re
+  FROM c JOIN lim ON c.lang IS NOT DISTINCT FROM lim.lang AND c.source IS NOT DISTINCT FROM lim.source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / greatest(n_words, 1) <= wl AND n_symbols / greatest(n_words, 1) <= sy
+       AND n_dup_lines / greatest(n_words, 1) <= dl AND n_repeat_words / greatest(n_words, 1) <= re AS kept
+FROM f
+"""
+
 ORACLE: dict[str, str] = {
+    "op7_rules": OP7_SQL,
     "op1_url_reputation": OP1_SQL,
 }
