@@ -35,7 +35,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 #: rate: slack added to its threshold
-SLACK = {"word_length": 1.0, "symbols": 0.1, "dup_lines": 0.2, "repeats": 0.2}
+SLACK = {"word_length": 2.0, "symbols": 0.15, "dup_lines": 0.3, "repeats": 0.4}
 
 
 def counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang",

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, quality_sketch, url_reputation, warc_index
+from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, quality_sketch, simhash_vp, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_index.read(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    found = simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_vp.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def remainder(column: Column, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``; a null id counts as ''."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
@@ -75,6 +81,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op3_warc": op3_warc,
+    "op5_simhash": op5_simhash,
     "op6_langid": op6_langid,
     "op7_rules": op7_rules,
     "op8_quality": op8_quality,
@@ -144,7 +151,7 @@ WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM document
 ), q AS (
   SELECT lang, source, rate, min(value) FILTER (c >= a * 0.25) AS q1, min(value) FILTER (c >= a * 0.75) AS q3 FROM cum GROUP BY ALL
 ), m AS (
-  SELECT lang, source, rate, q3 + 3 * (q3 - q1) + CASE rate WHEN 'word_length' THEN 1.0 WHEN 'symbols' THEN 0.1 ELSE 0.2 END AS most FROM q
+  SELECT lang, source, rate, q3 + 3 * (q3 - q1) + CASE rate WHEN 'word_length' THEN 2.0 WHEN 'symbols' THEN 0.15 WHEN 'dup_lines' THEN 0.3 ELSE 0.4 END AS most FROM q
 ), lim AS (
   SELECT lang, source, max(most) FILTER (rate = 'word_length') AS wl, max(most) FILTER (rate = 'symbols') AS sy,
          max(most) FILTER (rate = 'dup_lines') AS dl, max(most) FILTER (rate = 'repeats') AS re FROM m GROUP BY ALL
