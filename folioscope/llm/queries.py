@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, quality_sketch, simhash_vp, url_reputation, warc_index
+from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, quality_sketch, simhash_vp, substring_fm, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -22,6 +22,13 @@ def sha256_of_ids(ids: Column) -> Column:
     return F.sha2(F.array_join(ids.cast("array<string>"), " ").cast("binary"), 256)
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of windows that begin earlier."""
+    found = substring_fm.deduplicate(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, span: n + span[1] - span[0])
+    return found.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 #: The url rules of op1: action, host + path.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
@@ -86,6 +93,7 @@ QUERIES = {
     "op7_rules": op7_rules,
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
+    "op10_substring": op10_substring,
 }
 
 OP1_SQL = """
