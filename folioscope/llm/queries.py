@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, lang_rank, quality_gbdt, quality_sketch, simhash_vp, substring_fm, url_reputation, warc_index
+from folioscope.llm import bpe_stream, decontam, lang_rank, quality_gbdt, quality_sketch, simhash_vp, substring_fm, template_extract, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -39,12 +39,23 @@ def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its host's template."""
+    found = template_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to the archives and read back through the index."""
     index, base = warc_index.write(table(spark, sf_dir, "pages"))
     return warc_index.read(index, base).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and near-duplicate component."""
     found = simhash_vp.near_duplicates(table(spark, sf_dir, "documents"))
@@ -87,7 +98,9 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
+    "op2_html": op2_html,
     "op3_warc": op3_warc,
+    "op4_decontam": op4_decontam,
     "op5_simhash": op5_simhash,
     "op6_langid": op6_langid,
     "op7_rules": op7_rules,
