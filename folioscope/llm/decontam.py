@@ -266,3 +266,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least_o
     every = reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
     best = every.groupBy("id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
     return best.withColumnRenamed("id", id_column)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least_overlap: float = 0.8, text_column: str = "text",
+          item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text holds no test item. No shuffle."""
+    at = docs.columns.index(text_column)
+
+    def without(rows: DataFrame, index: Index) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(index)
+
+        def work(part: pa.RecordBatch) -> pa.RecordBatch:
+            hit = {row[0] for row in find(shared.value, list(range(part.num_rows)), part.column(at), least_overlap)}
+            return part.filter(pa.array([i not in hit for i in range(part.num_rows)], pa.bool_()))
+
+        return map_slices(rows, work, docs.schema, at)
+
+    return reduce(without, groups(benchmark, threshold, item_column, item_text), docs)

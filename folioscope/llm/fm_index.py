@@ -49,15 +49,16 @@ class FMIndex:
     enough for backward search up to that length: whether a suffix lies before
     the interval of a shorter pattern does not depend on more."""
 
-    def __init__(self, text: np.ndarray, width: int):
+    def __init__(self, text: np.ndarray, width: int, place: np.ndarray | None = None):
         self.width, n = width, len(text)
+        self.place = np.arange(n) if place is None else place  # of each word, in the order that counts as earlier
         rank = context_ranks(text, width)
         suffixes = np.argsort(rank, kind="stable")
         sorted_rank = rank[suffixes]
         # classes of equal contexts, as bits at their first suffix, and the earliest place of each
         first = np.append(True, sorted_rank[1:] != sorted_rank[:-1]) if n else np.zeros(0, bool)
         self.full = Bits(first)
-        self.earliest = np.minimum.reduceat(suffixes, np.flatnonzero(first)) if n else np.zeros(0, np.int64)
+        self.earliest = np.minimum.reduceat(self.place[suffixes], np.flatnonzero(first)) if n else np.zeros(0, np.int64)
         del rank, sorted_rank
         # the same for contexts one word shorter: neighbours differ there, or not
         differ = self._differ(text, suffixes, first, width - 1)
@@ -140,7 +141,7 @@ def repeated(index: FMIndex, text: np.ndarray, starts: np.ndarray, counts: np.nd
         at, low, high = at[:active], low[:active], high[:active]
         low, high = index.extend(low, high, text[at])
         if step >= width - 1:
-            found[at] = index.first_place(low) < at
+            found[at] = index.first_place(low) < index.place[at]
             low, high = index.shorten(low)
         at = at - 1
     return found

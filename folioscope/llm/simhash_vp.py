@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioscope.llm.common import map_slices, written
 from folioscope.llm.components import roots
@@ -191,15 +192,38 @@ def edges(distinct: DataFrame, max_bits: int = 4, levels: int = LEVELS) -> DataF
 
 def near_duplicates(df: DataFrame, shingle: int = 4, max_bits: int = 4, levels: int = LEVELS,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column``, ``fp`` and ``component_id`` of every row."""
+    """``id_column``, ``fp``, ``root`` (the component's smallest fingerprint) and
+    ``component_id`` of every row."""
     marked = written(fingerprints(df, shingle, id_column, text_column), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(id_column).alias("first"))
     root = roots(edges(distinct, max_bits, levels))
     grouped = distinct.join(root, distinct["fp"] == root["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = grouped.join(least, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(id_column, "fp", "component_id")
+    by_fp = grouped.join(least, "root").select("fp", "root", "component_id")
+    return marked.join(by_fp, "fp").select(id_column, "fp", "root", "component_id")
+
+
+def keep_one(df: DataFrame, shingle: int = 4, max_bits: int = 4, levels: int = LEVELS, id_column: str = "doc_id",
+             text_column: str = "text") -> DataFrame:
+    """One row of every component, with all columns: that of the smallest id."""
+    found = near_duplicates(df, shingle, max_bits, levels, id_column, text_column)
+    chosen = (found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy("root")
+              .agg(F.min("fp").alias("_fp"), F.min(id_column).alias("_id")))
+    # a null id is told apart by its fingerprint
+    none = F.lit("none")
+    chosen = written(chosen.select("_fp", F.coalesce(F.col("_id").cast("string"), none).alias("_key")), "kept")
+    names = df.columns
+    key, fp = (next(x for x in (w + "_" * i for i in range(len(names) + 1)) if x not in names) for w in ("_key", "_fp"))
+    chosen = chosen.withColumnsRenamed({"_key": key, "_fp": fp})
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        made = np.array([fingerprint(t, shingle) for t in part.column(names.index(text_column)).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(made.view(np.int64))], names=[*names, fp])
+
+    marked = map_slices(df, work, StructType([*df.schema.fields, StructField(fp, LongType())]), names.index(text_column))
+    marked = marked.withColumn(key, F.coalesce(F.col(id_column).cast("string"), none))
+    return marked.join(chosen, [key, fp], "left_semi").dropDuplicates([key, fp]).select(*names)
 
 
 def hex_of(fp: Column) -> Column:

@@ -21,14 +21,14 @@ the earliest place it occurs at.
 Intervals of removed windows are then collected per document and cut out.
 
 Defined results: null and empty texts have no words. Documents shorter than a
-window keep everything. Rows that repeat an id and text are one document
-twice: each is judged alike, neither removes the other. A null id sorts before all others.
-Texts may be arbitrarily long; other columns are ignored.
+window keep everything. Rows that share an id are told apart by a hash of
+their texts; windows of theirs at the same place do not remove one another, so
+repeated rows are judged alike. A null id sorts before all others. Texts may be arbitrarily long; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from folioscope.llm.common import map_slices, slices, words, written
 from folioscope.llm.fm_index import FMIndex, repeated
@@ -126,7 +127,7 @@ def repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
     return written(rows.join(often, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
 
 
-SEGMENT_SCHEMA = "anchor bigint, content bigint, id bigint, start bigint, windows bigint, twice boolean, text string"
+SEGMENT_SCHEMA = "anchor bigint, content bigint, id bigint, row bigint, start bigint, windows bigint, twice boolean, text string"
 
 
 def _cut(width: int):
@@ -134,17 +135,17 @@ def _cut(width: int):
         for part in slices(batches, 1):
             texts = [words(t) for t in part.column(1).to_pylist()]
             hashes, at = word_hashes(texts)
-            wanted = part.column(2)
-            out: list[list] = [[] for _ in range(7)]
-            for i, (doc_id, found) in enumerate(zip(part.column(0).to_pylist(), texts)):
+            wanted = part.column(3)
+            out: list[list] = [[] for _ in range(8)]
+            for i, (doc_id, row, found) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts)):
                 anchor, content, first, count, twice = segments(hashes[at[i]:at[i + 1]], width)
                 for k in np.flatnonzero(np.isin(anchor.view(np.int64), wanted[i].values.to_numpy())).tolist():
                     a, n = int(first[k]), int(count[k])
-                    for column, x in zip(out, (anchor.view(np.int64)[k], content.view(np.int64)[k], doc_id, a, n, twice[k],
+                    for column, x in zip(out, (anchor.view(np.int64)[k], content.view(np.int64)[k], doc_id, row, a, n, twice[k],
                                                " ".join(found[a:a + n + width - 1]))):
                         column.append(x)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 5, pa.bool_(), pa.string()))],
-                                  names=["anchor", "content", "id", "start", "windows", "twice", "text"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 6, pa.bool_(), pa.string()))],
+                                  names=["anchor", "content", "id", "row", "start", "windows", "twice", "text"])
     return run
 
 
@@ -152,75 +153,77 @@ def _windows(width: int):
     """Segments as they are, those of hot anchors as single windows; each with
     the key that deals it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4):
+        for part in slices(batches, 5):
             rows = []
-            for anchor, doc_id, start, n, text, hot in zip(*(c.to_pylist() for c in part.columns)):
+            for anchor, doc_id, row, start, n, text, hot in zip(*(c.to_pylist() for c in part.columns)):
                 if not hot:
-                    rows.append((anchor, doc_id, start, n, text))
+                    rows.append((anchor, doc_id, row, start, n, text))
                     continue
                 found = text.split(" ")
                 for i in range(n):
                     window = " ".join(found[i:i + width])
-                    rows.append((xxhash.xxh64_intdigest(window) - (1 << 63), doc_id, start + i, 1, window))
+                    rows.append((xxhash.xxh64_intdigest(window) - (1 << 63), doc_id, row, start + i, 1, window))
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 4, pa.string()))],
-                                      names=["key", "id", "start", "windows", "text"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.string()))],
+                                      names=["key", "id", "row", "start", "windows", "text"])
     return run
 
 
-def shard_repeats(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, texts: pa.Array,
-                  width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of repeated windows (id, start, windows) among a shard's segments."""
+def shard_repeats(ids: np.ndarray, rows: np.ndarray, starts: np.ndarray, counts: np.ndarray, texts: pa.Array,
+                  width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of repeated windows (id, row, start, windows) among a shard's segments."""
     order = np.lexsort((starts, ids))
-    ids, starts, counts, texts = ids[order], starts[order], counts[order], texts.take(pa.array(order))
+    ids, rows, starts, counts, texts = ids[order], rows[order], starts[order], counts[order], texts.take(pa.array(order))
     split = pc.split_pattern(texts, " ")
-    coded = split.values.dictionary_encode()
-    numbers = coded.indices.to_numpy().astype(np.int64) + 1
+    numbers = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64) + 1
     sizes = counts + width - 1
     begin = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
     inner = np.ones(len(text), bool)
     inner[begin + sizes] = False
     text[inner] = numbers
-    found = repeated(FMIndex(text, width), text, begin, counts)
+    nth = np.cumsum(np.append(0, ids[1:] != ids[:-1]))  # ids by rank, so that id and word fit one integer
+    place = np.repeat((nth << 40) + starts - begin, sizes + 1) + np.arange(len(text))
+    found = repeated(FMIndex(text, width, place), text, begin, counts)
     edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     own = np.searchsorted(begin, a, side="right") - 1
-    return ids[own], starts[own] + a - begin[own], b - a
+    return ids[own], rows[own], starts[own] + a - begin[own], b - a
 
 
 def removed_windows(docs: DataFrame, width: int) -> DataFrame:
-    """``id``, ``start`` and ``windows`` of the runs of windows that begin earlier too."""
-    wanted = repeated_anchors(docs, width)
-    cut = written(docs.join(wanted, "id").select("id", "text", "anchors").mapInArrow(_cut(width), SEGMENT_SCHEMA), "segments")
+    """``id``, ``row``, ``start`` and ``windows`` of the runs of windows that begin
+    earlier too; ``docs`` has ``id``, ``text`` and ``row``."""
+    wanted = repeated_anchors(docs.select("id", "text"), width)
+    cut = written(docs.join(wanted, "id").select("id", "text", "row", "anchors").mapInArrow(_cut(width), SEGMENT_SCHEMA), "segments")
     place = (F.col("id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("start")
     cut = cut.withColumn("place", place.cast("decimal(38,0)"))
     firsts = cut.groupBy("anchor", "content").agg(F.min("place").alias("first"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("different"))
-    copies = cut.select("anchor", "content", "id", "start", "windows", "place").join(firsts, ["anchor", "content"])
-    copies = copies.where("place <> first").select("id", "start", "windows")
+    copies = cut.select("anchor", "content", "id", "row", "start", "windows", "place").join(firsts, ["anchor", "content"])
+    copies = copies.where("place <> first").select("id", "row", "start", "windows")
     searched = cut.join(firsts.withColumnRenamed("first", "place"), ["anchor", "content", "place"]).join(several, "anchor")
-    searched = searched.where("different > 1 OR twice").dropDuplicates(["anchor", "content"])
-    dealt = written(searched.select("anchor", "id", "start", "windows", "text", (F.col("different") > HOT_SEGMENTS).alias("hot"))
-                    .mapInArrow(_windows(width), "key bigint, id bigint, start bigint, windows bigint, text string"), "shards")
+    searched = searched.where("different > 1 OR twice").dropDuplicates(["anchor", "content", "row"])
+    dealt = written(searched.select("anchor", "id", "row", "start", "windows", "text", (F.col("different") > HOT_SEGMENTS).alias("hot"))
+                    .mapInArrow(_windows(width), "key bigint, id bigint, row bigint, start bigint, windows bigint, text string"), "shards")
     total = dealt.agg(F.sum(F.col("windows") + width)).first()[0] or 0
     shards = int(total // SHARD_WORDS) + 1
 
     def search(table):
-        found = shard_repeats(*(table.column(c).to_numpy() for c in ("id", "start", "windows")),
+        found = shard_repeats(*(table.column(c).to_numpy() for c in ("id", "row", "start", "windows")),
                               table.column("text").combine_chunks(), width)
-        return pa.table(dict(zip(("id", "start", "windows"), found)))
+        return pa.table(dict(zip(("id", "row", "start", "windows"), found)))
 
     shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    runs = (dealt.withColumn("shard", shard).select("shard", "id", "start", "windows", "text").groupBy("shard")
-            .applyInArrow(lambda table: search(table), "id bigint, start bigint, windows bigint"))
+    runs = (dealt.withColumn("shard", shard).select("shard", "id", "row", "start", "windows", "text").groupBy("shard")
+            .applyInArrow(lambda table: search(table), "id bigint, row bigint, start bigint, windows bigint"))
     return written(runs.union(copies), "removed")
 
 
 def _kept(width: int):
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(4)]
-        for doc_id, text, runs in zip(*(part.column(i).to_pylist() for i in range(3))):
+        out: list[list] = [[] for _ in range(3)]
+        for text, runs in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
             found = words(text)
             gone = np.zeros(len(found) + 1, np.int64)
             for run in runs or ():
@@ -229,18 +232,40 @@ def _kept(width: int):
             left = np.cumsum(gone[:-1]) == 0
             spans = np.flatnonzero(np.diff(np.concatenate([[1], left.astype(np.int8), [1]]))).reshape(-1, 2)
             kept = [w for w, k in zip(found, left.tolist()) if k] if len(spans) else found
-            for column, x in zip(out, (doc_id, len(found), spans.tolist(), " ".join(kept))):
+            for column, x in zip(out, (len(found), spans.tolist(), " ".join(kept))):
                 column.append(x)
-        return pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))],
-                               names=["id", "n_words", "removed", "kept"])
+        made = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))]
+        return pa.RecordBatch.from_arrays([part.column(0), *made, *part.columns[3:]],
+                                          names=["id", "n_words", "removed", "kept", *part.schema.names[3:]])
     return work
 
 
-def deduplicate(df: DataFrame, width: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column``, ``n_words``, ``removed`` (spans of words, [from, to) each) and ``kept``
-    (the other words, joined by one space) of every row. Ids are integers."""
-    docs = df.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"))
-    runs = removed_windows(docs, width).groupBy("id").agg(F.collect_set(F.struct("start", "windows")).alias("runs"))
-    rows = docs.join(runs, "id", "left").select("id", "text", "runs")
-    made = map_slices(rows, _kept(width), "id bigint, n_words bigint, removed array<array<bigint>>, kept string", 1)
-    return made.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_column), "n_words", "removed", "kept")
+def _deduplicated(df: DataFrame, width: int, id_column: str, text_column: str, carried: Sequence[str]) -> DataFrame:
+    """``id``, ``n_words``, ``removed``, ``kept`` and ``carried_0`` ... of every row."""
+    key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id")
+    text, row = F.col(text_column).alias("text"), F.xxhash64(F.col(text_column)).alias("row")
+    runs = removed_windows(df.select(key, text, row), width).groupBy("id", "row").agg(
+        F.collect_set(F.struct("start", "windows")).alias("runs"))
+    more = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carried)]
+    rows = df.select(key, text, row, *more).join(runs, ["id", "row"], "left").select("id", "text", "runs", *(f"carried_{i}" for i in range(len(more))))
+    made = StructType([StructField("id", LongType()), StructField("n_words", LongType()),
+                       StructField("removed", ArrayType(ArrayType(LongType()))), StructField("kept", StringType()), *rows.schema.fields[3:]])
+    made = map_slices(rows, _kept(width), made, 1)
+    return made.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
+
+
+def deduplicate(df: DataFrame, width: int = 20, id_column: str = "doc_id", text_column: str = "text",
+                carried: Sequence[str] = ()) -> DataFrame:
+    """``id_column``, ``n_words``, ``removed`` (spans of words, [from, to) each), ``kept``
+    (the other words, joined by one space) and the ``carried`` columns of every row.
+    Ids are integers."""
+    return _deduplicated(df, width, id_column, text_column, carried).toDF(id_column, "n_words", "removed", "kept", *carried)
+
+
+def without_repeats(df: DataFrame, width: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows with all columns, each text cut down to its kept words; a text
+    that loses nothing stays as it is."""
+    found = _deduplicated(df, width, id_column, text_column, df.columns)
+    own = {c: F.col(f"carried_{i}") for i, c in enumerate(df.columns)}
+    own[text_column] = F.when(F.size("removed") > 0, F.col("kept")).otherwise(own[text_column])
+    return found.select(*(column.alias(c) for c, column in own.items()))

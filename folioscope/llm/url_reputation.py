@@ -14,8 +14,8 @@ back has one row per host on the right.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and counts under the host ''. Repeated page rows stay; each counts as an
-outcome. Null labels are no outcomes. Without any outcome every rate is 1/2
-with the weakest prior, which blocks nothing. Columns of the input beyond
+outcome. Null labels are no outcomes. Without any outcome every rate is 1/2,
+which blocks nothing. Columns of the input beyond
 ``id_column`` and ``url_column`` are ignored.
 """
 
@@ -82,10 +82,10 @@ def level_prior(level: DataFrame, least: float, most: float) -> DataFrame:
     total = level.agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count("*").alias("k"),
                       F.sum(F.col("n") * F.col("n")).alias("nn"),
                       F.sum(F.col("good") * F.col("good") / F.col("n")).alias("gg"))
-    n, p = F.col("n"), F.col("good") / F.col("n")
+    n, p = F.col("n"), F.try_divide("good", "n")
     # sum of n_i (p_i - p)^2 = sum good_i^2 / n_i - p^2 sum n_i
     spread = F.col("gg") - p * p * n - (F.col("k") - 1) * p * (1 - p)
-    between = spread / (n - F.col("nn") / n)
+    between = F.try_divide(spread, n - F.try_divide("nn", "n"))
     strength = F.when(between > 0, p * (1 - p) / between - 1).otherwise(F.lit(most))
     return total.select(F.coalesce(p, F.lit(0.5)).alias("mean"),
                         F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(strength, F.lit(least)))).alias("strength"))
