@@ -1,60 +1,65 @@
-"""Page-metadata extraction from raw HTML as Column expressions.
-
-A full HTML parser is a per-row library; here the few things the catalog
-needs (title, meta tags, canonical link) are pulled out with regular
-expressions that run inside whole-stage codegen. Comments, ``<script>`` and
-``<style>`` blocks are removed first, since a parser would not see tags in
-them.
+"""Page metadata from raw HTML: title, description, canonical URL, meta tags.
+
+Comments, ``<script>`` and ``<style>`` blocks go first, since a parser sees
+no tags in them. Then one pattern finds the ``meta`` and ``link`` tags,
+stepping over quoted values, and one cuts each tag into its attributes from
+left to right. Every step's array is a column of its own before the next
+step looks into it (an array named inside a lambda is otherwise computed
+once per element), so the cost grows with the size of the page only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from html.entities import name2codepoint
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from .text import col_
 
-STRIP_BLOCKS = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-META_TAG = r"(?is)<meta\b[^>]*>"
-LINK_TAG = r"(?is)<link\b[^>]*>"
+STRIP_BLOCKS = r"(?is)<!--.*?(?:-->|\z)|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+#: a tag: names and stray quotes, spaces, and '=' with a quoted or bare value
+TAG = r"""(?is)<%s(?=[\s/>])(?:[^\s"'>=]++|\s++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?|["'])*+>"""
+#: an attribute: its name, then its value in double quotes, single quotes or bare
+ATTRIBUTE = r"""(?s)([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?)?"""
+#: a character reference, or a run of other text
+REFERENCE = r"&#[0-9]{1,7};?|&#[xX][0-9a-fA-F]{1,6};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 
 
 def strip_blocks(html) -> Column:
     return F.regexp_replace(col_(html), STRIP_BLOCKS, " ")
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point; U+FFFD for what is none."""
+    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    safe = F.when(bad | code.isNull(), F.lit(0xFFFD)).otherwise(code)
+    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+
+
 def decode_entities(s) -> Column:
-    """Decode the basic named/numeric entities (``&amp;`` last)."""
+    """Decimal, hexadecimal and the HTML 4 named references, in one pass: what
+    a reference stands for is not decoded again."""
     c = col_(s)
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    names = F.create_map(*(F.lit(x) for pair in sorted(name2codepoint.items()) for x in (pair[0], chr(pair[1]))))
+    names = F.map_concat(names, F.create_map(F.lit("apos"), F.lit("'")))
+
+    def one(t: Column) -> Column:
+        body = F.rtrim(t, F.lit(";"))
+        return (F.when(t.rlike("^&#[xX]"), _character(F.conv(F.substr(body, F.lit(4)), 16, 10).cast("long")))
+                .when(F.startswith(t, F.lit("&#")), _character(F.substr(body, F.lit(3)).cast("long")))
+                .when(F.startswith(t, F.lit("&")) & F.endswith(t, F.lit(";")), F.coalesce(F.try_element_at(names, F.substr(body, F.lit(2))), t))
+                .otherwise(t))
+    parts = F.regexp_extract_all(c, F.lit(REFERENCE), 0)
+    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def normalize_ws(s) -> Column:
     return F.trim(F.regexp_replace(col_(s), r"\s+", " "))
 
 
-def attr_pattern(name: str) -> str:
-    """Attribute value in double quotes, single quotes or unquoted."""
-    return r"(?is)\s" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-
-
-def attr(tag, name: str) -> Column:
-    """Attribute value ('' when absent), entities decoded."""
-    p = attr_pattern(name)
-    t = col_(tag)
-    raw = F.concat(F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2), F.regexp_extract(t, p, 3))
-    return decode_entities(raw)
-
-
-def has_attr(tag, name: str) -> Column:
-    return col_(tag).rlike(r"(?is)\s" + name + r"\s*=")
-
-
 def is_blank(html) -> Column:
     h = col_(html)
     return h.isNull() | (F.trim(h) == "")
@@ -70,58 +75,56 @@ def title(clean_html, html) -> Column:
             .when(t == "", F.lit(K.UNTITLED)).otherwise(t))
 
 
-def meta_tag_array(clean_html) -> Column:
-    return F.regexp_extract_all(col_(clean_html), F.lit(META_TAG), 0)
-
-
-def link_tag_array(clean_html) -> Column:
-    return F.regexp_extract_all(col_(clean_html), F.lit(LINK_TAG), 0)
-
-
-def _first_content(tags: Column, key_attr: str, key_value: str, value_attr: str) -> Column:
-    """Value attribute of the first tag whose ``key_attr`` equals ``key_value``
-    (case-insensitive) and that carries ``value_attr``; '' when none."""
-    hits = F.filter(tags, lambda t: (F.lower(attr(t, key_attr)) == key_value) & has_attr(t, value_attr))
-    return F.coalesce(attr(F.get(hits, 0), value_attr), F.lit(""))
-
-
-def description(clean_html, html, url) -> Column:
-    tags = meta_tag_array(clean_html)
-    by_name = _first_content(tags, "name", "description", "content")
-    by_og = _first_content(tags, "property", "og:description", "content")
-    return (F.when(is_blank(html), F.lit(K.FALLBACK_DESCRIPTION))
-            .otherwise(F.coalesce(F.nullif(by_name, F.lit("")), F.nullif(by_og, F.lit("")),
-                                  F.concat(F.lit(K.DESCRIPTION_PREFIX), col_(url)))))
-
-
-def canonical_url(clean_html, html, url) -> Column:
-    links = link_tag_array(clean_html)
-    tags = meta_tag_array(clean_html)
-    by_link = _first_content(links, "rel", "canonical", "href")
-    by_og = _first_content(tags, "property", "og:url", "content")
-    return (F.when(is_blank(html), col_(url))
-            .otherwise(F.coalesce(F.nullif(by_link, F.lit("")), F.nullif(by_og, F.lit("")), col_(url))))
-
-
-def meta_entries(clean_html) -> Column:
-    """Array of struct(pos, key, value) for every meta tag that has a non-empty
-    content and a non-empty name (or, failing that, property)."""
-    tags = meta_tag_array(clean_html)
-    with_pos = F.transform(tags, lambda t, i: F.struct(
-        i.alias("pos"),
-        F.when(attr(t, "name") != "", attr(t, "name")).otherwise(attr(t, "property")).alias("key"),
-        attr(t, "content").alias("value")))
-    return F.filter(with_pos, lambda e: (e["key"] != "") & (e["value"] != ""))
-
-
-def meta_map(clean_html, html) -> Column:
-    """Meta tags as a key-sorted map; a later duplicate key wins. NULL for
-    pages without HTML (the fallback case)."""
-    entries = meta_entries(clean_html)
-    # Keep, per key, the entry with the highest position: sort by key asc,
-    # pos desc, then drop entries whose key equals the previous entry's key.
-    ordered = F.array_sort(F.transform(entries, lambda e: F.struct(
-        e["key"].alias("key"), (-e["pos"]).alias("npos"), e["value"].alias("value"))))
-    last_wins = F.filter(ordered, lambda e, i: (i == 0) | (e["key"] != F.get(ordered, i - 1)["key"]))
-    m = F.map_from_entries(F.transform(last_wins, lambda e: F.struct(e["key"], e["value"])))
-    return F.when(is_blank(html), F.lit(None).cast("map<string,string>")).otherwise(m)
+def _attributes(clean_html: Column, tag: str) -> Column:
+    """Per tag the attributes' names (lower case) and values, in order."""
+    def cut(t: Column) -> Column:
+        inner = F.substr(t, F.lit(len(tag) + 2))
+        group = lambda i: F.regexp_extract_all(inner, F.lit(ATTRIBUTE), i)
+        join = lambda a, b: F.concat(a, b)
+        values = F.zip_with(F.zip_with(group(2), group(3), join), group(4), join)
+        return F.struct(F.transform(group(1), lambda x: F.lower(x)).alias("names"), values.alias("values"))
+    return F.transform(F.regexp_extract_all(clean_html, F.lit(TAG % tag), 0), cut)
+
+
+def _fields(attributes: Column, wanted: tuple[str, ...]) -> Column:
+    """Per tag each wanted attribute's decoded value; null if it has none. Of a
+    repeated attribute the first counts."""
+    def pick(a: Column, name: str) -> Column:
+        at = F.array_position(a["names"], name)
+        return F.when(at > 0, decode_entities(F.get(a["values"], (at - 1).cast("int"))))
+    return F.transform(attributes, lambda a: F.struct(*(pick(a, name).alias(name) for name in wanted)))
+
+
+def _first(tags: str, key: str, wanted: str, value: str) -> Column:
+    """``value`` of the first tag that has it and whose ``key`` is ``wanted``
+    (any case, blanks around it); null if there is none or it is empty."""
+    hits = F.filter(F.col(tags), lambda t: (F.lower(F.trim(t[key])) == wanted) & t[value].isNotNull())
+    return F.nullif(F.get(hits, 0)[value], F.lit(""))
+
+
+def with_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """``pages`` with ``title``, ``description``, ``canonical_url`` and ``meta_tags`` (a
+    map; of a repeated key the last value counts; null without HTML)."""
+    blank, keep = is_blank(html), [F.col(c) for c in pages.columns]
+    df = pages.select(*keep, strip_blocks(html).alias("_clean"))
+    df = df.select(*keep, title("_clean", html).alias("title"),
+                   _attributes(F.col("_clean"), "meta").alias("_metas"), _attributes(F.col("_clean"), "link").alias("_links"))
+    df = df.select(*keep, "title", _fields(F.col("_metas"), ("name", "property", "content")).alias("_metas"),
+                   _fields(F.col("_links"), ("rel", "href")).alias("_links"))
+    pairs = F.transform(F.col("_metas"), lambda t, i: F.struct(
+        F.coalesce(F.nullif(t["name"], F.lit("")), t["property"], F.lit("")).alias("key"), (-i).alias("back"),
+        F.coalesce(t["content"], F.lit("")).alias("value")))
+    df = df.select(
+        *keep, "title",
+        F.when(blank, F.lit(K.FALLBACK_DESCRIPTION)).otherwise(F.coalesce(
+            _first("_metas", "name", "description", "content"), _first("_metas", "property", "og:description", "content"),
+            F.concat(F.lit(K.DESCRIPTION_PREFIX), F.col(url)))).alias("description"),
+        F.when(blank, F.col(url)).otherwise(F.coalesce(
+            _first("_links", "rel", "canonical", "href"), _first("_metas", "property", "og:url", "content"),
+            F.col(url))).alias("canonical_url"),
+        F.array_sort(F.filter(pairs, lambda e: (e["key"] != "") & (e["value"] != ""))).alias("_pairs"))
+    # sorted by key, newest first: the first entry of a key is its last tag
+    kept = F.filter(F.col("_pairs"), lambda e, i: (i == 0) | (F.get(F.col("_pairs"), i - 1)["key"] != e["key"]))
+    entries = F.transform(kept, lambda e: F.struct(e["key"], e["value"]))
+    return df.select(*keep, "title", "description", "canonical_url",
+                     F.when(~blank, F.map_from_entries(entries)).alias("meta_tags"))

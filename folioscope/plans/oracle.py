@@ -10,7 +10,6 @@ from __future__ import annotations
 from .. import constants as K
 from . import sqlexpr as X
 from .sqlexpr import q
-from ..functions.html import TITLE as H_TITLE
 
 ORACLE: dict[str, str] = {}
 
@@ -85,11 +84,14 @@ def crawled_docs(name: str = "cdocs") -> list[str]:
 
 META_PAGES_HTML = f"""meta_src AS (
   SELECT doc_id AS page_id, {doc_url()} AS url,
-    CASE doc_id % 5
+    CASE doc_id % 8
       WHEN 0 THEN '<html><head><title>' || split_part(text, chr(10), 1) || '</title><meta name="description" content="About ' || source || '"><meta name="language" content="' || lang || '"></head><body><p>' || split_part(text, chr(10), 1) || '</p></body></html>'
       WHEN 1 THEN '<html><head><TITLE>' || split_part(text, chr(10), 1) || '</TITLE><meta property="og:description" content="OG ' || lang || '"><meta property=''og:url'' content=''https://canon.example.org/' || CAST(doc_id AS VARCHAR) || '''></head></html>'
       WHEN 2 THEN '<html><head><!-- <title>hidden</title> --><title>' || chr(10) || '  ' || split_part(text, chr(10), 1) || '  </title><link href=''https://canon.example.org/' || CAST(doc_id AS VARCHAR) || ''' rel="canonical"><meta content=1 name=k><meta name="k" content="' || source || '"><meta name="e" content=""><meta content=''D &amp; ' || lang || ''' name=description></head></html>'
       WHEN 3 THEN '<html><head><title>   </title><script>var t=''<title>x</title>'';</script></head><body>no title</body></html>'
+      WHEN 5 THEN '<html><head><title>Caf&eacute; &#8217;s &#x27;x &amp;lt; &bogus; &#0;</title><meta name="description" content="Home > ' || source || '"><meta content="set name=foo here" property="og:x"><meta name="a"content="' || lang || '"><link rel=" Canonical " href="https://canon.example.org/?a=1&amp;b=' || CAST(doc_id AS VARCHAR) || '"><meta name=bare content=it''s><meta name=slash content=b/></head></html>'
+      WHEN 6 THEN '<html><head><title>a&nbsp;b &euro;</title><meta name=description><meta NAME=''Description'' CONTENT=''second &quot;' || lang || '&quot;''><meta name=dup content=1 content=2><meta name=dup content=3><meta property=p name='''' content=v><script>document.write(''<meta name=no content=no>'')' || CAST(doc_id AS VARCHAR)
+      WHEN 7 THEN '<html><head><title>Many</title>' || array_to_string(list_transform(range(1, 61), lambda i: '<meta name=k' || CAST(i % 40 AS VARCHAR) || ' content=''' || CAST(i AS VARCHAR) || ' ' || source || '''>'), '') || '</head></html>'
     END AS html
   FROM documents)"""
 
@@ -295,7 +297,7 @@ def _trainable_documents():
 INGEST_REQUESTS = """requests AS (
   SELECT page_id, html,
     CASE page_id % 10
-      WHEN 5 THEN 'HTTP' || substr(url, 5, 100000)
+      WHEN 5 THEN 'HTTP' || substr(url, 5)
       WHEN 6 THEN regexp_replace(url, '^https?', 'ftp')
       WHEN 7 THEN regexp_replace(url, '\\.example\\.', '.exa mple.')
       WHEN 8 THEN ''
@@ -327,7 +329,7 @@ FROM requests r LEFT JOIN {http_reasons_values()} ON r.http_status = hr.http_sta
 
 @oracle("note_quarantine")
 def _note_quarantine():
-    t = X.normalize_ws(X.decode_entities(f"regexp_extract(clean, {q(H_TITLE)}, 1)"))
+    t = X.raw_title("clean")
     return ctes(META_PAGES_HTML, pages_x("meta_src", "mpages_x", "doc|m")) + f"""
 SELECT _id, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason FROM (
   SELECT _id, CASE WHEN title IS NULL OR trim(title) = '' THEN 'Document title is required' END AS reason

@@ -10,7 +10,6 @@ decimal literal would change the arithmetic).
 from __future__ import annotations
 
 from .. import constants as K
-from ..functions import html as H
 
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 
@@ -151,50 +150,81 @@ def iso_seconds(ts: str) -> str:
 
 
 # ---------------------------------------------------------------- HTML
+# Written on its own, with RE2 patterns: nothing here comes from functions/html.py.
 def strip_blocks(h: str) -> str:
-    return f"regexp_replace({h}, {q(H.STRIP_BLOCKS)}, ' ', 'g')"
+    p = r"(?is)<!--.*?(-->|$)|<script\b[^>]*>.*?(</script\s*>|$)|<style\b[^>]*>.*?(</style\s*>|$)"
+    return f"regexp_replace({h}, {q(p)}, ' ', 'g')"
 
 
 def decode_entities(s: str) -> str:
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        s = f"replace({s}, {q(ent)}, {q(ch)})"
-    return s
+    from html.entities import name2codepoint
+    known = sorted(name2codepoint.items()) + [("apos", 39)]
+    names = "[" + ", ".join(q("&" + n + ";") for n, _ in known) + "]"
+    codes = "[" + ", ".join(str(c) for _, c in known) + "]"
+    hexa, deci = "('0x' || regexp_extract(t, '[xX]([0-9a-fA-F]+)', 1))::BIGINT", "regexp_extract(t, '[0-9]+')::BIGINT"
+    one = lambda n: f"CASE WHEN {n} = 0 OR {n} > 1114111 OR {n} BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(({n})::INTEGER) END"
+    return (f"CASE WHEN contains({s}, '&') THEN array_to_string(list_transform("
+            f"regexp_extract_all({s}, '&#[0-9]{{1,7}};?|&#[xX][0-9a-fA-F]{{1,6}};?|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&'), "
+            f"lambda t: CASE WHEN regexp_matches(t, '^&#[xX]') THEN {one(hexa)} WHEN regexp_matches(t, '^&#') THEN {one(deci)} "
+            f"WHEN list_contains({names}, t) THEN chr(({codes}[list_position({names}, t)])::INTEGER) ELSE t END), '') ELSE {s} END")
 
 
 def normalize_ws(s: str) -> str:
     return f"trim(regexp_replace({s}, '\\s+', ' ', 'g'))"
 
 
+ATTRS = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?"""
+
+
+def parts(tag: str, group: int) -> str:
+    return f"regexp_extract_all(regexp_replace({tag}, '^<[a-zA-Z]+', ''), {q(ATTRS)}, {group})"
+
+
+def attr_at(tag: str, name: str) -> str:
+    return f"list_position(list_transform({parts(tag, 1)}, lambda n: lower(n)), {q(name)})"
+
+
 def attr(tag: str, name: str) -> str:
-    p = q(H.attr_pattern(name))
-    return decode_entities(f"(regexp_extract({tag}, {p}, 1) || regexp_extract({tag}, {p}, 2) || regexp_extract({tag}, {p}, 3))")
+    """Decoded value of the first attribute of that name; '' if there is none."""
+    at = attr_at(tag, name)
+    raw = " || ".join(f"coalesce({parts(tag, g)}[{at}], '')" for g in (2, 3, 4))
+    return f"(CASE WHEN coalesce({at}, 0) > 0 THEN {decode_entities(f'({raw})')} ELSE '' END)"
 
 
 def has_attr(tag: str, name: str) -> str:
-    return f"regexp_matches({tag}, {q(r'(?is)\s' + name + r'\s*=')})"
+    return f"coalesce({attr_at(tag, name)}, 0) > 0"
 
 
 def is_blank(h: str) -> str:
     return f"({h} IS NULL OR trim({h}) = '')"
 
 
+def raw_title(clean: str) -> str:
+    p = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+    return normalize_ws(decode_entities(f"regexp_extract({clean}, {q(p)}, 1)"))
+
+
 def title(clean: str, h: str) -> str:
-    t = normalize_ws(decode_entities(f"regexp_extract({clean}, {q(H.TITLE)}, 1)"))
+    t = raw_title(clean)
     return f"(CASE WHEN {is_blank(h)} THEN {q(K.FALLBACK_TITLE)} WHEN {t} = '' THEN {q(K.UNTITLED)} ELSE {t} END)"
 
 
 def _first_content(tags: str, key_attr: str, key_value: str, value_attr: str) -> str:
-    hit = f"list_filter({tags}, lambda t: lower({attr('t', key_attr)}) = {q(key_value)} AND {has_attr('t', value_attr)})[1]"
+    hit = f"list_filter({tags}, lambda t: lower(trim({attr('t', key_attr)})) = {q(key_value)} AND {has_attr('t', value_attr)})[1]"
     return f"coalesce({attr(hit, value_attr)}, '')"
 
 
+def _tags(clean: str, name: str) -> str:
+    p = r"""(?is)<NAME(?:\s|/)(?:[^"'>=]|=\s*"[^"]*"|=\s*'[^']*'|=\s*[^\s>"'][^\s>]*|["'=])*>""".replace("NAME", name)
+    return f"regexp_extract_all({clean}, {q(p)})"
+
+
 def meta_tags(clean: str) -> str:
-    return f"regexp_extract_all({clean}, {q(H.META_TAG)})"
+    return _tags(clean, "meta")
 
 
 def link_tags(clean: str) -> str:
-    return f"regexp_extract_all({clean}, {q(H.LINK_TAG)})"
+    return _tags(clean, "link")
 
 
 def description(clean: str, h: str, url: str) -> str:

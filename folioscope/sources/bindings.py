@@ -73,21 +73,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_pages(pages: DataFrame, id_prefix: str = "doc|p", keep: tuple = ()) -> DataFrame:
     """Raw pages (page_id, url, html) → document metadata columns (plus the
     ``keep`` columns carried through)."""
-    clean = H.strip_blocks(F.col("html"))
-    return (pages
-            .withColumn("_clean", clean)
-            .select(
-                *keep,
-                F.concat(F.lit(id_prefix), F.col("page_id").cast("string")).alias("_id"),
-                F.col("page_id"),
-                F.col("url"),
-                H.title(F.col("_clean"), F.col("html")).alias("title"),
-                H.description(F.col("_clean"), F.col("html"), F.col("url")).alias("description"),
-                H.canonical_url(F.col("_clean"), F.col("html"), F.col("url")).alias("canonical_url"),
-                H.meta_map(F.col("_clean"), F.col("html")).alias("meta_tags"),
-                _at_seconds(F.col("page_id") * 60).alias("fetched_at"),
-                F.length(F.col("html")).cast("long").alias("size_bytes"),
-            ))
+    found = H.with_metadata(pages.select("page_id", "url", "html", *(c for c in keep if c not in ("page_id", "url", "html"))))
+    return found.select(
+        *keep,
+        F.concat(F.lit(id_prefix), F.col("page_id").cast("string")).alias("_id"),
+        *(c for c in ("page_id", "url") if c not in keep),
+        "title", "description", "canonical_url", "meta_tags",
+        _at_seconds(F.col("page_id") * 60).alias("fetched_at"),
+        F.length(F.col("html")).cast("long").alias("size_bytes"))
 
 
 def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +88,11 @@ def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meta_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """HTML composed from documents; the variant is picked by doc_id mod 5."""
+    """HTML composed from documents; the variant is picked by doc_id mod 8."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
     did = F.col("doc_id").cast("string")
     title = F.substring_index(F.col("text"), "\n", 1)
-    v = F.col("doc_id") % 5
+    v = F.col("doc_id") % 8
     html = (
         F.when(v == 0, F.concat(
             F.lit("<html><head><title>"), title, F.lit("</title><meta name=\"description\" content=\"About "),
@@ -116,6 +109,20 @@ def meta_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("\"><meta name=\"e\" content=\"\"><meta content='D &amp; "), F.col("lang"),
             F.lit("' name=description></head></html>")))
         .when(v == 3, F.lit("<html><head><title>   </title><script>var t='<title>x</title>';</script></head><body>no title</body></html>"))
+        .when(v == 5, F.concat(
+            F.lit("<html><head><title>Caf&eacute; &#8217;s &#x27;x &amp;lt; &bogus; &#0;</title><meta name=\"description\" content=\"Home > "),
+            F.col("source"), F.lit("\"><meta content=\"set name=foo here\" property=\"og:x\"><meta name=\"a\"content=\""), F.col("lang"),
+            F.lit("\"><link rel=\" Canonical \" href=\"https://canon.example.org/?a=1&amp;b="), did,
+            F.lit("\"><meta name=bare content=it's><meta name=slash content=b/></head></html>")))
+        .when(v == 6, F.concat(
+            F.lit("<html><head><title>a&nbsp;b &euro;</title><meta name=description><meta NAME='Description' CONTENT='second &quot;"),
+            F.col("lang"), F.lit("&quot;'><meta name=dup content=1 content=2><meta name=dup content=3><meta property=p name='' content=v>"
+                                 "<script>document.write('<meta name=no content=no>')"), did))
+        .when(v == 7, F.concat(
+            F.lit("<html><head><title>Many</title>"),
+            F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(
+                F.lit("<meta name=k"), (i % 40).cast("string"), F.lit(" content='"), i.cast("string"), F.lit(" "), F.col("source"), F.lit("'>"))), ""),
+            F.lit("</head></html>")))
     )
     return d.select(F.col("doc_id").alias("page_id"),
                     _doc_url(F.col("source"), F.col("lang"), F.col("doc_id")).alias("url"),
@@ -131,7 +138,7 @@ def request_columns(pages: DataFrame) -> DataFrame:
     with some malformed or non-HTTP variants; create_note off for every third
     page; fetch status as the reachability probe would report it."""
     v = F.col("page_id") % 10
-    url = (F.when(v == 5, F.concat(F.lit("HTTP"), F.substring(F.col("url"), 5, 100000)))
+    url = (F.when(v == 5, F.concat(F.lit("HTTP"), F.substr(F.col("url"), F.lit(5))))
            .when(v == 6, F.regexp_replace(F.col("url"), r"^https?", "ftp"))
            .when(v == 7, F.regexp_replace(F.col("url"), r"\.example\.", ".exa mple."))
            .when(v == 8, F.lit(""))

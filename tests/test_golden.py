@@ -45,6 +45,53 @@ def test_title_ignores_comments_and_scripts(spark):
     assert one(df.select(H.title(clean, F.col("html")).alias("t")), "t") == ["A & B"]
 
 
+def _metadata(spark, *pages):
+    df = spark.createDataFrame([(i, f"https://a/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r for r in extract_pages(df).collect()}
+
+
+def test_attributes_of_real_tags(spark):
+    out = _metadata(
+        spark, '<meta name="description" content="Home > Shop">',
+        '<meta content="set name=foo here" property="og:x">', '<meta name="a"content="b"><meta name=u content=it\'s><META NAME=slash CONTENT=b/>',
+        '<link rel=" Canonical " href="https://c/?a=1&amp;b=2">', '<meta name=description><meta name="Description" content="second">',
+        '<meta name=dup content=1 content=2><meta name=dup content=3><meta name="" property=p content=v><meta name=x content="">',
+        '<title>t</title><script>document.write("<meta name=no content=no>")', '<meta name="open content="x>',
+        '<metadata name=no content=no><meta><meta/>')
+    assert out[0]["description"] == "Home > Shop"
+    assert out[1]["meta_tags"] == {"og:x": "set name=foo here"}
+    assert out[2]["meta_tags"] == {"a": "b", "u": "it's", "slash": "b/"}
+    assert out[3]["canonical_url"] == "https://c/?a=1&b=2"
+    assert out[4]["description"] == "second" and out[4]["meta_tags"] == {"Description": "second"}
+    assert out[5]["meta_tags"] == {"dup": "3", "p": "v"}
+    assert out[6]["meta_tags"] == {} and out[6]["title"] == "t"
+    assert out[8]["meta_tags"] == {}
+
+
+def test_entities_are_decoded_once(spark):
+    out = _metadata(spark, "<title>Caf&eacute; &#8217;s &#x27;x &amp;lt; &bogus; &#0; &#x1F600; A&B</title>"
+                           '<meta name=k content="a&nbsp;b &quot;&apos;&lt;">')
+    assert out[0]["title"] == "Café \u2019s 'x &lt; &bogus; \ufffd \U0001f600 A&B"
+    assert out[0]["meta_tags"] == {"k": "a\xa0b \"'<"}
+
+
+def test_many_meta_tags_cost_in_proportion(spark):
+    import time
+
+    def seconds(n):
+        page = F.concat(F.lit("<title>t</title>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(
+            F.lit("<meta name='k"), i.cast("string"), F.lit("' content='v'>"))), ""))
+        df = spark.range(200).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(page, F.col("id").cast("string")).alias("html"))
+        best = 1e9
+        for _ in range(2):
+            t = time.time()
+            extract_pages(df).write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - t)
+        return best
+    seconds(50)
+    assert seconds(400) < 6 * seconds(100) + 1
+
+
 # ---------------------------------------------------------------- URL check
 @pytest.mark.parametrize("url,msg", [
     ("http://a.b", None), ("https://a.b/c?d=1", None),
