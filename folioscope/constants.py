@@ -97,7 +97,17 @@ TFIDF_MAX_FEATURES = 1000
 TFIDF_THRESHOLD = 0.6
 TFIDF_CLASSIFIER = "ml-tfidf-v1.0"
 MIN_TOKEN_LENGTH = 3  # tokens longer than two characters
-MAX_BODY_CHARS = 100_000
+# FIXED VALUES: the generic syntax of a URI reference (RFC 2396 with the
+# "other" characters of java.net.URI), as one pattern per part.
+_ESCAPED = r"%[0-9A-Fa-f]{2}"
+_OTHER = r"[^\x00-\x7F\s\p{Z}\p{C}]"
+_PCHAR = rf"(?:[A-Za-z0-9_.!~*'(),;:$&+=@\-]|{_ESCAPED}|{_OTHER})"
+_URIC = rf"(?:[A-Za-z0-9_.!~*'(),;:$&+=@/?\[\]\-]|{_ESCAPED}|{_OTHER})"
+_AUTHORITY = rf"(?:[A-Za-z0-9_.!~*'(),;:$&+=@\-]|{_ESCAPED}|{_OTHER})*+(?:\[[0-9A-Fa-f:.%]++\](?::[0-9]*+)?)?"
+_HIERARCHY = rf"(?://(?:(?=[^/?#]){_AUTHORITY}|(?=[/?#]))(?:/{_PCHAR}*+)*+|(?!//)/{_PCHAR}*+(?:/{_PCHAR}*+)*+)"
+_RELATIVE = rf"(?:(?![:/?#])(?:(?!:){_PCHAR})++(?:/{_PCHAR}*+)*+)?"
+URI_REFERENCE = (rf"\A(?:[A-Za-z][A-Za-z0-9+.\-]*+:(?:{_HIERARCHY}(?:\?{_URIC}*+)?|(?!/){_URIC}++)"
+                 rf"|(?:{_HIERARCHY}|{_RELATIVE})(?:\?{_URIC}*+)?)(?:#{_URIC}*+)?\z")
 
 # FIXED VALUES — external model request / labels.
 MODEL_TOOL_NAME = "classify_document"

@@ -47,8 +47,8 @@ def meta_values_text(meta) -> Column:
         F.concat(F.array_join(vals, " "), F.lit(" ")))
 
 
-def capped_text(text, max_chars: int = K.MAX_BODY_CHARS) -> Column:
-    return F.coalesce(F.substring(col_(text), 1, max_chars), F.lit(""))
+def body_text(text) -> Column:
+    return F.coalesce(col_(text), F.lit(""))
 
 
 def rules_text(title, description, url, meta) -> Column:
@@ -75,11 +75,14 @@ def url_domain(url) -> Column:
 
 def url_check(url) -> Column:
     """Syntactic URL check → NULL when valid, else the rejection message.
-    Scheme must be exactly ``http`` or ``https`` (case-sensitive)."""
+
+    The whole text must be a URI reference; one without a scheme is well
+    formed, but not accepted. The scheme must be exactly ``http`` or ``https``
+    (case-sensitive)."""
     u = col_(url)
     return (
         F.when(u.isNull() | (F.trim(u) == ""), F.lit(K.MSG_URL_REQUIRED))
-        .when(~u.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:[^\s\x00-\x1F\"<>\\^`{|}]+$"), F.lit(K.MSG_BAD_FORMAT))
+        .when(~u.rlike(K.URI_REFERENCE), F.lit(K.MSG_BAD_FORMAT))
         .when(~u.rlike(r"^https?:"), F.lit(K.MSG_BAD_SCHEME))
     )
 

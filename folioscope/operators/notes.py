@@ -89,7 +89,7 @@ def note_title(content: Column, file_name: Column) -> Column:
     name with '.md' removed."""
     first = F.substring_index(content, "\n", 1)
     first = F.regexp_replace(first, r"\r$", "")
-    return F.when(first.startswith("# "), F.trim(F.substring(first, 3, 1 << 30))).otherwise(
+    return F.when(first.startswith("# "), F.trim(F.substr(first, F.lit(3)))).otherwise(
         F.replace(file_name, F.lit(".md"), F.lit("")))
 
 

@@ -25,25 +25,39 @@ def lookup(docs: DataFrame, keys: DataFrame, key: str = "_id") -> DataFrame:
             .select(key, F.coalesce(F.col("_hit"), F.lit(False)).alias("exists"), "title"))
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str = "_id") -> tuple[DataFrame, DataFrame]:
-    """Save a batch of changes. A change whose ``_rev`` equals the stored
-    revision (or any change for a new id) is applied and the revision moves
-    to ``_rev + 1`` (new ids start at 1); a change with another revision is a
-    conflict and leaves the stored row as it is. Returns (store, conflicts).
-
-    Several changes for one key keep the highest revision. That pick is an
-    aggregation (``max_by``) rather than a window, so a key that receives a
-    large share of all changes is reduced map-side before the shuffle."""
-    cur = base.select(F.col(key), F.col("_rev").alias("_cur_rev"))
-    ch = changes.join(cur, key, "left")
-    ok = F.col("_cur_rev").isNull() | F.coalesce(F.col("_rev") == F.col("_cur_rev"), F.lit(False))
+def upsert(base: DataFrame, changes: DataFrame, key: str = "_id", order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Save a batch of changes, one after the other per key. Returns (store,
+    conflicts); every change is in exactly one of them.
+
+    A change whose ``_rev`` equals the stored revision is applied and moves the
+    revision to ``_rev + 1``; a change without a revision creates a new key at
+    revision 1. Any other change is a conflict: a used or unknown revision, a
+    revision for a key that is not stored, none for a key that is. So of
+    several changes for one key one is applied, the first by the ``order``
+    columns, then by the hash of its values; the others come too late.
+
+    The winner per key is a ``min`` over (order, hash), reduced before the
+    shuffle, so a key with a large share of all changes is one row per task.
+    The store is joined once, on the key."""
     cols = [c for c in changes.columns if c != key]
-    picked = (ch.where(ok).groupBy(key)
-              .agg(F.max_by(F.struct(*cols, "_cur_rev"), F.coalesce(F.col("_rev"), F.lit(-1))).alias("_c"))
-              .select(key, "_c.*"))
-    applied = (picked.withColumn("_rev", F.when(F.col("_cur_rev").isNull(), F.lit(1)).otherwise(F.col("_rev") + 1))
-               .drop("_cur_rev"))
-    conflicts = ch.where(~ok).select(key, F.col("_rev").alias("rejected_rev"), F.col("_cur_rev").alias("current_rev"))
+    rank = F.struct(*order, F.xxhash64(*changes.columns).alias("_hash"))
+    ranked = changes.withColumn("_rank", rank).withColumn("_new", F.col("_rev").isNull())
+    # rows equal in every column count as one change made several times
+    dealt = ranked.groupBy(key, *cols, "_rank", "_new").agg(F.count(F.lit(1)).alias("_times"))
+    current = base.select(F.col(key), F.col("_rev").alias("_current"), F.lit(True).alias("_stored"))
+    joined = dealt.join(current, key, "left")
+    fits = F.when(F.col("_stored").isNull(), F.col("_new")).otherwise(F.coalesce(F.col("_rev") == F.col("_current"), F.lit(False)))
+    joined = joined.withColumn("_fits", fits)
+    first = joined.where("_fits").groupBy(key).agg(F.min("_rank").alias("_first"))
+    judged = joined.join(first.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (F.col("_rank") == F.col("_first")) & F.col("_fits"), "left")
+    won = F.col("_key").isNotNull()
+    applied = judged.where(won).select(key, *cols, "_current").withColumn(
+        "_rev", F.when(F.col("_current").isNull(), F.lit(1)).otherwise(F.col("_current") + 1)).drop("_current")
+    late = F.col("_times") - F.when(won, F.lit(1)).otherwise(F.lit(0))
+    conflicts = judged.withColumn("_late", late).where("_late > 0").select(
+        key, F.col("_rev").alias("rejected_rev"),
+        F.when(F.col("_stored"), F.col("_current")).alias("current_rev"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_late"))).alias("_n")).drop("_n")
     kept = base.join(applied.select(key), key, "left_anti")
     return kept.unionByName(applied.select(*base.columns)), conflicts
 
@@ -62,7 +76,8 @@ def attach(docs: DataFrame, attachments: DataFrame, key: str = "_id") -> tuple[D
 
 
 def fetch_attachment(docs: DataFrame, attachments: DataFrame, key: str = "_id") -> DataFrame:
-    """Document ⋈ attachment on (id, stored attachment name)."""
+    """Document ⋈ attachment on (id, stored attachment name); orphans have no
+    document to join, so the payload passes one join only."""
     a = attachments.select(F.col("doc_id").alias(key), F.col("name").alias("pdf_name"), "content_type", "length", "data")
     return docs.join(a, [key, "pdf_name"], "inner")
 

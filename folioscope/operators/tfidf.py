@@ -1,11 +1,11 @@
 """TF-IDF cosine classifier (training, vectors, scoring) as DataFrame plans.
 
-Model = three small tables whose size is bounded by the parameters (each
-persisted once computed):
+Model = small tables, written once to the shared folder:
 ``vocab(term, df, idx, idf)`` has at most ``max_features`` rows and
 ``class_vectors(category, term, weight)`` at most classes × ``max_features``.
-Both are broadcast behind a size check; the corpus-sized frames are only
-ever aggregated (with map-side partial aggregation) or streamed past them.
+As written tables they have a known size, so Spark broadcasts them below its
+own threshold and shuffles above it. The corpus-sized frames are only ever
+aggregated or streamed past them, and nothing stays cached.
 
 Semantics: one class per training document (its first category); document
 frequency counts documents; vocabulary = terms with df ≥ ``min_df``, the
@@ -20,12 +20,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import bounded_broadcast, reliable
+from ..session import reliable
 
 
 @dataclass
@@ -34,30 +33,16 @@ class TfidfModel:
     class_vectors: DataFrame  # category, term, weight
     n_docs: DataFrame         # one row: n_docs
 
-    def persist(self) -> "TfidfModel":
-        return TfidfModel(self.vocab.persist(), self.class_vectors.persist(), self.n_docs.persist())
 
-
-def explode_tokens(df: DataFrame, text_col: str, keep: list[str], distinct: bool = False,
+def explode_tokens(df: DataFrame, text_col: str, keep: list[str],
                    stop_words=K.STOP_WORDS, min_len: int = K.MIN_TOKEN_LENGTH) -> DataFrame:
     """One row per token. The split runs in the JVM; the length and stop-word
     filters run after ``explode`` so they stay inside whole-stage codegen."""
     parts = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\W_]+")
-    if distinct:
-        parts = F.array_distinct(parts)
     return (df.select(*keep, F.explode(parts).alias("term"))
             .where((F.length("term") >= min_len) & ~F.col("term").isin(list(stop_words))))
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", key: str = "doc_id", keep: tuple = ()) -> DataFrame:
-    """(doc, *keep, term, tf): the corpus tokenised once. Every later TF-IDF
-    step (document frequency, class vectors, document vectors) is derived from
-    this table. Partial aggregation collapses a document's repeated tokens
-    before the shuffle."""
-    return (explode_tokens(docs, text_col, [key, *keep])
-            .groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
 # Added once to every document's distinct tokens: its document frequency is
 # the number of documents (tokens are ASCII letters/digits, so it cannot
 # collide with a real term).
@@ -80,7 +65,7 @@ def document_frequency(train: DataFrame, text_col: str = "text", key: str = "doc
 def vocabulary(train: DataFrame, text_col: str = "text", key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
                max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
     """(vocab(term, df, idx, idf), n_docs) from one pass over the training
-    text. The vocabulary has at most ``max_features`` rows and is persisted.
+    text. The vocabulary has at most ``max_features`` rows and is written once.
 
     The sentinel's frequency is N, the largest possible, and it sorts before
     every real term, so it is always the first row of the top-k; N is read
@@ -92,105 +77,96 @@ def vocabulary(train: DataFrame, text_col: str = "text", key: str = "doc_id", mi
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n = F.max(F.when(F.col("term") == DOC_SENTINEL, F.col("df"))).over(whole).cast("long")
     ranked = top.select("term", "df", (F.row_number().over(w) - 2).alias("idx"), n.alias("n_docs"))
-    vocab = (ranked.where(F.col("term") != DOC_SENTINEL)
-             .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"), "n_docs")
-             .persist(StorageLevel.MEMORY_AND_DISK))
+    vocab = reliable(ranked.where(F.col("term") != DOC_SENTINEL)
+                     .select("term", "df", "idx", F.log(F.col("n_docs") / F.col("df")).alias("idf"), "n_docs"), "tfidf-vocab")
     return vocab.drop("n_docs"), vocab.select("n_docs").limit(1)
 
 
 def top_terms(df_table: DataFrame, min_df: int = K.TFIDF_MIN_DF, max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
-    """Vocabulary: df ≥ min_df, top ``max_features`` by df desc, term asc.
-    The cut is a top-k (TakeOrderedAndProject); the index is assigned over
-    the ≤ max_features survivors only."""
+    """Vocabulary of a (term, df) table: df ≥ min_df, top ``max_features`` by df
+    desc, term asc. The cut is a top-k (TakeOrderedAndProject); the index is
+    assigned over the ≤ max_features survivors only."""
     top = (df_table.where(F.col("df") >= min_df)
            .orderBy(F.desc("df"), F.asc("term")).limit(max_features))
     w = Window.orderBy(F.desc("df"), F.asc("term"))
     return top.withColumn("idx", F.row_number().over(w) - 1)
 
 
-def _vocab_side(vocab: DataFrame, max_features: int) -> DataFrame:
-    # The vocabulary is cut to ``max_features`` rows by construction, so its
-    # size is bounded by the parameter; above a million terms, shuffle instead.
-    v = vocab.select("term", "idf")
-    return F.broadcast(v) if max_features <= 1_000_000 else v
+def vocab_tokens(docs: DataFrame, vocab: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """Tokens restricted to the vocabulary, with their idf — applied before any
+    aggregation, so only vocabulary terms reach a shuffle."""
+    return explode_tokens(docs, text_col, keep).join(vocab.select("term", "idf"), "term")
 
 
-def vocab_tokens(docs: DataFrame, vocab: DataFrame, text_col: str, keep: list[str],
-                 max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
-    """Tokens restricted to the vocabulary (broadcast hash join) with their
-    idf — applied before any aggregation, so only vocabulary terms reach a
-    shuffle."""
-    return explode_tokens(docs, text_col, keep).join(_vocab_side(vocab, max_features), "term")
+def _normalised(tf: DataFrame, group_col: str, out_group: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    # a group (class or document) has at most max_features terms: bounded window
+    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
+    raw = raw.withColumn("_norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group_col))))
+    return raw.select(F.col(group_col).alias(out_group), *keep, "term",
+                      F.when(F.col("_norm") > 0, F.col("w") / F.col("_norm")).otherwise(F.col("w")).alias("weight"))
 
 
-def _normalised(tf: DataFrame, group_col: str, out_group: str) -> DataFrame:
-    raw = tf.withColumn("w", F.col("tf") * F.col("idf"))
-    # a group (class or document) has at most max_features terms: bounded window
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(group_col)))
-    return raw.select(F.col(group_col).alias(out_group), "term",
-                      F.when(norm > 0, F.col("w") / norm).otherwise(F.col("w")).alias("weight"))
+def document_terms(docs: DataFrame, vocab: DataFrame, text_col: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *keep, term, tf, idf) of every document. Vocabulary tokens are dealt
+    by document once; counting, the norm and the scores then all work within
+    that partitioning."""
+    tokens = vocab_tokens(docs, vocab, text_col, [key, *keep]).repartition(key)
+    return tokens.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
 
 
 def train(train_docs: DataFrame, text_col: str = "text", class_col: str = "category",
           key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
-          max_features: int = K.TFIDF_MAX_FEATURES) -> TfidfModel:
+          max_features: int = K.TFIDF_MAX_FEATURES, max_rows: int | None = None) -> TfidfModel:
     """``train_docs``: one row per training document with its class and text.
     N counts every training document, also those without tokens.
 
+    ``max_rows`` bounds the labelled rows the fit reads, in key order; None
+    (the default) takes all.
+
     Two passes over the training text: document frequency and N (per-document
     distinct tokens into a per-term count — the map-side combine sends one
     partial count per term and partition through the shuffle, so frequent
     terms do not skew it), then class term counts over vocabulary tokens only
     (≤ classes × max_features groups)."""
     docs = train_docs.select(key, class_col, text_col)
+    if max_rows is not None:
+        docs = docs.orderBy(key).limit(max_rows)
     vocab, n_docs = vocabulary(docs, text_col, key, min_df, max_features)
-    tf = (vocab_tokens(docs, vocab, text_col, [class_col], max_features)
+    tf = (vocab_tokens(docs, vocab, text_col, [class_col])
           .groupBy(class_col, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    vectors = _normalised(tf, class_col, "category").persist(StorageLevel.MEMORY_AND_DISK)
-    return TfidfModel(vocab, vectors, n_docs)
+    return TfidfModel(vocab, reliable(_normalised(tf, class_col, "category"), "tfidf-classes"), n_docs)
 
 
 def fit_transform(docs: DataFrame, text_col: str = "text", class_col: str = "category",
                   train_col: str = "trainable", key: str = "doc_id", min_df: int = K.TFIDF_MIN_DF,
-                  max_features: int = K.TFIDF_MAX_FEATURES, durable: bool = False) -> tuple[TfidfModel, DataFrame]:
+                  max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[TfidfModel, DataFrame]:
     """Train on the rows flagged ``train_col`` and vectorise every row, with
     two passes over the text: (1) document frequency + N of the training rows,
-    (2) vocabulary-filtered (doc, term, tf) of all rows — persisted (or, with
-    ``durable``, written to the shared folder), far smaller than the text — from which both the class
-    vectors (Σ tf of the training rows per class) and the document vectors
-    are derived."""
+    (2) vocabulary-filtered (doc, term, tf) of all rows — written to the shared
+    folder, far smaller than the text — from which both the class vectors
+    (Σ tf of the training rows per class) and the document vectors come."""
     d = docs.select(key, class_col, train_col, text_col)
     vocab, n_docs = vocabulary(d.where(F.col(train_col)), text_col, key, min_df, max_features)
-    doc_tf = (vocab_tokens(d, vocab, text_col, [key, class_col, train_col], max_features)
-              .groupBy(key, class_col, train_col, "term")
-              .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    # Persisted blocks lost with an executor are recomputed partition by
-    # partition from the (two-pass) lineage; ``durable`` instead writes the
-    # table to the shared checkpoint folder and cuts the lineage.
-    doc_tf = reliable(doc_tf, "tfidf-doc-tf") if durable else doc_tf.persist(StorageLevel.MEMORY_AND_DISK)
+    counted = document_terms(d, vocab, text_col, key, (class_col, train_col))
+    doc_tf = reliable(counted.withColumn("w", F.col("tf") * F.col("idf")).withColumn(
+        "_norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))), "tfidf-doc-terms")
     class_tf = (doc_tf.where(F.col(train_col)).groupBy(class_col, "term")
                 .agg(F.sum("tf").alias("tf"), F.first("idf").alias("idf")))
-    vectors = _normalised(class_tf, class_col, "category").persist(StorageLevel.MEMORY_AND_DISK)
-    doc_vectors = _normalised(doc_tf.select(key, "term", "tf", "idf"), key, key)
+    vectors = reliable(_normalised(class_tf, class_col, "category"), "tfidf-classes")
+    doc_vectors = doc_tf.select(key, "term", F.when(F.col("_norm") > 0, F.col("w") / F.col("_norm")).otherwise(F.col("w")).alias("weight"))
     return TfidfModel(vocab, vectors, n_docs), doc_vectors
 
 
-def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "doc_id",
-                     max_features: int = K.TFIDF_MAX_FEATURES) -> DataFrame:
+def document_vectors(docs: DataFrame, vocab: DataFrame, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, term, weight): tf·idf over vocabulary terms, L2-normalised per
-    document (a zero norm leaves the weights as they are). Tokens are cut to
-    the vocabulary before the (doc, term) aggregation; the per-document
-    window then holds at most ``max_features`` rows."""
-    tf = (vocab_tokens(docs, vocab, text_col, [key], max_features)
-          .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf")))
-    return _normalised(tf, key, key)
+    document (a zero norm leaves the weights as they are)."""
+    return _normalised(document_terms(docs, vocab, text_col, key), key, key)
 
 
 def score(doc_vectors: DataFrame, class_vectors: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Cosine similarity (vectors are unit length): sparse dot product as a
-    broadcast hash join on term + hash aggregation on (doc, category). The
-    class-vector side is broadcast only after its row count is checked."""
-    cv = bounded_broadcast(class_vectors.select("category", "term", F.col("weight").alias("cw")))
+    """Cosine similarity (vectors are unit length): sparse dot product as a join
+    on term and a sum per (doc, category)."""
+    cv = class_vectors.select("category", "term", F.col("weight").alias("cw"))
     return (doc_vectors.join(cv, "term")
             .groupBy(key, "category").agg(F.sum(F.col("weight") * F.col("cw")).alias("score")))
 

@@ -201,9 +201,9 @@ SELECT _id, {X.rules_text('title', 'description', 'url', 'meta_text')} AS rules_
 FROM corpus"""
 
 
-@oracle("capped_text")
-def _capped_text():
-    return f"SELECT doc_id, CAST(length({X.capped('text')}) AS BIGINT) AS capped_length, md5({X.capped('text')}) AS capped_md5 FROM documents"
+@oracle("body_text")
+def _body_text():
+    return "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS body_length, md5(coalesce(text, '')) AS body_md5 FROM documents"
 
 
 @oracle("page_range_text")
@@ -301,6 +301,9 @@ INGEST_REQUESTS = """requests AS (
       WHEN 6 THEN regexp_replace(url, '^https?', 'ftp')
       WHEN 7 THEN regexp_replace(url, '\\.example\\.', '.exa mple.')
       WHEN 8 THEN ''
+      WHEN 9 THEN regexp_replace(url, '^https?://', '')
+      WHEN 4 THEN url || CASE page_id % 3 WHEN 0 THEN '/%zz' WHEN 1 THEN '/[x]' ELSE '/%7Ex?[y]' END
+      WHEN 3 THEN CASE WHEN page_id % 4 = 1 THEN 'http://' ELSE url END
       ELSE url END AS url,
     (page_id % 3 <> 0) AS create_note,
     CASE WHEN page_id % 11 = 4 THEN 404 WHEN page_id % 13 = 9 THEN 503 WHEN page_id % 17 = 3 THEN 301 ELSE 200 END AS http_status
@@ -415,14 +418,16 @@ SELECT k._id, c._id IS NOT NULL AS exists, c.title FROM keys k LEFT JOIN corpus
 
 
 CHANGES = """changes AS (
-  SELECT 'doc|' || CAST(doc_id AS VARCHAR) AS _id, quality AS _rev, 'labelled ' || CAST(doc_id AS VARCHAR) AS title FROM labels
+  SELECT 'doc|' || CAST(doc_id AS VARCHAR) AS _id, quality AS _rev, 'labelled ' || CAST(doc_id AS VARCHAR) AS title, 1 AS seq FROM labels
   UNION ALL
-  SELECT 'doc|p' || CAST(page_id AS VARCHAR), CAST(NULL AS INTEGER), url FROM pages),
-ch AS (SELECT c.*, b._rev AS cur_rev FROM changes c LEFT JOIN corpus b ON c._id = b._id),
-applied AS (
-  SELECT _id, CASE WHEN cur_rev IS NULL THEN 1 ELSE _rev + 1 END AS _rev, title FROM (
-    SELECT *, row_number() OVER (PARTITION BY _id ORDER BY _rev DESC NULLS LAST) AS rn FROM ch
-    WHERE cur_rev IS NULL OR _rev = cur_rev) WHERE rn = 1)"""
+  SELECT 'doc|' || CAST(doc_id AS VARCHAR), quality, 'again labelled ' || CAST(doc_id AS VARCHAR), 2 FROM labels WHERE doc_id % 5 = 0
+  UNION ALL
+  SELECT 'doc|p' || CAST(page_id AS VARCHAR), CAST(NULL AS INTEGER), url, 1 FROM pages),
+ch AS (
+  SELECT *, row_number() OVER (PARTITION BY _id, fits ORDER BY seq) AS rn FROM (
+    SELECT c.*, b._rev AS cur_rev, coalesce(CASE WHEN b._id IS NULL THEN c._rev IS NULL ELSE c._rev = b._rev END, false) AS fits
+    FROM changes c LEFT JOIN corpus b ON c._id = b._id)),
+applied AS (SELECT _id, coalesce(cur_rev + 1, 1) AS _rev, title FROM ch WHERE fits AND rn = 1)"""
 
 
 @oracle("upsert_documents")
@@ -436,7 +441,7 @@ UNION ALL SELECT _id, CAST(_rev AS INTEGER), title FROM applied"""
 def _upsert_conflicts():
     return ctes(CORPUS, CHANGES) + """
 SELECT _id, CAST(_rev AS INTEGER) AS rejected_rev, CAST(cur_rev AS INTEGER) AS current_rev FROM ch
-WHERE NOT (cur_rev IS NULL OR _rev = cur_rev) OR (cur_rev IS NOT NULL AND _rev IS NULL)"""
+WHERE NOT (fits AND rn = 1)"""
 
 
 @oracle("delete_documents")

@@ -27,10 +27,6 @@ def lower(c: str) -> str:
     return f"lower({c})"
 
 
-def capped(c: str, n: int = K.MAX_BODY_CHARS) -> str:
-    return f"coalesce(substr({c}, 1, {n}), '')"
-
-
 def rules_text(title, desc, url, meta_text) -> str:
     return f"({part(title)} || {part(desc)} || {part(url)} || {meta_text})"
 
@@ -73,8 +69,23 @@ def url_domain(c: str) -> str:
 
 
 def url_check(c: str) -> str:
-    return (f"CASE WHEN {c} IS NULL OR trim({c}) = '' THEN {q(K.MSG_URL_REQUIRED)} "
-            f"WHEN NOT regexp_matches({c}, '^[A-Za-z][A-Za-z0-9+.\\-]*:[^\\s\\x00-\\x1F\"<>\\\\^`{{|}}]+$') THEN {q(K.MSG_BAD_FORMAT)} "
+    """Spelt out on its own: split at '#', '?' and the scheme's ':', then one
+    character class per part."""
+    esc, other = "%[0-9A-Fa-f]{2}", "[^\\x00-\\x7F\\s\\p{Z}\\p{C}]"
+    name = f"([A-Za-z0-9_.!~*''(),;:$&+=@-]|{esc}|{other})*"
+    path, any_ = name.replace(";:", ";:/"), name.replace(";:", ";:/?\\[\\]")
+    ref, frag = f"regexp_replace({c}, '(?s)#.*$', '')", f"regexp_extract({c}, '(?s)#(.*)$', 1)"
+    scheme = f"regexp_extract({ref}, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)"
+    rest = f"(CASE WHEN {scheme} <> '' THEN substr({ref}, length({scheme}) + 2) ELSE {ref} END)"
+    hier, query = f"regexp_replace({rest}, '(?s)[?].*$', '')", f"regexp_extract({rest}, '(?s)[?](.*)$', 1)"
+    good = (f"regexp_full_match({frag}, '{any_}') AND CASE "
+            f"WHEN {scheme} <> '' AND NOT starts_with({rest}, '/') THEN {rest} <> '' AND regexp_full_match({rest}, '{any_}') "
+            f"WHEN starts_with({hier}, '//') THEN regexp_full_match({query}, '{any_}') AND ({hier} <> '//' OR contains({c}, '?') OR contains({c}, '#')) "
+            f"AND regexp_full_match(regexp_extract({hier}, '^//([^/]*)', 1), '{name}(\\[[0-9A-Fa-f:.%]+\\](:[0-9]*)?)?') "
+            f"AND regexp_full_match(regexp_replace({hier}, '^//[^/]*', ''), '{path}') "
+            f"ELSE regexp_full_match({query}, '{any_}') AND regexp_full_match({hier}, '{path}') "
+            f"AND ({scheme} <> '' OR NOT contains(split_part({hier}, '/', 1), ':')) END")
+    return (f"CASE WHEN {c} IS NULL OR trim({c}) = '' THEN {q(K.MSG_URL_REQUIRED)} WHEN NOT ({good}) THEN {q(K.MSG_BAD_FORMAT)} "
             f"WHEN NOT regexp_matches({c}, '^https?:') THEN {q(K.MSG_BAD_SCHEME)} END")
 
 

@@ -1,92 +1,73 @@
-"""Session construction and cluster-safe helpers."""
+"""Session construction and the shared folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Default bound (rows) under which a side is broadcast. Model tables are
-# bounded by their parameters (vocabulary size x classes); rule tables by
-# their definition. Anything above this goes through a shuffle join.
-BROADCAST_ROW_LIMIT = 2_000_000
 
 
 def build_session(master: str | None = None, app: str = "folioscope",
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    """Local/test session. On a cluster the submitter's configuration wins:
-    ``getOrCreate`` keeps an existing session and only fills unset values."""
+                  shuffle_partitions: int | None = None, scan_partitions: int | None = None) -> SparkSession:
+    """The active session as it is, if there is one; else a local session for
+    tests and the bench. On a cluster the submitter starts the session and its
+    settings stay untouched.
+
+    ``scan_partitions`` sets ``folioscope.scanPartitions`` (see
+    ``sources.tables``)."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
+        SparkSession.builder.master(master or os.environ.get("SPARK_MASTER") or f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("FOLIOSCOPE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("FOLIOSCOPE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.files.maxPartitionBytes", str(64 * 1024 * 1024))
     )
+    if scan_partitions:
+        builder = builder.config("folioscope.scanPartitions", str(scan_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the submitter to shared storage. Only when it
-    is unset (tests, local runs) a fresh local folder is created and set."""
+    Where it is unset, a session on one machine (master ``local[...]``) gets a
+    fresh temporary folder. Anywhere else that is an error: executors would
+    write to their own disks."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        return current.rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="folioscope-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        configured = tempfile.mkdtemp(prefix="folioscope-")
     sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+    return (sc.getCheckpointDir() or configured).rstrip("/")
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint folder (never a machine-local temp dir
-    on a cluster)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return "/".join([base, *parts])
+    """A path below the shared folder."""
+    return "/".join([shared_folder(spark), *parts])
 
 
 def reliable(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared checkpoint folder and
-    continue from the written table, cutting the lineage.
-
-    Used after an expensive pass over the text whose result is much smaller
-    than its input: a lost executor then re-reads the table instead of
-    re-running the pass. Parquet is written by one job (an RDD checkpoint
-    needs a second one and Java-serialises rows) and the read-back carries
-    file statistics for the planner. (Never ``localCheckpoint``: that lives
-    on executor disks and is lost with them.)"""
-    import uuid
-    spark = df.sparkSession
-    path = shared_path(spark, "stages", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only after proving it is small.
-
-    The count runs on an already-small, usually cached side (model or rule
-    tables). If it is above the bound the frame is returned unchanged and the
-    optimizer plans a shuffle join instead."""
-    limit = BROADCAST_ROW_LIMIT if max_rows is None else max_rows
-    # limit(limit + 1) keeps the probe itself bounded even on a large input
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    """``df`` written as a Parquet table in the shared folder and read again.
+
+    Used where an expensive pass leaves something small: a lost executor then
+    costs a re-read, and the planner knows the table's real size, so a small
+    one is broadcast by Spark's own threshold. (Never ``localCheckpoint``: that
+    lives on executor disks and is lost with them.)"""
+    path = shared_path(df.sparkSession, "stages", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

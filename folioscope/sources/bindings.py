@@ -142,6 +142,10 @@ def request_columns(pages: DataFrame) -> DataFrame:
            .when(v == 6, F.regexp_replace(F.col("url"), r"^https?", "ftp"))
            .when(v == 7, F.regexp_replace(F.col("url"), r"\.example\.", ".exa mple."))
            .when(v == 8, F.lit(""))
+           .when(v == 9, F.regexp_replace(F.col("url"), r"^https?://", ""))
+           .when(v == 4, F.concat(F.col("url"), F.when(F.col("page_id") % 3 == 0, F.lit("/%zz")).when(
+               F.col("page_id") % 3 == 1, F.lit("/[x]")).otherwise(F.lit("/%7Ex?[y]"))))
+           .when((v == 3) & (F.col("page_id") % 4 == 1), F.lit("http://"))
            .otherwise(F.col("url")))
     status = (F.when(F.col("page_id") % 11 == 4, F.lit(404))
               .when(F.col("page_id") % 13 == 9, F.lit(503))

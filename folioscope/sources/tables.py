@@ -1,7 +1,8 @@
 """Reading the crawl / document tables.
 
 Every read goes through ``read_table`` so column pruning and filter push-down
-reach the Parquet scan (``ReadSchema`` / ``PushedFilters`` in ``explain``)."""
+reach the Parquet scan (``ReadSchema`` / ``PushedFilters`` in ``explain``). Scans
+are split by Spark (``spark.sql.files.maxPartitionBytes``)."""
 
 from __future__ import annotations
 
@@ -11,31 +12,19 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+#: Session setting, off by default: deal the rows of every scan to so many
+#: partitions. For small test files of a single row group only, which one
+#: task would read and work on alone; it shuffles the raw rows.
+SCAN_PARTITIONS = "folioscope.scanPartitions"
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def spread_small_scan(df: DataFrame, min_files: int | None = None) -> DataFrame:
-    """Parallelise the per-row work of a scan that has too few input files.
-
-    A Parquet file with one row group is read by one task, so every regex and
-    tokeniser fused into that scan stage would run on one core. When the
-    source has fewer files than the cluster's default parallelism, rows are
-    spread round-robin once (a shuffle of a small input). A large multi-file
-    input is left alone: its scan is already split across the cluster and a
-    shuffle of raw rows would only cost. Filters and column pruning still
-    push through the repartition to the scan."""
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    n_files = len(df._jdf.inputFiles())  # the listing the scan already holds; py4j takes only its length
-    if n_files >= (min_files or parallelism):
-        return df
-    return df.repartition(parallelism)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-               spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     if columns:
         df = df.select(*columns)
-    return spread_small_scan(df) if spread else df
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from folioscope.session import build_session
-    s = build_session(master="local[*]", app="folioscope-tests", shuffle_partitions=8)
+    s = build_session(master="local[*]", app="folioscope-tests", shuffle_partitions=8, scan_partitions=8)
     yield s
     s.stop()
 

@@ -97,6 +97,10 @@ def test_many_meta_tags_cost_in_proportion(spark):
     ("http://a.b", None), ("https://a.b/c?d=1", None),
     ("HTTP://a.b", K.MSG_BAD_SCHEME), ("ftp://x", K.MSG_BAD_SCHEME),
     ("http://a b", K.MSG_BAD_FORMAT), ("not a url", K.MSG_BAD_FORMAT),
+    ("www.example.com/x", K.MSG_BAD_SCHEME), ("//host/x", K.MSG_BAD_SCHEME), ("/a/b?c", K.MSG_BAD_SCHEME), ("mailto:a@b", K.MSG_BAD_SCHEME),
+    ("http://", K.MSG_BAD_FORMAT), ("http:", K.MSG_BAD_FORMAT), ("http://a/%zz", K.MSG_BAD_FORMAT), ("http://a/[x]", K.MSG_BAD_FORMAT),
+    ("http://a/x?[y]#z", None), ("http://[::1]:80/x", None), ("http://a/é", None), ("http://a/%7E", None), ("http://a|b", K.MSG_BAD_FORMAT),
+    ("http://a/b#c#d", K.MSG_BAD_FORMAT), ("1http://a", K.MSG_BAD_FORMAT), ("http://a\n", K.MSG_BAD_FORMAT), ("http:///path", None),
     ("", K.MSG_URL_REQUIRED), ("   ", K.MSG_URL_REQUIRED), (None, K.MSG_URL_REQUIRED),
 ])
 def test_url_check(spark, url, msg):

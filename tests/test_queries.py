@@ -5,12 +5,11 @@ import pytest
 
 import __spark_entry__ as E
 from folioscope.plans.compare import duck, norm
+from folioscope.plans.oracle import ORACLE
+from folioscope.plans.queries import QUERIES
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -25,6 +24,7 @@ def test_entry(spark):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -1,10 +1,11 @@
 """Behaviour of the scale-related helpers."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import assign, notes, store, tfidf
-from folioscope.session import bounded_broadcast, shared_path
-from folioscope.sources.tables import read_table, spread_small_scan
+from folioscope.session import shared_path
+from folioscope.sources.tables import read_table
 
 from .conftest import SF_SMALL
 
@@ -13,19 +14,43 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_bounded_broadcast_falls_back_above_the_bound(spark):
-    small = spark.range(3).withColumnRenamed("id", "k")
-    big = spark.range(100).withColumnRenamed("id", "k")
-    assert "broadcast" in _plan(spark.range(10).withColumnRenamed("id", "k").join(bounded_broadcast(small, 5), "k")).lower()
-    joined = spark.range(10).withColumnRenamed("id", "k").join(bounded_broadcast(big, 5), "k")
-    assert "strategy=broadcast" not in _plan(joined).lower()
+def test_an_active_session_keeps_its_settings(spark):
+    from folioscope.session import build_session
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "4000")
+    try:
+        assert build_session(shuffle_partitions=8) is spark
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "4000"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
-def test_single_file_scan_is_spread(spark):
-    df = read_table(spark, SF_SMALL, "documents", ["doc_id"])
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    raw = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    assert spread_small_scan(raw, min_files=1) is raw  # enough files: left alone
+def test_a_cluster_without_shared_folder_is_an_error(spark):
+    from folioscope.session import shared_folder
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+def test_scans_are_dealt_only_on_request(spark):
+    key = "folioscope.scanPartitions"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        assert "Repartition" not in _plan(read_table(spark, SF_SMALL, "documents", ["doc_id"]))
+    finally:
+        spark.conf.set(key, before)
+    assert read_table(spark, SF_SMALL, "documents", ["doc_id"]).rdd.getNumPartitions() == int(before)
 
 
 def test_fit_transform_equals_train_then_vectorise(spark):
@@ -52,15 +77,21 @@ def test_document_count_includes_token_less_documents(spark):
     assert abs(idf["spark"] - __import__("math").log(3 / 2)) < 1e-12
 
 
-def test_upsert_hot_key_keeps_highest_revision(spark):
-    base = spark.createDataFrame([("a", 5, "a5")], "_id string, _rev int, title string")
+def test_upsert_loses_no_change(spark):
+    schema = "_id string, _rev int, title string, seq int"
+    base = spark.createDataFrame([("a", 5, "a5"), ("b", 1, "b1")], "_id string, _rev int, title string")
     changes = spark.range(5000).select(F.lit("a").alias("_id"), F.lit(5).alias("_rev"),
-                                       F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"))
-    changes = changes.unionByName(spark.createDataFrame([("a", 4, "old")], "_id string, _rev int, title string"))
-    out, conflicts = store.upsert(base, changes)
-    rows = out.collect()
-    assert len(rows) == 1 and rows[0]["_rev"] == 6 and rows[0]["title"].startswith("t")
-    assert conflicts.count() == 1
+                                       F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.col("id").cast("int").alias("seq"))
+    changes = changes.unionByName(spark.createDataFrame(
+        [("a", 4, "old", 0), ("n", None, "n1", 1), ("n", None, "n2", 0), ("m", 3, "m3", 0), ("b", None, "b?", 0),
+         ("c", None, "same", 0), ("c", None, "same", 0)], schema))
+    out, conflicts = store.upsert(base, changes, order=("seq",))
+    got = {r["_id"]: (r["_rev"], r["title"]) for r in out.collect()}
+    assert got == {"a": (6, "t0"), "b": (1, "b1"), "n": (1, "n2"), "c": (1, "same")}
+    lost = conflicts.groupBy("_id").count().collect()
+    assert {r["_id"]: r["count"] for r in lost} == {"a": 5000, "n": 1, "m": 1, "b": 1, "c": 1}
+    applied = 3
+    assert applied + conflicts.count() == changes.count()
 
 
 def test_merge_is_one_row_per_document_and_name(spark):
@@ -80,12 +111,17 @@ def test_vault_listing_sees_underscore_names(spark):
     assert listed == {"_20240101_000000.md": "_20240101_000000", "note_20240101_000001.md": "T"}
 
 
-def test_durable_fit_matches_persisted_fit(spark):
-    docs = spark.createDataFrame([
-        ("d1", "a", True, "spark spark data cluster"), ("d2", "a", True, "spark data stream"),
-        ("d3", "b", True, "data garden garden soil"), ("d4", "b", True, "garden soil stream")],
-        "doc_id string, category string, trainable boolean, text string")
-    _, v1 = tfidf.fit_transform(docs)
-    _, v2 = tfidf.fit_transform(docs, durable=True)
-    r = lambda df: sorted((a, b, round(c, 9)) for a, b, c in df.select("doc_id", "term", "weight").collect())
-    assert r(v1) == r(v2)
+def test_a_bounded_fit_reads_the_first_rows(spark):
+    docs = spark.createDataFrame([("d1", "a", "spark data"), ("d2", "a", "spark data"), ("d3", "b", "garden soil"), ("d4", "b", "garden soil")],
+                                 "doc_id string, category string, text string")
+    m = tfidf.train(docs, max_rows=2)
+    assert m.n_docs.first()["n_docs"] == 2 and {r["term"] for r in m.vocab.collect()} == {"spark", "data"}
+
+
+def test_fits_leave_nothing_cached(spark):
+    spark.catalog.clearCache()
+    docs = spark.createDataFrame([("d1", "a", True, "spark data"), ("d2", "a", True, "spark data")],
+                                 "doc_id string, category string, trainable boolean, text string")
+    _, vectors = tfidf.fit_transform(docs)
+    vectors.collect()
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
