@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import reliable
 
 
 def builtin_categories(spark: SparkSession) -> DataFrame:
@@ -83,16 +84,20 @@ def rebuild(doc_categories: DataFrame, existing: DataFrame) -> tuple[DataFrame,
 
 def graph_nodes(counts: DataFrame) -> DataFrame:
     """Root node (count = Σ counts) plus one node per category; group is the
-    list position + 1 with the list ordered by name. The position is a
-    ``row_number`` over the category list, which is bounded by the number of
-    distinct categories."""
+    list position + 1 with the list ordered by name. Names are free text, so
+    the list is sorted in ranges: a name's position is its place within its
+    range plus the sizes of the ranges before. The ranges are written once, so
+    that both see the same ones."""
     root = counts.agg(F.coalesce(F.sum("document_count"), F.lit(0)).cast("long").alias("count")).select(
         F.lit(K.GRAPH_ROOT_ID).alias("id"), F.lit(K.GRAPH_ROOT_NAME).alias("name"),
         F.lit(0).alias("group"), "count")
-    w = Window.orderBy("name")
-    cats = counts.select(F.col("name").alias("id"), "name",
-                         F.row_number().over(w).cast("int").alias("group"),
-                         F.col("document_count").cast("long").alias("count"))
+    ranged = counts.select("name", F.col("document_count").cast("long").alias("count")).repartitionByRange("name")
+    ranged = reliable(ranged.withColumn("_range", F.spark_partition_id()), "graph-ranges")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("name"))
+    cats = ranged.withColumn("_place", place).join(before, "_range").select(
+        F.col("name").alias("id"), "name", (F.col("_place") + F.col("_before")).cast("int").alias("group"), "count")
     return root.unionByName(cats)
 
 

@@ -1,9 +1,7 @@
-"""Markdown notes: file names, bodies, quarantine, vault export and listing."""
+"""Markdown notes: file names, bodies, quarantine, and the notes table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,13 +71,14 @@ def markdown(docs: DataFrame, note_text: Column | None = None, meta_tag: str | N
 def notes_table(docs: DataFrame, meta_tag: str | None = K.DEFAULT_NOTE_META_TAG,
                 note_text: Column | None = None) -> DataFrame:
     """(doc_id, file_name, markdown, pdf_path) for documents that pass the
-    note preconditions."""
+    note preconditions; a path only for documents with an attachment."""
     ok, _ = quarantine(docs)
+    attached = F.col("pdf_name").isNotNull() if "pdf_name" in docs.columns else F.lit(False)
     return ok.select(
         F.col("_id").alias("doc_id"),
         T.note_file_name(F.col("title"), F.col("fetched_at")).alias("file_name"),
         markdown(ok, note_text, meta_tag).alias("markdown"),
-        F.concat(F.lit("pdfs/"), T.path_safe_id(F.col("_id")), F.lit(".pdf")).alias("pdf_path"),
+        F.when(attached, F.concat(F.lit("pdfs/"), T.path_safe_id(F.col("_id")), F.lit(".pdf"))).alias("pdf_path"),
         F.col("fetched_at"),
     )
 
@@ -116,69 +115,27 @@ def path_inside_vault(path: Column) -> Column:
     return ~((n == "..") | n.startswith("../"))
 
 
-# ---------------------------------------------------------------- vault export / listing
-def _filesystem(uri: str):
-    """pyarrow filesystem + path for a local path, ``file:`` URI or any
-    scheme pyarrow supports (hdfs://, s3://, gs://, ...)."""
-    from urllib.parse import urlparse
-
-    from pyarrow import fs as pafs
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), urlparse(uri).path
-    if "://" in uri:
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), uri
-
-
-def export_vault(notes: DataFrame, vault_dir: str) -> None:
-    """Write one ``<file_name>`` Markdown file per note under ``vault_dir``.
-
-    Runs on the executors, one batch per partition, through pyarrow's
-    filesystem layer, so ``vault_dir`` may be any shared filesystem URI
-    (local mount, HDFS, object store)."""
-    def write_part(rows: Iterator) -> None:
-        filesystem, root = _filesystem(vault_dir)
-        filesystem.create_dir(root, recursive=True)
-        for r in rows:
-            with filesystem.open_output_stream(f"{root}/{r['file_name']}") as out:
-                out.write(r["markdown"].encode("utf-8"))
-
-    notes.select("file_name", "markdown").foreachPartition(write_part)
-
-
-def list_vault(spark, vault_dir: str, read_partitions: int | None = None) -> DataFrame:
-    """Recursive ``*.md`` listing: name, relative and absolute path, size,
-    modified, title, content; newest first.
-
-    Spark's file sources hide names starting with '_' or '.', and a note whose
-    title has no ASCII letters is named ``_<timestamp>.md``. So the folder is
-    listed (metadata only, as any file source does on the driver) and the
-    contents are read on the executors in Arrow batches."""
-    import pandas as pd
-    from pyarrow import fs as pafs
-
-    filesystem, root = _filesystem(vault_dir)
-    root = root.rstrip("/")
-    infos = filesystem.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-    rows = [(i.path, i.path[len(root) + 1:], int(i.size), int(i.mtime_ns // 1000))
-            for i in infos if i.type == pafs.FileType.File and i.path.endswith(".md")]
-    listing = spark.createDataFrame(rows, "path string, relative_path string, size long, mtime_us long")
-    n = read_partitions or max(1, min(len(rows) // 500 + 1, spark.sparkContext.defaultParallelism * 4))
-
-    def read(batches):
-        fs2, _ = _filesystem(vault_dir)
-        for b in batches:
-            contents = []
-            for p in b["path"]:
-                with fs2.open_input_stream(p) as f:
-                    contents.append(f.readall().decode("utf-8"))
-            yield b.assign(content=pd.Series(contents, index=b.index, dtype=object))
-
-    files = listing.repartition(n).mapInPandas(
-        read, "path string, relative_path string, size long, mtime_us long, content string")
-    name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    return files.select(
-        name.alias("file_name"), "relative_path", F.col("path").alias("absolute_path"), "size",
-        F.timestamp_micros(F.col("mtime_us")).alias("modified"),
-        note_title(F.col("content"), name).alias("title"), "content",
-    ).orderBy(F.desc("modified"), "file_name")
+# ---------------------------------------------------------------- the notes table
+# Notes are rows keyed by document id; the file name is a column, so two notes
+# of one title and second stay two notes.
+def listing(notes: DataFrame) -> DataFrame:
+    """Id, file name, size in bytes, time, and title of every note."""
+    return notes.select("doc_id", "file_name", F.octet_length("markdown").cast("long").alias("size"),
+                        F.col("fetched_at").alias("modified"), note_title(F.col("markdown"), F.col("file_name")).alias("title"))
+
+
+def content(notes: DataFrame, names: DataFrame) -> DataFrame:
+    """Id, file name and text of the notes with a requested file name."""
+    return notes.join(names.select("file_name"), "file_name", "left_semi").select("doc_id", "file_name", F.col("markdown").alias("content"))
+
+
+def exists(notes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Every requested ``doc_id`` with a flag."""
+    found = notes.select("doc_id", F.lit(True).alias("_hit"))
+    return ids.select("doc_id").distinct().join(found, "doc_id", "left").select(
+        "doc_id", F.coalesce("_hit", F.lit(False)).alias("exists"))
+
+
+def delete(notes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The notes without those of the given ``doc_id``; missing ids are a no-op."""
+    return notes.join(ids.select("doc_id"), "doc_id", "left_anti")

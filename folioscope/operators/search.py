@@ -44,6 +44,17 @@ def page(df: DataFrame, offset: int, size: int, order_by=("_id",)) -> DataFrame:
     return df.orderBy(*order_by).offset(offset).limit(size)
 
 
+def page_after(df: DataFrame, last: tuple, size: int, order_by=("_id",)) -> DataFrame:
+    """The ``size`` rows after the row whose sort columns are ``last`` (keyset
+    paging; the last sort column is unique). Unlike an offset, the cost does not
+    grow with the page number: the filter reaches the scan."""
+    after, equal = F.lit(False), F.lit(True)
+    for name, value in zip(order_by, last):
+        after = after | (equal & (F.col(name) > F.lit(value)))
+        equal = equal & (F.col(name) == F.lit(value))
+    return df.where((F.col(order_by[0]) >= F.lit(last[0])) & after).orderBy(*order_by).limit(size)
+
+
 def page_totals(df: DataFrame, size: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("long").alias("total_elements")).select(
         "total_elements", F.ceil(F.col("total_elements") / F.lit(float(size))).cast("long").alias("total_pages"),

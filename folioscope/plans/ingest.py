@@ -60,23 +60,27 @@ def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_status(step_log: DataFrame) -> DataFrame:
-    """Current state per document from an append-only step log. Partial
+    """Current state per document from an append-only step log: last step, times,
+    failures, and whether and when the last pipeline step succeeded. Partial
     aggregation keeps the shuffle to one row per document per partition."""
     fail = ~F.col("success")
+    finished = F.col("success") & (F.col("step") == B.EVENT_STEPS[-1])
     return step_log.groupBy("doc_id").agg(
         F.max_by("step", "at").alias("current_step"),
         F.min("at").alias("started"), F.max("at").alias("ended"),
         F.count(F.lit(1)).cast("long").alias("n_steps"),
         F.max(fail).alias("failed"),
+        F.max(finished).alias("completed"), F.max(F.when(finished, F.col("at"))).alias("completed_at"),
         F.max_by(F.when(fail, F.col("message")), F.when(fail, F.col("at"))).alias("last_error"))
 
 
 def step_progress(step_log: DataFrame, steps=B.EVENT_STEPS) -> DataFrame:
     """Per document and pipeline step: completed / active / pending, by
-    comparing the step's position with the latest successful step."""
+    comparing the step's position with the latest successful step; without one
+    all steps are pending."""
     idx = F.array_position(F.array(*[F.lit(s) for s in steps]), F.col("step"))
-    cur = (step_log.where(F.col("success"))
-           .groupBy("doc_id").agg(F.max_by(idx, "at").alias("current_index")))
+    done = F.col("success")
+    cur = step_log.groupBy("doc_id").agg(F.coalesce(F.max_by(F.when(done, idx), F.when(done, F.col("at"))), F.lit(0)).alias("current_index"))
     arr = F.array(*[F.struct(F.lit(i).alias("step_index"), F.lit(s).alias("step")) for i, s in enumerate(steps, 1)])
     x = cur.select("doc_id", "current_index", F.explode(arr).alias("s")).select("doc_id", "current_index", "s.*")
     state = (F.when(F.col("step_index") < F.col("current_index"), F.lit("completed"))

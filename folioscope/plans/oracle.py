@@ -411,6 +411,10 @@ def _scan_categories():
 LOOKUP_KEYS = "keys AS (SELECT DISTINCT 'doc|' || CAST(user_id AS VARCHAR) AS _id FROM events)"
 
 
+RECLASSIFY_KEYS = """keys AS (
+  SELECT 'doc|' || CAST(user_id AS VARCHAR) AS _id FROM events UNION SELECT 'doc|p' || CAST(page_id AS VARCHAR) FROM pages)"""
+
+
 @oracle("lookup_documents")
 def _lookup_documents():
     return ctes(CORPUS, LOOKUP_KEYS) + """
@@ -511,8 +515,15 @@ FROM {keyword_rows('corpus', K.DEFAULT_KEYWORD_RULES, K.DEFAULT_DOMAIN_RULES)}""
 
 @oracle("rule_classify")
 def _rule_classify():
+    n = len(K.DEFAULT_KEYWORD_RULES)
+    titles = " ".join(f"WHEN {i} THEN array_to_string(list_slice([{', '.join(map(q, words))}], 1, {len(words)} - doc_id % 7), ' ')"
+                      for i, words in enumerate(K.DEFAULT_KEYWORD_RULES.values()))
+    hosts = " ".join(f"WHEN {i} THEN {q(K.DEFAULT_DOMAIN_RULES[c][0])}" for i, c in enumerate(K.DEFAULT_KEYWORD_RULES)
+                     if K.DEFAULT_DOMAIN_RULES.get(c))
+    topical = (f"SELECT 'doc|t' || CAST(doc_id AS VARCHAR), CASE doc_id % {n} {titles} END, CAST(NULL AS VARCHAR), "
+               f"'https://' || CASE doc_id % {n} {hosts} ELSE source END || '/x', '' FROM documents")
     both = ("(SELECT _id, title, description, url, meta_text FROM corpus "
-            "UNION ALL SELECT _id, title, description, url, meta_text FROM cdocs)")
+            f"UNION ALL SELECT _id, title, description, url, meta_text FROM cdocs UNION ALL {topical})")
     return ctes(CORPUS, *crawled_docs(), f"alldocs AS {both}") + f"""
 SELECT _id AS doc_id, category AS name, {r6('confidence')}, {q(K.RULE_CLASSIFIER)} AS classifier
 FROM {keyword_rows('alldocs', K.DEFAULT_KEYWORD_RULES, K.DEFAULT_DOMAIN_RULES)} WHERE confidence >= {K.RULE_THRESHOLD}"""
@@ -538,12 +549,12 @@ def _density_classify():
 SELECT doc_id, name, {r6('confidence')}, classifier FROM dens"""
 
 
-def tfidf_ctes() -> list[str]:
+def tfidf_ctes(first: int | None = None) -> list[str]:
     tok = X.tokens("text")
     return [
         CORPUS,
         f"sdocs AS (SELECT _id AS doc_id, category, pdf_name, {X.tfidf_text('title', 'description', 'meta_text', 'body')} AS text FROM corpus)",
-        "train AS (SELECT doc_id, category, text FROM sdocs WHERE pdf_name IS NOT NULL)",
+        f"train AS (SELECT doc_id, category, text FROM sdocs WHERE pdf_name IS NOT NULL{f' ORDER BY doc_id LIMIT {first}' if first else ''})",
         "ndocs AS (SELECT count(*) AS n_docs FROM train)",
         f"dfreq AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest({tok}) AS term FROM train)) GROUP BY term)",
         f"""vocab AS (
@@ -679,14 +690,14 @@ FROM merged GROUP BY doc_id"""
 
 @oracle("reclassify")
 def _reclassify():
-    return ctes(*merged_ctes(), LOOKUP_KEYS) + """
+    return ctes(*merged_ctes(), RECLASSIFY_KEYS) + """
 SELECT m.doc_id AS _id, 2 AS _rev, arg_min(m.name, m.rank) AS primary_name, CAST(count(*) AS INTEGER) AS n_categories
 FROM merged m JOIN keys k ON m.doc_id = k._id GROUP BY m.doc_id"""
 
 
 @oracle("reclassify_unknown")
 def _reclassify_unknown():
-    return ctes(CORPUS, LOOKUP_KEYS) + "SELECT _id FROM keys WHERE _id NOT IN (SELECT _id FROM corpus)"
+    return ctes(CORPUS, RECLASSIFY_KEYS) + "SELECT _id FROM keys WHERE _id NOT IN (SELECT _id FROM corpus)"
 
 
 @oracle("custom_classifier")
@@ -741,10 +752,19 @@ FROM (SELECT DISTINCT name FROM merged)"""
 
 @oracle("training_metrics")
 def _training_metrics():
-    return ctes(CORPUS) + """
-SELECT CAST(count(*) AS BIGINT) AS documents_processed, CAST(count(DISTINCT category) AS BIGINT) AS categories_learned,
-       string_agg(DISTINCT category, ',' ORDER BY category) AS category_names, count(*) > 0 AS trained
-FROM corpus WHERE pdf_name IS NOT NULL"""
+    return ctes(*tfidf_ctes()) + """
+SELECT category AS category_name, CAST(count(*) AS BIGINT) AS terms,
+       CAST((SELECT count(*) FROM corpus WHERE pdf_name IS NOT NULL) AS BIGINT) AS documents_processed,
+       CAST((SELECT count(DISTINCT category) FROM cvec) AS BIGINT) AS categories_learned
+FROM cvec GROUP BY category"""
+
+
+@oracle("classifiable_categories")
+def _classifiable_categories():
+    rows = ", ".join(f"({q(k)}, {q(n)})" for k, n, _ in K.BUILTIN_CATEGORIES if k != "UNKNOWN")
+    return ctes(CORPUS, density_best("corpus", density_text_sql())) + f"""
+SELECT key, display_name, CAST((SELECT count(*) FROM dens WHERE name = display_name) AS BIGINT) AS document_count
+FROM (VALUES {rows}) v(key, display_name)"""
 
 
 NOTE_CATS = """ncat AS (
@@ -780,14 +800,15 @@ def corpus_notes_sql() -> str:
     return f"""
 SELECT _id AS doc_id, {X.note_file_name('title', 'fetched_at')} AS file_name,
        {markdown_sql(note, tags, cat_section)} AS markdown,
-       'pdfs/' || {X.path_safe_id('_id')} || '.pdf' AS pdf_path
+       CASE WHEN pdf_name IS NOT NULL THEN 'pdfs/' || {X.path_safe_id('_id')} || '.pdf' END AS pdf_path, fetched_at
 FROM corpus c LEFT JOIN ncat_agg a ON a.doc_id = c._id
 WHERE NOT (_id IS NULL OR title IS NULL OR trim(title) = '')"""
 
 
 @oracle("notes_table")
 def _notes_table():
-    return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + corpus_notes_sql()
+    return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + f"""
+SELECT doc_id, file_name, markdown, pdf_path FROM ({corpus_notes_sql()})"""
 
 
 @oracle("note_markdown")
@@ -860,9 +881,20 @@ def _category_page():
     return ctes(CORPUS) + f"SELECT {LISTING} FROM corpus WHERE category = 'fr' ORDER BY _id LIMIT 20 OFFSET 20"
 
 
+@oracle("page_after")
+def _page_after():
+    return ctes(CORPUS) + f"""
+SELECT {LISTING} FROM corpus WHERE url > 'https://src5' OR (url = 'https://src5' AND _id > 'doc|5') ORDER BY url, _id LIMIT 20"""
+
+
+@oracle("tfidf_train_bounded")
+def _tfidf_train_bounded():
+    return ctes(*tfidf_ctes(100)) + f"SELECT term, CAST(df AS BIGINT) AS df, idx, {r6('idf')} FROM vocab"
+
+
 @oracle("capped_training_set")
 def _capped_training_set():
-    return ctes(CORPUS) + "SELECT _id, pdf_name FROM (SELECT * FROM corpus ORDER BY _id LIMIT 1000) WHERE pdf_name IS NOT NULL"
+    return ctes(CORPUS) + "SELECT _id, pdf_name FROM (SELECT * FROM corpus ORDER BY _id LIMIT 100) WHERE pdf_name IS NOT NULL"
 
 
 # ---------------------------------------------------------------- ingest
@@ -906,7 +938,9 @@ def _latest_status():
     return """
 SELECT user_id AS doc_id, arg_max(event_type, ts) AS current_step,
        strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended,
-       CAST(count(*) AS BIGINT) AS n_steps, bool_or(event_type = 'error') AS failed,
+       CAST(count(*) AS BIGINT) AS n_steps, bool_or(event_type = 'error') AS failed, bool_or(event_type = 'purchase') AS completed,
+       strftime(max(ts) FILTER (WHERE event_type = 'purchase'), '%Y-%m-%d %H:%M:%S.%f') AS completed_at,
+       CAST(CAST(round(CAST(epoch_us(max(ts)) - epoch_us(min(ts)) AS DOUBLE) / 1000000.0) AS BIGINT) AS VARCHAR) || 's' AS elapsed,
        arg_max(event_type || ' ' || CAST(event_id AS VARCHAR), ts) FILTER (WHERE event_type = 'error') AS last_error
 FROM events GROUP BY user_id"""
 
@@ -917,8 +951,8 @@ def _step_progress():
     steps = "[" + ", ".join(q(s) for s in EVENT_STEPS) + "]"
     vals = ", ".join(f"({i}, {q(s)})" for i, s in enumerate(EVENT_STEPS, 1))
     return f"""
-WITH cur AS (SELECT user_id AS doc_id, arg_max(list_position({steps}, event_type), ts) AS current_index
-             FROM events WHERE event_type <> 'error' GROUP BY user_id)
+WITH cur AS (SELECT user_id AS doc_id, coalesce(arg_max(list_position({steps}, event_type), ts) FILTER (event_type <> 'error'), 0) AS current_index
+             FROM events GROUP BY user_id)
 SELECT doc_id, s.step, CAST(s.idx AS INTEGER) AS step_index,
        CASE WHEN s.idx < current_index THEN 'completed' WHEN s.idx = current_index THEN 'active' ELSE 'pending' END AS state
 FROM cur CROSS JOIN (VALUES {vals}) AS s(idx, step)"""
@@ -927,16 +961,24 @@ FROM cur CROSS JOIN (VALUES {vals}) AS s(idx, step)"""
 @oracle("vault_listing")
 def _vault_listing():
     return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + f"""
-SELECT file_name, file_name AS relative_path, CAST(octet_length(encode(markdown)) AS BIGINT) AS size,
-       replace(file_name, '.md', '') AS title
+SELECT doc_id, file_name, CAST(octet_length(encode(markdown)) AS BIGINT) AS size,
+       strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS modified, replace(file_name, '.md', '') AS title
 FROM ({corpus_notes_sql()})"""
 
 
 @oracle("note_content")
 def _note_content():
     return ctes(CORPUS, density_best("corpus", density_text_sql()), NOTE_CATS) + f"""
-SELECT file_name, markdown AS content FROM ({corpus_notes_sql()}) n
-WHERE CAST(split_part(doc_id, '|', 2) AS BIGINT) % 6 = 0"""
+SELECT doc_id, file_name, markdown AS content FROM ({corpus_notes_sql()}) n
+WHERE file_name IN (SELECT file_name FROM ({corpus_notes_sql()}) WHERE CAST(split_part(doc_id, '|', 2) AS BIGINT) % 6 = 0)"""
+
+
+@oracle("note_exists")
+def _note_exists():
+    return ctes(CORPUS, RECLASSIFY_KEYS) + """
+SELECT k._id AS doc_id, c._id IS NOT NULL AND k._id NOT IN (SELECT 'doc|' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)
+       AND trim(c.title) <> '' AS exists
+FROM keys k LEFT JOIN corpus c ON k._id = c._id"""
 
 
 @oracle("model_map_batches")

@@ -311,16 +311,23 @@ def store_records(spark, sf_dir) -> DataFrame:
     return docs.unionByName(cats)
 
 
+def stored_records(spark, sf_dir) -> DataFrame:
+    """The store as a table sorted by id, so that filters on type and id prefix
+    reach the files."""
+    from ..session import reliable
+    return reliable(store_records(spark, sf_dir).repartitionByRange("_id").sortWithinPartitions("_id"), "store")
+
+
 @query("scan_documents")
 def scan_documents(spark, sf_dir):
     from ..operators import store as S
-    return S.scan_documents(store_records(spark, sf_dir)).select("_id", "title", "url", "status")
+    return S.scan_documents(stored_records(spark, sf_dir)).select("_id", "title", "url", "status")
 
 
 @query("scan_categories")
 def scan_categories(spark, sf_dir):
     from ..operators import store as S
-    return S.scan_categories(store_records(spark, sf_dir)).select("_id", "name", "document_count")
+    return S.scan_categories(stored_records(spark, sf_dir)).select("_id", "name", "document_count")
 
 
 def _lookup_keys(spark, sf_dir):
@@ -422,7 +429,8 @@ def rule_scores(spark, sf_dir):
 
 @query("rule_classify")
 def rule_classify(spark, sf_dir):
-    docs = B.corpus(spark, sf_dir).unionByName(B.crawled(spark, sf_dir), allowMissingColumns=True)
+    docs = (B.corpus(spark, sf_dir).unionByName(B.crawled(spark, sf_dir), allowMissingColumns=True)
+            .unionByName(B.topical(spark, sf_dir), allowMissingColumns=True))
     return rules.keyword_classify(docs).select("doc_id", "name", r6("confidence"), "classifier")
 
 
@@ -605,23 +613,26 @@ def hybrid_classify(spark, sf_dir):
                        F.array_join(F.transform("categories", lambda c: c["name"]), ", ").alias("names"))
 
 
-def _reclassified(spark, sf_dir):
-    from ..operators import assign
-    from ..operators import store as S
-    keys = _lookup_keys(spark, sf_dir).distinct()
-    docs = scoring_docs(spark, sf_dir)
-    subset = docs.join(keys, "_id", "left_semi")
-    ranked = assign.hybrid(subset, model=train_model(spark, sf_dir), responses=B.predictions(spark, sf_dir))
-    cats = assign.categories_array(ranked).withColumnRenamed("doc_id", "_id")
-    changes = subset.select("_id", "_rev", "title").join(cats, "_id")
-    base = docs.select("_id", "_rev", "title", "categories")
-    stored, _ = S.upsert(base, changes)
-    return stored.join(keys, "_id", "left_semi"), keys.join(docs.select("_id"), "_id", "left_anti")
+def _reclassify_keys(spark, sf_dir) -> DataFrame:
+    """Requested ids: documents named in the event log, and pages, which are not stored."""
+    pages = B.read_table(spark, sf_dir, "pages", ["page_id"]).select(
+        F.concat(F.lit("doc|p"), F.col("page_id").cast("string")).alias("_id"))
+    return _lookup_keys(spark, sf_dir).unionByName(pages).distinct()
 
 
 @query("reclassify")
 def reclassify(spark, sf_dir):
-    stored, _ = _reclassified(spark, sf_dir)
+    """New categories for the requested documents only: every input is cut to
+    them first; the model is trained on all."""
+    from ..operators import assign
+    from ..operators import store as S
+    keys = _reclassify_keys(spark, sf_dir)
+    subset = scoring_docs(spark, sf_dir).join(keys, "_id", "left_semi")
+    responses = B.predictions(spark, sf_dir).join(keys.withColumnRenamed("_id", "doc_id"), "doc_id", "left_semi")
+    ranked = assign.hybrid(subset, model=train_model(spark, sf_dir), responses=responses)
+    cats = assign.categories_array(ranked).withColumnRenamed("doc_id", "_id")
+    changes = subset.select("_id", "_rev", "title").join(cats, "_id")
+    stored, _ = S.upsert(subset.select("_id", "_rev", "title", "categories"), changes)
     return stored.select("_id", F.col("_rev").cast("int").alias("_rev"),
                          F.col("categories")[0]["name"].alias("primary_name"),
                          F.size("categories").cast("int").alias("n_categories"))
@@ -629,8 +640,8 @@ def reclassify(spark, sf_dir):
 
 @query("reclassify_unknown")
 def reclassify_unknown(spark, sf_dir):
-    _, unknown = _reclassified(spark, sf_dir)
-    return unknown.select("_id")
+    """Requested ids that are not stored."""
+    return _reclassify_keys(spark, sf_dir).join(B.corpus(spark, sf_dir).select("_id"), "_id", "left_anti")
 
 
 def length_classifier():
@@ -699,23 +710,36 @@ def rebuild_report(spark, sf_dir):
 
 @query("training_metrics")
 def training_metrics(spark, sf_dir):
-    from ..operators import search as S
-    d = S.trainable(B.corpus(spark, sf_dir)).select(F.col("categories")[0]["name"].alias("category"))
-    return d.agg(F.count(F.lit(1)).cast("long").alias("documents_processed"),
-                 F.countDistinct("category").cast("long").alias("categories_learned"),
-                 F.array_join(F.array_sort(F.collect_set("category")), ",").alias("category_names"),
-                 (F.count(F.lit(1)) > 0).alias("trained"))
+    """What the fitted model learned: one row per class."""
+    m = train_model(spark, sf_dir)
+    classes = m.class_vectors.groupBy("category").agg(F.count(F.lit(1)).cast("long").alias("terms"))
+    return classes.select(F.col("category").alias("category_name"), "terms",
+                          m.n_docs.select(F.col("n_docs").cast("long")).scalar().alias("documents_processed"),
+                          m.class_vectors.agg(F.countDistinct("category")).scalar().alias("categories_learned"))
+
+
+@query("classifiable_categories")
+def classifiable_categories(spark, sf_dir):
+    """Built-in categories a classifier may give (all but unknown), each with
+    the documents that the density rules put there."""
+    found = rules.density_classify(B.corpus(spark, sf_dir)).groupBy("name").agg(F.count(F.lit(1)).cast("long").alias("n"))
+    cats = catalog.classifiable_categories(spark)
+    return cats.join(found, cats["display_name"] == found["name"], "left").select(
+        "key", "display_name", F.coalesce("n", F.lit(0)).cast("long").alias("document_count"))
 
 
 def note_docs(spark, sf_dir) -> DataFrame:
-    """Corpus documents whose category list is the merge of the imported
-    language and the density class, ordered by rank."""
-    from ..operators import assign
-    d = B.corpus(spark, sf_dir)
-    imported = d.select(F.col("_id").alias("doc_id"), F.col("lang").alias("name"),
-                        F.lit(1.0).alias("confidence"), F.lit("import").alias("classifier"))
-    cats = assign.categories_array(assign.merge([imported, rules.density_classify(d)]))
-    return d.drop("categories").join(cats.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    """Corpus documents whose category list is the imported language and the
+    density class, ordered by confidence, then name; of equal names the import
+    counts. Both are in the row, so nothing is joined."""
+    d = rules.density_columns(B.corpus(spark, sf_dir))
+    imported = F.struct(F.col("lang").alias("name"), F.lit(1.0).alias("confidence"), F.lit("import").alias("classifier"))
+    density = F.struct(F.col("density_name").alias("name"), F.col("density_confidence").alias("confidence"),
+                       F.lit(K.DENSITY_CLASSIFIER).alias("classifier"))
+    first = (F.col("density_confidence") < 1.0) | (F.col("lang") <= F.col("density_name"))
+    cats = (F.when(F.col("lang") == F.col("density_name"), F.array(imported))
+            .when(first, F.array(imported, density)).otherwise(F.array(density, imported)))
+    return d.withColumn("categories", cats)
 
 
 @query("notes_table")
@@ -735,15 +759,26 @@ def note_markdown(spark, sf_dir):
     return N.notes_table(d, note_text=given).select("doc_id", "file_name", "markdown")
 
 
+def _toxic_ids(spark, sf_dir) -> DataFrame:
+    toxic = B.read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where(F.col("toxic") == 1)
+    return toxic.select(F.concat(F.lit("doc|"), F.col("doc_id").cast("string")).alias("doc_id"))
+
+
 @query("note_anti_join")
 def note_anti_join(spark, sf_dir):
-    """Delete the notes of toxic documents: remaining notes plus a flag for
-    whether a requested note still exists."""
+    """Delete the notes of toxic documents: the remaining notes."""
     from ..operators import notes as N
-    n = N.notes_table(note_docs(spark, sf_dir), meta_tag="language")
-    toxic = (B.read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where(F.col("toxic") == 1)
-             .select(F.concat(F.lit("doc|"), F.col("doc_id").cast("string")).alias("doc_id")))
-    return n.join(toxic, "doc_id", "left_anti").select("doc_id", "file_name")
+    n = N.notes_table(B.corpus(spark, sf_dir), meta_tag=None)
+    return N.delete(n, _toxic_ids(spark, sf_dir)).select("doc_id", "file_name")
+
+
+@query("note_exists")
+def note_exists(spark, sf_dir):
+    """Whether each requested note is there once the toxic ones are deleted;
+    pages are requested too, which have no notes."""
+    from ..operators import notes as N
+    n = N.delete(N.notes_table(B.corpus(spark, sf_dir), meta_tag=None), _toxic_ids(spark, sf_dir))
+    return N.exists(n, _reclassify_keys(spark, sf_dir).withColumnRenamed("_id", "doc_id"))
 
 
 @query("vault_stats")
@@ -754,37 +789,20 @@ def vault_stats(spark, sf_dir):
                  F.date_format(F.max("fetched_at"), "MMM dd, yyyy HH:mm").alias("last_modified"))
 
 
-def _vault_dir(spark, sf_dir) -> str:
-    import hashlib
-
-    from ..session import shared_path
-    return shared_path(spark, "vault-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12])
-
-
-def _exported_vault(spark, sf_dir) -> str:
-    from ..operators import notes as N
-    vault = _vault_dir(spark, sf_dir)
-    N.export_vault(N.notes_table(note_docs(spark, sf_dir), meta_tag="language"), vault)
-    return vault
-
-
 @query("vault_listing")
 def vault_listing(spark, sf_dir):
     from ..operators import notes as N
-    vault = _exported_vault(spark, sf_dir)
-    return N.list_vault(spark, vault).select("file_name", "relative_path", "size", "title")
+    n = N.listing(N.notes_table(note_docs(spark, sf_dir), meta_tag="language"))
+    return n.select("doc_id", "file_name", "size", F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"), "title")
 
 
 @query("note_content")
 def note_content(spark, sf_dir):
-    """Read requested notes (by file name, after the name guard) from the
-    exported vault."""
+    """Requested notes (by file name, after the name guard)."""
     from ..operators import notes as N
-    vault = _exported_vault(spark, sf_dir)
     wanted = (_path_candidates(spark, sf_dir).where(N.path_is_safe(F.col("candidate")))
               .select(F.col("candidate").alias("file_name")))
-    listing = N.list_vault(spark, vault)
-    return listing.join(wanted, "file_name", "left_semi").select("file_name", "content")
+    return N.content(N.notes_table(note_docs(spark, sf_dir), meta_tag="language"), wanted)
 
 
 @query("category_graph_nodes")
@@ -830,7 +848,26 @@ def category_page(spark, sf_dir):
     return S.page(_listing(S.by_category(B.corpus(spark, sf_dir), CATEGORY_NAME)), offset=PAGE_SIZE, size=PAGE_SIZE)
 
 
-TRAINING_CAP = 1000  # the reference's training request default: first N, then filter
+PAGE_AFTER = ("https://src5", "doc|5")  # url and id of the last row seen
+
+
+@query("page_after")
+def page_after(spark, sf_dir):
+    """Keyset paging: the page after a known row, sorted by url, then id."""
+    from ..operators import search as S
+    return S.page_after(_listing(B.corpus(spark, sf_dir)), PAGE_AFTER, PAGE_SIZE, order_by=("url", "_id"))
+
+
+TRAINING_CAP = 100  # documented bound on the labelled rows of a fit: first N, then filter
+
+
+@query("tfidf_train_bounded")
+def tfidf_train_bounded(spark, sf_dir):
+    """A fit on the first ``TRAINING_CAP`` trainable documents in id order."""
+    from ..operators import tfidf
+    docs = tfidf_docs(spark, sf_dir).where("trainable").select("doc_id", "category", "text")
+    m = tfidf.train(docs, max_rows=TRAINING_CAP)
+    return m.vocab.select("term", F.col("df").cast("long").alias("df"), F.col("idx").cast("int").alias("idx"), r6("idf"))
 
 
 @query("capped_training_set")
@@ -861,7 +898,8 @@ def latest_status(spark, sf_dir):
     from . import ingest as I
     s = I.latest_status(B.step_log(spark, sf_dir))
     return s.select("doc_id", "current_step", F.date_format("started", ISO_MICROS).alias("started"),
-                    F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "last_error")
+                    F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "completed",
+                    F.date_format("completed_at", ISO_MICROS).alias("completed_at"), T.elapsed_text("started", "ended").alias("elapsed"), "last_error")
 
 
 @query("latest_status_stream")
@@ -877,7 +915,8 @@ def latest_status_stream(spark, sf_dir):
     run_status_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", file_glob="events.parquet")
     s = read_status(spark, f"{run}/out")
     return s.select("doc_id", "current_step", F.date_format("started", ISO_MICROS).alias("started"),
-                    F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "last_error")
+                    F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "completed",
+                    F.date_format("completed_at", ISO_MICROS).alias("completed_at"), T.elapsed_text("started", "ended").alias("elapsed"), "last_error")
 
 
 @query("step_progress")

@@ -129,6 +129,22 @@ def meta_pages_html(spark: SparkSession, sf_dir: str) -> DataFrame:
                     html.alias("html"))
 
 
+def topical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose title names a share of the keywords of a built-in rule,
+    on a domain of the rule: the category is picked by doc_id, the last
+    ``doc_id mod 7`` keywords are left out."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "source"])
+    title, host = F.lit(None).cast("string"), F.col("source")
+    for i, (name, words) in enumerate(K.DEFAULT_KEYWORD_RULES.items()):
+        mine = F.col("doc_id") % len(K.DEFAULT_KEYWORD_RULES) == i
+        kept = F.slice(F.array(*map(F.lit, words)), F.lit(1), F.lit(len(words)) - (F.col("doc_id") % 7).cast("int"))
+        title = F.when(mine, F.array_join(kept, " ")).otherwise(title)
+        if K.DEFAULT_DOMAIN_RULES.get(name):
+            host = F.when(mine, F.lit(K.DEFAULT_DOMAIN_RULES[name][0])).otherwise(host)
+    return d.select(F.concat(F.lit("doc|t"), F.col("doc_id").cast("string")).alias("_id"), title.alias("title"),
+                    F.concat(F.lit("https://"), host, F.lit("/x")).alias("url"))
+
+
 def meta_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(meta_pages_html(spark, sf_dir), id_prefix="doc|m")
 

@@ -102,13 +102,44 @@ def test_merge_is_one_row_per_document_and_name(spark):
     assert m.where(F.col("rank") != 1).count() == 0
 
 
-def test_vault_listing_sees_underscore_names(spark):
-    d = spark.createDataFrame([("d1", "_20240101_000000.md", "---\nx"), ("d2", "note_20240101_000001.md", "# T\nbody")],
-                              "doc_id string, file_name string, markdown string")
-    vault = shared_path(spark, "test-vault-underscore")
-    notes.export_vault(d, vault)
-    listed = {r["file_name"]: r["title"] for r in notes.list_vault(spark, vault).collect()}
-    assert listed == {"_20240101_000000.md": "_20240101_000000", "note_20240101_000001.md": "T"}
+def test_equal_titles_stay_two_notes(spark):
+    row = ("Same", "2024-01-01 00:00:00", "u", "u", None, None, 5, {"k": "v"}, [])
+    docs = spark.createDataFrame([("d1", "x.pdf", *row), ("d2", None, *row)],
+                                 "_id string, pdf_name string, title string, at string, url string, canonical_url string, description string, "
+                                 "status string, size_bytes long, meta_tags map<string,string>, "
+                                 "categories array<struct<name:string,confidence:double,classifier:string>>")
+    table = notes.notes_table(docs.withColumn("fetched_at", F.to_timestamp_ntz("at"))).cache()
+    assert {r["doc_id"]: r["pdf_path"] for r in table.collect()} == {"d1": "pdfs/d1.pdf", "d2": None}
+    assert len({r["file_name"] for r in table.collect()}) == 1 and notes.listing(table).count() == 2
+    assert notes.content(table, table.select("file_name").limit(1)).count() == 2
+    ids = spark.createDataFrame([("d1",), ("zz",), ("d1",)], "doc_id string")
+    assert {r["doc_id"]: r["exists"] for r in notes.exists(table, ids).collect()} == {"d1": True, "zz": False}
+    assert [r["doc_id"] for r in notes.delete(table, ids).collect()] == ["d2"]
+    table.unpersist()
+
+
+def test_store_scans_push_down(spark):
+    from folioscope.plans import queries
+    for name in ("scan_documents", "scan_categories"):
+        plan = queries.QUERIES[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        pushed = plan[plan.index("PushedFilters: [") + 16:]
+        assert not pushed.startswith("]"), plan
+
+
+def test_documents_with_failed_steps_only_have_pending_steps(spark):
+    from folioscope.plans import ingest
+    log = spark.createDataFrame([("a", "view", True, "m", 1), ("a", "click", True, "m", 2), ("b", "error", False, "bad", 1)],
+                                "doc_id string, step string, success boolean, message string, at int")
+    got = {(r["doc_id"], r["step"]): r["state"] for r in ingest.step_progress(log).collect()}
+    assert len(got) == 8 and got["a", "click"] == "active" and {v for (d, _), v in got.items() if d == "b"} == {"pending"}
+    status = {r["doc_id"]: r for r in ingest.latest_status(log).collect()}
+    assert not status["a"]["completed"] and status["b"]["last_error"] == "bad"
+
+
+def test_checks_have_rows(spark):
+    from folioscope.plans import queries
+    for name in ("rule_classify", "reclassify_unknown", "capped_training_set", "page_after"):
+        assert queries.QUERIES[name](spark, SF_SMALL).count() > 0, name
 
 
 def test_a_bounded_fit_reads_the_first_rows(spark):
