@@ -35,14 +35,14 @@ def _section(cond: Column, text: Column) -> Column:
     return F.when(cond, text).otherwise(F.lit(""))
 
 
-def markdown(docs: DataFrame, note_text: Column | None = None, meta_tag: str | None = K.DEFAULT_NOTE_META_TAG) -> Column:
+def markdown(docs: DataFrame, note_text: Column | None = None, meta_tag: str | Column | None = K.DEFAULT_NOTE_META_TAG) -> Column:
     """The whole note body as one ``concat`` with conditional sections."""
     fetched = F.date_format(F.col("fetched_at"), ISO_SECONDS)
     cats = F.col("categories")
     has_cats = F.coalesce(F.size(cats) > 0, F.lit(False))
     desc = F.col("description")
     given = note_text if note_text is not None else F.lit(None).cast("string")
-    meta_val = meta_note_text(F.col("meta_tags"), meta_tag) if meta_tag else F.lit(None).cast("string")
+    meta_val = meta_note_text(F.col("meta_tags"), meta_tag) if meta_tag is not None else F.lit(None).cast("string")
     note = F.when(F.coalesce(F.trim(given) != "", F.lit(False)), given).when(
         F.coalesce(F.trim(meta_val) != "", F.lit(False)), meta_val)
     cat_lines = F.array_join(F.transform(F.coalesce(cats, F.array()), lambda c: F.concat(

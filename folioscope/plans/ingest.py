@@ -15,50 +15,83 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import html as H
 from ..functions import text as T
-from ..operators import rules
+from ..operators import assign, notes, rules
+from ..operators.tfidf import TfidfModel
 from ..sources import bindings as B
 
 INGEST_COLUMNS = ["page_id", "_id", "url", "outcome", "failed_step", "error", "title", "pdf_name",
                   "category", "confidence", "note_file"]
 
 
-def ingest(requests: DataFrame, reasons: DataFrame) -> DataFrame:
-    """``requests``: page_id, url, html, create_note, note_meta_tag,
-    http_status (the reachability probe's answer)."""
+def ingest(requests: DataFrame, reasons: DataFrame, model: TfidfModel | None = None,
+           responses: DataFrame | None = None) -> DataFrame:
+    """One row per request, with its outcome, document, categories and note.
+
+    ``requests``: page_id, url, html, create_note, note_meta_tag, http_status (the
+    reachability probe's answer). A failed row carries the step and the error
+    and nothing else; its page is not looked at. Everything is a column of the
+    request's row: with density classes alone the plan has no shuffle. With a
+    ``model`` or external ``responses`` (doc_id, response) the hybrid categories
+    are joined by id."""
     r = requests.join(F.broadcast(reasons), "http_status", "left")
-    url_err = T.url_check("url")
-    fetch_ok = (F.col("http_status") >= 200) & (F.col("http_status") < 400)
-    verify_err = F.when(url_err.isNotNull(), url_err).when(~fetch_ok, T.fetch_outcome("http_status", "reason"))
-    convert_err = F.when(H.is_blank(F.col("html")), F.lit("PDF generation failed: empty page"))
-    staged = r.select("page_id", "url", "html", "create_note",
-                      verify_err.alias("_verify"), convert_err.alias("_convert"))
-    failed_step = (F.when(F.col("_verify").isNotNull(), F.lit(K.INGEST_STEPS[0]))
-                   .when(F.col("_convert").isNotNull(), F.lit(K.INGEST_STEPS[1])))
-    staged = staged.select("*", failed_step.alias("failed_step"),
-                           F.coalesce("_verify", "_convert").alias("error"))
-    ok = staged.where(F.col("failed_step").isNull())
-    bad = staged.where(F.col("failed_step").isNotNull())
-
-    # extraction and classification are columns of the same rows: no join back
-    docs = rules.density_columns(B.extract_pages(ok.select("page_id", "url", "html", "create_note"),
-                                                 keep=("create_note",)))
-    stored = docs.select("page_id", "_id", "url", F.lit("STORED").alias("outcome"),
-                         F.lit(None).cast("string").alias("failed_step"), F.lit(None).cast("string").alias("error"),
-                         "title", T.stored_file_name("title").alias("pdf_name"),
-                         F.col("density_name").alias("category"), F.col("density_confidence").alias("confidence"),
-                         F.when(F.col("create_note"), T.note_file_name("title", "fetched_at")).alias("note_file"))
-    failed = bad.select("page_id", F.concat(F.lit("doc|p"), F.col("page_id").cast("string")).alias("_id"), "url",
-                        F.lit("FAILED").alias("outcome"), "failed_step", "error",
-                        F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("pdf_name"),
-                        F.lit(None).cast("string").alias("category"), F.lit(None).cast("double").alias("confidence"),
-                        F.lit(None).cast("string").alias("note_file"))
-    return stored.unionByName(failed)
+    fetched = (F.col("http_status") >= 200) & (F.col("http_status") < 400)
+    checked = T.url_check("url")
+    r = r.select("page_id", "url", "html", "create_note", "note_meta_tag",
+                 F.when(checked.isNotNull(), checked).when(~fetched, T.fetch_outcome("http_status", "reason")).alias("_verify"),
+                 F.when(H.is_blank(F.col("html")), F.lit("PDF generation failed: empty page")).alias("_convert"))
+    failed = (F.when(F.col("_verify").isNotNull(), F.lit(K.INGEST_STEPS[0]))
+              .when(F.col("_convert").isNotNull(), F.lit(K.INGEST_STEPS[1])))
+    r = r.select("page_id", "url", "create_note", "note_meta_tag", failed.alias("failed_step"), F.coalesce("_verify", "_convert").alias("error"),
+                 F.when(failed.isNull(), F.col("html")).alias("html"))
+    docs = rules.density_columns(B.extract_pages(r, keep=("failed_step", "error", "create_note", "note_meta_tag")))
+    density = F.array(F.struct(F.col("density_name").alias("name"), F.col("density_confidence").alias("confidence"),
+                               F.lit(K.DENSITY_CLASSIFIER).alias("classifier")))
+    if model is None and responses is None:
+        docs = docs.withColumn("categories", density)
+    else:
+        stored = docs.where("failed_step IS NULL").withColumn("tfidf_text", T.tfidf_text("title", "description", "meta_tags", F.lit("")))
+        ranked = assign.hybrid(stored, model=model, responses=responses)
+        found = assign.categories_array(ranked).withColumnRenamed("doc_id", "_id")
+        docs = docs.join(found, "_id", "left")
+    ok = F.col("failed_step").isNull()
+    noted = ok & F.col("create_note")
+    only = lambda c, when=ok: F.when(when, c)
+    return docs.select(
+        "page_id", "_id", "url", F.when(ok, F.lit("STORED")).otherwise(F.lit("FAILED")).alias("outcome"), "failed_step", "error",
+        only(F.col("title")).alias("title"), only(F.col("description")).alias("description"),
+        only(F.col("canonical_url")).alias("canonical_url"), only(F.col("meta_tags")).alias("meta_tags"), "fetched_at", "size_bytes",
+        only(T.stored_file_name("title")).alias("pdf_name"), only(F.col("categories")).alias("categories"),
+        only(F.col("categories")[0]["name"]).alias("category"), only(F.col("categories")[0]["confidence"]).alias("confidence"),
+        only(T.note_file_name("title", "fetched_at"), noted).alias("note_file"),
+        only(notes.markdown(docs, meta_tag=F.col("note_meta_tag")), noted).alias("note"))
 
 
 def ingest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest(B.ingest_requests(spark, sf_dir), B.http_reasons(spark))
 
 
+def step_rows(ingested: DataFrame) -> DataFrame:
+    """The step log of an ingest: every step up to the failed one, or all."""
+    steps = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(s).alias("step")) for i, s in enumerate(K.INGEST_STEPS, 1)))
+    last = F.coalesce(F.array_position(F.transform(steps, lambda s: s["step"]), F.col("failed_step")), F.lit(len(K.INGEST_STEPS)))
+    rows = ingested.select("_id", "failed_step", "error", F.explode(F.slice(steps, F.lit(1), last.cast("int"))).alias("_s"))
+    failed = F.coalesce(F.col("_s.step") == F.col("failed_step"), F.lit(False))
+    return rows.select("_id", F.col("_s.position").alias("position"), F.col("_s.step").alias("step"), (~failed).alias("success"),
+                       F.when(failed, F.col("error")).alias("message"))
+
+
+def ingest_counts(ingested: DataFrame) -> DataFrame:
+    """Documents added per category."""
+    # explode_outer: the filter that explode implies would compute the categories once more
+    names = ingested.select(F.explode_outer("categories").alias("c")).select(F.col("c.name").alias("name"))
+    return names.where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).cast("long").alias("delta"))
+
+
+def stored_documents(ingested: DataFrame) -> DataFrame:
+    """Changes for the document store: new documents have no revision yet."""
+    return ingested.where("outcome = 'STORED'").select("_id", F.lit(None).cast("int").alias("_rev"), "title")
+
+
 def latest_status(step_log: DataFrame) -> DataFrame:
     """Current state per document from an append-only step log: last step, times,
     failures, and whether and when the last pipeline step succeeded. Partial

@@ -305,7 +305,7 @@ INGEST_REQUESTS = """requests AS (
       WHEN 4 THEN url || CASE page_id % 3 WHEN 0 THEN '/%zz' WHEN 1 THEN '/[x]' ELSE '/%7Ex?[y]' END
       WHEN 3 THEN CASE WHEN page_id % 4 = 1 THEN 'http://' ELSE url END
       ELSE url END AS url,
-    (page_id % 3 <> 0) AS create_note,
+    (page_id % 3 <> 0) AS create_note, CASE WHEN page_id % 2 = 0 THEN 'data-note' ELSE 'language' END AS note_meta_tag,
     CASE WHEN page_id % 11 = 4 THEN 404 WHEN page_id % 13 = 9 THEN 503 WHEN page_id % 17 = 3 THEN 301 ELSE 200 END AS http_status
   FROM pages)"""
 
@@ -898,29 +898,98 @@ def _capped_training_set():
 
 
 # ---------------------------------------------------------------- ingest
-def ingest_sql() -> str:
+META_REQUESTS = """requests AS (
+  SELECT page_id, url, html, page_id % 3 <> 0 AS create_note, CASE WHEN page_id % 2 = 0 THEN 'language' ELSE 'k0' END AS note_meta_tag,
+         CASE WHEN page_id % 9 = 4 THEN 404 ELSE 200 END AS http_status
+  FROM meta_src)"""
+
+
+def ingest_ctes(*requests: str) -> str:
+    """CTEs up to ``ingested``: one row per request."""
     verify = (f"CASE WHEN ({X.url_check('url')}) IS NOT NULL THEN {X.url_check('url')} "
               f"WHEN NOT (http_status >= 200 AND http_status < 400) THEN {X.fetch_outcome('http_status', 'reason')} END")
     staged = f"""staged AS (
-  SELECT page_id, url, html, create_note, verify_err, convert_err,
+  SELECT page_id, url, html, create_note, note_meta_tag, verify_err, convert_err,
          CASE WHEN verify_err IS NOT NULL THEN 'URL_VERIFICATION' WHEN convert_err IS NOT NULL THEN 'PDF_CONVERSION' END AS failed_step,
          coalesce(verify_err, convert_err) AS error
   FROM (SELECT *, {verify} AS verify_err,
                CASE WHEN {X.is_blank('html')} THEN 'PDF generation failed: empty page' END AS convert_err
         FROM requests LEFT JOIN {http_reasons_values()} USING (http_status)))"""
     okreq = "okreq AS (SELECT page_id, url, html FROM staged WHERE failed_step IS NULL)"
-    parts = [INGEST_REQUESTS, staged, okreq, pages_x("okreq", "ipages_x"), extracted("ipages_x", "icrawled"),
-             meta_long("ipages_x", "imeta_long"), meta_text("imeta_long", "imeta_text"),
-             "idocs AS (SELECT c.*, coalesce(m.meta_text, '') AS meta_text FROM icrawled c LEFT JOIN imeta_text m USING (_id))",
-             density_best("idocs", density_text_sql(), name="idens")]
-    return ctes(*parts) + f"""
-SELECT d.page_id, d._id, d.url, 'STORED' AS outcome, CAST(NULL AS VARCHAR) AS failed_step, CAST(NULL AS VARCHAR) AS error,
-       d.title, {X.stored_file_name('d.title')} AS pdf_name, c.name AS category, round(c.confidence, 6) AS confidence,
-       CASE WHEN s.create_note THEN {X.note_file_name('d.title', 'd.fetched_at')} END AS note_file
-FROM idocs d JOIN idens c ON c.doc_id = d._id JOIN staged s ON s.page_id = d.page_id
-UNION ALL
-SELECT page_id, 'doc|p' || CAST(page_id AS VARCHAR), url, 'FAILED', failed_step, error, NULL, NULL, NULL, NULL, NULL
-FROM staged WHERE failed_step IS NOT NULL"""
+    cats = "'## Categories' || chr(10) || '- ' || name || ' (confidence: ' || " + X.fixed2("confidence") + " || ')' || chr(10) || chr(10)"
+    note = "CASE WHEN coalesce(trim(note_text) <> '', false) THEN note_text END"
+    ingested = f"""ingested AS (
+  SELECT page_id, _id, url, 'STORED' AS outcome, CAST(NULL AS VARCHAR) AS failed_step, CAST(NULL AS VARCHAR) AS error, title,
+         {X.stored_file_name('title')} AS pdf_name, name AS category, confidence,
+         CASE WHEN create_note THEN {X.note_file_name('title', 'fetched_at')} END AS note_file,
+         CASE WHEN create_note THEN {markdown_sql(note, "name || ', page-snapshot'", cats)} END AS note
+  FROM (SELECT d.*, c.name, c.confidence, s.create_note, m.value AS note_text
+        FROM idocs d JOIN idens c ON c.doc_id = d._id JOIN staged s ON s.page_id = d.page_id
+        LEFT JOIN imeta_long m ON m._id = d._id AND m.key = s.note_meta_tag)
+  UNION ALL
+  SELECT page_id, 'doc|p' || CAST(page_id AS VARCHAR), url, 'FAILED', failed_step, error, NULL, NULL, NULL, NULL, NULL, NULL
+  FROM staged WHERE failed_step IS NOT NULL)"""
+    return ctes(*requests, staged, okreq, pages_x("okreq", "ipages_x"), extracted("ipages_x", "icrawled"),
+                meta_long("ipages_x", "imeta_long"), meta_text("imeta_long", "imeta_text"),
+                "idocs AS (SELECT c.*, coalesce(m.meta_text, '') AS meta_text FROM icrawled c LEFT JOIN imeta_text m USING (_id))",
+                density_best("idocs", density_text_sql(), name="idens"), ingested)
+
+
+def ingest_sql() -> str:
+    return ingest_ctes(INGEST_REQUESTS) + """
+SELECT page_id, _id, url, outcome, failed_step, error, title, pdf_name, category, round(confidence, 6) AS confidence, note_file, md5(note) AS note_md5
+FROM ingested"""
+
+
+@oracle("ingest_meta_notes")
+def _ingest_meta_notes():
+    return ingest_ctes(META_PAGES_HTML, META_REQUESTS) + "SELECT _id, outcome, note_file, md5(note) AS note_md5 FROM ingested"
+
+
+@oracle("ingest_step_log")
+def _ingest_step_log():
+    steps = ", ".join(f"({i}, {q(s)})" for i, s in enumerate(K.INGEST_STEPS, 1))
+    return ingest_ctes(INGEST_REQUESTS) + f"""
+, steps AS (SELECT * FROM (VALUES {steps}) v(position, step))
+SELECT i._id, CAST(s.position AS INTEGER) AS position, s.step, coalesce(s.step <> i.failed_step, true) AS success,
+       CASE WHEN s.step = i.failed_step THEN i.error END AS message
+FROM ingested i JOIN steps s ON s.position <= coalesce((SELECT position FROM steps f WHERE f.step = i.failed_step), {len(K.INGEST_STEPS)})"""
+
+
+@oracle("ingest_counts")
+def _ingest_counts():
+    return ingest_ctes(META_PAGES_HTML, META_REQUESTS, CORPUS, density_best("corpus", density_text_sql())) + """
+, o AS (SELECT name, count(*) AS n FROM dens GROUP BY name), d AS (SELECT category AS name, count(*) AS n FROM ingested WHERE outcome = 'STORED' GROUP BY category)
+SELECT coalesce(o.name, d.name) AS name, CAST(coalesce(o.n, 0) AS BIGINT) AS old_count, CAST(coalesce(d.n, 0) AS BIGINT) AS delta,
+       CAST(coalesce(o.n, 0) + coalesce(d.n, 0) AS BIGINT) AS document_count
+FROM o FULL JOIN d ON o.name = d.name"""
+
+
+@oracle("ingest_upsert")
+def _ingest_upsert():
+    return ingest_ctes(META_PAGES_HTML, META_REQUESTS, CORPUS) + """
+SELECT _id, CAST(_rev AS INTEGER) AS _rev, title FROM corpus
+UNION ALL SELECT _id, 1, title FROM ingested WHERE outcome = 'STORED'"""
+
+
+@oracle("ingest_hybrid")
+def _ingest_hybrid():
+    text = X.tfidf_text("title", "description", "meta_text", "''")
+    tok = X.tokens("text")
+    head = ingest_ctes(META_PAGES_HTML, META_REQUESTS, *tfidf_ctes(), PREDICTIONS)
+    return head + f"""
+, itok AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok}) AS term FROM (SELECT _id AS doc_id, {text} AS text FROM idocs)) JOIN vocab USING (term) GROUP BY doc_id, term)
+, ivec AS (SELECT doc_id, term, CASE WHEN norm > 0 THEN w / norm ELSE w END AS weight FROM (
+    SELECT t.doc_id, t.term, t.tf * v.idf AS w, sqrt(sum((t.tf * v.idf) * (t.tf * v.idf)) OVER (PARTITION BY t.doc_id)) AS norm FROM itok t JOIN vocab v USING (term)))
+, isc AS (SELECT i.doc_id, c.category AS name, sum(i.weight * c.weight) AS confidence FROM ivec i JOIN cvec c USING (term) GROUP BY i.doc_id, c.category)
+, every AS (
+    SELECT replace(doc_id, 'doc|', 'doc|p') AS doc_id, name, confidence, 0 AS src, pos FROM mp
+    UNION ALL SELECT doc_id, name, confidence, 1, 0 FROM isc WHERE confidence >= {K.TFIDF_THRESHOLD}
+    UNION ALL SELECT doc_id, name, confidence, 2, 0 FROM idens)
+, best AS (SELECT doc_id, name, confidence, row_number() OVER (PARTITION BY doc_id, name ORDER BY confidence DESC, src, pos) AS k FROM every)
+, ranked AS (SELECT doc_id, name, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, name) AS rank FROM best WHERE k = 1)
+SELECT i._id, arg_min(r.name, r.rank) AS category, CAST(count(*) AS INTEGER) AS n_categories, string_agg(r.name, ', ' ORDER BY r.rank) AS names
+FROM ingested i JOIN ranked r ON r.doc_id = i._id WHERE outcome = 'STORED' GROUP BY i._id"""
 
 
 @oracle("ingest_pages")

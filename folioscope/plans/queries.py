@@ -881,7 +881,63 @@ def capped_training_set(spark, sf_dir):
 # ---------------------------------------------------------------- ingest
 def _ingest_out(df):
     return df.select("page_id", "_id", "url", "outcome", "failed_step", "error", "title", "pdf_name",
-                     "category", r6("confidence"), "note_file")
+                     "category", r6("confidence"), "note_file", F.md5(F.col("note").cast("binary")).alias("note_md5"))
+
+
+def meta_requests(spark, sf_dir) -> DataFrame:
+    """Requests for the composed pages with meta tags: note text from the
+    ``language`` or ``k0`` tag, some pages unreachable, one in eight empty."""
+    p = B.meta_pages_html(spark, sf_dir)
+    return p.select("page_id", "url", "html", (F.col("page_id") % 3 != 0).alias("create_note"),
+                    F.when(F.col("page_id") % 2 == 0, F.lit("language")).otherwise(F.lit("k0")).alias("note_meta_tag"),
+                    F.when(F.col("page_id") % 9 == 4, F.lit(404)).otherwise(F.lit(200)).alias("http_status"))
+
+
+def _ingested_meta(spark, sf_dir) -> DataFrame:
+    from . import ingest as I
+    return I.ingest(meta_requests(spark, sf_dir), B.http_reasons(spark))
+
+
+@query("ingest_meta_notes")
+def ingest_meta_notes(spark, sf_dir):
+    """I4: each note's text comes from the tag that its request names."""
+    return _ingested_meta(spark, sf_dir).select("_id", "outcome", "note_file", F.md5(F.col("note").cast("binary")).alias("note_md5"))
+
+
+@query("ingest_step_log")
+def ingest_step_log(spark, sf_dir):
+    from . import ingest as I
+    return I.step_rows(I.ingest_pages(spark, sf_dir))
+
+
+@query("ingest_counts")
+def ingest_counts(spark, sf_dir):
+    """Category counts after the ingest: the corpus's density classes plus the
+    documents that the ingest stored."""
+    from . import ingest as I
+    counts = catalog.category_counts(rules.density_classify(B.corpus(spark, sf_dir)))
+    return catalog.apply_deltas(counts, I.ingest_counts(_ingested_meta(spark, sf_dir)))
+
+
+@query("ingest_upsert")
+def ingest_upsert(spark, sf_dir):
+    """The store after the ingest's documents are saved."""
+    from . import ingest as I
+    from ..operators import store as S
+    base = B.corpus(spark, sf_dir).select("_id", "_rev", "title")
+    out, _ = S.upsert(base, I.stored_documents(_ingested_meta(spark, sf_dir)))
+    return out.select("_id", F.col("_rev").cast("int").alias("_rev"), "title")
+
+
+@query("ingest_hybrid")
+def ingest_hybrid(spark, sf_dir):
+    """The ingest with a trained model and external responses: ranked categories
+    of every stored document."""
+    from . import ingest as I
+    responses = B.predictions(spark, sf_dir).withColumn("doc_id", F.replace("doc_id", F.lit("doc|"), F.lit("doc|p")))
+    out = I.ingest(meta_requests(spark, sf_dir), B.http_reasons(spark), model=train_model(spark, sf_dir), responses=responses)
+    return out.where("outcome = 'STORED'").select("_id", "category", F.size("categories").cast("int").alias("n_categories"),
+                                                  F.array_join(F.transform("categories", lambda c: c["name"]), ", ").alias("names"))
 
 
 @query("ingest_pages")
@@ -928,12 +984,12 @@ def step_progress(spark, sf_dir):
 @query("ingest_stream")
 def ingest_stream(spark, sf_dir):
     """Stream form of ``ingest_pages``: the pages file is the landing input of
-    a file stream; output is upserted per micro-batch and read back."""
+    a file stream; each micro-batch is appended and the newest row per id read back."""
     import hashlib
     import uuid
 
     from ..session import shared_path
     from ..streaming.ingest_stream import read_ingested, run_ingest_stream
     run = shared_path(spark, "stream-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8])
-    run_ingest_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", file_glob="pages.parquet")
+    run_ingest_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", B.request_columns, file_glob="pages.parquet")
     return _ingest_out(read_ingested(spark, f"{run}/out"))

@@ -170,7 +170,7 @@ def request_columns(pages: DataFrame) -> DataFrame:
     return pages.select(
         F.col("page_id"), url.alias("url"), F.col("html"),
         (F.col("page_id") % 3 != 0).alias("create_note"),
-        F.lit(K.DEFAULT_NOTE_META_TAG).alias("note_meta_tag"),
+        F.when(F.col("page_id") % 2 == 0, F.lit(K.DEFAULT_NOTE_META_TAG)).otherwise(F.lit("language")).alias("note_meta_tag"),
         status.alias("http_status"))
 
 

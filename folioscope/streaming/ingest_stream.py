@@ -1,17 +1,20 @@
 """Structured Streaming form of the ingest job.
 
 Pages arriving in a landing folder are read with ``readStream``; each
-micro-batch goes through the same plan as the batch job and is upserted by
-``_id`` into a Parquet table in the shared checkpoint folder
-(``foreachBatch``). ``trigger(availableNow=True)`` processes everything that
-is there and stops; with a processing-time trigger the same query runs
-continuously. The checkpoint makes the sink exactly-once across restarts and
-lost executors: a replayed batch rewrites the same partition of output.
+micro-batch goes through the same plan as the batch job and is written to an
+epoch folder of its own (``foreachBatch``). A replayed epoch overwrites its
+folder with the same rows: of a page that comes several times in a batch one
+row is kept, by a rule that does not depend on the order of the files. The
+newest epoch counts per id; ``compact`` folds the epochs into one table.
+``trigger(availableNow=True)`` processes everything that is there and stops;
+with a processing-time trigger the same query runs continuously.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
@@ -25,34 +28,47 @@ PAGES_SCHEMA = TT.StructType([
 ])
 
 
+def one_per_page(batch: DataFrame) -> DataFrame:
+    """One row per page: the one with the most html, ties by content."""
+    newest = Window.partitionBy("page_id").orderBy(F.desc_nulls_last(F.length("html")), F.xxhash64("url", "html"), "url", "html")
+    return batch.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
+
+
 def run_ingest_stream(spark: SparkSession, landing: str, out_dir: str, checkpoint: str,
+                      to_requests: Callable[[DataFrame], DataFrame],
                       file_glob: str = "*.parquet", max_files_per_trigger: int = 64) -> None:
     """Process every file in the ``landing`` folder that matches
-    ``file_glob`` (availableNow) into ``out_dir``."""
+    ``file_glob`` (availableNow) into ``out_dir``. ``to_requests`` turns pages
+    (page_id, url, html) into requests: options and the probe's answers, for
+    example by a join with a table of them."""
     reasons = B.http_reasons(spark)
     stream = (spark.readStream.schema(PAGES_SCHEMA)
               .option("maxFilesPerTrigger", max_files_per_trigger)
               .option("pathGlobFilter", file_glob)
               .parquet(landing))
 
-    def upsert_batch(batch: DataFrame, epoch_id: int) -> None:
-        out = I.ingest(B.request_columns(batch.dropDuplicates(["page_id"])), reasons)
+    def write_batch(batch: DataFrame, epoch_id: int) -> None:
+        out = I.ingest(to_requests(one_per_page(batch)), reasons)
         # one output folder per epoch: a replay of the same epoch overwrites it
         out.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
 
-    q = (stream.writeStream.foreachBatch(upsert_batch)
+    q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
 def read_ingested(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest row per ``_id`` across epochs (later epochs win), as an
-    aggregation so a frequently re-ingested id is reduced map-side."""
+    """The row of the newest epoch per ``_id``."""
     df = spark.read.parquet(out_dir)
-    cols = [c for c in df.columns if c not in ("_id", "epoch")]
-    return (df.groupBy("_id").agg(F.max_by(F.struct(*cols), F.col("epoch")).alias("_r"))
-            .select("_id", "_r.*"))
+    newest = df.groupBy("_id").agg(F.max("epoch").alias("epoch"))
+    return df.join(newest, ["_id", "epoch"], "left_semi").drop("epoch")
+
+
+def compact(spark: SparkSession, out_dir: str, target: str) -> DataFrame:
+    """The newest rows as one table in ``target``, sorted by id."""
+    read_ingested(spark, out_dir).repartitionByRange("_id").sortWithinPartitions("_id").write.mode("overwrite").parquet(target)
+    return spark.read.parquet(target)
 
 
 EVENTS_SCHEMA = TT.StructType([
