@@ -197,17 +197,23 @@ def removed_windows(docs: DataFrame, width: int) -> DataFrame:
     wanted = repeated_anchors(docs.select("id", "text"), width)
     cut = written(docs.join(wanted, "id").select("id", "text", "row", "anchors").mapInArrow(_cut(width), SEGMENT_SCHEMA), "segments")
     place = (F.col("id").cast("decimal(38,0)") * F.lit(1 << 40).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col("start")
-    cut = cut.withColumn("place", place.cast("decimal(38,0)"))
-    firsts = cut.groupBy("anchor", "content").agg(F.min("place").alias("first"))
+    place = place.cast("decimal(38,0)")
+    # which segment of each content comes first, and how many contents its anchor has: no text moves for that
+    firsts = cut.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("windows").alias("n"), F.max("twice").alias("twice"))
     several = firsts.groupBy("anchor").agg(F.count("*").alias("different"))
-    copies = cut.select("anchor", "content", "id", "row", "start", "windows", "place").join(firsts, ["anchor", "content"])
-    copies = copies.where("place <> first").select("id", "row", "start", "windows")
-    searched = cut.join(firsts.withColumnRenamed("first", "place"), ["anchor", "content", "place"]).join(several, "anchor")
-    searched = searched.where("different > 1 OR twice").dropDuplicates(["anchor", "content", "row"])
-    dealt = written(searched.select("anchor", "id", "row", "start", "windows", "text", (F.col("different") > HOT_SEGMENTS).alias("hot"))
-                    .mapInArrow(_windows(width), "key bigint, id bigint, row bigint, start bigint, windows bigint, text string"), "shards")
-    total = dealt.agg(F.sum(F.col("windows") + width)).first()[0] or 0
+    firsts = written(firsts.join(several, "anchor").select(
+        "anchor", "content", "first", "n", ((F.col("different") > 1) | F.col("twice")).alias("searched"),
+        (F.col("different") > HOT_SEGMENTS).alias("hot")), "firsts")
+    size = F.when(F.col("hot"), F.col("n") * (width + 1)).otherwise(F.col("n") + width)
+    total = firsts.where("searched").agg(F.sum(size)).first()[0] or 0
     shards = int(total // SHARD_WORDS) + 1
+    chosen = firsts.select("anchor", "content", "first", "searched", "hot")
+    copies = (cut.select("anchor", "content", "id", "row", "start", "windows").join(chosen, ["anchor", "content"])
+              .where(place != F.col("first")).select("id", "row", "start", "windows"))
+    searched = (cut.drop("twice").join(chosen.where("searched"), ["anchor", "content"]).where(place == F.col("first"))
+                .dropDuplicates(["anchor", "content", "row"]))
+    dealt = (searched.select("anchor", "id", "row", "start", "windows", "text", "hot")
+             .mapInArrow(_windows(width), "key bigint, id bigint, row bigint, start bigint, windows bigint, text string"))
 
     def search(table):
         found = shard_repeats(*(table.column(c).to_numpy() for c in ("id", "row", "start", "windows")),
