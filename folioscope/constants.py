@@ -122,7 +122,7 @@ MSG_URL_REQUIRED = "URL is required"
 MSG_BAD_SCHEME = "Invalid URL scheme. Only HTTP and HTTPS are supported."
 MSG_BAD_FORMAT = "Invalid URL format"
 MSG_ACCESSIBLE = "URL is accessible"
-# HTTP reason phrases used in fetch outcomes.
+# FIXED VALUES: standard HTTP reason phrases used in fetch outcomes.
 HTTP_REASONS = [
     (200, "OK"), (301, "Moved Permanently"), (302, "Found"), (304, "Not Modified"),
     (400, "Bad Request"), (401, "Unauthorized"), (403, "Forbidden"), (404, "Not Found"),
@@ -138,6 +138,13 @@ DESCRIPTION_PREFIX = "PDF snapshot of "
 
 # FIXED VALUES — file names, notes, API paths.
 DEFAULT_FILE_BASE = "document"
+STORED_NAME_BAD = r'[\\/:*?"<>|]'
+DOWNLOAD_NAME_BAD = r"[^a-zA-Z0-9._-]"
+LINK_NAME_BAD = r'[<>:"/\\|?*]'
+NOTE_NAME_BAD = r"[^a-zA-Z0-9\s\-_]"
+NOTE_HEADINGS = {"description": "## Description\n", "notes": "## Notes\n", "resources": "## Resources\n[Download PDF](../pdfs/",
+                 "categories": "## Categories\n", "metadata": "## Metadata\n- **Fetched:** ",
+                 "canonical": "- **Canonical URL:** ", "size": "- **PDF Size:** "}
 STORED_NAME_MAX = 100
 DOWNLOAD_NAME_MAX = 100
 LINK_NAME_MAX = 200

@@ -101,7 +101,7 @@ def stored_file_base(title) -> Column:
     """Stored PDF base name: bad characters and whitespace to '_', runs of '_'
     collapsed, cut to 100, one trailing '_' dropped, blank → 'document'.
     Written as one linear chain (no sub-expression repeated in branches)."""
-    s = F.regexp_replace(col_(title), r'[\\/:*?"<>|]', "_")
+    s = F.regexp_replace(col_(title), K.STORED_NAME_BAD, "_")
     s = F.regexp_replace(s, r"\s+", "_")
     s = F.regexp_replace(s, r"_+", "_")
     s = F.substring(F.trim(s), 1, K.STORED_NAME_MAX)
@@ -115,7 +115,7 @@ def stored_file_name(title) -> Column:
 
 def download_file_name(pdf_name) -> Column:
     n = F.coalesce(F.nullif(col_(pdf_name), F.lit("")), F.lit("document.pdf"))
-    s = F.regexp_replace(n, r"[^a-zA-Z0-9._-]", "_")
+    s = F.regexp_replace(n, K.DOWNLOAD_NAME_BAD, "_")
     s = F.regexp_replace(s, r"_+", "_")
     # append '.pdf' unless present (case-insensitive), then cut to 96 + '.pdf'
     s = F.regexp_replace(s, r"^(.*?)(?<!(?i)\.pdf)$", "$1.pdf")
@@ -124,7 +124,7 @@ def download_file_name(pdf_name) -> Column:
 
 def link_file_name(pdf_name) -> Column:
     n = F.coalesce(col_(pdf_name), F.lit("document.pdf"))
-    return F.substring(F.regexp_replace(n, r'[<>:"/\\|?*]', "_"), 1, K.LINK_NAME_MAX)
+    return F.substring(F.regexp_replace(n, K.LINK_NAME_BAD, "_"), 1, K.LINK_NAME_MAX)
 
 
 def path_safe_id(doc_id) -> Column:
@@ -132,7 +132,7 @@ def path_safe_id(doc_id) -> Column:
 
 
 def note_file_name(title, fetched_at) -> Column:
-    s = F.regexp_replace(col_(title), r"[^a-zA-Z0-9\s\-_]", "")
+    s = F.regexp_replace(col_(title), K.NOTE_NAME_BAD, "")
     s = F.lower(F.regexp_replace(s, r"\s+", "_"))
     s = F.substring(s, 1, K.NOTE_TITLE_MAX)
     return F.concat(s, F.lit("_"), F.date_format(col_(fetched_at), "yyyyMMdd_HHmmss"), F.lit(".md"))

@@ -56,15 +56,15 @@ def markdown(docs: DataFrame, note_text: Column | None = None, meta_tag: str | C
         F.lit("tags: ["), tags_line(cats), F.lit("]\n"),
         F.lit("---\n\n"),
         F.lit("# "), F.coalesce(F.col("title"), F.lit("null")), F.lit("\n\n"),
-        _section(F.coalesce(F.trim(desc) != "", F.lit(False)), F.concat(F.lit("## Description\n"), desc, F.lit("\n\n"))),
-        _section(note.isNotNull(), F.concat(F.lit("## Notes\n"), F.coalesce(note, F.lit("")), F.lit("\n\n"))),
-        F.lit("## Resources\n[Download PDF](../pdfs/"), T.path_safe_id(F.col("_id")), F.lit(".pdf)\n\n"),
-        _section(has_cats, F.concat(F.lit("## Categories\n"), cat_lines, F.lit("\n"))),
-        F.lit("## Metadata\n- **Fetched:** "), fetched, F.lit("\n"),
+        _section(F.coalesce(F.trim(desc) != "", F.lit(False)), F.concat(F.lit(K.NOTE_HEADINGS["description"]), desc, F.lit("\n\n"))),
+        _section(note.isNotNull(), F.concat(F.lit(K.NOTE_HEADINGS["notes"]), F.coalesce(note, F.lit("")), F.lit("\n\n"))),
+        F.lit(K.NOTE_HEADINGS["resources"]), T.path_safe_id(F.col("_id")), F.lit(".pdf)\n\n"),
+        _section(has_cats, F.concat(F.lit(K.NOTE_HEADINGS["categories"]), cat_lines, F.lit("\n"))),
+        F.lit(K.NOTE_HEADINGS["metadata"]), fetched, F.lit("\n"),
         _section(F.col("canonical_url").isNotNull(),
-                 F.concat(F.lit("- **Canonical URL:** "), F.coalesce(F.col("canonical_url"), F.lit("")), F.lit("\n"))),
+                 F.concat(F.lit(K.NOTE_HEADINGS["canonical"]), F.coalesce(F.col("canonical_url"), F.lit("")), F.lit("\n"))),
         _section(F.col("size_bytes").isNotNull(),
-                 F.concat(F.lit("- **PDF Size:** "), F.coalesce(T.size_text(F.col("size_bytes")), F.lit("")), F.lit("\n"))),
+                 F.concat(F.lit(K.NOTE_HEADINGS["size"]), F.coalesce(T.size_text(F.col("size_bytes")), F.lit("")), F.lit("\n"))),
     )
 
 
