@@ -123,8 +123,12 @@ def with_metadata(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
             _first("_links", "rel", "canonical", "href"), _first("_metas", "property", "og:url", "content"),
             F.col(url))).alias("canonical_url"),
         F.array_sort(F.filter(pairs, lambda e: (e["key"] != "") & (e["value"] != ""))).alias("_pairs"))
-    # sorted by key, newest first: the first entry of a key is its last tag
-    kept = F.filter(F.col("_pairs"), lambda e, i: (i == 0) | (F.get(F.col("_pairs"), i - 1)["key"] != e["key"]))
+    # sorted by key, newest first: the first entry of a key is its last tag. The array is
+    # bound by an outer lambda: a pushed-down filter would otherwise put its whole
+    # expression inside the inner one
+    def last_of_key(p: Column) -> Column:
+        return F.filter(p, lambda e, i: (i == 0) | (F.get(p, i - 1)["key"] != e["key"]))
+    kept = F.get(F.transform(F.array(F.col("_pairs")), last_of_key), F.lit(0))
     entries = F.transform(kept, lambda e: F.struct(e["key"], e["value"]))
     return df.select(*keep, "title", "description", "canonical_url",
                      F.when(~blank, F.map_from_entries(entries)).alias("meta_tags"))
