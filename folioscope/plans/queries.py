@@ -55,7 +55,9 @@ def page_canonical(spark, sf_dir):
 
 @query("page_meta_tags")
 def page_meta_tags(spark, sf_dir):
-    return B.meta_pages(spark, sf_dir).select("_id", F.explode("meta_tags").alias("key", "value"))
+    # explode_outer: the filter that explode implies would build the map once more
+    tags = B.meta_pages(spark, sf_dir).select("_id", F.explode_outer("meta_tags").alias("key", "value"))
+    return tags.where("key IS NOT NULL")
 
 
 @query("page_fallback")
