@@ -10,9 +10,10 @@ segment, so a document is cut into segments, and a window can only repeat
 between segments of one anchor. Anchors that occur once in the whole corpus
 need no look at their text (``repeated_anchors``). For the others, equal segments are
 aggregated: all but the first go whole. What remains, the first ones of anchors
-with several different segments, is dealt into shards of bounded size; an anchor
-with very many different segments (the edges of a passage found everywhere) is
-dealt by single windows instead.
+with several different segments, is dealt into shards of bounded size. An anchor
+with very many different segments (the edges of a passage found everywhere), or
+with very long ones, would not fit one: its windows are aggregated by their hash
+like equal segments, all but the earliest go, and none needs an index.
 
 Per shard an FM-index (``fm_index``) is built over the segments and the same
 segments are streamed through it by backward search, giving for each window
@@ -45,7 +46,8 @@ from folioscope.llm.fm_index import FMIndex, repeated
 ANCHOR = 5
 #: Words of a shard's index.
 SHARD_WORDS = 1_500_000
-#: Different segments from which an anchor is dealt by single windows.
+#: Different segments, or twice as many windows' widths of words in them, from
+#: which an anchor is searched by single windows.
 HOT_SEGMENTS = 2_000
 #: Stands for a null id.
 NO_ID = -(1 << 63)
@@ -61,26 +63,42 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)), dtype=np.uint64)
+_TABLES: dict[int, np.ndarray] = {}
 
 
-def word_hashes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some documents, and where each begins."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    coded = pa.array([w for t in texts for w in t], pa.string()).dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n; the longest table so far is kept."""
+    if len(_TABLES.get(base, ())) <= n:
+        _TABLES[base] = np.cumprod(np.append(np.uint64(1), np.full(n, base, np.uint64)), dtype=np.uint64)
+    return _TABLES[base][:n + 1]
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, and where each text begins."""
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # the spaces of words(); leaves empty strings at the ends
+    coded = split.flatten().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    known = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     codes = coded.indices.to_numpy()
-    return known[codes] if len(codes) else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    real = np.fromiter(map(bool, found), bool, len(found))[codes]
+    at = split.offsets.to_numpy() - split.offsets[0].as_py()
+    return known[codes][real], np.concatenate([[0], np.cumsum(real)])[at]
+
+
+def spans(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words from ``first`` up to ``end``, the same wherever they stand."""
+    up = _powers(_BASE, len(hashes))
+    sums = np.append(np.uint64(0), np.cumsum(hashes * up[:-1], dtype=np.uint64))
+    return (sums[end] - sums[first]) * _powers(_UNDO, len(hashes))[first]
 
 
-def segments(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A document's segments: anchor, hash of the content, first window, number
-    of windows, and whether the anchor occurs twice within the segment."""
+def segments(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A document's segments: anchor, first window, number of windows, and
+    whether the anchor occurs twice within the segment."""
     n = len(hashes) - width + 1
     if n < 1:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none.astype(bool)
+        return none.astype(np.uint64), none, none, none.astype(bool)
     span = len(hashes) - ANCHOR + 1
     runs = hashes[:span].copy()
     for i in range(1, ANCHOR):
@@ -99,19 +117,16 @@ def segments(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np
     last = first + count - 1
     for i in range(1, need):
         times += runs[last + i] == anchor
-    up = _powers(_BASE, len(hashes))
-    sums = np.append(np.uint64(0), np.cumsum(hashes * up[:-1], dtype=np.uint64))
-    content = (sums[last + width] - sums[first]) * _powers(_UNDO, len(hashes))[first]
-    return anchor, _mixed(content + count.astype(np.uint64)), first, count, times > 1
+    return anchor, first, count, times > 1
 
 
 def _anchors(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            hashes, at = word_hashes([words(t) for t in part.column(1).to_pylist()])
+            hashes, at = word_hashes(part.column(1))
             found, own = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-                anchor, _, _, _, twice = segments(hashes[a:b], width)
+                anchor, _, _, twice = segments(hashes[a:b], width)
                 both = np.concatenate([anchor, anchor[twice]])  # twice in one segment counts twice
                 found.append(both)
                 own.append(np.full(len(both), i))
@@ -133,12 +148,13 @@ SEGMENT_SCHEMA = "anchor bigint, content bigint, id bigint, row bigint, start bi
 def _cut(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
-            texts = [words(t) for t in part.column(1).to_pylist()]
-            hashes, at = word_hashes(texts)
+            hashes, at = word_hashes(part.column(1))
             wanted = part.column(3)
             out: list[list] = [[] for _ in range(8)]
-            for i, (doc_id, row, found) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), texts)):
-                anchor, content, first, count, twice = segments(hashes[at[i]:at[i + 1]], width)
+            for i, (doc_id, row, text) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), part.column(1).to_pylist())):
+                own, found = hashes[at[i]:at[i + 1]], words(text)
+                anchor, first, count, twice = segments(own, width)
+                content = _mixed(spans(own, first, first + count + width - 1) + count.astype(np.uint64))
                 for k in np.flatnonzero(np.isin(anchor.view(np.int64), wanted[i].values.to_numpy())).tolist():
                     a, n = int(first[k]), int(count[k])
                     for column, x in zip(out, (anchor.view(np.int64)[k], content.view(np.int64)[k], doc_id, row, a, n, twice[k],
@@ -149,23 +165,26 @@ def _cut(width: int):
     return run
 
 
-def _windows(width: int):
-    """Segments as they are, those of hot anchors as single windows; each with
-    the key that deals it."""
+DEALT = ["anchor", "id", "row", "start", "windows", "text", "content"]
+
+
+def _dealt(width: int):
+    """Segments as they are; of hot anchors the single windows, with the hash
+    of the content instead of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 5):
-            rows = []
-            for anchor, doc_id, row, start, n, text, hot in zip(*(c.to_pylist() for c in part.columns)):
-                if not hot:
-                    rows.append((anchor, doc_id, row, start, n, text))
-                    continue
-                found = text.split(" ")
-                for i in range(n):
-                    window = " ".join(found[i:i + width])
-                    rows.append((xxhash.xxh64_intdigest(window) - (1 << 63), doc_id, row, start + i, 1, window))
-            if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int64()] * 5, pa.string()))],
-                                      names=["key", "id", "row", "start", "windows", "text"])
+            cold = part.filter(pc.invert(part.column(6)))
+            yield pa.record_batch([*cold.columns[:6], pa.nulls(cold.num_rows, pa.int64())], names=DEALT)
+            part = part.filter(part.column(6))
+            hashes, at = word_hashes(part.column(5))
+            counts = part.column(4).to_numpy()
+            own = np.repeat(np.arange(len(counts)), counts)
+            nth = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+            first = at[:-1][own] + nth
+            content = _mixed(spans(hashes, first, first + width)).view(np.int64)
+            anchor, doc_id, row, start = (part.column(i).to_numpy()[own] for i in range(4))
+            made = [pa.array(c) for c in (anchor, doc_id, row, start + nth, np.ones_like(nth))]
+            yield pa.record_batch([*made, pa.nulls(len(own), pa.string()), pa.array(content)], names=DEALT)
     return run
 
 
@@ -200,30 +219,40 @@ def removed_windows(docs: DataFrame, width: int) -> DataFrame:
     place = place.cast("decimal(38,0)")
     # which segment of each content comes first, and how many contents its anchor has: no text moves for that
     firsts = cut.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.max("windows").alias("n"), F.max("twice").alias("twice"))
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("different"))
+    several = firsts.groupBy("anchor").agg(F.count("*").alias("different"), F.sum(F.col("n") + width).alias("words"))
+    wanted = (F.col("different") > 1) | F.col("twice")
+    many = (F.col("different") > HOT_SEGMENTS) | (F.col("words") > 2 * width * HOT_SEGMENTS)
     firsts = written(firsts.join(several, "anchor").select(
-        "anchor", "content", "first", "n", ((F.col("different") > 1) | F.col("twice")).alias("searched"),
-        (F.col("different") > HOT_SEGMENTS).alias("hot")), "firsts")
-    size = F.when(F.col("hot"), F.col("n") * (width + 1)).otherwise(F.col("n") + width)
-    total = firsts.where("searched").agg(F.sum(size)).first()[0] or 0
-    shards = int(total // SHARD_WORDS) + 1
+        "anchor", "content", "first", "n", wanted.alias("searched"), (wanted & many).alias("hot")), "firsts")
+    total, hot = firsts.agg(F.sum(F.when(F.col("searched") & ~F.col("hot"), F.col("n") + width)), F.max("hot")).first()
+    shards = int((total or 0) // SHARD_WORDS) + 1
     chosen = firsts.select("anchor", "content", "first", "searched", "hot")
     copies = (cut.select("anchor", "content", "id", "row", "start", "windows").join(chosen, ["anchor", "content"])
               .where(place != F.col("first")).select("id", "row", "start", "windows"))
+
     searched = (cut.drop("twice").join(chosen.where("searched"), ["anchor", "content"]).where(place == F.col("first"))
-                .dropDuplicates(["anchor", "content", "row"]))
-    dealt = (searched.select("anchor", "id", "row", "start", "windows", "text", "hot")
-             .mapInArrow(_windows(width), "key bigint, id bigint, row bigint, start bigint, windows bigint, text string"))
+                .dropDuplicates(["anchor", "content", "row"]).select("anchor", "id", "row", "start", "windows", "text", "hot"))
+    if hot:
+        searched = written(searched.mapInArrow(_dealt(width), "anchor bigint, id bigint, row bigint, start bigint, windows bigint, "
+                                                              "text string, content bigint"), "dealt")
 
     def search(table):
         found = shard_repeats(*(table.column(c).to_numpy() for c in ("id", "row", "start", "windows")),
                               table.column("text").combine_chunks(), width)
         return pa.table(dict(zip(("id", "row", "start", "windows"), found)))
 
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards))
-    runs = (dealt.withColumn("shard", shard).select("shard", "id", "row", "start", "windows", "text").groupBy("shard")
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
+    indexed = searched.where("content is null") if hot else searched
+    runs = (indexed.withColumn("shard", shard).select("shard", "id", "row", "start", "windows", "text").groupBy("shard")
             .applyInArrow(lambda table: search(table), "id bigint, row bigint, start bigint, windows bigint"))
-    return written(runs.union(copies), "removed")
+    runs = runs.union(copies)
+    if hot:
+        windows = searched.where("content is not null").select("anchor", "content", "id", "row", "start")
+        earliest = written(windows.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+                           .where("n > 1").drop("n"), "earliest")
+        later = windows.join(earliest, ["anchor", "content"]).where(place != F.col("first"))
+        runs = runs.union(later.select("id", "row", "start", F.lit(1).cast("long").alias("windows")))
+    return written(runs, "removed")
 
 
 def _kept(width: int):

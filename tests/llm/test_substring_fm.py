@@ -59,6 +59,22 @@ def test_hot_anchors_are_dealt_by_windows(spark, monkeypatch):
     check(spark.createDataFrame(rows, "doc_id bigint, text string"), 20)
 
 
+def test_a_window_of_very_many_segments_fits_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(substring_fm, "HOT_SEGMENTS", 20)
+    monkeypatch.setattr(substring_fm, "SHARD_WORDS", 500)
+    real = substring_fm.shard_repeats
+
+    def guarded(ids, rows, starts, counts, texts, width):
+        assert (counts + width - 1).sum() < 4000, "a shard beyond its bound"
+        return real(ids, rows, starts, counts, texts, width)
+
+    monkeypatch.setattr(substring_fm, "shard_repeats", guarded)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{' '.join(f'a{i}x{j}' for j in range(20))} {passage} {' '.join(f'z{i}x{j}' for j in range(20))}") for i in range(400)]
+    rows += [(1000 + i, f"run{i} " + "la " * (900 + i)) for i in range(5)]  # few segments, but long ones
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), 20)
+
+
 def test_edges(edge, nothing):
     check(edge.where("doc_id is not null"), 20)
     left = {r["text"]: r["kept"] for r in substring_fm.deduplicate(edge, carried=["text"]).collect() if r["doc_id"] is None}
