@@ -15,9 +15,13 @@ below the threshold; an item of a block that is left is skipped if its own
 rarer words plus its ``rest`` do. Only what remains is scored in full. Nothing
 above the threshold is lost.
 
-A retrieved item is a leak if the passage holds, in order, at least
-``least_overlap`` of the words of its question and as much of its answer: the
-answer is the item's last sentence, the question what comes before it.
+A retrieved item is a leak if some window of the passage reaches the threshold
+and holds, in order, at least ``least_overlap`` of the words of its question and
+as much of its answer: the answer is the item's last sentence, the question what
+comes before it. Windows are sized by the item alone (``window``), so what an
+item finds does not depend on the other items of its group. An item without a
+question or without an answer has to stand there whole, word after word; one of
+a single word is no passage and is found only in a text that is that word.
 
 The items are the stated query set: they are read once on the driver, in
 groups of ``GROUP_WORDS`` words, each broadcast for one pass over the
@@ -31,6 +35,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -69,19 +74,33 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return found[:len(found) // 2], found[len(found) // 2:]
 
 
-def in_order(part: list[int], text: list[int]) -> float:
-    """Share of ``part`` that is a common subsequence with ``text`` (bit-parallel)."""
-    if not part:
-        return 1.0
+def window(n: int) -> int:
+    """Words among which an item of ``n`` words is looked for: room for a quarter more, at least for four."""
+    return n + max(4, n // 4)
+
+
+def positions(part: list[int]) -> dict[int, int]:
+    """Bits of the places where each word occurs."""
     where: dict[int, int] = {}
     for i, x in enumerate(part):
         where[x] = where.get(x, 0) | 1 << i
-    every = (1 << len(part)) - 1
+    return where
+
+
+def common(where: dict[int, int], n: int, text: list[int]) -> int:
+    """Length of the longest common subsequence of a part of ``n`` words, given
+    by its ``positions``, and ``text`` (bit-parallel)."""
+    every = (1 << n) - 1
     state = every
     for x in text:
         hit = state & where.get(x, 0)
         state = (state + hit | state - hit) & every
-    return (len(part) - state.bit_count()) / len(part)
+    return n - state.bit_count()
+
+
+def in_order(part: list[int], text: list[int]) -> float:
+    """Share of ``part`` that is a common subsequence with ``text``."""
+    return common(positions(part), len(part), text) / len(part) if part else 1.0
 
 
 class Index:
@@ -135,6 +154,14 @@ class Index:
         own = np.repeat(np.arange(len(words)), sizes)
         return np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + at[words][own], own
 
+    def score(self, item: int, words: set[int]) -> float:
+        """The score of an item by some of its words."""
+        total = 0.0
+        for w in sorted(words):
+            a, b = self.post_at[w], self.post_at[w + 1]
+            total += self.post_share[a + np.searchsorted(self.post_item[a:b], item)]
+        return float(total)
+
     def search(self, passages: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(passage, item, score) of all that reach the threshold, from the
         distinct (passage, word) pairs, sorted."""
@@ -188,10 +215,59 @@ def numbered(texts: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray]:
     return numbers[real], np.concatenate([[0], np.cumsum(real)])[at]
 
 
+def held(index: Index, item: int, text: np.ndarray, least_overlap: float, alone: bool) -> tuple | None:
+    """(words found, score, question overlap, answer overlap) of the best window
+    of a text in which an item is a leak; ``alone``: the text is a whole document."""
+    q, a = index.parts[item]
+    whole = np.array(q + a, np.int64)
+    n = len(whole)
+    if not q or not a:
+        if n > len(text) or n == 1 and not (alone and len(text) == 1):
+            return None
+        at = np.arange(len(text) - n + 1)
+        for i in range(n):
+            at = at[text[at + i] == whole[i]]
+        return (n, 1.0, 1.0, 1.0) if len(at) else None
+    place = np.flatnonzero(np.isin(text, whole))
+    found = text[place]
+    last = max(0, len(text) - window(n))
+    # a window that begins with another word holds no more than the next one
+    starts = np.append(place[place < last], last)
+    low, high = np.searchsorted(place, starts), np.searchsorted(place, starts + window(n))
+    parts = [(positions(p), len(p), math.ceil(least_overlap * len(p) - 1e-9)) for p in (q, a)]
+    for p, (_, _, need) in zip((q, a), parts):
+        before = np.append(0, np.cumsum(np.isin(found, p)))
+        enough = before[high] - before[low] >= need
+        starts, low, high = starts[enough], low[enough], high[enough]
+    words = found.tolist()
+    best, following = None, 0
+    for start, i, j in zip(starts.tolist(), low.tolist(), high.tolist()):
+        if start < following:
+            continue
+        # a step to the right adds one word at most: what is missing says how far to go
+        counts = []
+        for where, size, need in parts:
+            counts.append(common(where, size, words[i:j]))
+            if counts[-1] < need:
+                following = start + need - counts[-1]
+                break
+        else:
+            total = sum(counts)
+            if best and total < best[0]:
+                following = start + (best[0] - total + 1) // 2
+                continue
+            score = index.score(item, set(words[i:j]))
+            if score >= index.threshold - 1e-9:
+                best = max(best or (0,), (total, score, counts[0] / len(q), counts[1] / len(a)))
+                if total == n:
+                    break
+    return best
+
+
 def find(index: Index, ids: list, texts: pa.Array, least_overlap: float) -> list[tuple]:
     numbers, at = numbered(texts, index)
-    # half a passage holds the longest item, with room for a few inserted words
-    half = max(32, index.longest + index.longest // 4)
+    # half a passage holds the longest item's window, so every window lies in some passage
+    half = max(32, window(index.longest))
     sizes = np.diff(at)
     count = np.maximum(1, -(-sizes // half) - 1)  # passages of two halves, each half in two of them
     own = np.repeat(np.arange(len(sizes)), count)
@@ -203,15 +279,14 @@ def find(index: Index, ids: list, texts: pa.Array, least_overlap: float) -> list
     word = numbers[place]
     some = word >= 0
     key = np.unique(spread[some] * len(index.number) + word[some]) if len(index.number) else np.zeros(0, np.int64)
-    passage, item, score = index.search(key // max(1, len(index.number)), key % max(1, len(index.number)))
+    passage, item, _ = index.search(key // max(1, len(index.number)), key % max(1, len(index.number)))
     best: dict[tuple, tuple] = {}
-    for p, j, s in zip(passage.tolist(), item.tolist(), score.tolist()):
-        text = numbers[begin[p]:end[p]].tolist()
-        q, a = (in_order(part, text) for part in index.parts[j])
-        if q >= least_overlap and a >= least_overlap:
+    for p, j in zip(passage.tolist(), item.tolist()):
+        hit = held(index, j, numbers[begin[p]:end[p]], least_overlap, count[own[p]] == 1)
+        if hit:
             k = ids[own[p]], index.items[j]
-            best[k] = max(best.get(k, (0.0,)), (s, q, a))
-    return [(*k, *v) for k, v in best.items()]
+            best[k] = max(best.get(k, (0,)), hit)
+    return [(*k, *v[1:]) for k, v in best.items()]
 
 
 def read_items(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[tuple[int, str]]:

@@ -69,6 +69,24 @@ def test_leaks(spark, edge, nothing):
     assert decontam.leaks(edge, items).count() == 0
 
 
+def test_a_long_item_does_not_loosen_the_check_of_others(spark, monkeypatch):
+    words = [f"the of word{i} and a" for i in range(400)]
+    about = f"{' '.join(words[:9])} What is known of France? {' '.join(words[:30])} The town is the old capital of it, {' '.join(words[:20])} in Paris."
+    leak = "Asked: what is the capital city of France? Answer: Paris. " + " ".join(words[:30])
+    reading = " ".join(f"read{i}" for i in range(1999))
+    docs = [(1, about), (2, leak), (3, "One day in Lyon and the next " + FILLER), (4, "Lyon"), (5, f"{FILLER} red green blue sea {FILLER}"),
+            (6, f"{FILLER} red green and blue sea {FILLER}"), (7, f"{FILLER} {reading.replace('read7 ', '')} End. {FILLER}")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = [(0, "What is the capital of France? Paris."), (1, "Lyon"), (2, "?! Red green blue sea"), (3, reading + ". End.")]
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontam.leaks(docs, items).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(2, 0), (4, 1), (5, 2), (7, 3)}
+    assert [r["doc_id"] for r in decontam.clean(docs, items).orderBy("doc_id").collect()] == [1, 3, 6]
+    monkeypatch.setattr(decontam, "GROUP_WORDS", 1)
+    round_ = lambda rows: sorted(tuple(round(x, 9) for x in r) for r in rows)
+    assert round_(decontam.leaks(docs, items).collect()) == round_(rows)
+
+
 def test_groups_of_items_give_the_same(spark, small, monkeypatch):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = {(r[0], r[1]) for r in decontam.leaks(small, items).select("doc_id", "item_id").collect()}
