@@ -205,8 +205,8 @@ class Index:
 
 def numbered(texts: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Item word numbers (-1: in no item) of all words that are terms, and
-    where each text begins. Spaces are those of ASCII."""
-    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    where each text begins. Spaces are those of str.split(), as in the items."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
     coded = split.flatten().dictionary_encode()
     known = np.array([index.number.get(t, -1) if (t := term(w)) else -2 for w in coded.dictionary.to_pylist()] or [-2], np.int64)
     numbers = known[coded.indices.to_numpy()]

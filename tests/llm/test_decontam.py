@@ -1,6 +1,7 @@
 from itertools import combinations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from collections import Counter
 
 from folioscope.llm import decontam
@@ -87,6 +88,17 @@ def test_a_long_item_does_not_loosen_the_check_of_others(spark, monkeypatch):
     assert round_(decontam.leaks(docs, items).collect()) == round_(rows)
 
 
+def test_copies_with_other_spaces_are_found(spark):
+    spaces = "\xa0\u3000\u2009\u2028\x85\u202f\u1680\x1c\x1f"
+    items = [(0, "東京は\u3000日本の\u3000首都ですか?\u3000はい\u3000そうです。")]
+    items += [(1 + i, c.join(f"What is{i} the name{i} of the{i} tallest hill{i}? Gorse{i} Beacon{i}.".split())) for i, c in enumerate(spaces)]
+    docs = [(i, f"{FILLER} {text} {FILLER}") for i, text in items]
+    got = decontam.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(i, i) for i, _ in items}
+    texts = ["a" + chr(c) + "b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert pc.utf8_split_whitespace(pa.array(texts)).to_pylist() == [t.split() for t in texts]
+
+
 def test_groups_of_items_give_the_same(spark, small, monkeypatch):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = {(r[0], r[1]) for r in decontam.leaks(small, items).select("doc_id", "item_id").collect()}
