@@ -14,7 +14,9 @@ varies. The main slots are the article (or main) elements of the template,
 else the smallest place that holds most of the text which is neither link nor
 boilerplate. A second pass takes the blocks of text in the main slots, without
 menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-nested there.
+nested there. What a class word or a form marks is no boilerplate if it holds
+most of the plain text and no article or main element lies outside, or if
+nothing else is left.
 
 Defined results: null and empty html give an empty text. A page without any of
 its host's main slots falls back to its own article or main element, else to
@@ -54,21 +56,26 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 
 # FIXED VALUES: element kinds of HTML
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small "
-                   "span strike strong sub sup time tt u var wbr img".split())
+                   "span strike strong sub sup time tt u var wbr img math semantics mrow mi mn mo ms mtext msup msub msubsup "
+                   "mfrac msqrt mroot mover munder munderover mstyle mpadded".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 "
                      "h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
             "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 HOLDS_SIBLINGS = frozenset("ul ol dl table select menu".split())
 # FIXED VALUES: elements and class words that are not main text
-BOILERPLATE = frozenset("nav aside footer form button head menu dialog".split())
+BOILERPLATE = frozenset("nav aside footer button head menu dialog".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer menu modal nav navbar navigation newsletter notice notices popup promo related replies reply respond share "
     "sharing sidebar social sponsor sponsored subscribe toolbar widget widgets".split())
+#: A class name with one of these tells a state of the page, not what an element is.
+STATE_WORDS = frozenset("has no not without with is open opened closed enabled disabled".split())
+#: Elements that hold the page or its main text, whatever their classes say.
+HOLDERS = frozenset("html body main article".split())
 
 
 @lru_cache(maxsize=100_000)
@@ -78,22 +85,54 @@ def label(name: str, attributes: str) -> str:
     return ".".join([name, *(re.sub(r"[\d>#]+", "0", w) for w in found)])
 
 
+@lru_cache(maxsize=100_000)
+def is_named_boilerplate(part: str) -> bool:
+    """Whether an element counts as boilerplate by a class word, or as a form."""
+    name, *classes = part.split(".")
+    if name in HOLDERS:
+        return False
+    parts = [set(re.split(r"[^a-z]+", c)) for c in classes]
+    return name == "form" or any(BOILERPLATE_WORDS & w and not STATE_WORDS & w for w in parts)
+
+
 @lru_cache(maxsize=100_000)
 def is_boilerplate(part: str) -> bool:
-    name, _, rest = part.partition(".")
-    return name in BOILERPLATE or bool(BOILERPLATE_WORDS & set(re.split(r"[^a-z]+", rest)))
+    return part.partition(".")[0] in BOILERPLATE or is_named_boilerplate(part)
 
 
 @lru_cache(maxsize=100_000)
-def in_boilerplate(path: str) -> bool:
-    """Whether a path leads through boilerplate; a header counts outside an article only."""
+def in_boilerplate(path: str, spared: frozenset[str] = frozenset()) -> bool:
+    """Whether a path leads through boilerplate other than the places
+    ``spared``; a header counts outside an article only."""
     parts = path.split(">")
-    if any(map(is_boilerplate, parts)):
+    if any(is_boilerplate(p) and not (spared and ">".join(parts[:i + 1]) in spared) for i, p in enumerate(parts)):
         return True
     names = [p.partition(".")[0] for p in parts]
     return "header" in names and "article" not in names[:names.index("header")]
 
 
+@lru_cache(maxsize=100_000)
+def named_places(path: str) -> tuple[str, ...] | None:
+    """The places on a path that count as boilerplate by name only; None if others are on it."""
+    parts = path.split(">")
+    places = [">".join(parts[:i + 1]) for i, p in enumerate(parts) if is_named_boilerplate(p)]
+    return None if in_boilerplate(path, frozenset(places)) else tuple(places)
+
+
+def spared_places(sizes: list[tuple[str, int]]) -> frozenset[str]:
+    """Places that hold most of the plain text (path, characters) and are
+    therefore no boilerplate, unless an article or main element outside has text."""
+    total, holds, own = 0, Counter(), False
+    for path, n in sizes:
+        places = named_places(path)
+        if places is not None:
+            total += n
+            own |= bool(n) and not places and any(p.partition(".")[0] in ("article", "main") for p in path.split(">"))
+            for place in places:
+                holds[place] += n
+    return frozenset() if own else frozenset(p for p, n in holds.items() if 2 * n > total)
+
+
 def walk(page: str) -> Iterator[tuple[str, str | None, bool]]:
     """The page's tokens in order: (path, None, False) for an element that
     opens, ('', None, True) at an edge between blocks, (path, text, in a link) for text."""
@@ -155,18 +194,20 @@ def walk(page: str) -> Iterator[tuple[str, str | None, bool]]:
         opened[name] += 1
 
 
-def blocks(page: str) -> list[tuple[str, str]]:
-    """(path, text) of each block that holds text, character references
-    decoded, white space turned into single spaces."""
-    out: list[tuple[str, str]] = []
-    path, parts = "", []
+def blocks(page: str) -> list[tuple[str, str, int]]:
+    """(path, text, characters outside links) of each block that holds text,
+    character references decoded, white space turned into single spaces."""
+    out: list[tuple[str, str, int]] = []
+    path, parts, plain = "", [], 0
 
     def flush() -> None:
+        nonlocal plain
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((path, text))
+                out.append((path, text, plain))
             parts.clear()
+            plain = 0
 
     for where, text, flag in walk(page):
         if text is not None:
@@ -175,6 +216,7 @@ def blocks(page: str) -> list[tuple[str, str]]:
             if not parts or not "".join(parts).strip():
                 path = where
             parts.append(text)
+            plain += 0 if flag else len(text) - text.count(" ")
         elif flag:
             flush()
     flush()
@@ -240,12 +282,13 @@ def nest(classes: list[tuple[list[str], int, int]]) -> list[tuple[str, list[str]
 def main_slots(classes: list[tuple[list[str], int, int]], direct: dict[str, tuple[int, int]]) -> list[str]:
     """The main slots of a template. ``direct``: characters of text and of
     links that lie directly in each path."""
-    places = [p for _, paths, _ in nest(classes) for p in paths if p and not in_boilerplate(p)]
+    spared = spared_places([(p, n - links) for p, (n, links) in direct.items()])
+    places = [p for _, paths, _ in nest(classes) for p in paths if p and not in_boilerplate(p, spared)]
     for wanted in ("article", "main"):
         found = sorted(p for p in places if p.rpartition(">")[2].partition(".")[0] == wanted)
         if found:
             return [p for p in found if not any(p.startswith(o + ">") for o in found)]
-    plain = {p: n - links for p, (n, links) in direct.items() if not in_boilerplate(p)}
+    plain = {p: n - links for p, (n, links) in direct.items() if not in_boilerplate(p, spared)}
     total = sum(plain.values())
     holds = {p: sum(n for q, n in plain.items() if q == p or q.startswith(p + ">")) for p in places}
     best = [p for p, n in holds.items() if total and n >= MAIN_SHARE * total]
@@ -280,12 +323,17 @@ def templates(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
 def main_text(page: str | None, slots: list[str]) -> str:
     found = blocks(page or "")
-    chosen = [t for p, t in found if any(p == s or p.startswith(s + ">") for s in slots) and not in_boilerplate(p)]
+    spared = spared_places([(p, n) for p, _, n in found])
+    left = [b for b in found if not in_boilerplate(b[0], spared)]
+    if not left:  # nothing else: the outermost places that are boilerplate by name count after all
+        spared = frozenset(places[0] for p, _, _ in found if (places := named_places(p)))
+        left = [b for b in found if not in_boilerplate(b[0], spared)]
+    chosen = [t for p, t, _ in left if any(p == s or p.startswith(s + ">") for s in slots)]
     for wanted in ("article", "main", "body"):
         if chosen:
             break
-        chosen = [t for p, t in found if any(x.partition(".")[0] == wanted for x in p.split(">")) and not in_boilerplate(p)]
-    return " ".join(chosen or [t for p, t in found if not in_boilerplate(p)])
+        chosen = [t for p, t, _ in left if any(x.partition(".")[0] == wanted for x in p.split(">"))]
+    return " ".join(chosen or [t for _, t, _ in left])
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

@@ -87,6 +87,23 @@ def test_slots_of_a_template_without_article(spark):
         assert got[i].endswith(f"{('word%d ' % i * 40).strip()} ab & c") and "reader" not in got[i] and "cookies" not in got[i]
 
 
+def test_class_words_do_not_empty_a_page():
+    text = template_extract.main_text
+    for page in ('<html class="no-sidebar"><body class="has-sidebar comments-open"><article class="post share-post"><p>whole story</p></article>%s</body></html>',
+                 '<body><form id="aspnet"><div><p>whole story</p></div></form>%s</body>', '<body><div class="widget"><p>whole story</p></div>%s</body>',
+                 '<body><div class="with-sidebar"><p>whole story</p></div>%s</body>'):
+        assert text(page % '<nav>menu</nav><div class="cookie-notice">ok</div>', []) == "whole story", page
+    assert text('<article><p>story</p></article><div id="comments"><p>long reader comments</p></div>', []) == "story"
+    assert text('<body><div class="ad"><a>only links</a></div></body>', []) == "only links"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><object><p>seen</p></object>", []) == "so x=2 holds seen"
+
+
+def test_host_of_pages_in_one_form(spark):
+    rows = [(i, f"http://form.test/{i}", f"<body class='has-sidebar'><form id='f'><div class='page'><p>{f'word{i} ' * 30}</p></div></form></body>") for i in range(4)]
+    got = template_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: (f"word{i} " * 30).strip() for i in range(4)}
+
+
 def test_classes_nest():
     classes = [(["html", "html>body"], 0, 1), (["html>body>ul"], 0, 3), (["html>body>ul>li", "html>body>ul>li>a"], 9, 9)]
     assert [(a, p) for a, p, _ in template_extract.nest(classes)] == [
