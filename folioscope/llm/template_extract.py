@@ -20,7 +20,8 @@ nothing else is left.
 
 Defined results: null and empty html give an empty text. A page without any of
 its host's main slots falls back to its own article or main element, else to
-its body. Pages without a host share the host ''. Repeated rows stay; ids may
+its body; an article or main element outside the slots that holds more plain
+text than they do counts as a slot of the page. Pages without a host share the host ''. Repeated rows stay; ids may
 be null. Unclosed, stray and misnested tags are tolerated. Other columns are
 ignored.
 """
@@ -321,6 +322,16 @@ def templates(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
     return written(hosts.mapInArrow(deduce, "host string, slots array<string>"), "templates")
 
 
+def own_place(path: str, slots: list[str]) -> str | None:
+    """The outermost article or main element on a path that holds no slot."""
+    parts = path.split(">")
+    for i, part in enumerate(parts):
+        place = ">".join(parts[:i + 1])
+        if part.partition(".")[0] in ("article", "main") and not any(s.startswith(place + ">") for s in slots):
+            return place
+    return None
+
+
 def main_text(page: str | None, slots: list[str]) -> str:
     found = blocks(page or "")
     spared = spared_places([(p, n) for p, _, n in found])
@@ -328,7 +339,14 @@ def main_text(page: str | None, slots: list[str]) -> str:
     if not left:  # nothing else: the outermost places that are boilerplate by name count after all
         spared = frozenset(places[0] for p, _, _ in found if (places := named_places(p)))
         left = [b for b in found if not in_boilerplate(b[0], spared)]
-    chosen = [t for p, t, _ in left if any(p == s or p.startswith(s + ">") for s in slots)]
+    within = lambda p, places: any(p == s or p.startswith(s + ">") for s in places)
+    own = Counter()
+    for p, _, n in left:
+        if not within(p, slots) and (place := own_place(p, slots)):
+            own[place] += n
+    held = sum(n for p, _, n in left if within(p, slots))
+    slots = [*slots, *(p for p, n in own.items() if n > held)]
+    chosen = [t for p, t, _ in left if within(p, slots)]
     for wanted in ("article", "main", "body"):
         if chosen:
             break

@@ -104,6 +104,15 @@ def test_host_of_pages_in_one_form(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: (f"word{i} " * 30).strip() for i in range(4)}
 
 
+def test_stories_on_a_host_of_lists(spark):
+    teaser = '<article class="teaser"><a href="/x">teaser %d</a></article>'
+    rows = [(i, f"http://mixed.test/{i}", f"<body><main>{''.join(teaser % j for j in range(i, i + 6))}</main></body>") for i in range(6)]
+    rows += [(i, f"http://mixed.test/{i}", f'<body><main><article class="story"><p>{f"word{i} " * 50}</p></article>{teaser % 1}</main></body>') for i in (6, 7)]
+    got = {r["page_id"]: r["text"] for r in template_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0] == " ".join(f"teaser {j}" for j in range(6))
+    assert all(got[i] == f"word{i} " * 50 + "teaser 1" for i in (6, 7))
+
+
 def test_classes_nest():
     classes = [(["html", "html>body"], 0, 1), (["html>body>ul"], 0, 3), (["html>body>ul>li", "html>body>ul>li>a"], 9, 9)]
     assert [(a, p) for a, p, _ in template_extract.nest(classes)] == [
