@@ -32,6 +32,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 Rule = tuple[str, str]
 MOST_RULES = 1000
 
+#: Public suffixes of several labels; a parameter of at most MOST_SUFFIXES. Any other host's suffix is its last label.
+SUFFIXES = tuple((
+    "co.uk org.uk ac.uk gov.uk me.uk ltd.uk plc.uk net.uk sch.uk com.au net.au org.au edu.au gov.au id.au co.nz org.nz net.nz ac.nz govt.nz "
+    "co.jp ne.jp or.jp ac.jp go.jp co.kr or.kr go.kr ac.kr co.in net.in org.in gov.in ac.in com.br net.br org.br gov.br com.cn net.cn org.cn "
+    "gov.cn edu.cn com.tw org.tw com.hk org.hk com.sg com.my com.ph com.vn co.id co.th in.th com.tr com.mx com.ar com.co com.pe com.ve com.ec "
+    "co.za org.za com.ng co.ke com.eg com.sa co.il org.il com.ua com.pl com.pt com.es com.gr com.ru "
+    "github.io gitlab.io blogspot.com wordpress.com netlify.app vercel.app pages.dev web.app firebaseapp.com herokuapp.com appspot.com").split())
+MOST_SUFFIXES = 20_000
+
 
 def after_scheme(url: Column) -> Column:
     """What follows the first ``://``; empty if there is none."""
@@ -51,14 +60,31 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(rest, "^[^?#]*", 0)
 
 
-def suffix_of(host: Column) -> Column:
-    """The public suffix: the last label."""
-    return F.substring_index(host, ".", -1)
+def site_name(host: Column) -> Column:
+    """The host without a port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def _last_labels(host: Column, suffixes: Sequence[str], more: int) -> Column:
+    """The longest fitting suffix, else the last label, with ``more`` labels before it."""
+    if len(suffixes) > MOST_SUFFIXES:
+        raise ValueError(f"at most {MOST_SUFFIXES} suffixes")
+    name = site_name(host)
+    out = F.substring_index(name, ".", -1 - more)
+    for k in sorted({s.count(".") + 1 for s in suffixes}):
+        fits = F.substring_index(name, ".", -k).isin([s for s in suffixes if s.count(".") + 1 == k])
+        out = F.when(fits, F.substring_index(name, ".", -k - more)).otherwise(out)
+    return F.when(name.rlike(r"^([0-9]+\.){3}[0-9]+$|^\["), name).otherwise(out)
+
+
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The public suffix: the longest of ``suffixes`` that fits, else the last label; an IP address is its own."""
+    return _last_labels(host, suffixes, 0)
 
 
-def domain_of(host: Column) -> Column:
-    """The registered domain: the last two labels."""
-    return F.substring_index(host, ".", -2)
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The registered domain: one label more than the public suffix."""
+    return _last_labels(host, suffixes, 1)
 
 
 def rule_fits(rule: str, host: Column, path: Column) -> Column:
@@ -91,12 +117,13 @@ def level_prior(level: DataFrame, least: float, most: float) -> DataFrame:
                         F.greatest(F.lit(least), F.least(F.lit(most), F.coalesce(strength, F.lit(least)))).alias("strength"))
 
 
-def reputation(outcomes: DataFrame, least: float = 1.0, most: float = 1000.0, z: float = 1.645) -> DataFrame:
+def reputation(outcomes: DataFrame, least: float = 1.0, most: float = 1000.0, z: float = 1.645,
+               suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``host``, ``n``, ``good``, ``rate`` and the bounds ``low`` and ``high`` of the
     posterior, for every host of ``outcomes`` (host, good: 1, 0 or null)."""
     hosts = (outcomes.groupBy("host").agg(F.count("good").alias("n"),
                                           F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-             .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+             .withColumn("domain", domain_of(F.col("host"), suffixes)).withColumn("suffix", suffix_of(F.col("host"), suffixes)))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
@@ -115,7 +142,7 @@ def reputation(outcomes: DataFrame, least: float = 1.0, most: float = 1000.0, z:
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], id_column: str = "page_id",
           url_column: str = "url", label_id: str = "doc_id", least_good: float = 0.5, least: float = 1.0,
-          most: float = 1000.0, z: float = 1.645) -> DataFrame:
+          most: float = 1000.0, z: float = 1.645, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """``id_column``, ``host``, ``path``, ``rule``, ``verdict`` and ``n_labelled`` (outcomes
     of the host) for every page. A page's outcome is good when its label says
     quality 1 and not toxic."""
@@ -125,7 +152,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[Rule], id_column:
     outcome = labels.select(F.col(label_id).alias("_id"), good.alias("good"))
     outcome = outcome.groupBy("_id").agg(F.min("good").alias("good"))  # one outcome a page; a bad label wins
     outcomes = seen.select("_id", "host").join(outcome, "_id", "left").select("host", "good")
-    hosts = reputation(outcomes, least, most, z).select("host", F.col("n").alias("n_labelled"),
+    hosts = reputation(outcomes, least, most, z, suffixes).select("host", F.col("n").alias("n_labelled"),
                                                         (F.col("high") < least_good).alias("_bad"))
     judged = seen.join(hosts, "host")
     host, path = F.col("host"), F.col("path")

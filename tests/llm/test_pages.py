@@ -158,6 +158,17 @@ def test_bad_hosts_are_blocked_and_rates_shrink(spark):
     assert 0 < got["one.a.com"]["rate"] < got["new.a.com"]["rate"] < 1 and got["new.a.com"]["n"] == 0
 
 
+def test_registered_domains_below_long_suffixes(spark):
+    want = [("new.badsite.co.uk", "badsite.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("a.b.me.github.io:80", "me.github.io", "github.io"),
+            ("www.x.com:8080", "x.com", "com"), ("10.0.0.1:81", "10.0.0.1", "10.0.0.1"), ("[::1]:80", "[::1]", "[::1]"), ("h", "h", "h"), ("", "", "")]
+    host = url_reputation.F.col("host")
+    got = spark.createDataFrame([w[:1] for w in want], "host string").select("host", url_reputation.domain_of(host), url_reputation.suffix_of(host))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    outcomes = [("old.badsite.co.uk", 0)] * 60 + [("new.badsite.co.uk", None), ("new.other.co.uk", None)] + [("www.fine.co.uk", 1)] * 60 + [("x.org", 1)] * 9
+    rate = {r["host"]: r["rate"] for r in url_reputation.reputation(spark.createDataFrame(outcomes, "host string, good long")).collect()}
+    assert rate["new.badsite.co.uk"] < rate["new.other.co.uk"]
+
+
 def test_url_query_equals_sql(spark):
     con = duckdb.connect()
     for t in ("pages", "labels"):
