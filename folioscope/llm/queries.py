@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import bpe_stream, decontam, lang_rank, quality_gbdt, quality_sketch, simhash_vp, substring_fm, template_extract, url_reputation, warc_index
+from folioscope.llm import best_fit_pack, bpe_stream, decontam, fim_rotate, lang_rank, quality_gbdt, quality_sketch, simhash_vp, substring_fm, template_extract, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -96,6 +96,19 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its blocks exchanged for filling in the middle, and back."""
+    found = fim_rotate.restore(fim_rotate.transform(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces packed into sequences of 2048 tokens."""
+    return best_fit_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
 QUERIES = {
     "op1_url_reputation": op1_url_reputation,
     "op2_html": op2_html,
@@ -107,6 +120,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_substring": op10_substring,
+    "op12_fim": op12_fim,
+    "op13_packing": op13_packing,
 }
 
 OP1_SQL = """
@@ -186,7 +201,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), d AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT % (length(t) + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (length(t) + 1) AS c2,
+         ('0x' || substr(h, 17, 8))::BIGINT % 100 AS p, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS q FROM t
+), f AS (
+  SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR p >= 90 THEN 'plain'
+                            WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form, least(c1, c2) AS a, greatest(c1, c2) AS b FROM d
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                        ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM f
+"""
+
 ORACLE: dict[str, str] = {
+    "op12_fim": OP12_SQL,
     "op7_rules": OP7_SQL,
     "op1_url_reputation": OP1_SQL,
 }
