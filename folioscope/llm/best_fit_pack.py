@@ -20,6 +20,7 @@ give no rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm import bin_completion
+from folioscope.llm.bpe_stream import byte_symbols
 from folioscope.llm.common import slices, written
 
 #: Entries of a worker's cache of encoded words; emptied when full, longer words are not kept.
@@ -45,7 +47,10 @@ class IdBytes(dict):
 
     The tokenizer file lower-cases, drops white space and cuts words from
     punctuation, so what is parted by white space is encoded apart, and letters
-    apart from the stops that follow them."""
+    apart from the stops that follow them. A word of Latin-1 letters is then one
+    word for the library's BPE model, with a symbol for each byte."""
+
+    WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
     def __init__(self, path: str):
         super().__init__()
@@ -54,6 +59,8 @@ class IdBytes(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.symbols = dict(enumerate(byte_symbols()))
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
@@ -62,12 +69,15 @@ class IdBytes(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         word = chunk.rstrip(".,;:!?")
-        if word != chunk and word.isascii() and word.isalpha():
+        if not self.WORD.fullmatch(word):
+            data = self.encode(chunk)
+        elif word != chunk:
             data = self[word.lower()] + self[chunk[len(word):]]
-        elif chunk.isascii() and chunk.isalpha() and not chunk.islower():
-            data = self[chunk.lower()]
+        elif word != (low := word.lower()):
+            data = self[low]
         else:
-            data = self.encode(chunk)
+            symbols = word.encode().decode("latin-1").translate(self.symbols)
+            data = array("I", [t.id for t in self.model.tokenize(symbols)]).tobytes()
         if len(chunk) <= CACHED_CHARS:
             if len(self) >= CACHE_WORDS:
                 self.clear()

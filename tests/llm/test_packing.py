@@ -84,7 +84,7 @@ def test_empty_and_wrong_sizes():
 
 
 TEXTS = ["Hello, World! it's THE End... a.b c\x1dd <|endoftext|> x", "Café　CAFÉ é İx naïve don't", "", " \t\n", "word " * 5000,
-         "<|startoftext|>", "A1 22b c3.d! ??", "ΣΑΣ ὈΔΥΣΣΕΎΣ", "x" * 3000, "́abc ̈.", "I'LL we've. the.'s don't."]
+         "<|startoftext|>", "A1 22b c3.d! ??", "ΣΑΣ ὈΔΥΣΣΕΎΣ", "x" * 3000, "́abc ̈.", "I'LL we've. the.'s don't.", "Élan vital, Straße über ÀÉÎÕÜ ÿ ß þ Æther! ×÷ µm ªº", "été. Été? e\u0301te\u0301 Ångström Œuvre,"]
 
 
 def library(text):
