@@ -38,7 +38,7 @@ from folioscope.llm.bpe_stream import byte_symbols
 from folioscope.llm.common import slices, written
 
 #: Entries of a worker's cache of encoded words; emptied when full, longer words are not kept.
-CACHE_WORDS, CACHED_CHARS = 600_000, 64
+CACHE_WORDS, CACHED_CHARS = 400_000, 64
 
 
 class IdBytes(dict):
@@ -155,13 +155,13 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col
          text_column: str = "text", keep_ids: bool = False) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``, gapless from 0 in every sequence."""
     cut = written(pieces(df, path, capacity, end_id, id_column, text_column, keep_ids), "pack-pieces")
-    here = written(cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")), "pack-counts")
-    counts = {r["length"]: r["n"] for r in here.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows
+    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     length, first, each, sequence, offset = plan(counts, capacity)
     # numbers of pieces stay below 2**48, so one number orders (length, number)
     key = (length << 48) | first
 
     earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    here = cut.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     base = here.select("length", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
     numbered = cut.join(base, ["length", "_part"]).withColumn("_key", F.shiftleft("length", 48).bitwiseOR(F.col("_base") + F.col("_nth")))
     wanted = [id_column, "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
