@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import best_fit_pack, bpe_stream, decontam, fim_rotate, lang_rank, quality_gbdt, quality_sketch, simhash_vp, substring_fm, template_extract, url_reputation, warc_index
+from folioscope.llm import best_fit_pack, bpe_stream, collocations, decontam, fim_rotate, lang_rank, quality_gbdt, quality_sketch, simhash_vp, substring_fm, template_extract, url_reputation, warc_index
 from folioscope.llm.common import table
 
 
@@ -96,6 +96,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two and three words of every language."""
+    return collocations.mine(table(spark, sf_dir, "documents"), most_words=3, least=10, share=50, top=2000)
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its blocks exchanged for filling in the middle, and back."""
     found = fim_rotate.restore(fim_rotate.transform(table(spark, sf_dir, "documents")))
@@ -120,6 +125,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_substring": op10_substring,
+    "op11_collocations": op11_collocations,
     "op12_fim": op12_fim,
     "op13_packing": op13_packing,
 }
@@ -217,7 +223,31 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END::BIGIN
 FROM f
 """
 
+OP11_SQL = r"""
+WITH p AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
+), s AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(m)
+), g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM s GROUP BY ALL
+), tot AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang
+), c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE m > 1 AND f >= 10
+), cut AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM c JOIN (VALUES (1), (2)) v(k) ON k < c.m
+  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+), low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, phrase, max(a) AS longer
+  FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE m = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE m = 3) GROUP BY ALL
+), alone AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN tot USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_collocations": OP11_SQL,
     "op12_fim": OP12_SQL,
     "op7_rules": OP7_SQL,
     "op1_url_reputation": OP1_SQL,
