@@ -228,19 +228,23 @@ WITH p AS (
   SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
   FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 ), w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p
-), s AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) v(m)
-), g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*)::BIGINT AS f FROM s GROUP BY ALL
+), s AS MATERIALIZED (SELECT lang, unnest(w) AS a, unnest(list_concat(w[2:], [NULL])) AS b, unnest(list_concat(w[3:], [NULL, NULL])) AS c FROM w WHERE len(w) > 0
+), g AS MATERIALIZED (
+  SELECT lang, 1 AS m, a AS phrase, a, NULL AS b, NULL AS c, count(*)::BIGINT AS f FROM s WHERE a IS NOT NULL GROUP BY lang, a
+  UNION ALL SELECT lang, 2, a || ' ' || b, a, b, NULL, count(*)::BIGINT FROM s WHERE b IS NOT NULL GROUP BY lang, a, b HAVING count(*) >= 10
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c, a, b, c, count(*)::BIGINT FROM s WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING count(*) >= 10
 ), tot AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang
-), c AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE m > 1 AND f >= 10
+), c AS MATERIALIZED (SELECT lang, m, phrase, a AS w1, b AS w2, c AS w3, f AS a FROM g WHERE m > 1
+), parts AS (
+  SELECT lang, phrase, a, 1 AS k, w1 AS x, CASE m WHEN 2 THEN w2 ELSE w2 || ' ' || w3 END AS y FROM c
+  UNION ALL SELECT lang, phrase, a, 2, w1 || ' ' || w2, w3 FROM c WHERE m = 3
 ), cut AS (
-  SELECT c.lang, c.phrase, c.m, c.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
-  FROM c JOIN (VALUES (1), (2)) v(k) ON k < c.m
-  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
-  JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+  SELECT p.lang, p.phrase, p.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * p.a * p.a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN g x ON x.lang || chr(10) || x.phrase = p.lang || chr(10) || p.x JOIN g y ON y.lang || chr(10) || y.phrase = p.lang || chr(10) || p.y
 ), low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), inner_ AS (
   SELECT lang, phrase, max(a) AS longer
-  FROM (SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE m = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE m = 3) GROUP BY ALL
+  FROM (SELECT lang, w1 || ' ' || w2 AS phrase, a FROM c WHERE m = 3 UNION ALL SELECT lang, w2 || ' ' || w3, a FROM c WHERE m = 3) GROUP BY ALL
 ), alone AS (SELECT low.* FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM alone)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN tot USING (lang) WHERE rank <= 2000
