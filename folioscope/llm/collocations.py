@@ -6,9 +6,11 @@ per language.
 
 1. Every task counts its sequences of one to ``most_words`` words in a HAT-trie
    per language, over word numbers of its own. When the tries hold ``MOST_KEYS``
-   keys or ``MOST_WORDS`` words, whole subtrees leave as sorted runs. The runs
-   are dealt by the whole phrase as prefix, so that a frequent first word or
-   pair does not meet in one task, and merged there.
+   keys or ``MOST_WORDS`` words, whole subtrees leave as sorted runs, one
+   compressed row for each prefix partition. The prefix that deals is the whole
+   phrase, so that a frequent first word or pair does not meet in one task; a
+   partition holds a ``SHARES``-th of what a shuffle partition does. The runs of
+   a partition are merged together.
 2. Phrases with at least ``least`` occurrences are written; all parts of such a
    phrase are among them. Cuts are joined to the counts of both parts. The
    score is exact: whole numbers of 38 digits.
@@ -22,6 +24,9 @@ the slice of texts it works on (a very long text whole) and the bounded tries.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,8 +38,10 @@ from folioscope.llm.hat_trie import HatTrie
 
 #: Keys that the tries of a task hold, and words of its dictionary.
 MOST_KEYS, MOST_WORDS = 1_000_000, 1 << 19
-#: Words that are numbered together, bytes of text that are cut together, rows of a batch that leaves a task.
-CHUNK_WORDS, SLICE_BYTES, BATCH_ROWS = 1 << 17, 2 << 20, 100_000
+#: Words that are numbered together, bytes of text that are cut together.
+CHUNK_WORDS, SLICE_BYTES = 1 << 17, 2 << 20
+#: Prefix partitions for each shuffle partition.
+SHARES = 16
 #: Groups in which the first phrases of a language are looked for.
 SALTS = 64
 
@@ -63,14 +70,14 @@ class WordNumbers(dict):
 class Counting:
     """What a task has counted: a trie and the number of words for each language."""
 
-    def __init__(self, most_words: int):
-        self.most_words = most_words
+    def __init__(self, most_words: int, parts: int):
+        self.most_words, self.parts = most_words, parts
         self.room = min(MOST_WORDS, (1 << 63 // most_words) - 1)
         self.chunk = max(1, min(CHUNK_WORDS, self.room // 4))
         self.numbers, self.tries, self.totals = WordNumbers(), {}, {}
 
-    def add(self, lang: str, texts: list[bytes]):
-        """Counts the texts; yields the batches of runs that have to leave."""
+    def add(self, lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Counts the texts; yields the runs that have to leave."""
         words = b"\n".join(texts).translate(_LETTERS).replace(b"\n", b" \n ").split(b" ")
         before: list[bytes] = []  # the last words of the chunk before: sequences may begin there
         for at in range(0, len(words), self.chunk):
@@ -86,23 +93,73 @@ class Counting:
             if sum(map(len, self.tries.values())) > MOST_KEYS:
                 yield from self.leave(MOST_KEYS // 2)
 
-    def leave(self, keep: int):
+    def leave(self, keep: int) -> Iterator[pa.RecordBatch]:
         """Runs of whole subtrees, until each trie holds at most its share of ``keep`` keys."""
         names = pa.array(self.numbers.words, pa.binary())
+        hashes = np.fromiter(map(zlib.crc32, self.numbers.words), np.uint64, len(self.numbers.words))
+        hashes[0] = 0
         for lang, trie in self.tries.items():
-            for keys, n in trie.spill(keep // len(self.tries)):
-                for at in range(0, len(keys), BATCH_ROWS):
-                    k = keys[at:at + BATCH_ROWS]
-                    yield batch(pa.repeat(pa.scalar(lang, pa.string()), len(k)), phrases(names, k, trie), pa.array(n[at:at + BATCH_ROWS]))
-
-    def end(self):
+            runs = list(trie.spill(keep // len(self.tries)))
+            if not runs:
+                continue
+            keys, n = (np.concatenate(x) for x in zip(*runs))
+            part = prefix_partition(hashes, keys, trie, self.parts)
+            order = np.argsort(part, kind="stable")
+            keys, n, part = keys[order], n[order], part[order]
+            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            rows, start = [], 0
+            for end in ends:
+                rows.append((int(part[start]), lang, end - start, packed(phrases(names, keys[start:end], trie), n[start:end])))
+                start = end
+            yield batch(rows)
+
+    def end(self) -> Iterator[pa.RecordBatch]:
         yield from self.leave(0)
         if self.totals:
-            yield batch(pa.array(list(self.totals), pa.string()), pa.repeat("", len(self.totals)), pa.array(list(self.totals.values()), pa.int64()))
+            yield batch([(0, lang, 1, packed(pa.array([b""], pa.binary()), np.array([n]))) for lang, n in self.totals.items()])
+
+
+def prefix_partition(hashes: np.ndarray, keys: np.ndarray, trie: HatTrie, parts: int) -> np.ndarray:
+    """The partition of each key, from the words alone: the same in every task."""
+    mask, mixed = (1 << trie.bits) - 1, np.zeros(len(keys), np.uint64)
+    for m in range(trie.words):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + hashes[keys >> trie.shift(m) & mask]
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+
+
+def batch(rows: list[tuple]) -> pa.RecordBatch:
+    part, lang, size, run = zip(*rows)
+    return pa.record_batch([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array(size, pa.int64()), pa.array(run, pa.binary())],
+                           names=["part", "lang", "size", "run"])
 
 
-def batch(lang: pa.Array, phrase: pa.Array, f: pa.Array) -> pa.RecordBatch:
-    return pa.record_batch([lang, phrase, f], names=["lang", "phrase", "f"])
+def packed(phrase: pa.Array, f: np.ndarray) -> bytes:
+    """A run as compressed bytes, after the number of its bytes: counts, lengths and texts."""
+    _, offsets, data = phrase.buffers()
+    at = np.frombuffer(offsets, np.int32, len(phrase) + 1, 4 * phrase.offset)
+    text = data.slice(int(at[0]), int(at[-1] - at[0])) if data else b""
+    raw = b"".join((f.astype("<i8").tobytes(), np.diff(at).astype("<i4").tobytes(), text))
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(size: int, run: bytes) -> tuple[pa.Array, pa.Array]:
+    raw = pa.decompress(run[8:], int.from_bytes(run[:8], "little"), codec="zstd")
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i4", size, 8 * size))]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(ends), raw.slice(12 * size)]), pa.array(np.frombuffer(raw, "<i8", size))
+
+
+def merged(runs: pa.Table, least: int) -> pa.Table:
+    """The phrases of a prefix partition with at least ``least`` occurrences, and the empty ones."""
+    out = []
+    runs = runs.combine_chunks()
+    for lang in pc.unique(runs["lang"]).to_pylist():
+        own = runs.filter(pc.equal(runs["lang"], pa.scalar(lang, pa.string())))
+        phrase, f = zip(*map(unpacked, own["size"].to_pylist(), own["run"].to_pylist()))
+        found = pa.table({"phrase": pa.chunked_array(phrase), "f": pa.chunked_array(f)}).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+        found = found.filter(pc.or_(pc.greater_equal(found["f_sum"], least), pc.equal(pc.binary_length(found["phrase"]), 0)))
+        out.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(found)), "phrase": found["phrase"].cast(pa.string()), "f": found["f_sum"]}))
+    return pa.concat_tables(out)
 
 
 def phrases(names: pa.Array, keys: np.ndarray, trie: HatTrie) -> pa.Array:
@@ -116,14 +173,16 @@ def phrases(names: pa.Array, keys: np.ndarray, trie: HatTrie) -> pa.Array:
             break
         joined = pc.binary_join_element_wise(out.filter(pa.array(more)), names.take(pa.array(word[more])), space)
         out = pc.replace_with_mask(out, pa.array(more), joined)
-    return out.cast(pa.string())
+    return out
+
 
+def counts(df: DataFrame, most_words: int = 3, least: int = 1, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """``lang``, ``phrase``, ``f`` of all phrases of at most ``most_words`` words with
+    at least ``least`` occurrences; the empty phrase counts all words of a language."""
+    parts = SHARES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def counts(df: DataFrame, most_words: int = 3, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """``lang``, ``phrase``, ``f`` of all phrases of at most ``most_words`` words; the
-    empty phrase counts all words of a language."""
     def run(batches):
-        found = Counting(most_words)
+        found = Counting(most_words, parts)
         for part in slices(batches, 1, SLICE_BYTES):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
@@ -134,8 +193,8 @@ def counts(df: DataFrame, most_words: int = 3, text_column: str = "text", lang_c
         yield from found.end()
 
     rows = df.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.col(text_column).alias("text"))
-    runs = rows.mapInArrow(run, "lang string, phrase string, f long")
-    return runs.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    runs = rows.mapInArrow(run, "part int, lang string, size long, run binary")
+    return runs.groupBy("part").applyInArrow(lambda table: merged(table, least), "lang string, phrase string, f long")
 
 
 def mine(df: DataFrame, most_words: int = 3, least: int = 10, share: int = 50, top: int = 2000,
@@ -147,7 +206,7 @@ def mine(df: DataFrame, most_words: int = 3, least: int = 10, share: int = 50, t
 
     A phrase inside a longer candidate that has at least ``share`` percent of
     its occurrences is left out, whether the longer one stays or not."""
-    kept = written(counts(df, most_words, text_column, lang_column).where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    kept = written(counts(df, most_words, least, text_column, lang_column), "phrases")
     part = kept.where("phrase <> ''")
     candidates = part.withColumn("_w", F.split("phrase", " ")).withColumn("_m", F.size("_w")).where("_m > 1").withColumnRenamed("f", "a")
 

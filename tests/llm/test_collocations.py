@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,11 +109,13 @@ def test_counts_and_phrases(monkeypatch, docs, keys, words, chunk):
     # small limits hold in this process only, so the counting runs here
     rows = [(r["lang"], r["text"]) for r in part.collect()]
     want = slow_counts(rows)
-    counting, got = C.Counting(3), defaultdict(Counter)
+    counting, got = C.Counting(3, 7), defaultdict(Counter)
     batches = [b for lang, text in rows for b in counting.add("und" if lang is None else lang, [(text or "").encode()])] + list(counting.end())
-    for b in batches:
-        for r in b.to_pylist():
-            got[r["lang"]][r["phrase"]] += r["f"]
+    runs = pa.Table.from_batches(batches)
+    for part in range(7):
+        for r in C.merged(runs.filter(pc.equal(runs["part"], part)), 0).to_pylist():
+            assert r["phrase"] not in got[r["lang"]]  # a phrase is in one partition only
+            got[r["lang"]][r["phrase"]] = r["f"]
     assert {k: Counter({p: n for p, n in v.items() if n}) for k, v in got.items() if any(v.values())} == dict(want)
     if keys > 400:
         assert rows_of(C.mine(docs)) == slow_mine(want) != []
