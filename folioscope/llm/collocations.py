@@ -94,29 +94,28 @@ class Counting:
                 yield from self.leave(MOST_KEYS // 2)
 
     def leave(self, keep: int) -> Iterator[pa.RecordBatch]:
-        """Runs of whole subtrees, until each trie holds at most its share of ``keep`` keys."""
+        """Runs of whole subtrees, until each trie holds at most its share of ``keep``
+        keys: a row for each prefix partition, its phrases by language."""
         names = pa.array(self.numbers.words, pa.binary())
         hashes = np.fromiter(map(zlib.crc32, self.numbers.words), np.uint64, len(self.numbers.words))
         hashes[0] = 0
-        for lang, trie in self.tries.items():
-            runs = list(trie.spill(keep // len(self.tries)))
-            if not runs:
-                continue
-            keys, n = (np.concatenate(x) for x in zip(*runs))
-            part = prefix_partition(hashes, keys, trie, self.parts)
-            order = np.argsort(part, kind="stable")
-            keys, n, part = keys[order], n[order], part[order]
-            ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-            rows, start = [], 0
-            for end in ends:
-                rows.append((int(part[start]), lang, end - start, packed(phrases(names, keys[start:end], trie), n[start:end])))
-                start = end
-            yield batch(rows)
+        langs, runs = list(self.tries), []
+        for i, lang in enumerate(langs):
+            trie = self.tries[lang]
+            for keys, n in trie.spill(keep // len(langs)):
+                runs.append((keys, n, np.full(len(keys), i, np.int32), prefix_partition(hashes, keys, trie, self.parts)))
+        if runs:
+            keys, n, lang, part = (np.concatenate(x) for x in zip(*runs))
+            order = np.lexsort((lang, part))
+            keys, n, lang, part = keys[order], n[order], lang[order], part[order]
+            texts = pa.concat_arrays([phrases(names, keys[i:i + 200_000], trie) for i in range(0, len(keys), 200_000)])
+            yield rows_of_runs(langs, part, lang, texts, n)
 
     def end(self) -> Iterator[pa.RecordBatch]:
         yield from self.leave(0)
         if self.totals:
-            yield batch([(0, lang, 1, packed(pa.array([b""], pa.binary()), np.array([n]))) for lang, n in self.totals.items()])
+            k = len(self.totals)
+            yield rows_of_runs(list(self.totals), np.zeros(k, np.int32), np.arange(k), pa.array([b""] * k, pa.binary()), np.array(list(self.totals.values())))
 
 
 def prefix_partition(hashes: np.ndarray, keys: np.ndarray, trie: HatTrie, parts: int) -> np.ndarray:
@@ -128,37 +127,53 @@ def prefix_partition(hashes: np.ndarray, keys: np.ndarray, trie: HatTrie, parts:
     return ((mixed >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
 
 
-def batch(rows: list[tuple]) -> pa.RecordBatch:
-    part, lang, size, run = zip(*rows)
-    return pa.record_batch([pa.array(part, pa.int32()), pa.array(lang, pa.string()), pa.array(size, pa.int64()), pa.array(run, pa.binary())],
-                           names=["part", "lang", "size", "run"])
-
-
-def packed(phrase: pa.Array, f: np.ndarray) -> bytes:
-    """A run as compressed bytes, after the number of its bytes: counts, lengths and texts."""
+def rows_of_runs(langs: list[str], part: np.ndarray, lang: np.ndarray, phrase: pa.Array, f: np.ndarray) -> pa.RecordBatch:
+    """A row for each partition of phrases sorted by partition and language. Its run
+    is compressed: counts, lengths, texts, after the number of their bytes."""
     _, offsets, data = phrase.buffers()
-    at = np.frombuffer(offsets, np.int32, len(phrase) + 1, 4 * phrase.offset)
-    text = data.slice(int(at[0]), int(at[-1] - at[0])) if data else b""
-    raw = b"".join((f.astype("<i8").tobytes(), np.diff(at).astype("<i4").tobytes(), text))
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    at = np.frombuffer(offsets, np.int32, len(phrase) + 1)
+    counts, lengths, data = f.astype("<i8"), np.diff(at).astype("<i4"), data or pa.py_buffer(b"")
+    cut = np.flatnonzero(np.diff(part) | np.diff(lang)) + 1
+    starts, ends = np.concatenate([[0], cut]).tolist(), np.concatenate([cut, [len(part)]]).tolist()
+    rows: dict[int, tuple[list, list, list]] = {}
+    for start, end in zip(starts, ends):
+        row = rows.setdefault(int(part[start]), ([], [], [start, end]))
+        row[0].append(langs[lang[start]])
+        row[1].append(end - start)
+        row[2][1] = end
+    runs = []
+    for _, _, (start, end) in rows.values():
+        raw = b"".join((counts[start:end].tobytes(), lengths[start:end].tobytes(), data.slice(int(at[start]), int(at[end] - at[start]))))
+        runs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+    return pa.record_batch([pa.array(list(rows), pa.int32()), pa.array([r[0] for r in rows.values()], pa.list_(pa.string())),
+                            pa.array([r[1] for r in rows.values()], pa.list_(pa.int64())), pa.array(runs, pa.binary())],
+                           names=["part", "lang", "size", "run"])
 
 
-def unpacked(size: int, run: bytes) -> tuple[pa.Array, pa.Array]:
-    raw = pa.decompress(run[8:], int.from_bytes(run[:8], "little"), codec="zstd")
+def unpacked(langs: list[str], sizes: list[int], run: bytes) -> Iterator[tuple[str, pa.Array, pa.Array]]:
+    """(language, phrases, counts) of a row."""
+    size, raw = sum(sizes), pa.decompress(run[8:], int.from_bytes(run[:8], "little"), codec="zstd")
     ends = np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<i4", size, 8 * size))]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(ends), raw.slice(12 * size)]), pa.array(np.frombuffer(raw, "<i8", size))
+    phrase = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(ends), raw.slice(12 * size)])
+    f, at = pa.array(np.frombuffer(raw, "<i8", size)), 0
+    for lang, n in zip(langs, sizes):
+        yield lang, phrase.slice(at, n), f.slice(at, n)
+        at += n
 
 
 def merged(runs: pa.Table, least: int) -> pa.Table:
     """The phrases of a prefix partition with at least ``least`` occurrences, and the empty ones."""
+    found: dict[str, tuple[list, list]] = {}
+    for langs, sizes, run in zip(runs["lang"].to_pylist(), runs["size"].to_pylist(), runs["run"].to_pylist()):
+        for lang, phrase, f in unpacked(langs, sizes, run):
+            own = found.setdefault(lang, ([], []))
+            own[0].append(phrase)
+            own[1].append(f)
     out = []
-    runs = runs.combine_chunks()
-    for lang in pc.unique(runs["lang"]).to_pylist():
-        own = runs.filter(pc.equal(runs["lang"], pa.scalar(lang, pa.string())))
-        phrase, f = zip(*map(unpacked, own["size"].to_pylist(), own["run"].to_pylist()))
-        found = pa.table({"phrase": pa.chunked_array(phrase), "f": pa.chunked_array(f)}).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
-        found = found.filter(pc.or_(pc.greater_equal(found["f_sum"], least), pc.equal(pc.binary_length(found["phrase"]), 0)))
-        out.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(found)), "phrase": found["phrase"].cast(pa.string()), "f": found["f_sum"]}))
+    for lang, (phrase, f) in found.items():
+        sums = pa.table({"phrase": pa.chunked_array(phrase), "f": pa.chunked_array(f)}).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+        sums = sums.filter(pc.or_(pc.greater_equal(sums["f_sum"], least), pc.equal(pc.binary_length(sums["phrase"]), 0)))
+        out.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(sums)), "phrase": sums["phrase"].cast(pa.string()), "f": sums["f_sum"]}))
     return pa.concat_tables(out)
 
 
@@ -193,7 +208,7 @@ def counts(df: DataFrame, most_words: int = 3, least: int = 1, text_column: str
         yield from found.end()
 
     rows = df.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.col(text_column).alias("text"))
-    runs = rows.mapInArrow(run, "part int, lang string, size long, run binary")
+    runs = rows.mapInArrow(run, "part int, lang array<string>, size array<long>, run binary")
     return runs.groupBy("part").applyInArrow(lambda table: merged(table, least), "lang string, phrase string, f long")
 
 
