@@ -5,7 +5,7 @@ attachments an equi-join on (doc_id, name)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,16 +25,10 @@ def lookup(docs: DataFrame, keys: DataFrame, key: str = "_id") -> DataFrame:
             .select(key, F.coalesce(F.col("_hit"), F.lit(False)).alias("exists"), "title"))
 
 
-def upsert(base: DataFrame, changes: DataFrame, key: str = "_id", order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """Save a batch of changes, one after the other per key. Returns (store,
-    conflicts); every change is in exactly one of them.
-
-    A change whose ``_rev`` equals the stored revision is applied and moves the
-    revision to ``_rev + 1``; a change without a revision creates a new key at
-    revision 1. Any other change is a conflict: a used or unknown revision, a
-    revision for a key that is not stored, none for a key that is. So of
-    several changes for one key one is applied, the first by the ``order``
-    columns, then by the hash of its values; the others come too late.
+def judge(current: DataFrame, changes: DataFrame, key: str = "_id", order: tuple[str, ...] = ()) -> DataFrame:
+    """The changes with ``_won``, whether each is the one applied to its key,
+    ``_current`` and ``_stored`` (the stored revision, whether there is one) and
+    ``_late``, how many equal ones come too late. ``current``: key and ``_rev``.
 
     The winner per key is a ``min`` over (order, hash), reduced before the
     shuffle, so a key with a large share of all changes is one row per task.
@@ -44,19 +38,35 @@ def upsert(base: DataFrame, changes: DataFrame, key: str = "_id", order: tuple[s
     ranked = changes.withColumn("_rank", rank).withColumn("_new", F.col("_rev").isNull())
     # rows equal in every column count as one change made several times
     dealt = ranked.groupBy(key, *cols, "_rank", "_new").agg(F.count(F.lit(1)).alias("_times"))
-    current = base.select(F.col(key), F.col("_rev").alias("_current"), F.lit(True).alias("_stored"))
-    joined = dealt.join(current, key, "left")
+    stored = current.select(F.col(key), F.col("_rev").alias("_current"), F.lit(True).alias("_stored"))
+    joined = dealt.join(stored, key, "left")
     fits = F.when(F.col("_stored").isNull(), F.col("_new")).otherwise(F.coalesce(F.col("_rev") == F.col("_current"), F.lit(False)))
     joined = joined.withColumn("_fits", fits)
     first = joined.where("_fits").groupBy(key).agg(F.min("_rank").alias("_first"))
     judged = joined.join(first.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (F.col("_rank") == F.col("_first")) & F.col("_fits"), "left")
     won = F.col("_key").isNotNull()
-    applied = judged.where(won).select(key, *cols, "_current").withColumn(
-        "_rev", F.when(F.col("_current").isNull(), F.lit(1)).otherwise(F.col("_current") + 1)).drop("_current")
     late = F.col("_times") - F.when(won, F.lit(1)).otherwise(F.lit(0))
-    conflicts = judged.withColumn("_late", late).where("_late > 0").select(
-        key, F.col("_rev").alias("rejected_rev"),
-        F.when(F.col("_stored"), F.col("_current")).alias("current_rev"),
+    return judged.select(key, *cols, "_current", F.coalesce("_stored", F.lit(False)).alias("_stored"), won.alias("_won"), late.alias("_late"))
+
+
+def next_revision() -> Column:
+    return F.when(F.col("_current").isNull(), F.lit(1)).otherwise(F.col("_current") + 1)
+
+
+def upsert(base: DataFrame, changes: DataFrame, key: str = "_id", order: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Save a batch of changes, one after the other per key. Returns (store,
+    conflicts); every change is in exactly one of them.
+
+    A change whose ``_rev`` equals the stored revision is applied and moves the
+    revision to ``_rev + 1``; a change without a revision creates a new key at
+    revision 1. Any other change is a conflict: a used or unknown revision, a
+    revision for a key that is not stored, none for a key that is. So of
+    several changes for one key one is applied, the first by the ``order``
+    columns, then by the hash of its values; the others come too late."""
+    judged = judge(base.select(key, "_rev"), changes, key, order)
+    applied = judged.where("_won").withColumn("_rev", next_revision())
+    conflicts = judged.where("_late > 0").select(
+        key, F.col("_rev").alias("rejected_rev"), F.when(F.col("_stored"), F.col("_current")).alias("current_rev"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col("_late"))).alias("_n")).drop("_n")
     kept = base.join(applied.select(key), key, "left_anti")
     return kept.unionByName(applied.select(*base.columns)), conflicts

@@ -448,6 +448,39 @@ SELECT _id, CAST(_rev AS INTEGER) AS rejected_rev, CAST(cur_rev AS INTEGER) AS c
 WHERE NOT (fits AND rn = 1)"""
 
 
+SAVED = """saved AS (
+  SELECT _id, CAST(_rev AS INTEGER) AS _rev, title, lang AS category FROM corpus WHERE _id NOT IN (SELECT _id FROM applied)
+  UNION ALL SELECT _id, CAST(_rev AS INTEGER), title, CASE WHEN _id LIKE 'doc|p%' THEN 'page' ELSE 'labelled' END FROM applied)"""
+
+
+@oracle("store_saved")
+def _store_saved():
+    return ctes(CORPUS, CHANGES, SAVED) + "SELECT _id, _rev, title, category AS categories FROM saved"
+
+
+@oracle("store_saved_log")
+def _store_saved_log():
+    return ctes(CORPUS, CHANGES) + """
+SELECT _id, CASE WHEN cur_rev IS NULL THEN 'created' ELSE 'updated' END AS op, CAST(cur_rev AS INTEGER) AS old_rev,
+       CAST(coalesce(cur_rev + 1, 1) AS INTEGER) AS new_rev, CAST(NULL AS INTEGER) AS rejected_rev, CAST(NULL AS INTEGER) AS current_rev, CAST(NULL AS BIGINT) AS times
+FROM ch WHERE fits AND rn = 1
+UNION ALL
+SELECT _id, 'rejected', NULL, NULL, CAST(_rev AS INTEGER), CAST(cur_rev AS INTEGER), count(*)
+FROM ch WHERE NOT (fits AND rn = 1) GROUP BY _id, _rev, cur_rev, title, seq"""
+
+
+@oracle("store_feed_counts")
+def _store_feed_counts():
+    return ctes(CORPUS, CHANGES, SAVED) + """
+SELECT category AS name, count(*) AS document_count FROM saved
+WHERE _id NOT IN (SELECT 'doc|' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) GROUP BY category"""
+
+
+@oracle("store_lookup")
+def _store_lookup():
+    return ctes(CORPUS, CHANGES, SAVED, LOOKUP_KEYS) + "SELECT _id, _rev, title FROM saved WHERE _id IN (SELECT _id FROM keys)"
+
+
 @oracle("delete_documents")
 def _delete_documents():
     return ctes(CORPUS) + """

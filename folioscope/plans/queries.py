@@ -373,6 +373,60 @@ def upsert_conflicts(spark, sf_dir):
                             F.col("current_rev").cast("int").alias("current_rev"))
 
 
+STORE_SCHEMA = "_id string, _rev int, title string, categories array<string>"
+
+
+def _store_changes(spark, sf_dir):
+    """The changes with categories: labelled documents are classified anew."""
+    pages = F.col("_id").startswith("doc|p")
+    return _changes(spark, sf_dir).withColumn("categories", F.array(F.when(pages, F.lit("page")).otherwise(F.lit("labelled"))))
+
+
+def _saved_store(spark, sf_dir):
+    """A store on disk: the corpus saved as its first batch, then the changes,
+    which are sent twice."""
+    import uuid
+
+    from ..operators.keyed_store import KeyedStore
+    from ..session import shared_path
+    store = KeyedStore.create(spark, shared_path(spark, "stores", uuid.uuid4().hex), spark.createDataFrame([], STORE_SCHEMA).schema)
+    docs = B.corpus(spark, sf_dir).select("_id", F.lit(None).cast("int").alias("_rev"), "title", F.array("lang").alias("categories"))
+    store.save(docs, "corpus")
+    for _ in range(2):
+        store.save(_store_changes(spark, sf_dir), "changes", order=("seq",))
+    return store
+
+
+@query("store_saved")
+def store_saved(spark, sf_dir):
+    """S4 on disk: what the store holds after two batches, one of them sent twice."""
+    return _saved_store(spark, sf_dir).read().select("_id", "_rev", "title", F.array_join("categories", ",").alias("categories"))
+
+
+@query("store_saved_log")
+def store_saved_log(spark, sf_dir):
+    """S4 on disk: what the second batch did to each key."""
+    log = _saved_store(spark, sf_dir).feed().where("batch = 'changes'")
+    return log.select("_id", "op", F.col("before._rev").alias("old_rev"), F.col("after._rev").alias("new_rev"),
+                      F.col("rejected_rev").cast("int").alias("rejected_rev"), F.col("current_rev").cast("int").alias("current_rev"), "times")
+
+
+@query("store_feed_counts")
+def store_feed_counts(spark, sf_dir):
+    """A1, A2 from the change feed: documents per category after saves,
+    reclassification and deletes, without reading the store."""
+    from ..operators.keyed_store import counts_of_feed
+    store = _saved_store(spark, sf_dir)
+    store.delete(_toxic_ids(spark, sf_dir).withColumnRenamed("doc_id", "_id"), "toxic")
+    return counts_of_feed(store.feed())
+
+
+@query("store_lookup")
+def store_lookup(spark, sf_dir):
+    """S3 by key: the rows of the requested documents, from their buckets."""
+    return _saved_store(spark, sf_dir).lookup(_lookup_keys(spark, sf_dir)).select("_id", "_rev", "title")
+
+
 @query("delete_documents")
 def delete_documents(spark, sf_dir):
     from ..operators import store as S
