@@ -1100,3 +1100,13 @@ def _documents_by_assignment():
 @oracle("latest_status_stream")
 def _latest_status_stream():
     return ORACLE["latest_status"]
+
+
+@oracle("ingest_stream_hybrid")
+def _ingest_stream_hybrid():
+    return ORACLE["ingest_hybrid"]
+
+
+@oracle("status_stream_bounded")
+def _status_stream_bounded():
+    return ORACLE["latest_status"]

@@ -1049,3 +1049,42 @@ def ingest_stream(spark, sf_dir):
     run = shared_path(spark, "stream-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8])
     run_ingest_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", B.request_columns, file_glob="pages.parquet")
     return _ingest_out(read_ingested(spark, f"{run}/out"))
+
+
+@query("ingest_stream_hybrid")
+def ingest_stream_hybrid(spark, sf_dir):
+    """I3, the whole chain: the requests of ``ingest_hybrid`` arrive first, their
+    pages later; joined, classified with model and responses, saved in a store."""
+    import uuid
+
+    from ..operators.keyed_store import KeyedStore
+    from ..session import shared_path
+    from ..streaming import joined_ingest as J
+    run = shared_path(spark, "joined-" + uuid.uuid4().hex)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") % 600)
+    rows = meta_requests(spark, sf_dir).withColumn("_at", at).withColumn("arrived_at", F.col("_at") + F.expr("INTERVAL 5 minutes"))
+    landed = {"pages": rows.withColumn("fetched_at", F.col("_at")).select(*J.PAGES.names),
+              "requests": rows.withColumn("requested_at", F.col("_at") + F.expr("INTERVAL 1 minute")).select(*J.REQUESTS.names)}
+    responses = B.predictions(spark, sf_dir).withColumn("doc_id", F.replace("doc_id", F.lit("doc|"), F.lit("doc|p")))
+    store, model = KeyedStore.create(spark, f"{run}/store", J.STORED), train_model(spark, sf_dir)
+    landed["pages"].where("1 = 0").write.parquet(f"{run}/pages")
+    for name in ("requests", "pages"):
+        landed[name].write.mode("append").parquet(f"{run}/{name}")
+        J.run(spark, f"{run}/pages", f"{run}/requests", f"{run}/run", store, model, responses)
+    return store.read().select("_id", "category", F.size("categories").cast("int").alias("n_categories"),
+                               F.array_join("categories", ", ").alias("names"))
+
+
+@query("status_stream_bounded")
+def status_stream_bounded(spark, sf_dir):
+    """I2 with a state that documents leave: the rows of ``latest_status``."""
+    import uuid
+
+    from ..session import shared_path
+    from ..streaming.status_state import read_status, run_status
+    run = shared_path(spark, "status-" + uuid.uuid4().hex)
+    run_status(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", file_glob="events.parquet")
+    s = read_status(spark, f"{run}/out")
+    return s.select("doc_id", "current_step", F.date_format("started", ISO_MICROS).alias("started"),
+                    F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "completed",
+                    F.date_format("completed_at", ISO_MICROS).alias("completed_at"), T.elapsed_text("started", "ended").alias("elapsed"), "last_error")
