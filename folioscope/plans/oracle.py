@@ -570,6 +570,35 @@ SELECT _id AS doc_id, category AS name, {r6('confidence')}, {q(K.RULE_CLASSIFIER
 FROM {keyword_rows('corpus', CORPUS_KEYWORD_RULES, CORPUS_DOMAIN_RULES)} WHERE confidence >= {K.RULE_THRESHOLD}"""
 
 
+def rule_table_rows() -> str:
+    t = f"lower({X.rules_text('title', 'description', 'url', 'meta_text')})"
+    return ctes(CORPUS) + f"""
+, rt AS (SELECT DISTINCT lang || ' ' || keyword[1:1] AS category, keyword
+         FROM (SELECT lang, unnest(string_split_regex(lower(title), '[^a-z]+')) AS keyword FROM corpus) WHERE keyword <> '')
+, n AS (SELECT category, count(*) AS n FROM rt GROUP BY category)
+, rd AS (SELECT DISTINCT 'source ' || source AS category, source || '.' AS dom FROM corpus)
+, base AS (SELECT _id, {t} AS t, {X.url_domain('url')} AS d FROM corpus)
+, hits AS (
+  SELECT _id, category, count(*) AS h, 0 AS dom FROM base JOIN rt ON contains(t, keyword) GROUP BY _id, category
+  UNION ALL SELECT _id, category, 0, 1 FROM base JOIN rd ON d <> '' AND contains(d, lower(dom)) GROUP BY _id, category)
+, scored AS (
+  SELECT _id, category, CAST(h AS INTEGER) AS keyword_hits, coalesce(h / n, CAST(0.0 AS DOUBLE)) AS keyword_score, CAST(dom AS DOUBLE) AS domain_score
+  FROM hits LEFT JOIN n USING (category))
+, rules AS (SELECT *, keyword_score * CAST({K.RULE_KEYWORD_WEIGHT} AS DOUBLE) + domain_score * CAST({K.RULE_DOMAIN_WEIGHT} AS DOUBLE) AS confidence FROM scored)
+"""
+
+
+@oracle("rule_table_scores")
+def _rule_table_scores():
+    return rule_table_rows() + f"SELECT _id, category, keyword_hits, {r6('keyword_score')}, {r6('domain_score')}, {r6('confidence')} FROM rules"
+
+
+@oracle("rule_table_classify")
+def _rule_table_classify():
+    return rule_table_rows() + f"""
+SELECT _id AS doc_id, category AS name, {r6('confidence')}, {q(K.RULE_CLASSIFIER)} AS classifier FROM rules WHERE confidence >= 0.3"""
+
+
 @oracle("density_scores")
 def _density_scores():
     return ctes(CORPUS, density_best("corpus", density_text_sql())) + f"""

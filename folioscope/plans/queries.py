@@ -497,6 +497,31 @@ def rule_classify_custom(spark, sf_dir):
     return c.select("doc_id", "name", r6("confidence"), "classifier")
 
 
+def _rule_tables(spark, sf_dir):
+    """Rules in tables: every title word is a keyword of its language and first
+    letter, every source a domain of its own category."""
+    d = B.corpus(spark, sf_dir)
+    words = d.select("lang", F.explode(F.split(F.lower("title"), "[^a-z]+")).alias("keyword")).where("keyword <> ''").distinct()
+    keywords = words.select(F.concat_ws(" ", "lang", F.substring("keyword", 1, 1)).alias("category"), "keyword")
+    return keywords, d.select(F.concat(F.lit("source "), F.col("source")).alias("category"), F.concat("source", F.lit(".")).alias("domain")).distinct()
+
+
+@query("rule_table_scores")
+def rule_table_scores(spark, sf_dir):
+    """C1, C2 with rule tables of thousands of rows, by one automaton."""
+    from ..operators import rule_tables
+    s = rule_tables.table_scores(B.corpus(spark, sf_dir), *_rule_tables(spark, sf_dir))
+    return s.select("_id", "category", F.col("keyword_hits").cast("int").alias("keyword_hits"), r6("keyword_score"), r6("domain_score"), r6("confidence"))
+
+
+@query("rule_table_classify")
+def rule_table_classify(spark, sf_dir):
+    """The categories of those rules at a confidence of 0.3 or more."""
+    from ..operators import rule_tables
+    c = rule_tables.table_classify(B.corpus(spark, sf_dir), *_rule_tables(spark, sf_dir), threshold=0.3)
+    return c.select("doc_id", "name", r6("confidence"), "classifier")
+
+
 @query("density_scores")
 def density_scores(spark, sf_dir):
     s = rules.density_scores(B.corpus(spark, sf_dir))
