@@ -284,6 +284,20 @@ SELECT _id, url, title FROM corpus
 WHERE {_contains_ci('title', t)} OR {_contains_ci('description', t)} OR {_contains_ci('url', t)}"""
 
 
+@oracle("search_index")
+def _search_index():
+    from .queries import INDEX_QUERIES
+    values = ", ".join(f"({q(x)})" for x in INDEX_QUERIES)
+    hit = " OR ".join(f"coalesce(contains(lower({f}), lower(q)), false)" for f in ("title", "description", "url"))
+    return ctes(CORPUS) + f"SELECT q, _id FROM corpus JOIN (VALUES {values}) v(q) ON {hit}"
+
+
+@oracle("search_index_page")
+def _search_index_page():
+    hit = " OR ".join(_contains_ci(f, "Src1") for f in ("title", "description", "url"))
+    return ctes(CORPUS) + f"SELECT _id, title, description, url FROM corpus WHERE {hit} ORDER BY _id LIMIT 20 OFFSET 40"
+
+
 @oracle("documents_by_category")
 def _documents_by_category():
     return ctes(CORPUS) + "SELECT _id, title FROM corpus WHERE category = 'fr'"

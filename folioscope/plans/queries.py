@@ -188,6 +188,32 @@ def step_duration(spark, sf_dir):
 SEARCH_TERM = "Src1"
 
 
+#: A table of queries for the index: literal wild cards, other letters, short ones.
+INDEX_QUERIES = ["Src1", "src3.example", "%", "_", "the ", "tion", "\u00e9", "stra\u00dfe", "a%b", "doc", "and the", "/en/", "zzzz", "ThOn", "be"]
+
+
+def _trigram_index(spark, sf_dir):
+    import uuid
+
+    from ..operators.trigram_index import TrigramIndex
+    from ..session import shared_path
+    return TrigramIndex.build(B.corpus(spark, sf_dir), shared_path(spark, "trigrams", uuid.uuid4().hex))
+
+
+@query("search_index")
+def search_index(spark, sf_dir):
+    """P1 through the trigram index: every match of a table of queries."""
+    queries = spark.createDataFrame([(q,) for q in INDEX_QUERIES], "q string")
+    return _trigram_index(spark, sf_dir).search_all(queries)
+
+
+@query("search_index_page")
+def search_index_page(spark, sf_dir):
+    """W3 through the trigram index: a page of the matches of one query."""
+    from ..operators import search as S
+    return S.page(_trigram_index(spark, sf_dir).search(SEARCH_TERM), offset=2 * PAGE_SIZE, size=PAGE_SIZE)
+
+
 @query("search_documents")
 def search_documents(spark, sf_dir):
     from ..operators import search as S
