@@ -137,7 +137,8 @@ def _anchors(width: int):
 
 def repeated_anchors(docs: DataFrame, width: int) -> DataFrame:
     """``id`` and ``anchors``: its anchors that occur more than once in the corpus."""
-    rows = docs.mapInArrow(_anchors(width), "anchor bigint, id bigint")
+    # used twice below: the texts are read and hashed once
+    rows = written(docs.mapInArrow(_anchors(width), "anchor bigint, id bigint"), "anchor-rows")
     often = rows.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     return written(rows.join(often, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "anchors")
 
