@@ -28,18 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
 from . import store as S
+from .folder import Folder
 
 BUCKET = "_bucket"
 
 
-class KeyedStore:
+class KeyedStore(Folder):
     """The store at ``path``. Its columns are the key, ``_rev`` and others.
 
     ``buckets`` is fixed when the store is created: about the size of the store
     over the size of a file that one task rewrites with ease."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        super().__init__(spark, path)
         meta = spark.read.parquet(f"{self.path}/meta").first()
         self.key, self.buckets = meta["key"], meta["buckets"]
         self.schema = TT.StructType.fromJson(json.loads(meta["schema"]))
@@ -162,27 +163,6 @@ class KeyedStore:
     def _log(self, batch: str) -> DataFrame:
         return self.spark.read.schema(self._log_schema()).parquet(f"{self.path}/log/batch={batch}")
 
-    def _at(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _exists(self, name: str) -> bool:
-        fs, path = self._at(name)
-        return fs.exists(path)
-
-    def _mark(self, name: str) -> None:
-        fs, path = self._at(name)
-        fs.create(path, True).close()
-
-    def _remove(self, name: str) -> None:
-        fs, path = self._at(name)
-        fs.delete(path, True)
-
-    def _names(self, name: str) -> list[str]:
-        """The batches that ``log`` or ``done`` holds."""
-        fs, path = self._at(name)
-        return [x.getPath().getName().removeprefix("batch=") for x in fs.listStatus(path)] if fs.exists(path) else []
-
 
 def counts_of_feed(feed: DataFrame, names: str = "categories") -> DataFrame:
     """Rows per name, from the feed alone: +1 for each name of the row after a

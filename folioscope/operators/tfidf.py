@@ -18,6 +18,7 @@ they are not used.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..session import reliable
+from .folder import Folder
 
 
 @dataclass
@@ -70,7 +72,11 @@ def vocabulary(train: DataFrame, text_col: str = "text", key: str = "doc_id", mi
     The sentinel's frequency is N, the largest possible, and it sorts before
     every real term, so it is always the first row of the top-k; N is read
     from it by a window over those ≤ max_features + 1 rows (no join)."""
-    dft = document_frequency(train, text_col, key, with_sentinel=True)
+    return vocabulary_of(document_frequency(train, text_col, key, with_sentinel=True), min_df, max_features)
+
+
+def vocabulary_of(dft: DataFrame, min_df: int = K.TFIDF_MIN_DF, max_features: int = K.TFIDF_MAX_FEATURES) -> tuple[DataFrame, DataFrame]:
+    """``vocabulary`` from document frequencies (term, df) with the sentinel's."""
     top = (dft.where((F.col("df") >= min_df) | (F.col("term") == DOC_SENTINEL))
            .orderBy(F.desc("df"), F.asc("term")).limit(max_features + 1))
     w = Window.orderBy(F.desc("df"), F.asc("term"))
@@ -178,12 +184,23 @@ def classify(scores: DataFrame, threshold: float = K.TFIDF_THRESHOLD, key: str =
 
 
 def save_model(model: TfidfModel, path: str) -> None:
-    model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    model.class_vectors.write.mode("overwrite").parquet(f"{path}/class_vectors")
-    model.n_docs.write.mode("overwrite").parquet(f"{path}/n_docs")
+    """Writes the model to a fresh folder below ``path``, then publishes it: readers
+    see this model or the one before, whole, also when two jobs save at once."""
+    spark = model.vocab.sparkSession
+    folder, name = Folder(spark, path), uuid.uuid4().hex
+    model.vocab.write.parquet(f"{path}/{name}/vocab")
+    model.class_vectors.write.parquet(f"{path}/{name}/class_vectors")
+    model.n_docs.write.parquet(f"{path}/{name}/n_docs")
+    folder._mark(f"published/{len(folder._names('published')) + 1:08d}.{name}", overwrite=False)
+
+
+def has_model(spark, path: str) -> bool:
+    return bool(Folder(spark, path)._names("published"))
 
 
 def load_model(spark, path: str) -> TfidfModel:
-    return TfidfModel(spark.read.parquet(f"{path}/vocab"),
-                      spark.read.parquet(f"{path}/class_vectors"),
-                      spark.read.parquet(f"{path}/n_docs"))
+    """The model published last."""
+    name = max(Folder(spark, path)._names("published")).split(".")[1]
+    return TfidfModel(spark.read.parquet(f"{path}/{name}/vocab"),
+                      spark.read.parquet(f"{path}/{name}/class_vectors"),
+                      spark.read.parquet(f"{path}/{name}/n_docs"))

@@ -666,6 +666,31 @@ def _tfidf_category_vectors():
     return ctes(*tfidf_ctes()) + f"SELECT category, term, {r6('weight')} FROM cvec"
 
 
+def merged_ctes() -> list[str]:
+    """The training documents after the three batches, then the model as ``tfidf_ctes`` fits it."""
+    kept = f"""trained AS (
+  SELECT _id, title, lang AS category, pdf_name, {X.tfidf_text('title', 'description', 'meta_text', 'body')} AS text FROM corpus
+  WHERE _id NOT IN (SELECT _id FROM applied)
+  UNION ALL
+  SELECT a._id, a.title, CASE WHEN a._id LIKE 'doc|p%' THEN 'page' ELSE 'labelled' END, a._id || '.pdf',
+         CASE WHEN c._id IS NOT NULL THEN {X.tfidf_text('c.title', 'c.description', 'c.meta_text', 'c.body')} END
+  FROM applied a LEFT JOIN corpus c ON c._id = a._id)"""
+    train = """train AS (
+  SELECT _id AS doc_id, category, concat_ws(' ', title, text) AS text FROM trained
+  WHERE pdf_name IS NOT NULL AND _id NOT IN (SELECT 'doc|' || CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1))"""
+    return [CORPUS, CHANGES, kept, train, *tfidf_ctes()[3:8]]
+
+
+@oracle("training_counts_idf")
+def _training_counts_idf():
+    return ctes(*merged_ctes()) + f"SELECT term, CAST(df AS BIGINT) AS df, idx, {r6('idf')} FROM vocab"
+
+
+@oracle("training_counts_vectors")
+def _training_counts_vectors():
+    return ctes(*merged_ctes()) + f"SELECT category, term, {r6('weight')} FROM cvec"
+
+
 @oracle("tfidf_vectors")
 def _tfidf_vectors():
     return ctes(*tfidf_ctes()) + f"SELECT doc_id, term, {r6('weight')} FROM dvec"

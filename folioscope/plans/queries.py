@@ -7,6 +7,7 @@ feature itself.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -447,6 +448,53 @@ def store_feed_counts(spark, sf_dir):
     return counts_of_feed(store.feed())
 
 
+TRAINED_SCHEMA = STORE_SCHEMA + ", pdf_name string, text string"
+
+
+def _merged_counts(spark, sf_dir):
+    """Training counts that follow a store: the corpus as one batch, then a batch
+    that retitles and reclassifies documents and brings pages, sent twice, then
+    deletes. Each batch is counted from its part of the change feed alone."""
+    import uuid
+
+    from ..operators.keyed_store import KeyedStore
+    from ..operators.training_counts import TrainingCounts, changes_of_feed
+    from ..session import shared_path
+    run = shared_path(spark, "stores", uuid.uuid4().hex)
+    store = KeyedStore.create(spark, f"{run}/store", spark.createDataFrame([], TRAINED_SCHEMA).schema)
+    counts = TrainingCounts(spark, f"{run}/counts")
+
+    def training(side):
+        trained = (F.coalesce(F.size(f"{side}.categories"), F.lit(0)) > 0) & F.col(f"{side}.pdf_name").isNotNull()
+        return F.when(trained, F.struct(F.col(f"{side}.categories")[0].alias("category"),
+                                        F.concat_ws(" ", f"{side}.title", f"{side}.text").alias("text")))
+
+    docs = scoring_docs(spark, sf_dir).select("_id", F.lit(None).cast("int").alias("_rev"), "title", F.array("lang").alias("categories"),
+                                              "pdf_name", F.col("tfidf_text").alias("text"))
+    changes = _store_changes(spark, sf_dir).withColumn("pdf_name", F.concat("_id", F.lit(".pdf")))
+    store.save(docs, "corpus")
+    store.save(changes, "changes", order=("seq",))
+    store.delete(_toxic_ids(spark, sf_dir).withColumnRenamed("doc_id", "_id"), "toxic")
+    for batch in ("corpus", "changes", "changes", "toxic"):
+        counts.apply(changes_of_feed(store.feed().where(F.col("batch") == batch), training), batch)
+    return counts
+
+
+@query("training_counts_idf")
+def training_counts_idf(spark, sf_dir):
+    """C5, A4 by merged counts: the vocabulary after three batches, as a refit gives it."""
+    vocab = _merged_counts(spark, sf_dir).model().vocab
+    return vocab.select("term", F.col("df").cast("long").alias("df"), F.col("idx").cast("int").alias("idx"), r6("idf"))
+
+
+@query("training_counts_vectors")
+def training_counts_vectors(spark, sf_dir):
+    """C5 by merged counts, read from their compacted form: the class vectors after three batches."""
+    counts = _merged_counts(spark, sf_dir)
+    counts.compact()
+    return counts.model().class_vectors.select("category", "term", r6("weight"))
+
+
 @query("store_lookup")
 def store_lookup(spark, sf_dir):
     """S3 by key: the rows of the requested documents, from their buckets."""
@@ -581,6 +629,28 @@ def train_model(spark, sf_dir):
     return tfidf.train(tfidf_docs(spark, sf_dir).where("trainable").select("doc_id", "category", "text"))
 
 
+def stored_model(spark, sf_dir):
+    """The model of these documents from the shared folder. The first caller
+    trains and publishes it; all others load it. Its name follows from the size,
+    number of files and time of the documents' table, so a changed table gets
+    a new one."""
+    from ..operators import tfidf
+    from ..operators.folder import Folder
+    from ..operators.training_counts import TrainingCounts
+    from ..session import shared_path
+    fs, table = Folder(spark, sf_dir)._at("documents.parquet")
+    content = fs.getContentSummary(table)
+    state = (str(fs.makeQualified(table)), content.getLength(), content.getFileCount(), fs.getFileStatus(table).getModificationTime())
+    path = shared_path(spark, "models", "stored-" + hashlib.sha1(repr(state).encode()).hexdigest()[:16])
+    if not tfidf.has_model(spark, path):
+        side = F.struct("category", "text")
+        docs = tfidf_docs(spark, sf_dir).where("trainable").select(F.when(F.lit(False), side).alias("before"), side.alias("after"))
+        counts = TrainingCounts(spark, f"{path}/counts")
+        counts.apply(docs, "all")
+        tfidf.save_model(counts.model(), path)
+    return tfidf.load_model(spark, path)
+
+
 def fitted(spark, sf_dir):
     """(model, document vectors of every corpus document), two text passes."""
     from ..operators import tfidf
@@ -636,8 +706,6 @@ def tfidf_classify(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     """Persist the model as Parquet under the shared checkpoint folder, load
     it back and score with the loaded tables."""
-    import hashlib
-
     from ..operators import tfidf
     from ..session import shared_path
     m = train_model(spark, sf_dir)
@@ -680,8 +748,8 @@ def classifier_outputs(spark, sf_dir) -> list[DataFrame]:
     """External predictions, TF-IDF, density rules — in merge order."""
     from ..operators import predictions as P
     from ..operators import tfidf
-    m, vecs = fitted(spark, sf_dir)
-    tf = tfidf.classify(tfidf.score(vecs, m.class_vectors))
+    m = stored_model(spark, sf_dir)
+    tf = tfidf.classify(tfidf.score(doc_vectors(spark, sf_dir, m), m.class_vectors))
     return [P.predictions(B.predictions(spark, sf_dir)), tf, rules.density_classify(B.corpus(spark, sf_dir))]
 
 
@@ -711,9 +779,7 @@ def hybrid_classify(spark, sf_dir):
     """Full hybrid classification: one row per document with its ordered
     category list."""
     from ..operators import assign
-    m, vecs = fitted(spark, sf_dir)
-    ranked = assign.hybrid(scoring_docs(spark, sf_dir), model=m, responses=B.predictions(spark, sf_dir),
-                           doc_vectors=vecs)
+    ranked = assign.hybrid(scoring_docs(spark, sf_dir), model=stored_model(spark, sf_dir), responses=B.predictions(spark, sf_dir))
     cats = assign.categories_array(ranked)
     return cats.select("doc_id", F.size("categories").cast("int").alias("n_categories"),
                        F.col("categories")[0]["name"].alias("primary_name"),
@@ -730,13 +796,13 @@ def _reclassify_keys(spark, sf_dir) -> DataFrame:
 @query("reclassify")
 def reclassify(spark, sf_dir):
     """New categories for the requested documents only: every input is cut to
-    them first; the model is trained on all."""
+    them first; the stored model was trained on all."""
     from ..operators import assign
     from ..operators import store as S
     keys = _reclassify_keys(spark, sf_dir)
     subset = scoring_docs(spark, sf_dir).join(keys, "_id", "left_semi")
     responses = B.predictions(spark, sf_dir).join(keys.withColumnRenamed("_id", "doc_id"), "doc_id", "left_semi")
-    ranked = assign.hybrid(subset, model=train_model(spark, sf_dir), responses=responses)
+    ranked = assign.hybrid(subset, model=stored_model(spark, sf_dir), responses=responses)
     cats = assign.categories_array(ranked).withColumnRenamed("doc_id", "_id")
     changes = subset.select("_id", "_rev", "title").join(cats, "_id")
     stored, _ = S.upsert(subset.select("_id", "_rev", "title", "categories"), changes)
@@ -1042,7 +1108,7 @@ def ingest_hybrid(spark, sf_dir):
     of every stored document."""
     from . import ingest as I
     responses = B.predictions(spark, sf_dir).withColumn("doc_id", F.replace("doc_id", F.lit("doc|"), F.lit("doc|p")))
-    out = I.ingest(meta_requests(spark, sf_dir), B.http_reasons(spark), model=train_model(spark, sf_dir), responses=responses)
+    out = I.ingest(meta_requests(spark, sf_dir), B.http_reasons(spark), model=stored_model(spark, sf_dir), responses=responses)
     return out.where("outcome = 'STORED'").select("_id", "category", F.size("categories").cast("int").alias("n_categories"),
                                                   F.array_join(F.transform("categories", lambda c: c["name"]), ", ").alias("names"))
 
@@ -1117,7 +1183,7 @@ def ingest_stream_hybrid(spark, sf_dir):
     landed = {"pages": rows.withColumn("fetched_at", F.col("_at")).select(*J.PAGES.names),
               "requests": rows.withColumn("requested_at", F.col("_at") + F.expr("INTERVAL 1 minute")).select(*J.REQUESTS.names)}
     responses = B.predictions(spark, sf_dir).withColumn("doc_id", F.replace("doc_id", F.lit("doc|"), F.lit("doc|p")))
-    store, model = KeyedStore.create(spark, f"{run}/store", J.STORED), train_model(spark, sf_dir)
+    store, model = KeyedStore.create(spark, f"{run}/store", J.STORED), stored_model(spark, sf_dir)
     landed["pages"].where("1 = 0").write.parquet(f"{run}/pages")
     for name in ("requests", "pages"):
         landed[name].write.mode("append").parquet(f"{run}/{name}")
