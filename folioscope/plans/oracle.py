@@ -422,6 +422,30 @@ def _scan_categories():
     return "SELECT 'category|' || lang AS _id, lang AS name, CAST(count(*) AS BIGINT) AS document_count FROM documents GROUP BY lang"
 
 
+JSON_STATE = """lines AS (
+  SELECT *, CASE WHEN doc_id % 10 = 1 OR doc_id % 10 = 2 THEN 'broken' WHEN doc_id % 20 = 5 THEN 'empty'
+                 WHEN doc_id % 10 = 3 THEN 'type' WHEN doc_id % 10 = 4 THEN 'id' END AS reason FROM corpus)"""
+
+
+@oracle("json_documents")
+def _json_documents():
+    return ctes(CORPUS, JSON_STATE) + """
+SELECT _id, CAST(_rev AS INTEGER) AS _rev, title, url, CAST(size_bytes AS BIGINT) AS size_bytes, meta_language AS language, category, pdf_name
+FROM lines WHERE reason IS NULL"""
+
+
+@oracle("json_categories")
+def _json_categories():
+    return "SELECT 'category|' || lang AS _id, lang AS name, count(*) AS document_count FROM documents WHERE lang IS NOT NULL GROUP BY lang"
+
+
+@oracle("json_rejects")
+def _json_rejects():
+    return ctes(CORPUS, JSON_STATE) + """
+SELECT reason, CASE WHEN reason IN ('broken', 'type') THEN _id END AS _id, count(*) AS times FROM lines WHERE reason IS NOT NULL GROUP BY 1, 2
+UNION ALL SELECT 'unknown field', 'category|' || source, 1 FROM documents WHERE source IS NOT NULL GROUP BY source"""
+
+
 LOOKUP_KEYS = "keys AS (SELECT DISTINCT 'doc|' || CAST(user_id AS VARCHAR) AS _id FROM events)"
 
 

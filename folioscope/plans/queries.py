@@ -359,6 +359,58 @@ def scan_categories(spark, sf_dir):
     return S.scan_categories(stored_records(spark, sf_dir)).select("_id", "name", "document_count")
 
 
+def _json_lines(spark, sf_dir) -> DataFrame:
+    """The corpus as JSON lines (stand-in input): documents, some with a field that no
+    schema names, some cut off, mistyped, of another type or without id; a
+    category per language and one with a foreign field per source."""
+    d = B.corpus(spark, sf_dir)
+    k, extra = F.col("doc_id") % 10, F.when(F.col("doc_id") % 3 == 0, F.col("source"))
+    record = F.to_json(F.struct(F.when(k != 4, F.col("_id")).alias("_id"), "_rev", F.when(k == 3, "attachment").otherwise("document").alias("type"),
+                                "url", "title", F.col("meta_tags").alias("metaTags"), F.col("size_bytes").alias("sizeBytes"), "categories",
+                                F.col("pdf_name").alias("pdfAttachmentName"), "status", extra.alias("crawledBy")))
+    cut = F.concat(F.lit('{"_id":"'), "_id", F.lit('","type":"document","title":'))
+    typed = F.concat(F.lit('{"_id":"'), "_id", F.lit('","type":"document","sizeBytes":"many"}'))
+    blank = F.when(F.col("doc_id") % 20 == 5, F.lit("  "))
+    docs = d.select(F.when(k == 1, cut).when(k == 2, typed).otherwise(F.coalesce(blank, record)).alias("value"))
+    def category(name, more):
+        return F.concat(F.lit('{"_id":"category|'), name, F.lit('","type":"category","name":"'), name, F.lit('","documentCount":'),
+                        F.count(F.lit(1)).cast("string"), F.lit(more))
+    langs = d.groupBy("lang").agg(category("lang", "}").alias("value")).select("value")
+    sources = d.groupBy("source").agg(category("source", ',"colour":"red"}').alias("value")).select("value")
+    return docs.unionByName(langs).unionByName(sources)
+
+
+def _json_records(spark, sf_dir):
+    import uuid
+
+    from ..session import shared_path
+    from ..sources.json_records import read_records
+    path = shared_path(spark, "landing", uuid.uuid4().hex)
+    _json_lines(spark, sf_dir).write.option("compression", "gzip").text(path)
+    return read_records(spark, path)
+
+
+@query("json_documents")
+def json_documents(spark, sf_dir):
+    """S1 from JSON lines: the documents, unknown fields ignored."""
+    return _json_records(spark, sf_dir).documents.select(
+        "_id", F.col("_rev").cast("int").alias("_rev"), "title", "url", F.col("size_bytes").cast("long").alias("size_bytes"),
+        F.col("meta_tags")["language"].alias("language"), F.col("categories")[0]["name"].alias("category"), "pdf_name")
+
+
+@query("json_categories")
+def json_categories(spark, sf_dir):
+    """S2 from JSON lines: the categories without fields of their own."""
+    return _json_records(spark, sf_dir).categories.select("_id", "name", "document_count")
+
+
+@query("json_rejects")
+def json_rejects(spark, sf_dir):
+    """S1 from JSON lines: how many lines were rejected for which reason, and their id where one can be read."""
+    found = F.nullif(F.regexp_extract("line", r'^\{"_id":"([^"]*)"', 1), F.lit(""))
+    return _json_records(spark, sf_dir).rejects.groupBy("reason", found.alias("_id")).agg(F.count(F.lit(1)).alias("times"))
+
+
 def _lookup_keys(spark, sf_dir):
     e = B.read_table(spark, sf_dir, "events", ["user_id"])
     return e.select(F.concat(F.lit("doc|"), F.col("user_id").cast("string")).alias("_id"))
