@@ -179,21 +179,20 @@ WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM document
 ), c AS (
   SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
-         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
+         len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id)
 ), v AS (
   SELECT lang, source, rate, CASE WHEN value > 0 THEN ceil(ln(value) / ln(1.01 / 0.99)) END AS bucket
   FROM (SELECT lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS rate,
-               unnest([word_chars / greatest(n_words, 1), n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_words, 1), n_repeat_words / greatest(n_words, 1)]) AS value
+               unnest([word_chars / greatest(n_words, 1), n_symbols / greatest(n_words, 1), n_dup_lines / greatest(n_lines, 1), n_repeat_words / greatest(n_words, 1)]) AS value
         FROM c)
 ), b AS (SELECT lang, source, rate, bucket, count(*) AS n FROM v GROUP BY ALL
 ), cum AS (
   SELECT *, coalesce(pow(1.01 / 0.99, bucket) * (2 / (1.01 / 0.99 + 1)), 0) AS value,
          sum(n) OVER (PARTITION BY lang, source, rate ORDER BY bucket NULLS FIRST) AS c, sum(n) OVER (PARTITION BY lang, source, rate) AS a FROM b
 ), q AS (
-  SELECT lang, source, rate, min(value) FILTER (c >= a * 0.25) AS q1, min(value) FILTER (c >= a * 0.75) AS q3 FROM cum GROUP BY ALL
-), m AS (
-  SELECT lang, source, rate, q3 + 3 * (q3 - q1) + CASE rate WHEN 'word_length' THEN 2.0 WHEN 'symbols' THEN 0.15 WHEN 'dup_lines' THEN 0.3 ELSE 0.4 END AS most FROM q
+  SELECT lang, source, rate, min(value) FILTER (c >= a * 0.5) AS mid, min(value) FILTER (c >= a * 0.85) AS high FROM cum GROUP BY ALL
+), m AS (SELECT lang, source, rate, high + 3 * (high - mid) AS most FROM q
 ), lim AS (
   SELECT lang, source, max(most) FILTER (rate = 'word_length') AS wl, max(most) FILTER (rate = 'symbols') AS sy,
          max(most) FILTER (rate = 'dup_lines') AS dl, max(most) FILTER (rate = 'repeats') AS re FROM m GROUP BY ALL
@@ -202,8 +201,8 @@ WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM document
   FROM c JOIN lim ON c.lang IS NOT DISTINCT FROM lim.lang AND c.source IS NOT DISTINCT FROM lim.source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND word_chars / greatest(n_words, 1) <= wl AND n_symbols / greatest(n_words, 1) <= sy
-       AND n_dup_lines / greatest(n_words, 1) <= dl AND n_repeat_words / greatest(n_words, 1) <= re AS kept
+       NOT base_failed AND word_chars <= wl * n_words + 3 * sqrt(wl * n_words + 1) AND n_symbols <= sy * n_words + 3 * sqrt(sy * n_words + 1)
+       AND n_dup_lines <= dl * n_lines + 3 * sqrt(dl * n_lines + 1) AND n_repeat_words <= re * n_words + 3 * sqrt(6 * (re * n_words + 6)) AS kept
 FROM f
 """
 

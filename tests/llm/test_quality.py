@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -71,12 +73,40 @@ def test_counts_of_edges(spark, edge, nothing):
 def test_sketch_quantiles_are_close(spark):
     dice = np.random.default_rng(2)
     values = dice.integers(1, 4000, 3000)
-    rows = spark.createDataFrame([("en", "s", 1, int(v), 0, 0, 0) for v in values],
-                                 "_lang string, _source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
+    rows = spark.createDataFrame([("en", "s", 1, int(v), 0, 1, 0, 0) for v in values],
+                                 "_lang string, _source string, n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint")
     found = quality_sketch.thresholds(quality_sketch.sketch(rows), reach=0.0).first()
-    exact = float(np.quantile(values, 0.75, method="inverted_cdf"))
-    assert abs(found["_most_word_length"] - quality_sketch.SLACK["word_length"] - exact) <= 0.011 * exact
-    assert found["_most_symbols"] == quality_sketch.SLACK["symbols"]
+    exact = float(np.quantile(values, 0.85, method="inverted_cdf"))
+    assert abs(found["_most_word_length"] - exact) <= 0.011 * exact
+    assert found["_most_symbols"] == 0
+
+
+def test_thresholds_follow_their_group(spark):
+    """The same texts pass where such texts are usual and fail where they are not, by each rate."""
+    plain = [f"w{i:03d}" for i in range(200)]
+    marked = ["#" + x[1:] if i % 5 == 0 else x for i, x in enumerate(plain)]
+    long = [x + "abcdefgh" for x in plain]
+    lined = [x + "\n" + "same line" * (i % 3 == 0) + "\n" for i, x in enumerate(plain)]
+    twice = plain[:150] + plain[:40] + plain[150:]
+    odd = {"symbols": marked, "long": long, "lines": lined, "repeats": twice}
+    texts, want = [], []
+    for name, words in odd.items():
+        for source, usual in ((f"{name}-usual", words), (f"{name}-rare", plain)):
+            texts += [(" ".join(usual), "en", source)] * 20 + [(" ".join(words), "en", source), (" ".join(plain), "en", source)]
+            want += [True] * 20 + [source.endswith("usual"), True]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id int, text string, lang string, source string")
+    got = sorted(quality_sketch.judge(df).select("doc_id", "base_failed", "kept").collect())
+    assert not any(r["base_failed"] for r in got)
+    assert [r["kept"] for r in got] == want
+
+
+def test_repeats_of_a_long_text(spark):
+    dice = np.random.default_rng(7)
+    words = [f"w{x}" for x in dice.integers(0, 120, 300_000)]
+    seen = Counter(zip(words, words[1:], words[2:]))
+    covered = {i + d for i, x in enumerate(zip(words, words[1:], words[2:])) if seen[x] > 1 for d in range(3)}
+    row = quality_sketch.counts(spark.createDataFrame([(1, " ".join(words), "en", "s")], "doc_id int, text string, lang string, source string")).first()
+    assert row["n_repeat_words"] == len(covered)
 
 
 def test_rules_use_no_python(small):
