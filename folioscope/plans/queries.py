@@ -17,6 +17,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..operators import catalog, rules
 from ..sources import bindings as B
+from ..sources.tables import table_landing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -1185,7 +1186,7 @@ def latest_status(spark, sf_dir):
 
 @query("latest_status_stream")
 def latest_status_stream(spark, sf_dir):
-    """Stream form of ``latest_status``: the events file feeds a stateful
+    """Stream form of ``latest_status``: the events table feeds a stateful
     streaming aggregation in update mode; the emitted states are read back."""
     import hashlib
     import uuid
@@ -1193,7 +1194,8 @@ def latest_status_stream(spark, sf_dir):
     from ..session import shared_path
     from ..streaming.ingest_stream import read_status, run_status_stream
     run = shared_path(spark, "status-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8])
-    run_status_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", file_glob="events.parquet")
+    landing, files = table_landing(spark, sf_dir, "events")
+    run_status_stream(spark, landing, f"{run}/out", f"{run}/checkpoint", file_glob=files)
     s = read_status(spark, f"{run}/out")
     return s.select("doc_id", "current_step", F.date_format("started", ISO_MICROS).alias("started"),
                     F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "completed",
@@ -1208,7 +1210,7 @@ def step_progress(spark, sf_dir):
 
 @query("ingest_stream")
 def ingest_stream(spark, sf_dir):
-    """Stream form of ``ingest_pages``: the pages file is the landing input of
+    """Stream form of ``ingest_pages``: the pages table is the landing input of
     a file stream; each micro-batch is appended and the newest row per id read back."""
     import hashlib
     import uuid
@@ -1216,7 +1218,8 @@ def ingest_stream(spark, sf_dir):
     from ..session import shared_path
     from ..streaming.ingest_stream import read_ingested, run_ingest_stream
     run = shared_path(spark, "stream-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12] + "-" + uuid.uuid4().hex[:8])
-    run_ingest_stream(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", B.request_columns, file_glob="pages.parquet")
+    landing, files = table_landing(spark, sf_dir, "pages")
+    run_ingest_stream(spark, landing, f"{run}/out", f"{run}/checkpoint", B.request_columns, file_glob=files)
     return _ingest_out(read_ingested(spark, f"{run}/out"))
 
 
@@ -1252,7 +1255,8 @@ def status_stream_bounded(spark, sf_dir):
     from ..session import shared_path
     from ..streaming.status_state import read_status, run_status
     run = shared_path(spark, "status-" + uuid.uuid4().hex)
-    run_status(spark, sf_dir, f"{run}/out", f"{run}/checkpoint", file_glob="events.parquet")
+    landing, files = table_landing(spark, sf_dir, "events")
+    run_status(spark, landing, f"{run}/out", f"{run}/checkpoint", file_glob=files)
     s = read_status(spark, f"{run}/out")
     return s.select("doc_id", "current_step", F.date_format("started", ISO_MICROS).alias("started"),
                     F.date_format("ended", ISO_MICROS).alias("ended"), "n_steps", "failed", "completed",

@@ -28,3 +28,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
         df = df.select(*columns)
     parts = spark.conf.get(SCAN_PARTITIONS, None)
     return df.repartition(int(parts)) if parts else df
+
+
+def table_landing(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str]:
+    """(folder, glob of file names) under which a file stream finds all files of a
+    table, be it a single file or a folder of part files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return table_path(sf_dir, name), "*"
+    return sf_dir, f"{name}.parquet"

@@ -46,3 +46,20 @@ def test_pages_that_come_twice_or_are_replayed_come_out_once(spark):
     got = {r["page_id"]: (r["outcome"], r["title"]) for r in read_ingested(spark, f"{run}/out").collect()}
     assert got == {1: ("STORED", "full page"), 2: ("FAILED", None), 3: ("STORED", "three")}
     assert spark.read.parquet(f"{run}/out").count() == 3
+
+
+def test_streams_read_tables_that_are_folders_of_part_files(spark, tmp_path):
+    from folioscope.plans.queries import QUERIES
+    pages = spark.createDataFrame([(i, f"https://a.example.com/{i}", f"<title>page {i}</title>") for i in range(8)],
+                                  "page_id long, url string, html string")
+    events = spark.sql("""SELECT id AS event_id, timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id) AS ts, id % 5 AS user_id,
+        element_at(array('view', 'click', 'error', 'purchase'), CAST(id % 4 + 1 AS INT)) AS event_type, CAST(id AS DOUBLE) AS value, '{}' AS props FROM range(40)""")
+    for kind in ("folder", "file"):
+        for name, table in (("pages", pages), ("events", events)):
+            table.repartition(3 if kind == "folder" else 1).write.parquet(f"{tmp_path}/{kind}/{name}.parquet" if kind == "folder" else f"{tmp_path}/{name}")
+            if kind == "file":
+                (tmp_path / kind).mkdir(exist_ok=True)
+                next((tmp_path / name).glob("part-*.parquet")).rename(tmp_path / kind / f"{name}.parquet")
+        for stream, batch in (("ingest_stream", "ingest_pages"), ("latest_status_stream", "latest_status"), ("status_stream_bounded", "latest_status")):
+            got = _rows(QUERIES[stream](spark, f"{tmp_path}/{kind}"))
+            assert got == _rows(QUERIES[batch](spark, f"{tmp_path}/{kind}")) != []
