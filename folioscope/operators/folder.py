@@ -28,6 +28,14 @@ class Folder:
         fs, path = self._at(name)
         fs.delete(path, True)
 
+    def _replace(self, name: str, source: str) -> None:
+        """Puts ``source`` in the place of ``name``."""
+        (fs, path), (_, old) = self._at(name), self._at(source)
+        fs.delete(path, True)
+        fs.mkdirs(path.getParent())
+        if not fs.rename(old, path):
+            raise OSError(f"{source} could not take the place of {name} in {self.path}")
+
     def _names(self, name: str) -> list[str]:
         """The names in a folder, without a leading ``batch=``."""
         fs, path = self._at(name)

@@ -1,8 +1,8 @@
 """A keyed document store on disk.
 
 The rows lie in ``<path>/data`` by bucket of the key's hash. A batch of changes
-reads and rewrites the buckets it touches and no others (partition pruning, and
-an overwrite of those partitions). Every batch has a name and leaves a log of
+reads and rewrites the buckets it touches and no others (partition pruning; the
+folders of the new buckets take the place of the old ones). Every batch has a name and leaves a log of
 what it did to each key, with the row before and after: the change feed.
 
 A batch goes through four steps, each complete or void, so that it survives a
@@ -31,6 +31,8 @@ from . import store as S
 from .folder import Folder
 
 BUCKET = "_bucket"
+#: Of the rows, which are written twice a batch, in the log and in the buckets.
+CODEC = "zstd"
 
 
 class KeyedStore(Folder):
@@ -93,14 +95,15 @@ class KeyedStore(Folder):
             base = self.read(self._touched(changes))
             judged = S.judge(base.select(self.key, "_rev"), changes, self.key, order)
             stored = base.select(self.key, self._others(base.columns).alias("before"))
-            won = judged.where("_won").withColumn("_rev", S.next_revision()).join(stored, self.key, "left")
-            after = F.struct(*((F.col(c) if c in changes.columns else F.col(f"before.{c}")).cast(self.schema[c].dataType).alias(c)
-                               for c in self._other_names()))
-            applied = won.select(self.key, F.when(F.col("_stored"), F.lit("updated")).otherwise(F.lit("created")).alias("op"), "before", after.alias("after"))
-            late = judged.where("_late > 0").select(
-                self.key, F.lit("rejected").alias("op"), F.col("_rev").cast("long").alias("rejected_rev"),
-                F.when(F.col("_stored"), F.col("_current")).cast("long").alias("current_rev"), F.col("_late").alias("times"))
-            return applied.unionByName(late, allowMissingColumns=True)
+            rows = judged.where("_won OR _late > 0").join(stored, self.key, "left")
+            given = lambda c: S.next_revision() if c == "_rev" else F.col(c) if c in changes.columns else F.col(f"before.{c}")
+            after = F.struct(*(given(c).cast(self.schema[c].dataType).alias(c) for c in self._other_names()))
+            applied = {"op": F.when(F.col("_stored"), F.lit("updated")).otherwise(F.lit("created")), "before": F.col("before"), "after": after}
+            late = {"op": F.lit("rejected"), "rejected_rev": F.col("_rev"), "current_rev": F.when(F.col("_stored"), F.col("_current")), "times": F.col("_late")}
+            entry = lambda of: F.struct(*(of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self._log_schema() if f.name != self.key))
+            # both entries of a change in one pass over the judged rows
+            entries = F.array_compact(F.array(F.when(F.col("_won"), entry(applied)), F.when(F.col("_late") > 0, entry(late))))
+            return rows.select(self.key, F.explode(entries).alias("_e")).select(self.key, "_e.*")
         return self._run(batch, decide)
 
     def delete(self, keys: DataFrame, batch: str) -> DataFrame:
@@ -120,7 +123,7 @@ class KeyedStore(Folder):
             log = decide()
             for f in self._log_schema():
                 log = log.withColumn(f.name, F.col(f.name).cast(f.dataType) if f.name in log.columns else F.lit(None).cast(f.dataType))
-            log.select(*self._log_schema().names).write.mode("overwrite").parquet(f"{self.path}/log/batch={batch}")
+            log.select(*self._log_schema().names).write.mode("overwrite").option("compression", CODEC).parquet(f"{self.path}/log/batch={batch}")
         self._publish(batch)
         return self._log(batch)
 
@@ -136,11 +139,14 @@ class KeyedStore(Folder):
                 kept = self.read(touched).join(done.select(self.key), self.key, "left_anti")
                 rows = kept.unionByName(done.where("op <> 'deleted'").select(self.key, "after.*"))
                 (rows.withColumn(BUCKET, self.bucket(F.col(self.key))).repartition(BUCKET).sortWithinPartitions(BUCKET, self.key)
-                 .write.mode("overwrite").partitionBy(BUCKET).parquet(pending))
-            new = self.spark.read.schema(TT.StructType([*self.schema, TT.StructField(BUCKET, TT.IntegerType())])).parquet(pending)
-            new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(f"{self.path}/data")
-            for bucket in set(touched) - {r[0] for r in new.select(BUCKET).distinct().collect()}:
-                self._remove(f"data/{BUCKET}={bucket}")  # all its rows are deleted
+                 .write.mode("overwrite").option("compression", CODEC).partitionBy(BUCKET).parquet(pending))
+            buckets = [x for x in self._names(f"pending/{batch}") if x.startswith(f"{BUCKET}=")]
+            if not self._exists(f"pending/{batch}/_moving"):  # until then none has moved
+                for bucket in {f"{BUCKET}={b}" for b in touched} - set(buckets):
+                    self._remove(f"data/{bucket}")  # all its rows are deleted
+                self._mark(f"pending/{batch}/_moving")
+            for bucket in buckets:
+                self._replace(f"data/{bucket}", f"pending/{batch}/{bucket}")
         self._mark(f"done/{batch}")
         self._remove(f"pending/{batch}")
 

@@ -42,7 +42,9 @@ def judge(current: DataFrame, changes: DataFrame, key: str = "_id", order: tuple
     joined = dealt.join(stored, key, "left")
     fits = F.when(F.col("_stored").isNull(), F.col("_new")).otherwise(F.coalesce(F.col("_rev") == F.col("_current"), F.lit(False)))
     joined = joined.withColumn("_fits", fits)
-    first = joined.where("_fits").groupBy(key).agg(F.min("_rank").alias("_first"))
+    # from the bare revisions: the other columns need not be dealt once more for it
+    bare = ranked.select(key, "_rev", "_rank", "_new").join(stored, key, "left")
+    first = bare.where(fits).groupBy(key).agg(F.min("_rank").alias("_first"))
     judged = joined.join(first.withColumnRenamed(key, "_key"), (F.col(key) == F.col("_key")) & (F.col("_rank") == F.col("_first")) & F.col("_fits"), "left")
     won = F.col("_key").isNotNull()
     late = F.col("_times") - F.when(won, F.lit(1)).otherwise(F.lit(0))

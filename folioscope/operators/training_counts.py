@@ -54,15 +54,14 @@ def signed_counts(changes: DataFrame) -> DataFrame:
     moved = changes.where(~F.struct("before.category", "before.text").eqNullSafe(F.struct("after.category", "after.text"))
                           | (F.col("before").isNull() != F.col("after").isNull()))
     rows = moved.select(F.explode(F.array_compact(F.array(side("after", 1), side("before", -1)))).alias("_s")).select("_s.*")
-    parts = rows.select("category", "sign", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\W_]+").alias("_t"))
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    held = F.transform(F.concat(F.array_distinct("_t"), F.array(F.lit(tfidf.DOC_SENTINEL))),
-                       lambda t: F.struct(t.alias("term"), one.alias("docs"), none.alias("tf")))
-    seen = F.transform("_t", lambda t: F.struct(t.alias("term"), none.alias("docs"), one.alias("tf")))
-    terms = (parts.select("category", "sign", F.inline(F.concat(held, seen)))
+    # sorted, so that a term's first place in its document is the one after another term
+    parts = rows.select("category", "sign", F.sort_array(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[\W_]+")).alias("_t"))
+    terms = (parts.select("category", "sign", "_t", F.posexplode(F.concat("_t", F.array(F.lit(tfidf.DOC_SENTINEL)))).alias("_i", "term"))
              .where((F.length("term") >= K.MIN_TOKEN_LENGTH) & ~F.col("term").isin(list(K.STOP_WORDS))))
-    sums = terms.groupBy("category", "term").agg(F.sum(F.col("docs") * F.col("sign")).alias("docs"),
-                                                 F.sum(F.col("tf") * F.col("sign")).alias("tf"))
+    first = F.coalesce(F.get("_t", F.col("_i") - 1) != F.col("term"), F.lit(True))
+    seen = F.col("term") != tfidf.DOC_SENTINEL
+    counted = lambda when: F.sum(F.when(when, F.col("sign")).otherwise(F.lit(0)))
+    sums = terms.groupBy("category", "term").agg(counted(first).alias("docs"), counted(seen).alias("tf"))
     return sums.where("docs <> 0 OR tf <> 0")
 
 

@@ -142,3 +142,34 @@ def test_reads_only_the_buckets_it_needs(spark):
     assert "PartitionFilters: [isnotnull(_bucket" in plan or "PartitionFilters: [(_bucket" in plan
     assert len(store.read([3]).inputFiles()) <= 16
     assert store.read([3]).select(F.input_file_name()).distinct().count() == 1
+
+
+def test_a_driver_lost_while_buckets_move_and_buckets_that_end_empty(spark, monkeypatch):
+    import uuid
+
+    from folioscope.operators.folder import Folder
+    from folioscope.operators.keyed_store import KeyedStore
+    from folioscope.session import shared_path
+    rows = spark.range(40).selectExpr("CAST(id AS STRING) AS _id", "CAST(NULL AS INT) AS _rev", "concat('t', id) AS title")
+    store = KeyedStore.create(spark, shared_path(spark, "test-moves-" + uuid.uuid4().hex[:8]), spark.createDataFrame([], "_id string, _rev int, title string").schema, buckets=6)
+    moved, move = [], Folder._replace
+
+    def lost(self, name, source):
+        if len(moved) == 3:
+            raise KeyboardInterrupt
+        moved.append(name)
+        move(self, name, source)
+
+    for step, call in enumerate((lambda: store.save(rows, "one"), lambda: store.delete(rows.where("_id < 30"), "two"), lambda: store.delete(rows, "three"))):
+        moved.clear()
+        monkeypatch.setattr(Folder, "_replace", lost)
+        if step < 2:
+            try:
+                call()
+                raise AssertionError("the driver was not lost")
+            except KeyboardInterrupt:
+                pass
+        monkeypatch.setattr(Folder, "_replace", move)
+        call()
+        assert {int(r["_id"]) for r in store.read().collect()} == set(range(*[(0, 40), (30, 40), (0, 0)][step]))
+    assert not store._names("pending")
