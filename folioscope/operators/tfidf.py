@@ -25,10 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import reliable
+from ..session import read_bytes, reliable
 from .folder import Folder
 
 
+#: Bytes of input files whose tokens one task counts by document.
+TASK_BYTES = 8 << 20
+
+
 @dataclass
 class TfidfModel:
     vocab: DataFrame          # term, df, idx, idf
@@ -115,8 +119,10 @@ def _normalised(tf: DataFrame, group_col: str, out_group: str, keep: tuple[str,
 def document_terms(docs: DataFrame, vocab: DataFrame, text_col: str, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, term, tf, idf) of every document. Vocabulary tokens are dealt
     by document once; counting, the norm and the scores then all work within
-    that partitioning."""
-    tokens = vocab_tokens(docs, vocab, text_col, [key, *keep]).repartition(key)
+    that partitioning. The number of tasks follows from the size of the input, so
+    that what one of them holds does not grow with it."""
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-read_bytes(docs) // TASK_BYTES))
+    tokens = vocab_tokens(docs, vocab, text_col, [key, *keep]).repartition(tasks, key)
     return tokens.groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
 
 

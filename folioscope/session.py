@@ -61,6 +61,13 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_folder(spark), *parts])
 
 
+def read_bytes(df: DataFrame) -> int:
+    """Size of the files that ``df`` reads; 0 for rows that come from none."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
 def reliable(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 

@@ -156,3 +156,15 @@ def test_fits_leave_nothing_cached(spark):
     _, vectors = tfidf.fit_transform(docs)
     vectors.collect()
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+def test_tasks_that_count_terms_by_document_follow_the_size_of_the_input(spark, tmp_path, monkeypatch):
+    from folioscope.operators import tfidf
+    spark.range(400).selectExpr("CAST(id AS STRING) AS doc_id", "concat('alpha beta ', sha2(CAST(id AS STRING), 512)) AS text").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    vocab = spark.createDataFrame([("alpha", 1.0), ("beta", 2.0)], "term string, idf double")
+    few = tfidf.document_terms(docs, vocab, "text", "doc_id")
+    monkeypatch.setattr(tfidf, "TASK_BYTES", 500)
+    many = tfidf.document_terms(docs, vocab, "text", "doc_id")
+    assert many.rdd.getNumPartitions() > 2 * few.rdd.getNumPartitions()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect())) and many.count() == 800
