@@ -14,6 +14,7 @@ next one begins. Hits of a category are then summed up over the groups.
 from __future__ import annotations
 
 import uuid
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,10 @@ from ..functions import text as T
 from ..session import reliable
 
 #: Bytes of patterns and category names in one broadcast, with ``ROW_BYTES`` a rule for its numbers.
-MOST_BYTES, ROW_BYTES = 64 << 20, 64
+#: Each worker holds an automaton of them, some ten times as large.
+MOST_BYTES, ROW_BYTES = 40 << 20, 64
+#: Texts whose hits a worker holds at a time.
+SLICE_ROWS = 1000
 
 _AUTOMATA: dict[str, tuple] = {}
 
@@ -32,9 +36,9 @@ _AUTOMATA: dict[str, tuple] = {}
 def automaton(patterns: list[str]):
     """Finds patterns; the value of each is its number. None if there are none."""
     import ahocorasick
-    out = ahocorasick.Automaton()
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for i, pattern in enumerate(patterns):
-        out.add_word(pattern, i)
+        out.add_word(pattern, i)  # an empty one is not added
     if len(out):
         out.make_automaton()
         return out
@@ -45,40 +49,76 @@ def found(machine, text: str) -> set[int]:
     return {i for _, i in machine.iter(text)} if machine is not None and text else set()
 
 
+def _packed(rules: list) -> dict:
+    """Rules (kind, category, word, times, n) as flat arrays: ``words`` of each kind in
+    order, the ``first`` rule of each word, and by rule the number of its category and
+    its times. Categories are named once, with their n."""
+    codes: dict[str, int] = {}
+    of_category, out = array("q"), {}
+    for kind in ("keyword", "domain"):
+        words, first, code, often = [], array("q"), array("i"), array("q")
+        for word, category, times, n in sorted((r[2], r[1], r[3], r[4]) for r in rules if r[0] == kind):
+            if not words or words[-1] != word:
+                words.append(word)
+                first.append(len(code))
+            if category not in codes:
+                codes[category] = len(codes)
+                of_category.append(n)
+            code.append(codes[category])
+            often.append(times)
+        first.append(len(code))
+        out[kind] = ("\0".join(words) if words and not any("\0" in w for w in words) else words, first, code, often)
+    return out | {"categories": pa.array(list(codes), pa.string()), "n": of_category}
+
+
+class _Matcher:
+    """The rules of one kind; words are forgotten once the automaton has them."""
+
+    def __init__(self, words, first, code, often):
+        words = words.split("\0") if isinstance(words, str) else words
+        self.first, self.code, self.often = first, code, often
+        self.always = range(first[0], first[1]) if words and words[0] == "" else ()  # the empty word comes first
+        self.machine = automaton(words)
+
+    def rules(self, text: str):
+        """Numbers of the rules whose word is in the text."""
+        yield from self.always
+        for i in found(self.machine, text):
+            yield from range(self.first[i], self.first[i + 1])
+
+
 def _scan(texts: DataFrame, rules: list, key: str) -> DataFrame:
     """``key``, ``category``, ``keyword_hits``, ``_n``, ``domain_hit`` of one group's rules, where there is a hit."""
-    shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in rules])
+    packed = _packed(rules)
+    shared = texts.sparkSession.sparkContext.broadcast(packed)
     name = uuid.uuid4().hex
 
     def machines():
         if name not in _AUTOMATA:
             _AUTOMATA.clear()
-            owners = {"keyword": {}, "domain": {}}
-            for kind, category, word, times, n in shared.value:
-                owners[kind].setdefault(word, []).append((category, times, n))
-            always = owners["keyword"].pop("", []), owners["domain"].pop("", [])
-            _AUTOMATA[name] = tuple((automaton(list(x)), list(x.values()), some) for x, some in zip(owners.values(), always))
+            got = shared.value
+            _AUTOMATA[name] = _Matcher(*got["keyword"]), _Matcher(*got["domain"]), got["categories"], got["n"]
         return _AUTOMATA[name]
 
     def run(batches):
-        (words, word_owners, any_text), (domains, domain_owners, any_domain) = machines()
-        for batch in batches:
-            at, out = [], []
+        words, domains, categories, n = machines()
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            at, codes, hit, dom = array("q"), array("q"), array("q"), []
             for row, (text, domain) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                hits: dict[str, list] = {}
-                for owners in [word_owners[i] for i in found(words, text)] + [any_text] * (text is not None):
-                    for category, times, n in owners:
-                        hits.setdefault(category, [0, n, False])[0] += times
-                if domain:
-                    for owners in [domain_owners[i] for i in found(domains, domain)] + [any_domain]:
-                        for category, _, n in owners:
-                            hits.setdefault(category, [0, n, False])[2] = True
-                at += [row] * len(hits)
-                out += [(category, *h) for category, h in hits.items()]
-            if out:
-                category, hit, n, dom = zip(*out)
-                yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(category, pa.string()), pa.array(hit, pa.int64()),
-                                       pa.array(n, pa.int64()), pa.array(dom)], names=[key, "category", "keyword_hits", "_n", "domain_hit"])
+                hits: dict[int, int] = {}
+                for r in words.rules(text) if text is not None else ():
+                    hits[words.code[r]] = hits.get(words.code[r], 0) + words.often[r]
+                near = {domains.code[r] for r in domains.rules(domain)} if domain else set()
+                for c in near:
+                    hits.setdefault(c, 0)
+                at.extend(row for _ in hits)
+                codes.extend(hits)
+                hit.extend(hits.values())
+                dom += [c in near for c in hits]
+            if len(at):
+                of = pa.array(codes, pa.int64())
+                yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), categories.take(of), pa.array(hit, pa.int64()),
+                                       pa.array(n, pa.int64()).take(of), pa.array(dom)], names=[key, "category", "keyword_hits", "_n", "domain_hit"])
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.mapInArrow(run, f"`{key}` {kind}, category string, keyword_hits long, _n long, domain_hit boolean")
@@ -100,6 +140,8 @@ def table_scores(docs: DataFrame, keywords: DataFrame, domains: DataFrame, key:
     groups = -(-size // most_bytes)
 
     texts = docs.select(key, F.lower(T.rules_text("title", "description", "url", "meta_tags")).alias("_t"), T.url_domain("url").alias("_d"))
+    if groups > 1:
+        texts = reliable(texts, "rule-texts")  # built once, not by every pass
     parts = []
     for g in range(groups):
         mine = rows.where(F.pmod(F.xxhash64("kind", "category", "word"), F.lit(groups)) == g) if groups > 1 else rows

@@ -66,3 +66,22 @@ def test_time_does_not_grow_with_the_rules(spark):
         seconds.append(time.perf_counter() - start)
     assert seconds[1] < 4 * seconds[0] + 2
     docs.unpersist()
+
+
+def test_what_a_worker_holds_of_a_full_group_stays_small():
+    import multiprocessing
+    with multiprocessing.get_context("spawn").Pool(1) as one:
+        grown = one.apply(_held, (R.MOST_BYTES,))
+    assert grown < 500
+
+
+def _held(most_bytes):
+    import re
+    anonymous = lambda: int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+    rnd, before = random.Random(5), anonymous()
+    rules_ = [("keyword", f"c{i % 90}", f"{rnd.getrandbits(40):x}", 1, 9) for i in range(most_bytes // (R.ROW_BYTES + 12))]
+    packed = R._packed(rules_)
+    del rules_
+    matcher = R._Matcher(*packed["keyword"])
+    assert list(matcher.rules(f"- {packed['keyword'][0].split(chr(0))[7]} -"))
+    return anonymous() - before
