@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.operators import search as S
+from folioscope.operators import trigram_index as TI
 from folioscope.operators.trigram_index import TrigramIndex
 from folioscope.session import shared_path
 
@@ -50,3 +51,34 @@ def test_empty_table(spark, docs):
     index = TrigramIndex.build(docs.where("1 = 0"), shared_path(spark, "test-trigram-" + uuid.uuid4().hex[:8]))
     assert index.search("abc").collect() == [] and index.search("a").collect() == []
     assert index.search_all(spark.createDataFrame([("abc",), ("a",)], "q string")).collect() == []
+
+
+def test_documents_and_queries_have_the_same_grams(spark):
+    texts = ["", "ab", "abc", "aaaaa", "é😀b é😀b", "\u0000\u0000\u0000x", "abcabcab" * 40]
+    of_query = {r["t"]: sorted(r["g"]) for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", TI.grams(F.col("t")).alias("g")).collect()}
+    assert of_query == {t: TI.gram_codes(t.encode()).tolist() for t in texts}
+
+
+def test_bytes_that_are_no_utf8_hide_no_match(spark):
+    docs = spark.sql("SELECT 'd' AS _id, concat(CAST(X'61C3' AS STRING), 'bcd', CAST(X'FF' AS STRING)) AS title, "
+                     "CAST(NULL AS STRING) AS description, CAST(NULL AS STRING) AS url")
+    index = TrigramIndex.build(docs, shared_path(spark, "test-trigram-" + uuid.uuid4().hex[:8]))
+    assert [r["_id"] for r in index.search("bcd").collect()] == ["d"]
+
+
+def test_postings_are_sorted_segments_and_not_shuffled(spark, docs, tmp_path, monkeypatch):
+    docs.repartition(2).write.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(TI, "SEGMENT_BYTES", 1000)
+    monkeypatch.setattr(TI, "OUT_ROWS", 50)
+    index = TrigramIndex.build(spark.read.parquet(f"{tmp_path}/docs"), shared_path(spark, "test-trigram-" + uuid.uuid4().hex[:8]))
+    rows = index._read("postings").select(F.input_file_name().alias("f"), "gram", "_id", "field").collect()
+    by_file: dict = {}
+    for r in rows:
+        by_file.setdefault(r["f"], []).append(r["gram"])
+    assert len(by_file) > spark.sparkContext.defaultParallelism and all(g == sorted(g) for g in by_file.values())
+    assert len(rows) == len({(r["gram"], r["_id"], r["field"]) for r in rows})
+    found = index.search_all(spark.createDataFrame([("abc",), ("é😀b",)], "q string"))
+    want = sorted((q, r["_id"]) for q in ("abc", "é😀b") for r in S.search(docs, q).collect())
+    assert sorted(tuple(r) for r in found.collect()) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [gram" in plan and "SortMergeJoin [gram" not in plan
